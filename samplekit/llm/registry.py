@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplekit.llm import decontamination, quality_rules
+from samplekit.llm import decontamination, packing, quality_rules, simhash
 from samplekit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents"), tokenizer_path()),
+        "op5_simhash": lambda spark, d: simhash.op5_simhash(table(spark, d, "documents")),
         "op8_decontamination": lambda spark, d: decontamination.op8_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(table(spark, d, "documents")),
     }
