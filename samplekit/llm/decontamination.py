@@ -203,6 +203,19 @@ def without_spans(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, body[at:]])
 
 
+def cut_spans(docs: DataFrame, text_col: str, spans_col: str) -> DataFrame:
+    """docs without the words of spans_col (null: none) in text_col. Only rows with spans leave the JVM."""
+    schema = docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t and without_spans(t.encode(), [(s["start"], s["stop"]) for s in spans]).decode("utf-8", "replace") for t, spans in zip(batch.column(text_col).to_pylist(), batch.column(spans_col).to_pylist(), strict=True)]
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.where(F.col(spans_col).isNull()).unionByName(docs.where(F.col(spans_col).isNotNull()).mapInArrow(cut, schema))
+
+
 def op8_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = find_contamination(docs, items)
     return hits.select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplekit.llm import decontamination, license_scan, line_dedup, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash
+from samplekit.llm import decontamination, license_scan, line_dedup, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
 from samplekit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": lambda spark, d: suffix_dedup.op1_suffix_dedup(table(spark, d, "documents")),
         "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents"), tokenizer_path()),
         "op3_line_dedup": lambda spark, d: line_dedup.op3_line_dedup(table(spark, d, "documents")),
         "op4_license_scan": lambda spark, d: license_scan.op4_license_scan(table(spark, d, "documents")),
