@@ -10,27 +10,63 @@ ranks of each length go to which sequences. Spark ranks the pieces within their
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import gather, id_and_bytes, materialize, slices, starts_of
+from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
-KNOWN_WORDS = 400_000  # words whose ids a task remembers
+KNOWN_WORDS = 700_000  # words whose ids a Python worker remembers
 SALTS = 64  # parts in which the pieces of one length are ranked
 
 
+#: ASCII punctuation that is no part of a contraction.
+PUNCT = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+def _byte_level() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: a printable one for itself, the others from 256 on."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
+def _is_letters(part: bytes) -> str:
+    """The part in lower case and composed form if it is Latin letters alone, else nothing."""
+    text = unicodedata.normalize("NFC", part.decode("utf-8", "replace")).lower()
+    return text if text.isalpha() and max(text) < "\u0370" else ""
+
+
+def _cuts_letters(path: str) -> bool:
+    """Whether a tokenizers file composes, lower-cases, cuts words into runs of letters and others, and writes bytes."""
+    with open(path) as file:
+        kind = json.load(file)
+    norm = [n["type"] for n in (kind.get("normalizer") or {}).get("normalizers", [])]
+    pre = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = pre[0].get("pattern", {}).get("Regex", "") if pre else ""
+    return norm == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and split.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
     """Token ids of whole texts, for a tokenizer that never joins text across ASCII white space.
 
-    Each distinct word goes through the tokenizer once; texts are then put together from the words' ids.
+    Each distinct word goes through the tokenizer once; texts are then put together from the words' ids. Where the
+    tokenizer lower-cases and splits words at the edge of letters, as `cuts` says, punctuation after a word and words of
+    Latin letters alone are given to its model straight away.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,29 +74,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = _cuts_letters(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self.number: dict[bytes, int] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and where each text starts; one more at the end."""
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words; those that are new are encoded."""
         if len(self.number) > KNOWN_WORDS:
             self._forget()
-        known = len(self.number)
-        split = [body.split() for body in bodies]
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter((i for own in split for i in map(self.number.__getitem__, own)), np.int64, int(per_text.sum()))
-        if new := [w.decode("utf-8", "replace") for w in list(self.number)[known:]]:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for own in got for i in own), np.uint32, int(self.sizes[known:].sum()))])
+        number = self.number
+        if new := [w for w in words if w not in number]:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            got = list(map(self._cut_ids if self.cuts else self._plain_ids, new))
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def _plain_ids(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def _cut_ids(self, word: bytes) -> list[int]:
+        """Of a word whose run of letters, and the punctuation after it, are tokenized apart."""
+        if b"<|" in word:  # may be a special token
+            return self._plain_ids(word)
+        low = word.translate(LOWER)
+        body = low.rstrip(PUNCT)
+        if body.isalpha():  # of ASCII
+            ids = self.parts.get(body)
+            if ids is None:
+                ids = self.parts[body] = [t.id for t in self.tokenizer.model.tokenize(body.decode())]
+            return ids if len(body) == len(low) else [*ids, *self._part_ids(low[len(body) :])]
+        if body != low and body and _is_letters(body):
+            return [*self._part_ids(body), *self._part_ids(low[len(body) :])]
+        return self._part_ids(low)
+
+    def _part_ids(self, part: bytes) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = _is_letters(part)
+            ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_LEVEL))] if letters else self._plain_ids(part)
+        return ids
+
+    def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and where each text starts; one more at the end. bodies: binary, UTF-8."""
+        split = pc.ascii_split_whitespace(bodies.view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = self._numbers(coded.dictionary.view(pa.binary()).to_pylist())[coded.indices.to_numpy()]
         lengths = self.sizes[words]
         ids = self.ids[gather(starts_of(self.sizes)[words], lengths)]
-        return ids, starts_of(lengths)[starts_of(per_text)]
+        return ids, starts_of(lengths)[starts_of(pc.list_value_length(split).to_numpy())]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which several tasks share one after the other."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -71,9 +149,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
-        for batch in slices(batches, limit=4 << 20):
-            ids, at = encoder.encode(batch.column("body").to_pylist())
+        own_encoder = encoder(tokenizer)
+        for batch in slices(batches, limit=8 << 20):
+            ids, at = own_encoder.encode(batch.column("body"))
             docs_out, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
