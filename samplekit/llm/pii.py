@@ -25,7 +25,7 @@ KINDS: tuple[tuple[str, str, str], ...] = (
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 #: Terms are what stands between white space and ASCII punctuation.
-SEPARATORS, TERM = r"[\x20\x09-\x0D\p{Punct}]+", r"[^\x20\x09-\x0D\p{Punct}]+"
+SEPARATOR = r"[\x20\x09-\x0D\p{Punct}]"
 MATCH = "struct<start: bigint, stop: bigint, value: string>"
 
 
@@ -51,10 +51,10 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: Column) -> Column:
     """All leftmost matches that don't overlap, as MATCH, in code points. What stands between them gives their places."""
     between = F.transform(F.split(text, pattern, -1), F.length)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(0))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -73,34 +73,42 @@ def base_spans(text: Column, kind: str) -> Column:
     likely = F.contains(text, F.lit(needs)) if needs else text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
     if kind == "ip":
         likely = likely & text.rlike(pattern)
-    return F.when(likely, F.filter(_matches(text, pattern), lambda m: _valid(kind, m["value"]))).otherwise(none)
+    return F.when(likely, F.filter(_matches(text, F.lit(pattern)), lambda m: _valid(kind, m["value"]))).otherwise(none)
+
+
+def _of_kind(kind: str) -> Column:
+    return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value")))
 
 
 def _terms(text: Column) -> Column:
-    return F.split(text, SEPARATORS)
+    return F.split(text, f"{SEPARATOR}+")
 
 
-def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_lines: int, disclosure: float, term_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(term, kind): terms that reveal an entity of that kind beyond the limit; (doc_id, term): where candidates for them stand.
+def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_lines: int, disclosure: float, term_chars: int) -> DataFrame:
+    """term, kind: terms that reveal an entity of that kind beyond the limit.
 
     found: doc_id, text, entities (array of kind and value) of documents with entities; docs: doc_id, text of all `total`
-    documents. The lines that a term and an entity share are counted once however often they are copied; probabilities are
-    shares of all documents.
+    documents. Lines that a term and an entity share count by the least hash of their terms, under the one of several hashes
+    that tells the fewest lines apart: copies and near copies of a line count about once. Probabilities are shares of all documents.
     """
     line = found.select("doc_id", "entities", F.explode(F.split("text", "\n")).alias("line"))
-    beside = line.select("doc_id", F.xxhash64("line").alias("line_key"), "line", F.explode("entities").alias("e")).where(F.contains(F.col("line"), F.col("e.value")))
-    terms = beside.select("doc_id", "line_key", "e", F.explode(_terms(F.col("line"))).alias("term"))
+    beside = line.select("doc_id", _terms(F.col("line")).alias("terms"), "line", F.explode("entities").alias("e")).where(F.contains(F.col("line"), F.col("e.value")))
+    keys = [f"key_{i}" for i in range(4)]
+    terms = beside.select("doc_id", "e", *(_least_hash("terms", i).alias(k) for i, k in enumerate(keys)), F.explode("terms").alias("term"))
     terms = terms.where((F.length("term") >= term_chars) & ~F.col("term").rlike("[0-9]") & ~F.contains(F.col("e.value"), F.col("term")))
-    pairs = terms.groupBy("e", "term").agg(F.count_distinct("line_key").alias("lines"), F.count_distinct(F.struct("doc_id")).alias("both")).where(F.col("lines") >= least_lines)
+    pairs = terms.groupBy("e", "term").agg(F.least(*(F.size(F.collect_set(k)) for k in keys)).alias("lines"), F.count_distinct(F.struct("doc_id")).alias("both")).where(F.col("lines") >= least_lines)
     pairs = materialize(pairs.select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "both"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    places = materialize(words.join(pairs.select("term").distinct(), "term").select("doc_id", "term"))
-    of_term = places.groupBy("term").agg(F.count("*").alias("with_term"))
+    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    of_term = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("with_term"))
     of_entity = found.select("doc_id", F.explode("entities").alias("e")).groupBy(F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count("*").alias("with_entity"))
     told = pairs.join(of_entity, ["kind", "value"]).join(of_term, "term")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    return told.where((own > 0) & (pmi >= own * disclosure)).groupBy("term").agg(F.min("kind").alias("kind")), places
+    return told.where((own > 0) & (pmi >= own * disclosure)).groupBy("term").agg(F.min("kind").alias("kind"))
+
+
+def _least_hash(terms: str, seed: int) -> Column:
+    return F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t)))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 3, disclosure: float = 0.8, term_chars: int = 4) -> DataFrame:
@@ -115,13 +123,15 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     some = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in kinds))
     matched = own.select("doc_id", F.xxhash64("text").alias("key"), "text", *(base_spans(F.col("text"), k).alias(k) for k in kinds))
     base = materialize(matched.select("doc_id", "key", *kinds, F.when(some, F.col("text")).alias("text")))
-    entities = F.array_distinct(F.flatten(F.array(*(F.transform(k, lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["value"].alias("value"))) for k in kinds))))
+    entities = F.array_distinct(F.flatten(F.array(*(_of_kind(k) for k in kinds))))
     found = base.where("text is not null").select("doc_id", "text", entities.alias("entities"))
-    telling, places = revealing_terms(found, own, base.count(), least_lines=least_lines, disclosure=disclosure, term_chars=term_chars)
-    per_doc = places.join(telling, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("told")).withColumnRenamed("doc_id", "told_id")
+    telling = materialize(revealing_terms(found, own, base.count(), least_lines=least_lines, disclosure=disclosure, term_chars=term_chars))
+    seen = own.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(telling, "term")
+    per_doc = seen.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("told")).withColumnRenamed("doc_id", "told_id")
     told = own.join(per_doc, F.col("doc_id").eqNullSafe(F.col("told_id")))
+    pattern = F.concat(F.lit(f"(?<=^|{SEPARATOR})(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(f")(?=$|{SEPARATOR})"))  # terms hold no character that patterns use
     terms = F.transform(
-        F.filter(_matches(F.col("text"), TERM), lambda m: F.map_contains_key("told", m["value"])),
+        _matches(F.col("text"), pattern),
         lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), F.try_element_at("told", m["value"]).alias("kind")),
     )
     told = told.select("told_id", F.xxhash64("text").alias("told_key"), terms.alias("terms")).dropDuplicates(["told_id", "told_key"])
