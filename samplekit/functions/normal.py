@@ -8,9 +8,10 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_deviate(p: pd.Series) -> pd.Series:
     """The deviate with this probability below it; null at 0 and 1, which have none."""
     inverse = NormalDist().inv_cdf
@@ -49,7 +50,7 @@ def f_tail_value(f: float, df1: float, df2: float) -> float:
     return beta_share(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([f_tail_value(a, b, c) if a is not None and a == a and b > 0 and c > 0 else None for a, b, c in zip(f, df1, df2, strict=True)], dtype="float64")
 

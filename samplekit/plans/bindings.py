@@ -82,7 +82,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr(
-        "user_id as run_id", "row_number() over (partition by user_id order by ts, event_id) - 1 as epoch", "value as val_loss",
+        "user_id as run_id", "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as epoch", "value as val_loss",
         "cast((event_id * 37) % 256 as double) / 256 as val_accuracy", "cast((event_id * 91) % 256 as double) / 256 as accuracy", "value * 0.9D as loss", "cast(event_id % 13 as double) as seconds",
     ).where("epoch < 50")
 
