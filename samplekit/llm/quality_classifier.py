@@ -9,10 +9,12 @@ the level above it by as much as hosts, and paths, differ. Document and site the
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -31,8 +33,12 @@ def _shape(word: bytes) -> bytes:
     return bytes(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)[:6]
 
 
+def bare(word: bytes) -> bytes:
+    return word.translate(LOWER).strip(b".,;:!?$%&*#|")
+
+
 class Features:
-    """Of a text: its words, their beginnings, and how large a share of its words has a shape or repeats the one before."""
+    """Of a text: its bare words, their beginnings, and how large a share of its words has a shape or repeats the one before."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, tuple[bytes, tuple[bytes, ...]]] = {}
@@ -42,7 +48,7 @@ class Features:
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            low = word.translate(LOWER).strip(b".,;:!?$%&*#|")
+            low = bare(word)
             got = self.known[word] = (_shape(word), (b"w" + low, *(b"p" + low[:k] for k in (4, 5) if len(low) > k)))
         return got
 
@@ -56,7 +62,7 @@ class Features:
             out.update(own)
         shapes[b"again"] = sum(map(bytes.__eq__, words[1:], words[:-1]))
         for shape, n in shapes.items():
-            if 50 * n >= len(words):
+            if n and 50 * n >= len(words):
                 out.add(b"s%d" % (3 if 4 * n >= len(words) else 2 if 10 * n >= len(words) else 1) + shape)
         return out
 
@@ -93,26 +99,83 @@ def feature_weights(labelled: DataFrame, *, clear: float = 4.0) -> dict[bytes, f
     return {bytes(r["feature"]): r["odds"] for r in rows.collect()}
 
 
+class Evidence:
+    """Sums of log odds by kind of feature, of many texts at once: what is worked out for a distinct word serves all its texts."""
+
+    def __init__(self, odds: dict[bytes, float]) -> None:
+        self.words = {k[1:]: v for k, v in odds.items() if k[:1] == b"w"}
+        self.parts = {k[1:]: (i, v) for i, (k, v) in enumerate((k, v) for k, v in odds.items() if k[:1] == b"p")}
+        self.part_odds = np.array([0.0, *(v for _, v in self.parts.values())])
+        self.shapes = {k[1:]: v for k, v in odds.items() if k[:1] == b"s"}
+
+    def __call__(self, coded: pa.DictionaryArray, sizes: np.ndarray, known: list[tuple[bytes, int]]) -> np.ndarray:
+        """coded: the words of the texts, one after the other; known: of each distinct word its bare form and the number of its shape."""
+        n = len(sizes)
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        same = np.fromiter((number[low] for low, _ in known), np.int64, len(known))  # words that differ in case or punctuation alone
+        words = len(number)
+        at = same[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        seen = np.unique(np.repeat(np.arange(n), sizes) * words + at)
+        doc, word = seen // max(words, 1), seen % max(words, 1)
+        odds = np.fromiter((self.words.get(low, 0.0) for low in number), np.float64, words)
+        out = np.zeros((n, len(KINDS)))
+        out[:, 0] = np.bincount(doc, odds[word], n) if words else 0
+        for size in (4, 5):
+            part = np.fromiter((self.parts.get(low[:size], (-1,))[0] + 1 if len(low) > size else 0 for low in number), np.int64, words)
+            some = part[word] > 0
+            pairs = np.unique(doc[some] * len(self.part_odds) + part[word][some])
+            out[:, 1] += np.bincount(pairs // len(self.part_odds), self.part_odds[pairs % len(self.part_odds)], n) if len(pairs) else 0
+        return out
+
+    def of_shapes(self, counts: np.ndarray, sizes: np.ndarray, names: list[bytes]) -> np.ndarray:
+        """counts: of each text and shape, its words."""
+        table = np.array([[0.0, *(self.shapes.get(b"%d" % k + name, 0.0) for k in (1, 2, 3))] for name in names])
+        level = np.where(4 * counts >= sizes[:, None], 3, np.where(10 * counts >= sizes[:, None], 2, np.where(50 * counts >= sizes[:, None], 1, 0)))
+        level[counts == 0] = 0
+        return table[np.arange(len(names))[None, :], level].sum(axis=1)
+
+
+def _shape_counts(coded: pa.DictionaryArray, sizes: np.ndarray, known: list[tuple[bytes, int]], shapes: int) -> np.ndarray:
+    """Words of each text by shape; the last column counts words that repeat the one before."""
+    at = coded.indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.fromiter((k for _, k in known), np.int64, len(known))
+    out = np.zeros((len(sizes), shapes + 1), np.int64)
+    if len(at):
+        out[:, :shapes] = np.bincount(text * shapes + number[at], minlength=len(sizes) * shapes).reshape(len(sizes), shapes)
+        out[:, shapes] = np.bincount(text[1:][(at[1:] == at[:-1]) & (text[1:] == text[:-1])], minlength=len(sizes))
+    return out
+
+
 def evidence(docs: DataFrame, weights: dict[str, dict[bytes, float]]) -> DataFrame:
     """docs (doc_id, body, more) without body, with an array for each of the named weights: the sums of log odds over words, beginnings and shapes."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kept = [c for c in docs.columns if c != "body"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        parts = [Evidence(odds) for odds in shared.value.values()]
         for batch in slices(batches):
-            sets = [features(body) for body in batch.column("body").to_pylist()]
-            sums = [pa.array([_by_kind(s & own.keys(), own) for s in sets], pa.list_(pa.float64())) for own in shared.value.values()]
+            split = pc.ascii_split_whitespace(batch.column("body").view(pa.string()))
+            flat, lengths = split.flatten(), pc.list_value_length(split).to_numpy()
+            full = pc.not_equal(flat, "")
+            sizes = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[full.to_numpy(zero_copy_only=False)], minlength=len(lengths))
+            coded = flat.filter(full).dictionary_encode()
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            known = [(bare(w), number[_shape(w)]) for w in coded.dictionary.view(pa.binary()).to_pylist()]
+            counts = _shape_counts(coded, sizes, known, len(number))
+            sums = []
+            for own in parts:
+                got = own(coded, sizes, known)
+                got[:, 2] = own.of_shapes(counts, sizes, [*number, b"again"])
+                sums.append(pa.array(list(got), pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sums], names=[*kept, *weights])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "body")
     return docs.mapInArrow(score, f"{kinds}, " + ", ".join(f"{k} array<double>" for k in weights))
 
 
-def _by_kind(features: set[bytes], odds: dict[bytes, float]) -> list[float]:
-    return [math.fsum(odds[x] for x in features if x[:1] == kind) for kind in KINDS]
-
-
 def _logit(p: Column) -> Column:
     p = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
     return F.log(p / (1 - p))
