@@ -220,5 +220,24 @@ def op8_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = find_contamination(docs, items)
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
+
+
+OP8_SQL = r"""
+WITH lowered AS (SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark)
+, worded AS (SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered)
+, item_windows AS (
+  SELECT DISTINCT id AS item, size, list_aggregate(list_slice(w, i, i + size - 1), 'string_agg', ' ') AS words
+  FROM (SELECT id, w, least(len(w), 13) AS size, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM worded WHERE kind = 'i' AND len(w) > 0))
+, doc_windows AS (
+  SELECT id, size, i, list_aggregate(list_slice(w, i, i + size - 1), 'string_agg', ' ') AS words
+  FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded CROSS JOIN (SELECT DISTINCT size FROM item_windows) WHERE kind = 'd' AND len(w) >= size))
+, met AS (SELECT d.id, d.i, d.size, m.item FROM doc_windows d JOIN item_windows m ON m.words = d.words AND m.size = d.size)
+, hit AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + size)) AS place FROM met) GROUP BY id)
+, found AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT id, cast(item AS VARCHAR) AS item FROM met) GROUP BY id)
+SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM worded w LEFT JOIN hit USING (id) LEFT JOIN found USING (id) WHERE w.kind = 'd'
+"""

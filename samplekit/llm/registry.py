@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op8_decontamination": decontamination.OP8_SQL}
