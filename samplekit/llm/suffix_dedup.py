@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from samplekit.llm.common import gather, id_and_bytes, slices, starts_of
 
 GRAM = 24
-BUCKET_BYTES = 24 << 20  # of text that a bucket stands for
-TASK_RECORDS = 2_500_000
+RANK_BYTES, WINDOW_BYTES = 20 << 20, 6 << 20  # of text that a bucket of ranks, and one of windows, stands for
+PART_BYTES = 12 << 20  # of text that is looked at together, documents by their hash
+TASK_RECORDS = 1_200_000
 NO_ID = np.iinfo(np.int64).max  # a document without an id comes after all others
 U64 = np.uint64
 
@@ -111,28 +112,44 @@ def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Each row once, with its values packed as 32-bit numbers."""
-    order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order].astype("<u4")
-    edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, np.int64)
-    parts = [p.tobytes() for p in np.split(values, edges[1:])] if len(rows) else []
-    return pa.array(rows[edges].view(np.int64), pa.int64()), pa.array(parts, pa.binary())
+def _by_part(rows: np.ndarray, values: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """Parts of the table and, for each, its rows with their values, packed."""
+    if not len(rows):
+        return pa.array([], pa.int64()), pa.array([], pa.binary())
+    part = rows.view(np.int64) % parts
+    order = np.lexsort((rows, part))
+    rows, values, part = rows[order], values[order], part[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    ends = np.append(edges[1:], len(part))
+    blobs = [_packed(rows[a:z], values[a:z]) for a, z in zip(edges.tolist(), ends.tolist(), strict=True)]
+    return pa.array(part[edges], pa.int64()), pa.array(blobs, pa.binary())
 
 
-KEYED = pa.schema([("bucket", pa.int64()), ("row", pa.int64()), ("blob", pa.binary())])
-FOUND = pa.schema([("row", pa.int64()), ("at", pa.binary())])
+def _of_rows(found: pa.Table, rows: np.ndarray, kind: str) -> list[np.ndarray]:
+    """The values that the blobs of a part hold for each of its rows."""
+    got = [_unpacked(blob, "<u8", kind) for blob in found.column("blob").to_pylist()]
+    if not got:
+        return [np.zeros(0, kind)] * len(rows)
+    row, value = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(row, kind="stable")
+    row, value = row[order], value[order]
+    low, high = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
+    return [value[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)]
 
 
-def shared_positions(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """row, at: positions (32-bit numbers) whose first GRAM bytes stand in another row too; a row may come several times."""
+#: Records of a bucket have no part; what a task has decided itself has one and passes through.
+KEYED = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
+FOUND = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
+
+
+def shared_positions(docs: DataFrame, width: int, buckets: int, parts: int) -> DataFrame:
+    """part, blob: rows and their positions (32-bit numbers) whose first GRAM bytes stand in another row too."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        count = turn = 0
+        count = 0
 
         def records() -> Iterator[pa.RecordBatch]:
-            nonlocal turn
             key, row, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, U64),) * 3
             order = np.lexsort((row, key))
             key, row, at = key[order], row[order], at[order]
@@ -141,9 +158,8 @@ def shared_positions(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             firsts = np.flatnonzero(new)
             several = row[firsts] != row[np.append(firsts[1:], len(key)) - 1] if len(key) else np.zeros(0, bool)
             known = several[group]
-            rows, parts = _by_row(row[known], at[known])
-            turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)) % buckets, pa.int64()), rows, parts], schema=KEYED)
+            part, blobs = _by_part(row[known], at[known].astype("<u4"), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) % buckets, pa.int64()), part, blobs], schema=KEYED)
             sent = ~known
             sent[firsts] = True
             key, row, at, known = key[sent], row[sent], at[sent], known[sent]
@@ -174,9 +190,8 @@ def shared_positions(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             yield from records()
 
     def meet(part: pa.Table) -> pa.Table:
-        ready = part.filter(part.column("row").is_valid())
         keys, rows, ats, knowns = [], [], [], []
-        for blob in part.filter(part.column("row").is_null()).column("blob").to_pylist():
+        for blob in part.filter(part.column("part").is_null()).column("blob").to_pylist():
             n = int.from_bytes(blob[:4], "little")
             names = np.frombuffer(blob, U64, n, 4)
             step, local, at, known = _unpacked(blob[4 + 8 * n :], "<u8", "<u4", "<u4", "u1")
@@ -184,7 +199,7 @@ def shared_positions(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             rows.append(names[local])
             ats.append(at)
             knowns.append(known)
-        out = [pa.table({"row": ready.column("row"), "at": ready.column("blob")})]
+        out = [part.filter(part.column("part").is_valid()).select(["part", "blob"])]
         if keys:
             key, row, at, known = (np.concatenate(x) for x in (keys, rows, ats, knowns))
             order = np.argsort(key, kind="stable")
@@ -192,49 +207,54 @@ def shared_positions(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             shared = (np.minimum.reduceat(row, firsts) != np.maximum.reduceat(row, firsts)) | np.logical_or.reduceat(known, firsts)
             keep = np.repeat(shared, np.diff(np.append(firsts, len(key)))) & ~known  # rows with a known rank were sent whole by their task
-            rows_out, parts = _by_row(row[keep], at[keep])
-            out.append(pa.table({"row": rows_out, "at": parts}))
-        return pa.concat_tables(out).cast(FOUND)
+            out.append(pa.Table.from_arrays(_by_part(row[keep], at[keep].astype("<u4"), parts), schema=FOUND))
+        return pa.concat_tables([t.cast(FOUND) for t in out])
 
-    return docs.mapInArrow(rank, "bucket long, row long, blob binary").groupBy("bucket").applyInArrow(meet, "row long, at binary")
+    return docs.mapInArrow(rank, "bucket long, part long, blob binary").groupBy("bucket").applyInArrow(meet, "part long, blob binary")
 
 
-def repeated_windows(marked: DataFrame, width: int, buckets: int) -> DataFrame:
-    """row, at: pairs start, stop (32-bit numbers) of windows that a row with a smaller id has too. marked: row, doc_id, body, places."""
+def repeated_windows(pressed: DataFrame, places: DataFrame, width: int, buckets: int, parts: int) -> DataFrame:
+    """part, blob: rows and ranges (start, stop << 32) of windows that a row with a smaller id has too. pressed: part, doc_id, row, ztext; places: of shared_positions."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _window_records(batch, width, buckets)
+    def windows(docs: pa.Table, found: pa.Table) -> pa.Table:
+        wanted = _of_rows(found, docs.column("row").to_numpy().view(U64), "<u4")
+        some = np.flatnonzero([len(x) > 0 for x in wanted])
+        batches = list(_window_records(docs.take(pa.array(some)), [wanted[i] for i in some.tolist()], width, buckets, parts))
+        return pa.Table.from_batches(batches, KEYED)
 
     def meet(part: pa.Table) -> pa.Table:
-        ready = part.filter(part.column("row").is_valid())
-        out = [pa.table({"row": ready.column("row"), "at": ready.column("blob")})]
+        out = [part.filter(part.column("part").is_valid()).select(["part", "blob"])]
         texts, sizes, docs, rows, starts = [], [], [], [], []
-        for blob in part.filter(part.column("row").is_null()).column("blob").to_pylist():
-            raw = zstandard.decompress(blob)
-            n = int.from_bytes(raw[:4], "little")
-            kinds = ("<i8", "<u8", "<u4", "<u4")
-            at = 4
-            for kind, into in zip(kinds, (docs, rows, starts, sizes), strict=True):
-                into.append(np.frombuffer(raw, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            texts.append(np.frombuffer(raw, np.uint8, -1, at))
+        for blob in part.filter(part.column("part").is_null()).column("blob").to_pylist():
+            a, z = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+            row, doc = _unpacked(blob[8 : 8 + a], "<u8", "<u8")
+            local, start, size = _unpacked(blob[8 + a : 8 + a + z], "<u4", "<u4", "<u4")
+            for value, into in ((doc.view(np.int64)[local], docs), (row[local], rows), (start, starts), (size, sizes)):
+                into.append(value)
+            texts.append(zstandard.decompress(blob[8 + a + z :]))
         if texts:
-            text, doc, row, start, size = (np.concatenate(x) for x in (texts, docs, rows, starts, sizes))
-            gone_row, low, high = _gone(text, doc, row, start.astype(np.int64), size.astype(np.int64), width)
-            out.append(_ranges(gone_row, low, high))
+            doc, row, start, size = (np.concatenate(x) for x in (docs, rows, starts, sizes))
+            text, start, size = b"".join(texts), start.astype(np.int64), size.astype(np.int64)
+            runs = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(starts_of(size).astype(np.int32)), pa.py_buffer(text)])
+            coded = runs.dictionary_encode().indices.to_numpy()
+            least = np.full(coded.max() + 1, NO_ID, np.int64)
+            np.minimum.at(least, coded, doc)
+            done = doc > least[coded]  # another row has the whole run
+            out.append(pa.Table.from_arrays(_by_part(row[done], _pairs(start[done], start[done] + size[done]), parts), schema=FOUND))
+            left = np.flatnonzero(~done)
+            flat = np.frombuffer(text, np.uint8)[gather(starts_of(size)[left], size[left])]
+            doc, row, start, size = doc[left], row[left], start[left], size[left]
+            del texts, text, runs  # there is always a least one, so some rows are left
+            gone_row, low, high = _gone(flat, doc, row, start, size, width)
+            out.append(pa.Table.from_arrays(_by_part(gone_row, _pairs(low, high), parts), schema=FOUND))
         return pa.concat_tables([t.cast(FOUND) for t in out])
 
-    return marked.mapInArrow(windows, "bucket long, row long, blob binary").groupBy("bucket").applyInArrow(meet, "row long, at binary")
+    records = pressed.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(windows, "bucket long, part long, blob binary")
+    return records.groupBy("bucket").applyInArrow(meet, "part long, blob binary")
 
 
-def _ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
-    pairs = low.astype(U64) | high.astype(U64) << U64(32)
-    order = np.argsort(rows, kind="stable")
-    rows, pairs = rows[order], pairs[order]
-    edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, np.int64)
-    parts = [p.tobytes() for p in np.split(pairs, edges[1:])] if len(rows) else []
-    return pa.table({"row": pa.array(rows[edges].view(np.int64), pa.int64()), "at": pa.array(parts, pa.binary())})
+def _pairs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U64) | high.astype(U64) << U64(32)
 
 
 def _gone(text: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,12 +268,13 @@ def _gone(text: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray,
     sorted_rank = rank[order]
     new = np.concatenate(([True], sorted_rank[1:] != sorted_rank[:-1]))
     same = np.flatnonzero(~new)
+    eight = np.ndarray(max(0, len(text) - 7), "<u8", np.ascontiguousarray(text), strides=(1,))  # the 8 bytes from each place on
     for low in range(0, len(same), 1 << 18):  # ranks are hashes: the windows themselves decide
         part = same[low : low + (1 << 18)]
         a, b = at[order[part - 1]], at[order[part]]
         equal = np.ones(len(part), bool)
-        for k in range(width):
-            equal &= text[a + k] == text[b + k]
+        for k in [*range(0, width - 8, 8), width - 8]:
+            equal &= eight[a + k] == eight[b + k]
         new[part[~equal]] = True
     firsts = np.flatnonzero(new)
     least = np.minimum.reduceat(doc[run[order]], firsts)
@@ -268,25 +289,25 @@ def _gone(text: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray,
     return row[run[first]], place[first], place[last] + width
 
 
-def _window_records(batch: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    bodies = [zstandard.decompress(z) for z in batch.column("ztext").to_pylist()]
+def _window_records(docs: pa.Table, places: list[np.ndarray], width: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    bodies = [zstandard.decompress(z) for z in docs.column("ztext").to_pylist()]
     low = 0
     while low < len(bodies):
         high, size = low, 0
-        while high < len(bodies) and (high == low or size + len(bodies[high]) <= 4 << 20):
+        while high < len(bodies) and (high == low or size + len(bodies[high]) <= 3 << 20):
             size += len(bodies[high])
             high += 1
-        yield from _slice_records(bodies[low:high], batch.slice(low, high - low), width, buckets)
+        yield from _slice_records(bodies[low:high], docs.slice(low, high - low), places[low:high], width, buckets, parts)
         low = high
 
 
-def _slice_records(bodies: list[bytes], batch: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _slice_records(bodies: list[bytes], docs: pa.Table, places: list[np.ndarray], width: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
     own = Windows(bodies, width)
-    rows = batch.column("row").to_numpy().view(U64)
-    ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+    rows = docs.column("row").to_numpy().view(U64)
+    ids = docs.column("doc_id").fill_null(NO_ID).to_numpy()
     wanted = np.zeros(len(own.text) + 1, bool)
-    for k, parts in enumerate(batch.column("places").to_pylist()):
-        wanted[own.starts[k] + np.frombuffer(b"".join(parts), "<u4").astype(np.int64)] = True
+    for k, at in enumerate(places):
+        wanted[own.starts[k] + at.astype(np.int64)] = True
     runs = np.flatnonzero(wanted[own.place])
     if not len(runs):
         return
@@ -301,24 +322,27 @@ def _slice_records(bodies: list[bytes], batch: pa.RecordBatch, width: int, bucke
     known = id_of > least[coded]  # a smaller document of this task has the same run
     done = np.flatnonzero(known)
     if len(done):
-        ready = _ranges(rows[doc[done]], (first - own.starts[doc])[done], (first - own.starts[doc] + size)[done])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ready)) % buckets, pa.int64()), ready.column("row").combine_chunks(), ready.column("at").combine_chunks()], schema=KEYED)
+        start = (first - own.starts[doc])[done]
+        part, blobs = _by_part(rows[doc[done]], _pairs(start, start + size[done]), parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) % buckets, pa.int64()), part, blobs], schema=KEYED)
     left = np.flatnonzero(~known)
     bucket = ((own.rank[runs] >> U64(16)) % U64(buckets)).astype(np.int64)[left]
     left = left[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
     for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(bucket)) + 1):
         mine = left[part]
-        head = len(mine).to_bytes(4, "little") + id_of[mine].astype("<i8").tobytes() + rows[doc[mine]].tobytes() + (first - own.starts[doc])[mine].astype("<u4").tobytes() + size[mine].astype("<u4").tobytes()
-        blob = zstandard.compress(head + b"".join(texts[i] for i in mine.tolist()), 3)
+        used, local = np.unique(doc[mine], return_inverse=True)
+        head = _packed(rows[used], ids[used].view(U64))
+        body = _packed(local.astype("<u4"), (first - own.starts[doc])[mine].astype("<u4"), size[mine].astype("<u4"))
+        text = zstandard.compress(b"".join(texts[i] for i in mine.tolist()), 3)
+        blob = len(head).to_bytes(4, "little") + len(body).to_bytes(4, "little") + head + body + text
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[part[0]])], pa.int64()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], schema=KEYED)
 
 
-def merged(parts: list[bytes] | None) -> list[tuple[int, int]]:
+def merged(pairs: np.ndarray) -> list[tuple[int, int]]:
     """Ranges united where they touch, in order."""
     out: list[tuple[int, int]] = []
-    packed = np.sort(np.frombuffer(b"".join(parts or ()), U64) << U64(32) | np.frombuffer(b"".join(parts or ()), U64) >> U64(32))
-    for pair in packed.tolist():
+    for pair in np.sort(pairs << U64(32) | pairs >> U64(32)).tolist():
         start, stop = pair >> 32, pair & 0xFFFFFFFF
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
@@ -334,36 +358,37 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     without an id come after all others, and lose nothing to one another; nor do rows that repeat an id. Each row gives a row; an
     empty table gives none. Other columns aren't read. text holds what is left, bytes that no longer form characters replaced.
     """
+    if width < GRAM:
+        raise ValueError(f"width must be {GRAM} or more: {width}")
     own = id_and_bytes(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "body"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    buckets = max(8, -(-total // BUCKET_BYTES))
+    parts = max(8, -(-total // PART_BYTES))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([press.compress(b) for b in batch.column("body").to_pylist()], pa.binary())], names=["doc_id", "row", "ztext"])
-
-    pressed = own.mapInArrow(small, "doc_id long, row long, ztext binary")
-    places = shared_positions(own, width, buckets).groupBy("row").agg(F.collect_list("at").alias("places"))
-    gone = repeated_windows(pressed.join(places, "row").select("row", "doc_id", "ztext", "places"), width, buckets)
-    gone = gone.groupBy("row").agg(F.collect_list("at").alias("ranges"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, pressed_text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ztext", "ranges")), strict=True):
-                body = zstandard.decompress(pressed_text)
-                spans = merged(parts)
-                edges = [0, *(x for span in spans for x in span), len(body)]
-                kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                row = {"doc_id": doc, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "stop": b} for a, b in spans]}
-                rows.append(row | ({"text": kept.decode("utf-8", "replace")} if with_text else {}))
-            yield pa.RecordBatch.from_pylist(rows, out)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("row"), pa.array([press.compress(b) for b in batch.column("body").to_pylist()], pa.binary())], names=["part", "doc_id", "row", "ztext"])
+
+    pressed = own.withColumn("part", F.pmod("row", F.lit(parts))).mapInArrow(small, "part long, doc_id long, row long, ztext binary")
+    places = shared_positions(own, width, max(8, -(-total // RANK_BYTES)), parts)
+    gone = repeated_windows(pressed, places, width, max(8, -(-total // WINDOW_BYTES)), parts)
+
+    def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
+        ranges = _of_rows(found, docs.column("row").to_numpy().view(U64), "<u8")
+        rows = []
+        for doc, pressed_text, pairs in zip(docs.column("doc_id").to_pylist(), docs.column("ztext").to_pylist(), ranges, strict=True):
+            body = zstandard.decompress(pressed_text)
+            spans = merged(pairs)
+            edges = [0, *(x for span in spans for x in span), len(body)]
+            kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            row = {"doc_id": doc, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "stop": b} for a, b in spans]}
+            rows.append(row | ({"text": kept.decode("utf-8", "replace")} if with_text else {}))
+        return pa.Table.from_pylist(rows, out)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
     out = pa.schema(fields + [("text", pa.string())] * with_text)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>" + ", text string" * with_text
-    return pressed.join(gone, "row", "left").select("doc_id", "ztext", "ranges").mapInArrow(finish, schema)
+    return pressed.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(finish, schema)
 
 
 def op1_suffix_dedup(docs: DataFrame) -> DataFrame:
