@@ -86,12 +86,12 @@ def average_precision(df: DataFrame, by: list[str], *, score: str = "score", lab
 
 
 def equal_error(df: DataFrame, by: list[str], *, drop_intermediate: bool = True, score: str = "score", label: str = "label") -> DataFrame:
-    """by, eer, eer_threshold: where false positive and false negative rates differ least, at the highest such threshold; null where a class is absent or scores are constant."""
+    """by, eer, eer_threshold: where false positive and false negative rates differ least (to 12 decimals), at the highest such threshold; null where a class is absent or scores are constant."""
     points = cumulative_counts(df, by, score, label)
     usable = (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & (F.col("points") > 1)
     corners = points.where(_corner()) if drop_intermediate else points
     fpr, fnr = F.col("fps") / F.col("all_neg"), 1 - F.col("tps") / F.col("all_pos")
-    gap = F.when(usable, F.struct(F.abs(F.when(usable, fpr) - F.when(usable, fnr)).alias("gap"), F.col("rank").alias("rank"), ((F.when(usable, fpr) + F.when(usable, fnr)) / 2).alias("eer"), F.col("score").alias("threshold")))
+    gap = F.when(usable, F.struct(F.round(F.abs(F.when(usable, fpr) - F.when(usable, fnr)), 12).alias("gap"), F.col("rank").alias("rank"), ((F.when(usable, fpr) + F.when(usable, fnr)) / 2).alias("eer"), F.col("score").alias("threshold")))
     best = corners.groupBy(*by).agg(F.min(gap).alias("best"))  # the start (0, 0) has a gap of 1, which no later point exceeds
     return best.select(*by, F.col("best.eer").alias("eer"), F.when(F.col("best").isNotNull(), F.col("best.threshold")).alias("eer_threshold"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from samplekit.plans import registry
@@ -23,7 +24,7 @@ def duck():
 
 
 def values(frame):
-    shown = [[None if v is None or v != v else f"{float(v) + 0:.5g}" if isinstance(v, float) or "float" in type(v).__name__ else str(v) for v in row] for row in frame[sorted(frame.columns)].itertuples(index=False)]
+    shown = [[None if pd.isna(v) else f"{float(v) + 0:.5g}" if isinstance(v, float) or "float" in type(v).__name__ else str(v) for v in row] for row in frame[sorted(frame.columns)].itertuples(index=False)]
     return sorted(shown, key=str)
 
 
