@@ -14,7 +14,7 @@ import json
 import os
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
 KNOWN_WORDS = 700_000  # words whose ids a Python worker remembers
+OPEN = 24  # branches that wait; of more, the oldest, which stand for early choices, are given up
 SALTS = 64  # parts in which the pieces of one length are ranked
 
 
@@ -232,7 +233,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int, *, branches: int =
         rest = sum(k * n for k, n in counts.items())
         return bins + max(-(-rest // capacity), sum(n for k, n in counts.items() if 2 * k > capacity)) < best_bins
 
-    stack: list[tuple[dict[int, int], list[Filling], int]] = [({k: n for k, n in histogram.items() if n > 0}, [], 0)]
+    stack: deque[tuple[dict[int, int], list[Filling], int]] = deque([({k: n for k, n in histogram.items() if n > 0}, [], 0)], maxlen=OPEN)
     while stack:
         counts, made, bins = stack.pop()
         if best is not None and (best_bins <= bound or spent >= nodes):
@@ -253,12 +254,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int, *, branches: int =
                 for k in filling:
                     left[k] -= times
                 following.append(({k: n for k, n in left.items() if n}, [*made, Filling(filling, times)], bins + times))
-            if best is None or len(stack) < 4 * branches:
-                stack.extend(reversed(following[1:]))
+            stack.extend(reversed(following[1:]))
             counts, made, bins = following[0]
         if not counts and bins < best_bins:
             best, best_bins = made, bins
-            stack = [x for x in stack if room_left(x[0], x[2])]
+            stack = deque((x for x in stack if room_left(x[0], x[2])), maxlen=OPEN)
     return best or []
 
 
