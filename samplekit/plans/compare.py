@@ -9,16 +9,16 @@ from samplekit.plans import bindings as b
 from samplekit.plans.evaluation import BY, KEYS, RESULTS, r6, results
 
 METRICS = ["accuracy", "f1_score", "roc_auc", "acer", "eer"]
-MODELS = ["AttackNetV1", "AttackNetV2_1", "AttackNetV2_2", "LivenessNet"]
+MODELS = ["alpha", "beta_1", "beta_2", "gamma"]
 DATASETS = [f"ds{k}" for k in range(5)]
 RUNS = b.EPOCHS + """, runs as (select 'run' || run_id as job_key, 'm' || (run_id % 4) as model, 'ds' || (run_id % 5) as dataset, run_id % 7 <> 0 as success, sum(seconds) as training_time, case when run_id % 11 <> 0 then max(val_accuracy) end as accuracy from epochs group by run_id)"""
 CATALOG = """paths as (select 'results/training/' || run || '/checkpoints/' || file as path, run, file from (
-  select (['AttackNetV1', 'AttackNetV2_1', 'AttackNetV2_2', 'LivenessNet', 'other'])[1 + (user_id % 5)::int] || '_set' || user_id as run,
-    unnest(case (user_id % 4)::int when 0 then ['best_model.h5', 'a.h5'] when 1 then ['b.keras', 'a.h5'] when 2 then [(['AttackNetV1', 'AttackNetV2_1', 'AttackNetV2_2', 'LivenessNet', 'other'])[1 + (user_id % 5)::int] || '_set' || user_id || '/x.keras', 'z.h5'] else ['b.keras'] end) as file from (select distinct user_id from events)))"""
+  select (['alpha', 'beta_1', 'beta_2', 'gamma', 'other'])[1 + (user_id % 5)::int] || '_set' || user_id as run,
+    unnest(case (user_id % 4)::int when 0 then ['best_model.h5', 'a.h5'] when 1 then ['b.keras', 'a.h5'] when 2 then [(['alpha', 'beta_1', 'beta_2', 'gamma', 'other'])[1 + (user_id % 5)::int] || '_set' || user_id || '/x.keras', 'z.h5'] else ['b.keras'] end) as file from (select distinct user_id from events)))"""
 CHOSEN = CATALOG + """, own as (select *, max(starts_with(file, run || '/')::int) over (partition by run) = 1 as own_dir from paths)
 , ranked as (select *, case when file = 'best_model.h5' then 0 when own_dir and starts_with(file, run || '/') and file like '%.h5' then 1 when own_dir and starts_with(file, run || '/') and file like '%.keras' then 2 when not own_dir and file like '%.h5' then 4 when not own_dir and file like '%.keras' then 5 end as k from own)
-, catalog as (select run, case when regexp_extract(run, '^(AttackNetV2_1|AttackNetV2_2|AttackNetV1|LivenessNet)_(.+)$', 1) <> '' then regexp_extract(run, '^(AttackNetV2_1|AttackNetV2_2|AttackNetV1|LivenessNet)_(.+)$', 1) else split_part(run, '_', 1) end as model,
-  case when regexp_extract(run, '^(AttackNetV2_1|AttackNetV2_2|AttackNetV1|LivenessNet)_(.+)$', 1) <> '' then regexp_extract(run, '^(AttackNetV2_1|AttackNetV2_2|AttackNetV1|LivenessNet)_(.+)$', 2) else split_part(run, '_', 2) end as dataset, path from (select run, path, row_number() over (partition by run order by k, file) as j from ranked where k is not null) where j = 1)"""
+, catalog as (select run, case when regexp_extract(run, '^(beta_1|beta_2|alpha|gamma)_(.+)$', 1) <> '' then regexp_extract(run, '^(beta_1|beta_2|alpha|gamma)_(.+)$', 1) else split_part(run, '_', 1) end as model,
+  case when regexp_extract(run, '^(beta_1|beta_2|alpha|gamma)_(.+)$', 1) <> '' then regexp_extract(run, '^(beta_1|beta_2|alpha|gamma)_(.+)$', 2) else split_part(run, '_', 2) end as dataset, path from (select run, path, row_number() over (partition by run order by k, file) as j from ranked where k is not null) where j = 1)"""
 
 
 def _runs(spark, d):  # noqa: ANN001, ANN202
@@ -77,6 +77,6 @@ QUERIES = {
     "h10_metrics_comparison": (lambda spark, d: r6(compare.best_by(results(spark, d).where("not cross_dataset").withColumns({m: F.round(m, 6) for m in METRICS}), {"accuracy": "max", "acer": "min", "eer": "min"}, ["model", "tested_on"]), "value"), RESULTS + ", v as (" + " union all ".join(f"select '{m}' as metric, model, tested_on, round({m}, 6) as value, {s}round({m}, 6) as o from results where not cross_dataset" for m, s in (("accuracy", "-"), ("acer", ""), ("eer", ""))) + ") select metric, model, tested_on, value from (select *, row_number() over (partition by metric order by o, model, tested_on) as j from v) where j = 1"),
     "h11_best_trial": (lambda spark, d: runs.best_trial(_trials(spark, d)).select("number", F.round("value", 6).alias("value"), F.col("params")["lr"].alias("lr")), "select event_id as number, round(value, 6) as value, props as lr from (select *, row_number() over (order by value, event_id) as j from events where event_type <> 'error') where j = 1"),
     "a07_run_catalog": (lambda spark, d: runs.run_catalog(_paths(spark, d), MODELS), CHOSEN + " select * from catalog"),
-    "a08_select_runs": (lambda spark, d: runs.select_runs(runs.run_catalog(_paths(spark, d), MODELS), "AttackNetV2_1"), CHOSEN + " select * from catalog where model = 'AttackNetV2_1'"),
+    "a08_select_runs": (lambda spark, d: runs.select_runs(runs.run_catalog(_paths(spark, d), MODELS), "beta_1"), CHOSEN + " select * from catalog where model = 'beta_1'"),
     "b19_name_split": (lambda spark, d: results(spark, d).select(F.concat("model", F.lit("_trained_on_"), "trained_on").alias("name")).distinct().select("name", F.split("name", "_trained_on_")[0].alias("model"), F.split("name", "_trained_on_")[1].alias("dataset")), RESULTS + " select distinct model || '_trained_on_' || trained_on as name, model, trained_on as dataset from results"),
 }

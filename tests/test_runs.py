@@ -26,9 +26,9 @@ def test_best_trial_counts_failures_as_infinite(spark):
 
 
 def test_catalog_of_runs(spark):
-    paths = ["r/AttackNetV2_1_our_dataset/checkpoints/best_model.h5", "r/x_y/checkpoints/x_y/note.txt", "r/x_y/checkpoints/a.h5", "r/p_q/checkpoints/a.keras", "r/p_q/checkpoints/b.h5"]
-    got = {(r.model, r.dataset, r.path) for r in runs.run_catalog(spark.createDataFrame([(p,) for p in paths], "path string"), ["AttackNetV2_1"]).collect()}
-    assert got == {("AttackNetV2_1", "our_dataset", paths[0]), ("p", "q", paths[4])}
+    paths = ["r/beta_1_own_set/checkpoints/best_model.h5", "r/x_y/checkpoints/x_y/note.txt", "r/x_y/checkpoints/a.h5", "r/p_q/checkpoints/a.keras", "r/p_q/checkpoints/b.h5"]
+    got = {(r.model, r.dataset, r.path) for r in runs.run_catalog(spark.createDataFrame([(p,) for p in paths], "path string"), ["beta_1"]).collect()}
+    assert got == {("beta_1", "own_set", paths[0]), ("p", "q", paths[4])}
 
 
 def test_empty_runs(spark):
