@@ -26,6 +26,7 @@ KINDS: tuple[tuple[str, str, str], ...] = (
 )
 #: Terms are what stands between white space and ASCII punctuation.
 SEPARATOR = r"[\x20\x09-\x0D\p{Punct}]"
+FEW_TERMS = 100_000  # up to which terms are broadcast
 MATCH = "struct<start: bigint, stop: bigint, value: string>"
 
 
@@ -99,7 +100,11 @@ def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_line
     pairs = terms.groupBy("e", "term").agg(F.least(*(F.size(F.collect_set(k)) for k in keys)).alias("lines"), F.count_distinct(F.struct("doc_id")).alias("both")).where(F.col("lines") >= least_lines)
     pairs = materialize(pairs.select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "both"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    of_term = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("with_term"))
+    wanted = materialize(pairs.select("term").distinct())
+    if wanted.count() <= FEW_TERMS:
+        of_term = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("with_term"))
+    else:  # counted before the join, so that no task gets all rows of a common word
+        of_term = words.groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi")
     of_entity = found.select("doc_id", F.explode("entities").alias("e")).groupBy(F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count("*").alias("with_entity"))
     told = pairs.join(of_entity, ["kind", "value"]).join(of_term, "term")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
