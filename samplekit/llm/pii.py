@@ -27,6 +27,8 @@ KINDS: tuple[tuple[str, str, str], ...] = (
 #: Terms are what stands between white space and ASCII punctuation.
 SEPARATOR = r"[\x20\x09-\x0D\p{Punct}]"
 FEW_TERMS = 100_000  # up to which terms are broadcast
+SKETCH, NEAR = 32, 0.6  # hashes that stand for a line's terms; share of common terms from which a line is a near copy
+PART_LINES = 1000  # lines of an entity that one part compares
 MATCH = "struct<start: bigint, stop: bigint, value: string>"
 
 
@@ -89,15 +91,20 @@ def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_line
     """term, kind: terms that reveal an entity of that kind beyond the limit.
 
     found: doc_id, text, entities (array of kind and value) of documents with entities; docs: doc_id, text of all `total`
-    documents. Lines that a term and an entity share count by the least hash of their terms, under the one of several hashes
-    that tells the fewest lines apart: copies and near copies of a line count about once. Probabilities are shares of all documents.
+    documents. Of the lines that a term and an entity share, one counts if it is no near copy of one that counted, by their terms
+    without the term and without those of the entity. Probabilities are shares of all documents.
     """
     line = found.select("doc_id", "entities", F.explode(F.split("text", "\n")).alias("line"))
-    beside = line.select("doc_id", _terms(F.col("line")).alias("terms"), "line", F.explode("entities").alias("e")).where(F.contains(F.col("line"), F.col("e.value")))
-    keys = [f"key_{i}" for i in range(4)]
-    terms = beside.select("doc_id", "e", *(_least_hash("terms", i).alias(k) for i, k in enumerate(keys)), F.explode("terms").alias("term"))
+    beside = line.select("doc_id", "line", F.explode("entities").alias("e")).where(F.contains(F.col("line"), F.col("e.value")))
+    often = materialize(beside.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= least_lines))  # no term of another is in enough lines
+    beside = beside.join(F.broadcast(often) if often.count() <= FEW_TERMS else often, "e")
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("line"))), 1 + F.floor(F.col("n") / PART_LINES))
+    terms = beside.select("doc_id", "e", part.alias("part"), _terms(F.col("line")).alias("terms"))
+    terms = terms.select("doc_id", "e", "part", F.slice(_sketch("terms", _terms(F.col("e.value"))), 1, SKETCH + 1).alias("sketch"), F.explode("terms").alias("term"))
     terms = terms.where((F.length("term") >= term_chars) & ~F.col("term").rlike("[0-9]") & ~F.contains(F.col("e.value"), F.col("term")))
-    pairs = terms.groupBy("e", "term").agg(F.least(*(F.size(F.collect_set(k)) for k in keys)).alias("lines"), F.count_distinct(F.struct("doc_id")).alias("both")).where(F.col("lines") >= least_lines)
+    terms = terms.withColumn("sketch", F.slice(F.array_remove("sketch", F.xxhash64("term")), 1, SKETCH))
+    parts = terms.groupBy("e", "term", "part").agg(_different(F.collect_set("sketch"), least_lines).alias("own"), F.size(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id"))
+    pairs = parts.groupBy("e", "term").agg(_different(F.flatten(F.collect_list("own")), least_lines).alias("own"), (F.sum("ids") + F.max("no_id")).alias("both")).where(F.size("own") >= least_lines)
     pairs = materialize(pairs.select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "both"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     wanted = materialize(pairs.select("term").distinct())
@@ -112,16 +119,29 @@ def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_line
     return told.where((own > 0) & (pmi >= own * disclosure)).groupBy("term").agg(F.min("kind").alias("kind"))
 
 
-def _least_hash(terms: str, seed: int) -> Column:
-    return F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t)))
+def _sketch(terms: str, without: Column) -> Column:
+    """Hashes of the distinct terms but those in `without`, ascending."""
+    return F.sort_array(F.transform(F.array_except(F.col(terms), F.concat(without, F.array(F.lit("")))), lambda t: F.xxhash64(t)))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two lines share NEAR of the terms of both: exactly up to SKETCH terms, and estimated by the least SKETCH hashes beyond."""
+    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(least, a), b)) >= F.size(least) * NEAR
+
+
+def _different(sketches: Column, most: int) -> Column:
+    """Those, in ascending order, that are no near copies of earlier ones; no more than `most`, the number that decides."""
+    none = F.array().cast("array<array<bigint>>")
+    return F.aggregate(F.sort_array(sketches), none, lambda own, s: F.when((F.size(own) >= most) | F.exists(own, lambda o: _near(o, s)), own).otherwise(F.concat(own, F.array(s))))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 3, disclosure: float = 0.8, term_chars: int = 4) -> DataFrame:
     """Per row of docs: doc_id, email, ip, card, phone (arrays of start, stop, value), terms (array of start, stop, value, kind).
 
     Places are in code points, ends exclusive. Null and empty texts have none; a null id stays null; repeated rows each give
-    a row; an empty table gives none. Other columns aren't read. least_lines: different lines in which a term must stand
-    beside an entity; disclosure: share of the entity's information that it must give away.
+    a row; an empty table gives none. Other columns aren't read. least_lines: different lines, near copies counted once, in which a term
+    must stand beside an entity; disclosure: share of the entity's information that it must give away.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = [k for k, _, _ in KINDS]

@@ -237,6 +237,19 @@ def test_terms_that_reveal_an_entity(spark):
     assert not any(out[100 + i].terms for i in range(60))
 
 
+def test_terms_in_exactly_so_many_short_lines(spark):
+    from conftest import words
+
+    names = ["".join("ghijklmnopqrstuv"[int(c, 16)] for c in f"{i:04x}") + "name" for i in range(40)]
+    line = lambda i, k: f"Write to {names[i]} of n{i}@mail.example {words(10 * i + k, 6)}"
+    rows = [(10 * i + k, line(i, k)) for i in range(40) for k in range(3 if i < 30 else 2)]
+    rows += [(5000 + 10 * i + k, line(i, 0) + f" extra{'abcdef'[k]}") for i in range(30, 40) for k in range(6)]  # near copies of one of two lines
+    rows += [(9000 + i, words(9000 + i, 30)) for i in range(50)]
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    told = {t.value for r in out.collect() for t in r.terms}
+    assert {n for n in told if n.endswith("name")} == set(names[:30])
+
+
 def test_lm_scoring(docs, nothing):
     data = plain(docs)
     tokens = lambda t: t.encode().lower().split()
