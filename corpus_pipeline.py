@@ -1,15 +1,15 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of docs, with n_chars of the text that is left. Rows without an id are kept until the near-duplicate stage, whose groups
-have no smallest id without one: there the one row of each null group stays. An empty table stays empty.
+All but the last return the columns of docs, with n_chars of the text that is left. Rows are told apart by all that a stage reads, not by their id:
+rows without an id and rows that repeat one are documents of their own. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplekit.llm import decontamination, line_dedup, packing, quality_rules, simhash
@@ -19,8 +19,9 @@ from samplekit.llm.registry import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, by which rows that are alike in id, text, language and source are one and others are not."""
+    return docs.withColumn("__row", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "lang", "source"))))
 
 
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    kept = quality_rules.judge_quality(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, _same(F.col("doc_id"), F.col("__kept")), "left_semi")
+    own = _keyed(docs)
+    kept = quality_rules.judge_quality(own, id_col="__row").where("kept").select(F.col("doc_id").alias("__row"))
+    return own.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +44,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(_same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__first"))
-    return docs.join(first, _same(F.col("doc_id"), F.col("__first")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the document with the smallest id; one without an id only where none has one."""
+    own = _keyed(docs)
+    groups = simhash.near_duplicates(own, id_col="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    first = own.select("doc_id", "__row").join(groups, "__row").groupBy("__group").agg(F.min(order).alias("__first")).select(F.col("__first.__row").alias("__row"))
+    return own.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated; what benchmark passages they have all the same is cut out."""
-    hits = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    hits = hits.select(F.col("doc_id").alias("__id"), decontamination.contaminated().alias("__gone"), F.col("spans").alias("__spans"))
-    marked = docs.join(hits, _same(F.col("doc_id"), F.col("__id")), "left").where("not coalesce(__gone, false)")
+    own = _keyed(docs)
+    hits = decontamination.find_contamination(own, table(spark, sf_dir, "benchmark"), id_col="__row").where("n_hit > 0").dropDuplicates(["doc_id"])
+    hits = hits.select(F.col("doc_id").alias("__row"), decontamination.contaminated().alias("__gone"), F.col("spans").alias("__spans"))
+    marked = own.join(hits, "__row", "left").where("not coalesce(__gone, false)")
     return _sized(decontamination.cut_spans(marked, "text", "__spans"), docs)
 
 

@@ -40,3 +40,20 @@ def test_odd_rows_and_empty_tables(spark, docs, nothing, tmp_path):
             stage(spark, at, str(tmp_path)).write.parquet(path)
             at = spark.read.parquet(path)
         assert (at.count() > 0) == (frame is own)
+
+
+def test_rows_without_or_with_a_repeated_id_are_documents(spark, tmp_path):
+    from conftest import words
+
+    item = words(77, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    same = words(5, 80)
+    rows = [(None, words(i, 80), "en") for i in range(6)] + [(7, words(20, 80), "en"), (7, words(21, 80), "en"), (7, f"{words(22, 900)} {item}", "en"), (None, same, "en"), (9, same, "en"), (8, same, "en"), (None, f"{words(23, 30)} {item}", "en"), (7, "short", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "length(text) as n_chars")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter({None: 6, 7: 4, 8: 1})
+    assert {r.doc_id for r in got if r.text == same} == {8}
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.where("text = 'short'").count() == 0 and kept.where("doc_id = 7").count() == 3
+    clean = {(r.doc_id, r.text.strip()) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert clean == {(i, t.replace(item, "").strip()) for i, t, _ in rows if t != f"{words(23, 30)} {item}"}
