@@ -26,6 +26,7 @@ from samplekit.llm.common import LOWER, id_and_bytes, materialize, slices
 CHUNK_WORDS, CHUNK_TOKENS = 400_000, 12_000_000  # distinct words and tokens after which a task begins another chunk
 BLOCK = 20_000
 START = "▁"  # stands before a word's first piece
+LEAST_PRODUCT = 1e-250  # of a word's probability, below which plain products lose digits
 
 BAGS = "chunk long, doc_id long, held_out boolean, n_tokens long, bag binary, first int, words array<binary>, n_train array<long>"
 _BAGS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("bag", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.binary())), ("n_train", pa.list_(pa.int64()))])
@@ -143,9 +144,48 @@ class Lattice:
             backward[i] += p * backward[j]
             if piece and forward[n] > 0:
                 out[piece] = out.get(piece, 0.0) + forward[i] * p * backward[j] / forward[n]
+        return out if forward[n] > LEAST_PRODUCT else self._log_shares(text)
+
+    def _log_shares(self, text: str) -> dict[str, float]:
+        """The same by sums in log space, for texts whose products are too small for a float."""
+        n = len(text)
+        edges: list[tuple[int, int, str, float]] = []
+        ahead: list[list[float]] = [[] for _ in range(n + 1)]
+        ahead[0].append(0.0)
+        forward = [-math.inf] * (n + 1)
+        for i in range(n + 1):
+            forward[i] = _log_sum(ahead[i])
+            if i == n or forward[i] == -math.inf:
+                continue
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                if (log := self.logs.get(text[i:j])) is not None:
+                    edges.append((i, j, text[i:j], log))
+                    ahead[j].append(forward[i] + log)
+            if text[i] not in self.logs:
+                edges.append((i, i + 1, "", sum(self.byte_logs[b] for b in text[i].encode("utf-8", "surrogatepass"))))
+                ahead[i + 1].append(forward[i] + edges[-1][3])
+        behind: list[list[float]] = [[] for _ in range(n + 1)]
+        behind[n].append(0.0)
+        out: dict[str, float] = {}
+        at = n
+        backward = [-math.inf] * n + [0.0]
+        for i, j, piece, log in reversed(edges):
+            if i != at:
+                backward[at] = _log_sum(behind[at])
+                at = i
+            behind[i].append(log + backward[j])
+            if piece:
+                out[piece] = out.get(piece, 0.0) + 10 ** (forward[i] + log + backward[j] - forward[n])
         return out
 
 
+def _log_sum(logs: list[float]) -> float:
+    if not logs:
+        return -math.inf
+    most = max(logs)
+    return most + math.log10(sum(10 ** (x - most) for x in logs))
+
+
 def tokenizer_counts(words: DataFrame, vocabulary: str) -> dict[str, float]:
     """How often the vocabulary's own segmentation of the distinct training words has each piece; at most one row a piece comes to the driver."""
 
@@ -161,7 +201,7 @@ def tokenizer_counts(words: DataFrame, vocabulary: str) -> dict[str, float]:
 
 
 def expected_counts(words: DataFrame, lattice: Lattice) -> dict[str, float]:
-    """How often each piece is expected in the distinct training words; words longer than 60 characters keep out of this estimate."""
+    """How often each piece is expected in the distinct training words, however long they are."""
     shared = words.sparkSession.sparkContext.broadcast((lattice.logs, lattice.byte_logs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +209,8 @@ def expected_counts(words: DataFrame, lattice: Lattice) -> dict[str, float]:
         total: defaultdict[str, float] = defaultdict(float)
         for batch in batches:
             for word in batch.column("word").to_pylist():
-                if len(word) <= 60:
-                    for piece, n in own.shares(word.decode("utf-8", "replace")).items():
-                        total[piece] += n
+                for piece, n in own.shares(word.decode("utf-8", "replace")).items():
+                    total[piece] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["piece", "n"])
 
     return _summed(words.mapInArrow(count, "piece string, n double"))

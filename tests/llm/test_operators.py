@@ -398,3 +398,13 @@ def test_outliers_of_a_cell_are_rejected(spark):
     got = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(got[1000 + i] for i in range(20))
     assert sum(got[i] for i in range(300)) >= 298
+
+
+def test_long_training_words_count(spark):
+    path, long = tokenizer_path("piece_bpe_32k.model"), "語" * 30 + "quartz" * 200
+    own = lm_scoring.lattice_of({}, path)
+    words = spark.createDataFrame([(long.encode(),)], "word binary")
+    got = lm_scoring.expected_counts(words, own)
+    assert got and sum(len(p) * n for p, n in got.items()) == pytest.approx(sum(c in own.logs for c in lm_scoring.START + long), rel=1e-6)
+    for word in ("abc", "aéb", "quartz語"):
+        assert own.shares(word) == pytest.approx(own._log_shares(lm_scoring.START + word))
