@@ -129,20 +129,24 @@ class SuffixAutomaton:
 
 def _hits(docs: DataFrame, block: list[tuple[str | None, bytes]], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    keyed = "key" in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton([(i, t.translate(TO_WORDS).split()) for i, t in shared.value], window)
         for batch in slices(batches):
             rows = []
+            keys = batch.column("key").to_pylist() if keyed else []
             for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 words = body.translate(TO_WORDS).split()
                 spans, found, longest = automaton.scan(words)
                 rows.append({"doc_id": doc, "n_words": len(words), "n_hit": sum(b - a for a, b in spans), "item_ids": sorted(x for x in found if x is not None), "longest": longest, "spans": [{"start": a, "stop": b} for a, b in spans]})
-            yield pa.RecordBatch.from_pylist(rows, out)
+            yield pa.RecordBatch.from_pylist([{**r, "key": k} for r, k in zip(rows, keys, strict=True)] if keyed else rows, out)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest", pa.int64()), ("spans", span)])
-    return docs.mapInArrow(scan, SCHEMA)
+    if keyed:
+        out = out.append(pa.field("key", pa.string()))
+    return docs.mapInArrow(scan, f"{SCHEMA}, key string" if keyed else SCHEMA)
 
 
 def n_blocks(items: DataFrame, text_col: str, block_bytes: int) -> int:
@@ -166,16 +170,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     n = n_blocks(items, item_text_col, block_bytes)
     if n == 1:
         return _hits(own, item_block(items, item_col, item_text_col, 0, 1), window)
-    return _united([materialize(_hits(own, item_block(items, item_col, item_text_col, k, n), window)) for k in range(n)])
+    own = own.withColumn("key", F.md5("body"))
+    return _united([materialize(_once(_hits(own, item_block(items, item_col, item_text_col, k, n), window))) for k in range(n)])
+
+
+def _once(hits: DataFrame) -> DataFrame:
+    """Rows of one id (or none) and one text have the same hits: one row of each, and how many there are."""
+    return hits.groupBy("doc_id", "key").agg(*(F.first(c).alias(c) for c in hits.columns if c not in ("doc_id", "key")), F.count("*").alias("times"))
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks of items by document; spans are merged over the blocks. Rows that repeat an id count as one document."""
+    """Hits of several blocks of items by row, that is by id and text; spans are merged over the blocks."""
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    merged = rows.groupBy("doc_id").agg(
+    merged = rows.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"),
+        F.max("times").alias("times"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.max("longest").alias("longest"),
         F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1))))).alias("words"),
@@ -185,7 +196,8 @@ def _united(parts: list[DataFrame]) -> DataFrame:
         "transform(filter(words, (w, i) -> i = 0 or words[i - 1] <> w - 1), s -> struct(s as start, "
         "element_at(filter(words, (w, i) -> w >= s and (i = size(words) - 1 or words[i + 1] <> w + 1)), 1) + 1 as stop))"
     )
-    return words.select("doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), "item_ids", "longest", spans.alias("spans"))
+    each = words.select("doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), "item_ids", "longest", spans.alias("spans"), "times")
+    return each.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def contaminated(hit: str = "n_hit", words: str = "n_words", one_in: int = 20) -> F.Column:

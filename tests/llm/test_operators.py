@@ -408,3 +408,14 @@ def test_long_training_words_count(spark):
     assert got and sum(len(p) * n for p, n in got.items()) == pytest.approx(sum(c in own.logs for c in lm_scoring.START + long), rel=1e-6)
     for word in ("abc", "aéb", "quartz語"):
         assert own.shares(word) == pytest.approx(own._log_shares(lm_scoring.START + word))
+
+
+def test_blocks_of_items_keep_every_row(spark, docs, items):
+    from conftest import words
+
+    more = [(None, words(3, 40)), (None, words(8, 20)), (None, "without hits"), (7, words(8, 20)), (7, "one"), (7, "one")]
+    own = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    columns = ("doc_id", "n_words", "n_hit", "item_ids", "spans")
+    whole = rows_of(decontamination.find_contamination(own, items), *columns)
+    assert rows_of(decontamination.find_contamination(own, items, block_bytes=150), *columns) == whole
+    assert len(whole) == own.count()
