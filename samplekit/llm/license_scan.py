@@ -45,6 +45,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: What every template has at least one of, in lower case; a text without any has no candidate block.
 MARKS = (b"licen", b"rights reserved", b"permission is hereby", b"redistribut", b"free software", b"public domain", b"unencumbered", b"creative commons", b"cc0", b"cc by")
 _MARK = re.compile(b"|".join(map(re.escape, MARKS)))
+_ANY_WORD, _INSIDE = re.compile(rb"[a-z0-9]+"), re.compile(rb"[a-z0-9]")
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 FOUND = "array<struct<license: string, start: long, stop: long, gain: int, missing: array<string>>>"
 
@@ -76,19 +77,32 @@ class Templates:
             gain = len(self.plain.compress(part)) - len(self.given[k].compress(part))
             if gain >= min(12, len(text) // 3):
                 ranked.append((gain, k))
-        for gain, k in sorted(ranked, reverse=True)[:4]:
+        for gain, k in sorted(ranked, reverse=True):
             own = _WORD.findall(block[: len(self.texts[k]) + len(self.texts[k]) // 8 + 8])
             missing = [w for op, a, b, _, _ in SequenceMatcher(None, self.words[k], own, False).get_opcodes() if op in ("delete", "replace") for w in self.words[k][a:b]]
             if len(missing) * 12 <= len(self.words[k]):
                 return k, gain, missing
         return None
 
+    def starts(self, body: bytes, mark: bytes, at: int, free: int) -> list[int]:
+        """Where templates that hold the mark begin if it is theirs: at their first word or else at any word, nearest to the mark's place in them."""
+        found = {}
+        for text, words in zip(self.texts, self.words, strict=True):
+            for own in re.finditer(re.escape(mark), text.encode()):
+                begin, slack = at - own.start(), own.start() // 8 + 8
+                low = max(free, begin - slack)
+                places = [m.start() for m in _ANY_WORD.finditer(body, low, at + len(mark)) if m.start() <= begin + slack and m.start() >= free and not _INSIDE.match(body, max(0, m.start() - 1), m.start())]
+                first = [p for p in places if body.startswith(words[0].encode(), p)]
+                if near := first or places:
+                    found[min(near, key=lambda p: (abs(p - begin), p))] = True
+        return list(found)
+
 
 def find_licenses(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id and found, array of license, start and stop (bytes of the block), gain (bytes saved), missing (template words).
 
-    A block begins with a line that has one of MARKS, or with the line before it, and is as long as a template; blocks that
-    are confirmed don't overlap. Null or empty texts have none; a null id stays null; repeated rows each give a row; an
+    A block begins with a line that has one of MARKS, with the line before it, with the mark or, if none of these has all words,
+    where the mark's place in a template says, and is as long as a template; blocks that are confirmed don't overlap. Null or empty texts have none; a null id stays null; repeated rows each give a row; an
     empty table gives none. Other columns aren't read.
     """
     longest = max(len(text) for _, text in templates) * 9 // 8 + 8
@@ -113,13 +127,17 @@ def _of_text(own: Templates, body: bytes, longest: int) -> list[dict]:
             continue
         line = body.rfind(b"\n", 0, mark.start()) + 1
         before = body.rfind(b"\n", 0, max(0, line - 1)) + 1
-        for start in dict.fromkeys((line, before, mark.start())):
-            got = own.best(body[start : start + 2 * longest].decode("utf-8", "ignore")[:longest]) if start >= free else None
-            if got:
-                k, gain, missing = got
-                free = min(len(body), start + len(own.texts[k].encode()))
-                found.append({"license": own.names[k], "start": start, "stop": free, "gain": gain, "missing": missing})
-                break
+        def block(start: int) -> tuple[int, int, list[str]] | None:
+            return own.best(body[start : start + 2 * longest].decode("utf-8", "ignore")[:longest]) if start >= free else None
+
+        confirmed = [(got, start) for start in dict.fromkeys((line, before, mark.start())) if (got := block(start))]
+        if not any(not got[2] for got, _ in confirmed):
+            confirmed += [(got, start) for start in own.starts(body, mark[0], mark.start(), free) if (got := block(start))]
+        if confirmed:
+            got, start = min(confirmed, key=lambda x: (len(x[0][2]), -x[0][1]))
+            k, gain, missing = got
+            free = min(len(body), start + len(own.texts[k].encode()))
+            found.append({"license": own.names[k], "start": start, "stop": free, "gain": gain, "missing": missing})
     return found
 
 

@@ -419,3 +419,11 @@ def test_blocks_of_items_keep_every_row(spark, docs, items):
     whole = rows_of(decontamination.find_contamination(own, items), *columns)
     assert rows_of(decontamination.find_contamination(own, items, block_bytes=150), *columns) == whole
     assert len(whole) == own.count()
+
+
+@pytest.mark.parametrize("before", ["Copyright 2021 Acme Corporation. ", "é foo bar baz qux quux. ", "w " * 300, "One line.\nAnother, longer line than that; "])
+@pytest.mark.parametrize("name, text", license_scan.TEMPLATES)
+def test_templates_are_found_behind_other_text_of_the_line(before, name, text):
+    own = license_scan.Templates(license_scan.TEMPLATES)
+    body = f"{before}{text}".lower().encode()
+    assert name in {f["license"] for f in license_scan._of_text(own, body, 600)}
