@@ -167,7 +167,7 @@ def _distance() -> Column:
 
 
 def _measured(rows: DataFrame, shape: DataFrame) -> DataFrame:
-    return rows.join(shape, "cell").select(*rows.columns, _distance().alias("d2")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
+    return rows.join(F.broadcast(shape), "cell").select(*rows.columns, _distance().alias("d2")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
 
 
 def _cut(measured: DataFrame, share: float) -> DataFrame:
@@ -181,28 +181,35 @@ def _cut(measured: DataFrame, share: float) -> DataFrame:
 def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"), least: int = 200, share: float = 0.75, steps: int = 3) -> DataFrame:
     """stats (doc_id, by, COUNTS) with cell and d2, the squared robust distance of a row in its cell.
 
-    A cell is a language and source; with fewer than `least` rows the language, and below that all rows.
+    A cell is a language and source; with fewer than `least` rows the language, and below that all rows. Shape and scale
+    of a language or of all rows are those of all its rows, large sources included.
     share: of a cell's rows that the determinant is kept least over. The first shape is the one of medians
     and median deviations; each step then refits on the nearest share. A null language or source is a
     value of its own.
     """
     a, b = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by)
-    rows = stats.select("*", *(F.expr(e).alias(n) for n, e, _ in VECTOR)).withColumn("part", a).withColumn("whole", F.concat_ws("\1", a, b))
+    rows = stats.select("*", *(F.expr(e).alias(n) for n, e, _ in VECTOR)).withColumn("part", F.concat(F.lit("1"), a)).withColumn("whole", F.concat_ws("\1", F.concat(F.lit("2"), a), b))
     sizes = rows.groupBy("part", "whole").agg(F.count("*").alias("rows"))
-    sizes = sizes.withColumn("in_part", F.sum("rows").over(Window.partitionBy("part")))
-    cells = sizes.select("whole", F.when(F.col("rows") >= least, F.col("whole")).when(F.col("in_part") >= least, F.col("part")).otherwise("").alias("cell"))
+    of_part = Window.partitionBy("part")
+    sizes = sizes.withColumn("in_part", F.sum("rows").over(of_part)).withColumn("fewest", F.min("rows").over(of_part))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("in_part").alias("fewest_in_part"))))
+    large = {"whole": F.col("rows") >= least, "part": (F.col("in_part") >= least) & (F.col("fewest") < least)}
+    fits = [F.when(large["whole"], F.col("whole")), F.when(large["part"], F.col("part")), F.when(F.col("fewest_in_part") < least, F.lit("0"))]
+    cell = F.when(large["whole"], F.col("whole")).when(large["part"], F.col("part")).otherwise("0")
+    cells = sizes.select("whole", cell.alias("cell"), F.array_compact(F.array(*fits)).alias("fits"))
     rows = materialize(rows.join(cells, "whole").drop("whole", "part"))
+    own, rows = rows.drop("fits"), rows.withColumn("cell", F.explode("fits")).drop("fits")  # each row counts in every cell that it is part of
     middle = rows.groupBy("cell").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in NAMES))
-    spread = rows.join(middle, "cell").groupBy("cell").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *(F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000).alias(f"w_{n}") for n in NAMES))
+    spread = rows.join(F.broadcast(middle), "cell").groupBy("cell").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *(F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000).alias(f"w_{n}") for n in NAMES))
     floor = {n: f for n, _, f in VECTOR}
     shape = spread.select("cell", *(f"m_{n}" for n in NAMES), *((1 / (F.col(f"w_{x}") * 1.4826 * F.col(f"w_{x}") * 1.4826 + floor[x] ** 2) if x == y else F.lit(0.0)).alias(f"v_{x}_{y}") for x, y in PAIRS))
+    shape = materialize(shape)
     for _ in range(steps):
         measured = _measured(rows, shape)
-        near = measured.join(_cut(measured, share), "cell").where(F.col("bin") <= F.col("cut")).select(*rows.columns)
+        near = measured.join(F.broadcast(_cut(measured, share)), "cell").where(F.col("bin") <= F.col("cut")).select(*rows.columns)
         shape = materialize(_fitted(near))
-    measured = _measured(rows, shape)
-    scale = _cut(measured, 0.5).select("cell", (F.pow(2.0, F.col("cut") / FINE) / chi2_quantile(0.5, len(NAMES))).alias("scale"))
-    return measured.join(scale, "cell").withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", *NAMES)
+    scale = _cut(_measured(rows, shape), 0.5).select("cell", (F.pow(2.0, F.col("cut") / FINE) / chi2_quantile(0.5, len(NAMES))).alias("scale"))
+    return _measured(own, shape).join(F.broadcast(scale), "cell").withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", *NAMES)
 
 
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", beyond: float = 1e-7) -> DataFrame:

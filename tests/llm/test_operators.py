@@ -427,3 +427,14 @@ def test_templates_are_found_behind_other_text_of_the_line(before, name, text):
     own = license_scan.Templates(license_scan.TEMPLATES)
     body = f"{before}{text}".lower().encode()
     assert name in {f["license"] for f in license_scan._of_text(own, body, 600)}
+
+
+@pytest.mark.parametrize("lang", ["en", "xx"])
+def test_tiny_sources_are_held_against_all_rows_above(spark, lang):
+    from conftest import words
+
+    junk = lambda i: " ".join(w + "|$$" for w in words(i, 80).split())
+    rows = [(i, words(i, 80), "en", "s") for i in range(300)] + [(1000, junk(1), lang, "tiny"), (1001, words(7001, 80), lang, "small")]
+    got = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000] and got[1001]
+    assert len(got) == 302 and sum(got[i] for i in range(300)) >= 298
