@@ -140,12 +140,76 @@ def test_license_scan(docs, nothing):
     assert license_scan.op4_license_scan(nothing).count() == 0
 
 
+def _licenses(text):
+    return license_scan.licenses_of(license_scan.Templates(license_scan.TEMPLATES), text.encode().translate(license_scan.LOWER))
+
+
+@pytest.mark.parametrize("before", ["Some words before.\n", "Copyright 2021 Acme Corporation. ", "é foo bar baz qux quux. ", "w " * 300, "One line.\nAnother, longer line than that; "])
 @pytest.mark.parametrize("name, text", license_scan.TEMPLATES)
-def test_every_template_is_found_in_other_text(name, text):
-    own = license_scan.Templates(license_scan.TEMPLATES)
-    body = f"Some words before.\n{text}\nSome words after it.".lower().encode()
-    assert name in {f["license"] for f in license_scan._of_text(own, body, 600)}
-    assert not license_scan._of_text(own, b"a license to thrill, nothing reserved\n" * 3, 600)
+def test_every_template_is_found_in_other_text(before, name, text):
+    found = _licenses(f"{before}{text}\nSome words after it.")
+    assert [f["license"] for f in found] == [name]
+    start, stop = found[0]["start"], found[0]["stop"]
+    assert (start, text[: stop - start][:-3]) == (len(before.encode()), text[: stop - start - 3]) and stop - start >= len(text.rstrip(".,;:/")) - 3
+
+
+GPL3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (GPL3, ["GPL-3.0"]),
+        (GPL3.replace("GNU General", "GNU Affero General"), ["AGPL-3.0"]),
+        (GPL3.replace("program", "library").replace("GNU General", "GNU Lesser General"), ["LGPL-3.0"]),
+        (GPL3.replace("version 3", "version 2"), ["GPL-2.0"]),
+        (GPL3.replace("version 3", "version 4"), []),
+        (GPL3.replace("you can redistribute", "anybody can redistribute"), ["GPL-3.0"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("Licensed under CC BY-NC-SA 4.0.", []),
+        ("Licensed under CC BY 3.0.", []),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", []),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("Not all rights are reserved. A license to thrill, nothing reserved\n" * 3, []),
+        ("All rights reserved. All rights reserved.", ["proprietary", "proprietary"]),
+        ("# " + license_scan.ISC_BODY.replace(". ", ".\n# "), ["ISC"]),
+        ("x " * 400_000 + "All rights reserved." + " y" * 400_000, ["proprietary"]),
+    ],
+)
+def test_licenses_are_told_apart(text, expected):
+    assert [f["license"] for f in _licenses(text)] == expected
+
+
+def _edits(a, b):
+    """Words of both that are in no longest common sequence."""
+    best = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                best[i, j] = 0
+            else:
+                best[i, j] = best[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1])
+    return len(a) + len(b) - 2 * best[len(a), len(b)]
+
+
+def test_licenses_against_every_template_at_every_place():
+    """Every template, every run of words: the fewest differing words at a place decide what is a notice there."""
+    short = [(n, t) for n, t in license_scan.TEMPLATES if len(t) < 120]
+    pieces = [t for _, t in short] + ["Released under a MIT License.", "This work is licensed under the GNU General Public Licence, version 3.", "This work here is licensed under a Creative Commons Attribution 4.0 International License."]
+    fillers = ["A few words", "Licensed", "under the sun", "free software for all", "rights"]
+    for k, piece in enumerate(pieces):
+        text = f"{fillers[k % 5]}: {piece} {fillers[(k + 2) % 5]}"
+        w = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+        expected = set()
+        for name, t in short:
+            own = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+            for a in range(len(w)):
+                for z in range(a + 1, min(len(w), a + len(own) + 2) + 1):
+                    part = w[a:z]
+                    odd = [x for x in (Counter(own) - Counter(part)) + (Counter(part) - Counter(own))]
+                    if abs(len(part) - len(own)) <= len(own) // 12 and not license_scan.tells(odd) and _edits(own, part) <= len(own) // 12:
+                        expected.add(name)
+        assert {f["license"] for f in _licenses(text)} == expected, text
 
 
 def _fingerprint(text):
@@ -321,7 +385,7 @@ def test_decontamination(spark, docs, items, nothing):
     assert decontamination.op8_decontamination(nothing, items).count() == 0
     assert decontamination.op8_decontamination(docs, items.limit(0)).where("contaminated").count() == 0
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    blocks = decontamination.find_contamination(unique, items, block_bytes=150)
+    blocks = decontamination.find_contamination(unique, items, block_bytes=150, pass_bytes=4000)
     whole = decontamination.find_contamination(unique, items)
     assert rows_of(blocks, "doc_id", "n_words", "n_hit", "item_ids", "spans") == rows_of(whole, "doc_id", "n_words", "n_hit", "item_ids", "spans")
 
@@ -342,6 +406,22 @@ def test_spans_are_cut():
     assert decontamination.without_spans("Ab, cd! éf; gh.".encode(), [(1, 3)]).decode() == "Ab, ; gh."
 
 
+def test_memory_of_a_large_benchmark():
+    import random
+
+    r = random.Random(4)
+    vocabulary = [f"w{i}".encode() for i in range(20_000)]
+    items = [(f"i{k}", r.choices(vocabulary, k=400)) for k in range(200)]  # 80,000 words, 0.5 MB
+    flat = decontamination.Flat.of(decontamination.SuffixAutomaton(items, 13))
+    assert flat.nbytes < 6 << 20  # so that 16 MB of items take less than 200 MB
+    found: set = set()
+    ids = {}
+    own = decontamination.SuffixAutomaton(items[:3], 13, ids)
+    spans: list = []
+    assert decontamination.Flat.of(own).scan([ids[w] for w in items[1][1][5:30]], 7, spans, found) == 25
+    assert found == {"i1"} and decontamination.merged(spans) == [(7, 32)]
+
+
 def test_quality_classifier(spark, docs, nothing):
     from conftest import words
 
@@ -417,18 +497,10 @@ def test_blocks_of_items_keep_every_row(spark, docs, items):
     own = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     columns = ("doc_id", "n_words", "n_hit", "item_ids", "spans")
     whole = rows_of(decontamination.find_contamination(own, items), *columns)
-    assert rows_of(decontamination.find_contamination(own, items, block_bytes=150), *columns) == whole
+    assert rows_of(decontamination.find_contamination(own, items, block_bytes=150, pass_bytes=4000), *columns) == whole
     assert len(whole) == own.count()
 
 
-@pytest.mark.parametrize("before", ["Copyright 2021 Acme Corporation. ", "é foo bar baz qux quux. ", "w " * 300, "One line.\nAnother, longer line than that; "])
-@pytest.mark.parametrize("name, text", license_scan.TEMPLATES)
-def test_templates_are_found_behind_other_text_of_the_line(before, name, text):
-    own = license_scan.Templates(license_scan.TEMPLATES)
-    body = f"{before}{text}".lower().encode()
-    assert name in {f["license"] for f in license_scan._of_text(own, body, 600)}
-
-
 @pytest.mark.parametrize("lang", ["en", "xx"])
 def test_tiny_sources_are_held_against_all_rows_above(spark, lang):
     from conftest import words
