@@ -1,9 +1,10 @@
 """Quality rules: fixed limits on repetition and length, then robust multivariate outliers.
 
 The statistics of each document become a vector of transformed values. Per language and source the
-minimum covariance determinant is estimated by concentration steps, each of them a grouped aggregation
-over all documents: distances, their histogram, the cut that holds the nearest h documents, then the mean
-and covariance of those. Documents beyond a chi-square limit of the squared Mahalanobis distance go.
+minimum covariance determinant is estimated from several starts by concentration steps, each of them a grouped
+aggregation over all documents: distances, their histogram, the cut that holds the nearest h documents, then the mean
+and covariance of those. Of the starts the one of least determinant goes on until its cut stands still. Documents beyond a
+chi-square limit of the squared Mahalanobis distance go.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def chi2_quantile(p: float, df: int) -> float:
 
 
 def _shape(sums: pd.DataFrame) -> pd.DataFrame:
-    """Mean, inverse covariance and its log determinant from sums of each group."""
+    """Mean, inverse covariance and log determinant from the sums of each cell and start."""
     floors = np.diag([floor**2 for _, _, floor in VECTOR])
     rows = []
     for r in sums.to_dict("records"):
@@ -144,16 +145,18 @@ def _shape(sums: pd.DataFrame) -> pd.DataFrame:
             i, j = NAMES.index(a), NAMES.index(b)
             cov[i, j] = cov[j, i] = r[f"s_{a}_{b}"] / n - mean[i] * mean[j]
         inverse = np.linalg.inv(cov + floors)
-        rows.append({"cell": r["cell"]} | {f"m_{a}": m for a, m in zip(NAMES, mean, strict=True)} | {f"v_{a}_{b}": inverse[NAMES.index(a), NAMES.index(b)] for a, b in PAIRS})
-    return pd.DataFrame(rows, columns=["cell", *(f"m_{a}" for a in NAMES), *(f"v_{a}_{b}" for a, b in PAIRS)])
+        rows.append({"cell": r["cell"], "start": r["start"], "logdet": np.linalg.slogdet(cov + floors)[1]} | {f"m_{a}": m for a, m in zip(NAMES, mean, strict=True)} | {f"v_{a}_{b}": inverse[NAMES.index(a), NAMES.index(b)] for a, b in PAIRS})
+    return pd.DataFrame(rows, columns=["cell", "start", "logdet", *(f"m_{a}" for a in NAMES), *(f"v_{a}_{b}" for a, b in PAIRS)])
 
 
-SHAPE = "cell string, " + ", ".join([*(f"m_{a} double" for a in NAMES), *(f"v_{a}_{b} double" for a, b in PAIRS)])
+SHAPE = "cell string, start int, logdet double, " + ", ".join([*(f"m_{a} double" for a in NAMES), *(f"v_{a}_{b} double" for a, b in PAIRS)])
+KEYS = ["cell", "start"]
 
 
-def _fitted(rows: DataFrame) -> DataFrame:
-    """One row per cell, small: the group's key and numbers whose count doesn't depend on the rows."""
-    sums = rows.groupBy("cell").agg(F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS))
+def _fitted(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """One row per cell and start, of numbers whose count doesn't depend on the rows. weight: of each row in the products."""
+    weight = F.lit(1.0) if weight is None else weight
+    sums = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b) * weight).alias(f"s_{a}_{b}") for a, b in PAIRS))
     return sums.mapInPandas(lambda parts: (_shape(p) for p in parts), SHAPE)
 
 
@@ -166,26 +169,83 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _measured(rows: DataFrame, shape: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(shape), "cell").select(*rows.columns, _distance().alias("d2")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
-
-
-def _cut(measured: DataFrame, share: float) -> DataFrame:
-    """Per cell: the first bin up to which that share of its rows lies. A cell has a few thousand bins at most."""
-    bins = measured.groupBy("cell", "bin").agg(F.count("*").alias("rows"))
-    every = Window.partitionBy("cell")
-    upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return bins.withColumn("upto", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(every)).where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("cell").agg(F.min("bin").alias("cut"))
-
-
-def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"), least: int = 200, share: float = 0.75, steps: int = 3) -> DataFrame:
+class Cells:
+    """Estimates for all cells at once. rows: cell and NAMES. small: whether what has a row for each cell may be broadcast."""
+
+    def __init__(self, rows: DataFrame, small: bool) -> None:
+        self.rows = rows
+        self.small = small
+
+    def beside(self, rows: DataFrame, of_cells: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(of_cells) if self.small else of_cells, keys)
+
+    def measured(self, rows: DataFrame, shape: DataFrame) -> DataFrame:
+        """A row for each start that its cell has in shape."""
+        far = self.beside(rows, shape, ["cell"]).select(*rows.columns, "start", _distance().alias("d2"))
+        return far.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
+
+    def cut(self, measured: DataFrame, share: float) -> DataFrame:
+        """Per cell and start: the first bin up to which that share of the rows lies. There are a few thousand bins at most."""
+        bins = measured.groupBy(*KEYS, "bin").agg(F.count("*").alias("rows"))
+        every = Window.partitionBy(*KEYS)
+        upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = bins.withColumn("upto", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(every))
+        return counted.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*KEYS).agg(F.min("bin").alias("cut"))
+
+    def medians(self) -> DataFrame:
+        """cell, m_ and w_ of each statistic: its median and its scaled median deviation with the floor."""
+        middle = self.rows.groupBy("cell").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in NAMES))
+        away = [F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000).alias(f"w_{n}") for n in NAMES]
+        spread = self.beside(self.rows, middle, ["cell"]).groupBy("cell").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *away)
+        wide = [F.sqrt(F.pow(F.col(f"w_{n}") * 1.4826, 2) + floor**2).alias(f"w_{n}") for n, _, floor in VECTOR]
+        return spread.select("cell", *(f"m_{n}" for n in NAMES), *wide)
+
+    def starts(self) -> DataFrame:
+        """Three shapes of each cell: medians and median deviations (0), all rows (1), the directions of all rows from the medians (2)."""
+        middle = materialize(self.medians())
+        inverse = [(1 / F.pow(f"w_{x}", 2) if x == y else F.lit(0.0)).alias(f"v_{x}_{y}") for x, y in PAIRS]
+        plain = middle.select("cell", F.lit(0).alias("start"), F.lit(0.0).alias("logdet"), *(f"m_{n}" for n in NAMES), *inverse)
+        whole = _fitted(self.rows.select("cell", F.lit(1).alias("start"), *NAMES))
+        centred = self.beside(self.rows, middle, ["cell"])
+        centred = centred.select("cell", F.lit(2).alias("start"), *((F.col(n) - F.col(f"m_{n}")).alias(n) for n in NAMES), *(F.col(f"w_{n}") for n in NAMES))
+        length = sum((F.pow(F.col(n) / F.col(f"w_{n}"), 2) for n in NAMES), F.lit(0.0))
+        # Signs are centred on the medians already; their mean is put back to nothing by halves of opposite sign.
+        both = centred.withColumn("sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+        signs = _fitted(both.select("cell", "start", *((F.col(n) * F.col("sign")).alias(n) for n in NAMES), length.alias("length")), len(NAMES) / F.greatest("length", F.lit(1e-9)))
+        moved = self.beside(signs.drop(*(f"m_{n}" for n in NAMES)), middle, ["cell"]).select(plain.columns)
+        return plain.unionByName(whole).unionByName(moved)
+
+    def step(self, shape: DataFrame, share: float) -> DataFrame:
+        """Shapes of the nearest share of rows, with the cut that holds them."""
+        measured = self.measured(self.rows, shape)
+        cut = materialize(self.cut(measured, share))
+        near = self.beside(measured, cut, KEYS).where(F.col("bin") <= F.col("cut"))
+        return materialize(self.beside(_fitted(near), cut, KEYS))
+
+    def least_determinant(self, share: float, first: int, most: int) -> DataFrame:
+        """One shape for each cell: `first` steps from every start, then those of the least determinant until no cut moves, or `most` steps."""
+        shape = materialize(self.starts())
+        for _ in range(first):
+            shape = self.step(shape, share)
+        best = Window.partitionBy("cell").orderBy("logdet", "start")
+        shape = materialize(shape.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"))
+        for _ in range(most - first):
+            following = self.step(shape, share)
+            moved = self.beside(following.select(*KEYS, "cut"), shape.select(*KEYS, F.col("cut").alias("before")), KEYS).where("cut <> before")
+            shape = following
+            if moved.isEmpty():
+                break
+        return shape
+
+
+def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"), least: int = 200, share: float = 0.75, first: int = 2, steps: int = 8, most_cells: int = 50_000) -> DataFrame:
     """stats (doc_id, by, COUNTS) with cell and d2, the squared robust distance of a row in its cell.
 
     A cell is a language and source; with fewer than `least` rows the language, and below that all rows. Shape and scale
     of a language or of all rows are those of all its rows, large sources included.
-    share: of a cell's rows that the determinant is kept least over. The first shape is the one of medians
-    and median deviations; each step then refits on the nearest share. A null language or source is a
-    value of its own.
+    share: of a cell's rows that the determinant is kept least over; first, steps: concentration steps from every start, and in all.
+    most_cells: up to which what has a row for each cell (300 bytes) is broadcast. A null language or source is a value of its own. Ties at the cut
+    go in together.
     """
     a, b = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by)
     rows = stats.select("*", *(F.expr(e).alias(n) for n, e, _ in VECTOR)).withColumn("part", F.concat(F.lit("1"), a)).withColumn("whole", F.concat_ws("\1", F.concat(F.lit("2"), a), b))
@@ -196,20 +256,16 @@ def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"),
     large = {"whole": F.col("rows") >= least, "part": (F.col("in_part") >= least) & (F.col("fewest") < least)}
     fits = [F.when(large["whole"], F.col("whole")), F.when(large["part"], F.col("part")), F.when(F.col("fewest_in_part") < least, F.lit("0"))]
     cell = F.when(large["whole"], F.col("whole")).when(large["part"], F.col("part")).otherwise("0")
-    cells = sizes.select("whole", cell.alias("cell"), F.array_compact(F.array(*fits)).alias("fits"))
-    rows = materialize(rows.join(cells, "whole").drop("whole", "part"))
-    own, rows = rows.drop("fits"), rows.withColumn("cell", F.explode("fits")).drop("fits")  # each row counts in every cell that it is part of
-    middle = rows.groupBy("cell").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in NAMES))
-    spread = rows.join(F.broadcast(middle), "cell").groupBy("cell").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *(F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000).alias(f"w_{n}") for n in NAMES))
-    floor = {n: f for n, _, f in VECTOR}
-    shape = spread.select("cell", *(f"m_{n}" for n in NAMES), *((1 / (F.col(f"w_{x}") * 1.4826 * F.col(f"w_{x}") * 1.4826 + floor[x] ** 2) if x == y else F.lit(0.0)).alias(f"v_{x}_{y}") for x, y in PAIRS))
-    shape = materialize(shape)
-    for _ in range(steps):
-        measured = _measured(rows, shape)
-        near = measured.join(F.broadcast(_cut(measured, share)), "cell").where(F.col("bin") <= F.col("cut")).select(*rows.columns)
-        shape = materialize(_fitted(near))
-    scale = _cut(_measured(rows, shape), 0.5).select("cell", (F.pow(2.0, F.col("cut") / FINE) / chi2_quantile(0.5, len(NAMES))).alias("scale"))
-    return _measured(own, shape).join(F.broadcast(scale), "cell").withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", *NAMES)
+    cells = materialize(sizes.select("whole", cell.alias("cell"), F.array_compact(F.array(*fits)).alias("fits")))
+    small = cells.count() <= most_cells
+    rows = materialize(rows.join(F.broadcast(cells) if small else cells, "whole").drop("whole", "part"))
+    own = rows.drop("fits")
+    each = Cells(rows.select(F.explode("fits").alias("cell"), *NAMES), small)  # each row counts in every cell that it is part of
+    shape = each.least_determinant(share, first, steps)
+    middle = each.cut(each.measured(each.rows, shape), 0.5)
+    scale = middle.select("cell", (F.pow(2.0, F.col("cut") / FINE) / chi2_quantile(0.5, len(NAMES))).alias("scale"))
+    scaled = each.beside(each.measured(own, shape), scale, ["cell"])
+    return scaled.withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", "start", *NAMES)
 
 
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", beyond: float = 1e-7) -> DataFrame:
@@ -226,4 +282,5 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
+    """Per row of docs the contract's columns and d2. Odd rows are those of judge_quality: each row gives one, without words it has failed."""
     return judge_quality(docs).select("doc_id", *COUNTS[:5], "base_failed", "kept", F.round("d2", 3).alias("d2"))

@@ -501,6 +501,50 @@ def test_blocks_of_items_keep_every_row(spark, docs, items):
     assert len(whole) == own.count()
 
 
+def _statistics(rows):
+    return np.array([[eval(e, {"ln": math.log, "sqrt": math.sqrt}, r.asDict()) for _, e, _ in quality_rules.VECTOR] for r in rows])  # noqa: S307
+
+
+def _concentrated(x, mean, inverse, h):
+    """Concentration steps with exact subsets, until the subset stands still: rows, mean, inverse, log determinant."""
+    floors = np.diag([f**2 for _, _, f in quality_rules.VECTOR])
+    before = None
+    while True:
+        d2 = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+        near = np.argsort(d2, kind="stable")[:h]
+        if before is not None and set(near) == before:
+            return near, mean, inverse, logdet
+        before = set(near)
+        mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + floors
+        inverse, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def test_the_determinant_is_least(spark):
+    """Against brute force: two hundred random starts with exact subsets, each to its end."""
+    from conftest import words
+
+    odd = lambda i: " ".join(w + "|$$" for w in words(i, 80).split())
+    rows = [(i, words(i, 20 + i % 90), "en", "s") for i in range(260)] + [(1000 + i, odd(i), "en", "s") for i in range(60)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.count_statistics(own, "lang", "source").cache()
+    x = _statistics(stats.orderBy("doc_id").collect())
+    h = math.ceil(0.75 * len(x))
+    r = np.random.default_rng(1)
+    ends = []
+    for _ in range(200):
+        some = r.choice(len(x), 10, replace=False)
+        ends.append(_concentrated(x, x[some].mean(0), np.linalg.inv(np.cov(x[some].T, bias=True) + np.diag([f**2 for _, _, f in quality_rules.VECTOR])), h))
+    best = min(ends, key=lambda e: e[3])
+    got = {y.doc_id: y.d2 for y in quality_rules.mcd_distances(stats).collect()}
+    d2 = np.einsum("ij,jk,ik->i", x - best[1], best[2], x - best[1])
+    d2 /= max(1.0, np.sort(d2)[len(d2) // 2 - 1] / quality_rules.chi2_quantile(0.5, x.shape[1]))
+    mine = np.array([got[i] for i in sorted(got)])
+    assert np.corrcoef(np.log1p(mine), np.log1p(d2))[0, 1] > 0.99
+    limit = quality_rules.chi2_quantile(1 - 1e-7, x.shape[1])
+    assert ((mine <= limit) == (d2 <= limit)).mean() > 0.995
+    assert (mine[260:] > limit).all() and (mine[:260] <= limit).all()
+
+
 @pytest.mark.parametrize("lang", ["en", "xx"])
 def test_tiny_sources_are_held_against_all_rows_above(spark, lang):
     from conftest import words
