@@ -439,6 +439,69 @@ def test_quality_classifier(spark, docs, nothing):
     assert quality_classifier.op9_quality_classifier(nothing, labels).count() == 0
 
 
+def test_posteriors_against_brute_force(spark):
+    from conftest import words
+
+    rows = [(i, words(i, 30) + (" idiot" if i % 5 == 0 and i % 3 else "") + (" moron" if i % 7 == 0 else ""), None if i % 13 == 0 else f"h{i % 4}", "en" if i % 3 else None) for i in range(240)]
+    marks = {i: int(i % 5 == 0 or i % 7 == 0) if i % 9 else None for i in range(200)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([*marks.items(), (999, 1)], "doc_id long, toxic int")
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).alias("f")).collect()}
+    features = quality_classifier.Features()
+    have = {i: features(t.encode()) for i, t, _, _ in rows}
+
+    def weights(ids):
+        yes, no = [i for i in ids if marks[i] == 1], [i for i in ids if marks[i] == 0]
+        out = {}
+        for f in set().union(*(have[i] for i in ids)):
+            a, b = sum(f in have[i] for i in yes), sum(f in have[i] for i in no)
+            both, n = a + b, len(yes) + len(no)
+            cells = [(a, both * len(yes) / n), (b, both * len(no) / n), (len(yes) - a, (n - both) * len(yes) / n), (len(no) - b, (n - both) * len(no) / n)]
+            if both >= 4 and math.sqrt(max(0, 2 * sum(x * math.log(x / e) for x, e in cells if x))) >= 4:
+                out[f] = math.log((a + 0.5) / (len(yes) - a + 0.5)) - math.log((b + 0.5) / (len(no) - b + 0.5))
+        return out
+
+    known = [i for i in marks if marks[i] is not None]
+    sums = lambda i, w: [sum(w.get(f, 0.0) for f in have[i] if f[:1] == kind) for kind in quality_classifier.KINDS]
+    half = {f: weights([i for i in known if folds[i] != f]) for f in (0, 1)}
+    slopes, intercept = quality_classifier.curve(np.array([marks[i] for i in known]), np.array([sums(i, half[folds[i]]) for i in known]))
+    whole, prior = weights(known), np.mean([marks[i] for i in known])
+    factor = {i: intercept + sum(a * b for a, b in zip(sums(i, whole), slopes, strict=True)) for i in have}
+    p = {i: 1 / (1 + math.exp(-(x + math.log(prior / (1 - prior))))) for i, x in factor.items()}
+    of_host, of_path = defaultdict(list), defaultdict(list)
+    for i, _, host, path in rows:
+        of_host[host or ""].append(i)
+        of_path[host or "", path or ""].append(i)
+
+    def strength(groups, up):
+        n = sum(map(len, groups.values()))
+        within = sum(len(g) * up(k) * (1 - up(k)) for k, g in groups.items()) / n
+        between = max(0.0, sum(len(g) * (np.mean([p[i] for i in g]) - up(k)) ** 2 for k, g in groups.items()) / n - within * len(groups) / n)
+        return min(1000.0, max(2.0, within / between if between > 1e-9 else 1000.0))
+
+    k1 = strength(of_host, lambda _: prior)
+    rate = {h: (sum(p[i] for i in g) + k1 * prior) / (len(g) + k1) for h, g in of_host.items()}
+    k2 = strength(of_path, lambda k: rate[k[0]])
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels, {"toxic": F.col("toxic")}).collect()}
+    for i, _, host, path in rows:
+        g, s = of_host[host or ""], of_path[host or "", path or ""]
+        up = (sum(p[j] for j in g if j != i) + k1 * prior) / (len(g) - 1 + k1)
+        own = (sum(p[j] for j in s if j != i) + k2 * up) / (len(s) - 1 + k2)
+        assert (got[i].toxic, got[i].toxic_host, got[i].toxic_path) == pytest.approx((factor[i], up, own), abs=1e-6)
+        assert got[i].toxic_p == pytest.approx(1 / (1 + math.exp(-(factor[i] + math.log(own / (1 - own))))), abs=1e-6)
+
+
+def test_the_curve_has_no_gradient_left():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 3)) * [1, 5, 0.2]
+    y = (r.random(400) < 1 / (1 + np.exp(-(x @ [1.0, 0.3, 2.0] - 1)))).astype(int)
+    slopes, intercept = quality_classifier.curve(y, x, ridge=0.0)
+    w = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    left = w * (y - 1 / (1 + np.exp(-(x @ slopes + intercept))))
+    assert np.abs(np.column_stack([x, np.ones(400)]).T @ left).max() < 1e-5
+    assert quality_classifier.curve(np.ones(3, int), np.zeros((3, 3))) == ([0.0] * 3, 0.0)
+
+
 def test_evidence_is_the_sum_over_features(spark):
     texts = ["", "  ", "a a a! A1 idiots, IDIOTS idiotic", "Über über Über!!", "x"]
     own = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, body binary")
