@@ -74,14 +74,18 @@ def feature_counts(labelled: DataFrame, targets: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in slices(batches, limit=16 << 20):
-            totals: defaultdict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(len(names), np.int64))
-            marks = [batch.column(k).to_pylist() for k in targets]
-            for body, fold, *ys in zip(batch.column("body").to_pylist(), batch.column("fold").to_pylist(), *marks, strict=True):
-                into = [2 * (FOLDS * t + fold) + y for t, y in enumerate(ys) if y is not None]
-                for feature in features(body):
-                    totals[feature][into] += 1
-            table = np.array(list(totals.values()), np.int64).reshape(len(totals), len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()), *map(pa.array, table.T)], names=["feature", *names])
+            marks = zip(*(batch.column(k).to_pylist() for k in ("fold", *targets)), strict=True)
+            totals: defaultdict[tuple, Counter[bytes]] = defaultdict(Counter)  # by fold and marks
+            for body, mark in zip(batch.column("body").to_pylist(), marks, strict=True):
+                totals[mark].update(features(body))
+            place = {feature: i for i, feature in enumerate(set().union(*totals.values()))}
+            table = np.zeros((len(names), len(place)), np.int64)
+            for (fold, *ys), own in totals.items():
+                at, n = np.fromiter(map(place.__getitem__, own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
+                for t, y in enumerate(ys):
+                    if y is not None:
+                        table[2 * (FOLDS * t + fold) + y, at] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.binary()), *map(pa.array, table)], names=["feature", *names])
 
     found = labelled.mapInArrow(count, "feature binary, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
@@ -121,30 +125,25 @@ def feature_weights(labelled: DataFrame, targets: list[str], *, clear: float = 4
 
 
 class Words:
-    """Of the words of several texts, one text after the other: which distinct bare words, and beginnings of them, each text has."""
+    """Of the words of several texts, one text after the other: which bare words and beginnings of words each text has, of those that have a weight."""
 
-    def __init__(self, coded: pa.DictionaryArray, sizes: np.ndarray, known: list[tuple[bytes, int]]) -> None:
-        number: defaultdict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        same = np.fromiter((number[low] for low, _ in known), np.int64, len(known))  # words that differ in case or punctuation alone
+    def __init__(self, coded: pa.DictionaryArray, sizes: np.ndarray, known: list[tuple[bytes, int]], words: set[bytes], parts: set[bytes]) -> None:
         self.n = len(sizes)
-        self.words = list(number)
-        at = same[coded.indices.to_numpy()] if self.words else np.zeros(0, np.int64)
-        self.of_word = self._pairs(np.repeat(np.arange(self.n), sizes), at, len(self.words))
-        self.parts, self.of_part = [], []
-        for size in (4, 5):
-            part: defaultdict[bytes, int] = defaultdict()
-            part.default_factory = part.__len__
-            begins = np.fromiter((part[low[:size]] if len(low) > size else -1 for low in self.words), np.int64, len(self.words))
-            doc, word = self.of_word
-            some = begins[word] >= 0
-            self.parts.append(list(part))
-            self.of_part.append(self._pairs(doc[some], begins[word[some]], len(part)))
+        at, doc = coded.indices.to_numpy(), np.repeat(np.arange(self.n), sizes)
+        lows = [low for low, _ in known]
+        self.words, self.of_word = self._pairs(doc, at, [low if low in words else None for low in lows])
+        begins = [self._pairs(doc, at, [low[:size] if len(low) > size and low[:size] in parts else None for low in lows]) for size in (4, 5)]
+        self.parts, self.of_part = [x for x, _ in begins], [x for _, x in begins]
 
     @staticmethod
-    def _pairs(doc: np.ndarray, value: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.unique(doc * max(values, 1) + value)
-        return pairs // max(values, 1), pairs % max(values, 1)
+    def _pairs(doc: np.ndarray, at: np.ndarray, values: list[bytes | None]) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray]]:
+        """Distinct values, and the distinct pairs of a text and one of them. values: of each distinct word."""
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        own = np.fromiter((-1 if v is None else number[v] for v in values), np.int64, len(values))[at] if values else np.zeros(0, np.int64)
+        some = np.flatnonzero(own >= 0)
+        pairs = np.unique(doc[some] * max(len(number), 1) + own[some])
+        return list(number), (pairs // max(len(number), 1), pairs % max(len(number), 1))
 
     def sums(self, names: list[bytes], pairs: tuple[np.ndarray, np.ndarray], odds: dict[bytes, float]) -> np.ndarray:
         own = np.fromiter((odds.get(x, 0.0) for x in names), np.float64, len(names))
@@ -191,6 +190,7 @@ def evidence(docs: DataFrame, weights: dict[str, dict[bytes, float]]) -> DataFra
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [Evidence(odds) for odds in shared.value.values()]
+        some_words, some_parts = set().union(*(p.words for p in parts)), set().union(*(p.parts for p in parts))
         for batch in slices(batches):
             split = pc.ascii_split_whitespace(batch.column("body").view(pa.string()))
             flat, lengths = split.flatten(), pc.list_value_length(split).to_numpy()
@@ -201,7 +201,7 @@ def evidence(docs: DataFrame, weights: dict[str, dict[bytes, float]]) -> DataFra
             number.default_factory = number.__len__
             known = [(bare(w), number[_shape(w)]) for w in coded.dictionary.view(pa.binary()).to_pylist()]
             counts = _shape_counts(coded, sizes, known, len(number))
-            texts, sums = Words(coded, sizes, known), []
+            texts, sums = Words(coded, sizes, known, some_words, some_parts), []
             for own in parts:
                 got = own(texts)
                 got[:, 2] = own.of_shapes(counts, sizes, [*number, b"again"])
@@ -287,11 +287,11 @@ def classify(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *,
     labelled = materialize(own.select("doc_id", "body").join(marks, "doc_id").select("doc_id", "body", fold, *targets))
     weights = feature_weights(labelled, list(targets), least_seen=least_seen, most_features=most_features)
     apart = {name: odds for name, odds in weights.items() if "/" in name}
-    known = evidence(labelled.select("doc_id", "body", "fold", *(F.col(k).alias(f"is_{k}") for k in targets)), apart).orderBy("doc_id").collect()  # most_labelled rows of numbers
+    known = evidence(labelled.select("doc_id", "body", "fold", *(F.col(k).alias(f"is_{k}") for k in targets)), apart).collect()  # most_labelled rows of numbers
     scored = evidence(own, {k: weights[k] for k in targets})
     priors = {}
     for k in targets:
-        rows = [r for r in known if r[f"is_{k}"] is not None]
+        rows = sorted((r for r in known if r[f"is_{k}"] is not None), key=lambda r: r["doc_id"])
         y = np.array([r[f"is_{k}"] for r in rows], np.int64)
         slopes, intercept = curve(y, np.array([r[f"{k}/{r['fold']}"] for r in rows], np.float64).reshape(len(rows), len(KINDS)))
         priors[k] = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
