@@ -3,9 +3,14 @@
 Two fingerprints of 64 bits that differ in 3 bits or fewer differ in at most 1 bit in one of their halves.
 Per half, a vantage-point tree over a bounded sample deals the distinct fingerprints out to shards: a
 fingerprint lives in the leaf that its distances to the vantage points lead to, and visits every leaf that
-the triangle bounds cannot rule out for a distance of 1. Each shard compares those that live there with all that
-visit it, exactly and over all 64 bits, and passes on a spanning forest of the links found, never all pairs.
+the triangle bounds cannot rule out for a distance of 1. As each level of a tree makes more fingerprints visit, leaves that
+would grow with the corpus are cut further by value: of the two 16-bit blocks of a half, one is equal in both. Each shard compares
+those that live there with all that visit it, exactly and over all 64 bits, and passes on a spanning forest of the links found,
+never all pairs; a shard that is crowded all the same is compared in blocks, by several tasks.
 Components of the forests' edges are found by alternating star contractions.
+
+Three bits of 64 reach few pairs of a similarity of 0.8 on shingles. drop_near_duplicates therefore takes candidates from bands
+of minimum hashes too, and confirms every candidate by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ SEED = 42
 SPARE = 1 << 22  # pairs that a shard compares at once
 
 
-def _fingerprints(bodies: list[bytes], width: int) -> np.ndarray:
-    """Of each text: the bits set in over half of the hashes of its shingles; repeats count."""
+def _shingle_hashes(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, repeats included, and how many each text has."""
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
     counts = np.zeros(len(bodies), np.int64)
@@ -44,17 +49,25 @@ def _fingerprints(bodies: list[bytes], width: int) -> np.ndarray:
         lasts = (ends[width - 1 :] - 1).tolist()
         hashes += [digest(joined[a:b], SEED) for a, b in zip(firsts, lasts, strict=True)]
         counts[k] = len(firsts)
-    out = np.zeros(len(bodies), np.uint64)
+    return np.array(hashes, np.uint64), counts
+
+
+def _majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text: the bits set in over half of its hashes."""
+    out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        values = np.array(hashes, np.uint64)
         starts = starts_of(counts[full])[:-1]
         for bit in range(64):
-            ones = np.add.reduceat(((values >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
+            ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
             out[full] |= (2 * ones > counts[full]).astype(np.uint64) << np.uint64(bit)
     return out
 
 
+def _fingerprints(bodies: list[bytes], width: int) -> np.ndarray:
+    return _majority_bits(*_shingle_hashes(bodies, width))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Per row: doc_id and fp, the fingerprint as a signed long. No words: fingerprint zero."""
 
@@ -140,27 +153,50 @@ def _forest(fps: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     return root
 
 
-def near_edges(distinct: DataFrame, *, bits: int = 3, leaf: int = 1024, most: int = 200_000) -> DataFrame:
+class Dealer:
+    """Deals fingerprints out to shards, by a tree for each half of 32 bits and, below its leaves, by value in `parts` parts."""
+
+    def __init__(self, sample: np.ndarray, rows: int, bits: int, leaf: int, most_leaves: int) -> None:
+        leaves = min(most_leaves, max(1, rows // leaf))
+        self.trees = [VantageTree((sample >> np.uint64(shift)).astype(np.uint32), max(1, len(sample) // leaves), bits // 2) for shift in (0, 32)]
+        self.parts = max(1, min(1 << 16, rows // (leaf * leaves)))
+
+    def __call__(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, the shards that they live in or visit, and whether they live there."""
+        out = []
+        for half, (tree, shift) in enumerate(zip(self.trees, (0, 32), strict=True)):
+            own = (fps >> np.uint64(shift)).astype(np.uint32)
+            rows, leaves, home = tree.route(own)
+            shard = leaves * 2 + half
+            if self.parts == 1:
+                out.append((rows, shard, home))
+                continue
+            for block in (0, 1):  # halves that differ in 1 bit have one block of 16 bits in common
+                value = (own[rows] >> np.uint32(16 * block)) & np.uint32(0xFFFF)
+                part = (value * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % self.parts
+                out.append((rows, (shard * 2 + block) * self.parts + part, home))
+        rows, shard, home = (np.concatenate(x) for x in zip(*out, strict=True))
+        return rows, shard, home.astype(bool)
+
+
+def near_edges(distinct: DataFrame, *, bits: int = 3, leaf: int = 1024, most: int = 50_000, most_leaves: int = 256, crowd: int = 16_384) -> DataFrame:
     """Edges (a, b), b smaller, whose components are those of all links of up to `bits` differing bits.
 
-    distinct: node (long, unique), fp (long, unique). most: fingerprints that the trees are fitted on, taken in
-    the order of a hash; every fingerprint is then dealt out by them. bits is 3 or fewer.
+    distinct: node (long, unique), fp (long, unique). most: fingerprints, about, that the trees are fitted on, taken in
+    the order of a hash; every fingerprint is then dealt out by them. leaf: fingerprints that should live in a shard; most_leaves: of a tree; beyond, leaves
+    are cut by value. crowd: rows of a shard from which it is compared in blocks of so many. bits is 3 or fewer.
     """
     rows = distinct.count()
     share = min(1.0, most / max(rows, 1))
     picked = distinct.select("fp") if share == 1.0 else distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = np.array([r[0] for r in picked.limit(2 * most).collect()], np.int64).view(np.uint64)
-    per_leaf = max(16, int(leaf * share))
-    trees = [VantageTree((sample >> np.uint64(shift)).astype(np.uint32), per_leaf, bits // 2) for shift in (0, 32)]
-    shared = distinct.sparkSession.sparkContext.broadcast(trees)
+    shared = distinct.sparkSession.sparkContext.broadcast(Dealer(sample, rows, bits, leaf, most_leaves))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, shift in enumerate((0, 32)):
-                at, leaves, home = shared.value[half].route((fps >> np.uint64(shift)).astype(np.uint32))
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves * 2 + half), batch.column("node").take(rows), batch.column("fp").take(rows), pa.array(home.astype(bool))], names=["shard", "node", "fp", "home"])
+            at, shards, home = shared.value(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column("node").take(rows), batch.column("fp").take(rows), pa.array(home)], names=["shard", "node", "fp", "home"])
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", ignore_index=True)
@@ -170,7 +206,20 @@ def near_edges(distinct: DataFrame, *, bits: int = 3, leaf: int = 1024, most: in
         return pd.DataFrame({"a": node[far], "b": node[root[far]]})
 
     dealt = distinct.select("node", "fp").mapInArrow(deal, "shard long, node long, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(link, "a long, b long").distinct()
+    crowded = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("shard", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")))
+    dealt = dealt.withColumn("block", F.lit(0)) if crowded.isEmpty() else _in_blocks(dealt, crowded)
+    return dealt.groupBy("shard", "block").applyInPandas(link, "a long, b long").distinct()
+
+
+def _in_blocks(dealt: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of crowded shards, once for each pair of blocks: those of the first block live there, those of the second visit."""
+    rows = dealt.join(crowded, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    lives = F.transform(every, lambda k: F.struct((own * F.col("blocks") + k).alias("block"), F.col("home").alias("home")))
+    visits = F.transform(F.filter(every, lambda k: k != own), lambda k: F.struct((k * F.col("blocks") + own).alias("block"), F.lit(False).alias("home")))
+    lives = F.when(F.col("home"), lives).otherwise(F.slice(lives, own + 1, 1))  # one that only visits is compared in its own block and as a visitor
+    return rows.select("shard", "node", "fp", F.explode(F.concat(lives, visits)).alias("b")).select("shard", "node", "fp", "b.home", "b.block")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -213,5 +262,131 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(named, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
+ROWS_IN_BAND, BANDS = 6, 21  # a similarity of 0.8 meets in one band at least with a probability of 0.998
+_r = np.random.default_rng(SEED)
+_FACTORS = _r.integers(0, 1 << 32, ROWS_IN_BAND * BANDS, dtype=np.uint32) | np.uint32(1)
+_ADDENDS = _r.integers(0, 1 << 32, ROWS_IN_BAND * BANDS, dtype=np.uint32)
+
+
+def _bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text with words: a hash of each band of minimum hashes. One row a text; texts without words have none, rows of zeros."""
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        starts, short = starts_of(counts[full])[:-1], (hashes >> np.uint64(17)).astype(np.uint32)
+        for k, (factor, addend) in enumerate(zip(_FACTORS, _ADDENDS, strict=True)):
+            least = np.minimum.reduceat(short * factor + addend, starts)
+            band = k // ROWS_IN_BAND
+            out[full, band] = (out[full, band] ^ least) * np.uint64(0xFF51AFD7ED558CCD)
+            out[full, band] ^= out[full, band] >> np.uint64(32)
+    return out
+
+
+def signatures(docs: DataFrame, *keep: str, text_col: str = "text", width: int = 5) -> DataFrame:
+    """keep, k1 and k2 (128 bits of the words of a text), fp, bands (empty for a text without words)."""
+    own = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=4 << 20):
+            bodies = batch.column("body").to_pylist()
+            hashes, counts = _shingle_hashes(bodies, width)
+            whole = [b" ".join(b.translate(LOWER).split()) for b in bodies]
+            keys = [pa.array(np.array([xxhash.xxh64_intdigest(w, seed) for w in whole], np.uint64).view(np.int64)) for seed in (1, 2)]
+            bands = [x.view(np.int64) if n else x[:0].view(np.int64) for x, n in zip(_bands(hashes, counts), counts.tolist(), strict=True)]
+            columns = [*(batch.column(c) for c in keep), *keys, pa.array(_majority_bits(hashes, counts).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "k1", "k2", "fp", "bands"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "body")
+    return own.mapInArrow(sign, f"{kinds}k1 long, k2 long, fp long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, *, width: int) -> DataFrame:
+    """node and the distinct hashes of its shingles, ascending, from node and body."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=4 << 20):
+            hashes, counts = _shingle_hashes(batch.column("body").to_pylist(), width)
+            parts = np.split(hashes, np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(distinct, "node long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether their shingles are so similar, in common to in all."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum()) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(same > 0 and same >= similarity * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    of_a, of_b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, ok boolean")
+
+
+def _with_least(members: DataFrame) -> DataFrame:
+    """members (band, h, node) of groups of two or more, but the least of each, with that least one."""
+    groups = members.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return members.join(groups, ["band", "h"]).where("node <> least")
+
+
+MOST_KEYS = 1_000_000  # keys, of 60 bytes each, up to which they are broadcast
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width: int, similarity: float, bits: int) -> DataFrame:
+    """Links (a, b) of texts of that similarity. distinct: node, r1, r2 (a row of docs that has the text), fp, bands.
+
+    Candidates are links of fingerprints and texts that share a band, each with the least of its band; those that it isn't similar to are
+    compared among themselves, until no band has two left. Only texts of candidates are read again.
+    """
+    of_fp = materialize(distinct.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    same = distinct.join(of_fp.where("n > 1").select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    pending = materialize(_with_least(distinct.select("node", F.posexplode("bands").alias("band", "h"))))
+    first = near_edges(of_fp, bits=bits).union(same).distinct()
+    pairs = materialize(first.union(pending.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(pending.select("node")).distinct().join(distinct.select("node", "r1", "r2"), "node"))
+    small = F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted
+    texts = docs.join(small, ["r1", "r2"]).select("node", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    sets = materialize(shingle_sets(texts, width=width).dropDuplicates(["node"]))
+    links = None
+    while True:
+        checked = materialize(confirmed(pairs, sets, similarity))
+        good = checked.where("ok").select("a", "b")
+        links = good if links is None else links.union(good)
+        failed = pending.join(checked.where("not ok").select(F.col("a").alias("node"), F.col("b").alias("least")), ["node", "least"]).select("band", "h", "node")
+        pending = materialize(_with_least(failed))
+        if pending.isEmpty():
+            return links
+        pairs = pending.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id, one without an id only where none has one.
+
+    Texts are linked if they have so large a share of their shingles of `width` words in common; copies are texts of the same words. Null, empty and
+    blank texts are copies of each other. Rows are told apart by 128 bits of all columns of docs, so that rows without an id or with a
+    repeated one are documents of their own; rows alike in all columns are one. Of ties one row stays. All columns of docs stay; an empty table stays empty.
+    """
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]
+    keyed = docs.withColumns({"r1": F.xxhash64(*columns), "r2": F.xxhash64(F.lit(1), *columns)})
+    own = materialize(signatures(keyed.withColumn("own_id", F.col(id_col).cast("long")), "r1", "r2", "own_id", text_col=text_col, width=width))
+    least = F.min(F.struct("r1", "r2")).alias("r")
+    numbered = own.groupBy("k1", "k2").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(numbered.select("node", "k1", "k2", "r.r1", "r.r2", "fp", "bands"))
+    links = similar_links(distinct, keyed, text_col=text_col, width=width, similarity=similarity, bits=bits)
+    found = components(links)
+    named = distinct.select("node", "k1", "k2").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "r1", "r2")
+    kept = own.select("own_id", "r1", "r2", "k1", "k2").join(named, ["k1", "k2"]).groupBy("component").agg(F.min(order).alias("first")).select("first.r1", "first.r2")
+    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select(*docs.columns)
+
+
 def op5_simhash(docs: DataFrame) -> DataFrame:
+    """Per row of docs the contract's columns. Odd rows are those of near_duplicates: each row gives one; without words it has fingerprint zero."""
     return near_duplicates(docs).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")

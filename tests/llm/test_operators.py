@@ -258,8 +258,78 @@ def test_vantage_trees_lose_no_link(spark):
     fps = {int(c) ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for c in centres for _ in range(40)} | {int(x) for x in r.integers(0, 1 << 63, 400, dtype=np.uint64)}
     nodes = {i: f for i, f in enumerate(sorted(fps))}
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in nodes.items()], "node long, fp long")
-    got = {x.node: x.component for x in simhash.components(simhash.near_edges(df, leaf=16)).collect()}
-    assert {i: got.get(i, i) for i in nodes} == _linked(nodes)
+    linked = _linked(nodes)
+    for how in ({"leaf": 16}, {"leaf": 16, "most_leaves": 4, "crowd": 40}):
+        got = {x.node: x.component for x in simhash.components(simhash.near_edges(df, **how)).collect()}
+        assert {i: got.get(i, i) for i in nodes} == linked, how
+
+
+def test_pairs_of_a_fingerprint_do_not_grow_with_the_corpus():
+    r = np.random.default_rng(5)
+    fps = r.integers(0, 1 << 63, 400_000, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 400_000, dtype=np.uint64)
+    pairs = {}
+    for rows in (1 << 20, 1 << 24):
+        at, shard, home = simhash.Dealer(fps[:50_000], rows, 3, 1024, 256)(fps)
+        _, own = np.unique(shard, return_inverse=True)
+        lives, all_ = np.bincount(own[home]), np.bincount(own)
+        lives = np.pad(lives, (0, len(all_) - len(lives)))
+        pairs[rows] = float((lives * np.maximum(all_ - 1, 0)).sum()) / len(fps) * rows / len(fps)
+        assert len(at) < 40 * len(fps)
+    assert pairs[1 << 24] < 1.5 * pairs[1 << 20] and pairs[1 << 24] < 40_000
+
+
+def _similar(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} if w else set() for w in (a.encode().lower().split(), b.encode().lower().split()))
+    return x == y or len(x & y) >= 0.8 * len(x | y)
+
+
+def test_near_duplicates_of_the_stage_against_all_pairs(spark, docs):
+    from conftest import words
+
+    own = [(r.doc_id, r.text, "en", "s") for r in docs.collect()]
+    for k in range(12):  # copies in which 0 to 11 of 130 words are others, of which those with up to 3 or 4 are near
+        w = words(5000 + k % 3, 130).split()
+        for j in range(k):
+            w[11 * j] = f"other{k}"
+        own.append((6000 + k, " ".join(w), "en", "s"))
+    own += [(None, own[-12][1], "de", "s"), (6000, own[-12][1], "en", "s"), (6100, " ".join(own[-12][1].split()).upper(), "en", "s")]
+    rows = list(dict.fromkeys(own))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if _similar(rows[a][1] or "", rows[b][1] or ""):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[root[k]].append(r)
+    best = {k: min((i is None, i or 0) for i, *_ in g) for k, g in groups.items()}
+    got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(own, "doc_id long, text string, lang string, source string")).collect()]
+    kept = defaultdict(list)
+    for r in got:
+        kept[root[rows.index(r)]].append((r[0] is None, r[0] or 0))
+    assert dict(kept) == {k: [v] for k, v in best.items()}
+    assert sum(len(g) > 1 for g in groups.values()) >= 3
+
+
+def test_recall_at_a_similarity_of_0_8(spark):
+    """Pairs at the threshold: bands find nearly all, three bits of a fingerprint hardly any."""
+    import random
+
+    r = random.Random(9)
+    rows, pairs = [], 0
+    for k in range(300):
+        w = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        other = list(w)
+        for j in r.sample(range(0, 150, 10), 3):
+            other[j] = "x"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        pairs += _similar(rows[-1][1], rows[-2][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = len(rows) - simhash.drop_near_duplicates(df).count()
+    assert pairs > 150 and 0.98 * pairs <= dropped <= pairs
+    by_bits = simhash.near_duplicates(df, width=5).where("component_id <> doc_id").count()
+    assert by_bits < 0.4 * pairs
 
 
 def test_long_chains_are_one_component(spark):
