@@ -44,21 +44,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; one without an id only where none has one."""
-    own = _keyed(docs)
-    groups = simhash.near_duplicates(own, id_col="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
-    first = own.select("doc_id", "__row").join(groups, "__row").groupBy("__group").agg(F.min(order).alias("__first")).select(F.col("__first.__row").alias("__row"))
-    return own.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    """Of each group of texts that share 0.8 of their five-word shingles, the document with the smallest id; one without an id only where none has one. Rows alike in all columns are one."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated; what benchmark passages they have all the same is cut out."""
-    own = _keyed(docs)
-    hits = decontamination.find_contamination(own, table(spark, sf_dir, "benchmark"), id_col="__row").where("n_hit > 0").dropDuplicates(["doc_id"])
-    hits = hits.select(F.col("doc_id").alias("__row"), decontamination.contaminated().alias("__gone"), F.col("spans").alias("__spans"))
-    marked = own.join(hits, "__row", "left").where("not coalesce(__gone, false)")
-    return _sized(decontamination.cut_spans(marked, "text", "__spans"), docs)
+    """Documents that aren't contaminated, each row a document of its own; what benchmark passages they have all the same is cut out. A null text stays null."""
+    return _sized(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
