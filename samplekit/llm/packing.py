@@ -3,8 +3,10 @@
 Pieces of one length are interchangeable, so what is packed is the histogram of lengths: at most one row for
 each token count up to a sequence's capacity, however many documents there are. Bin completion takes the largest
 length left, enumerates undominated fillings of the room beside it, and commits the best one as often as the
-counts allow; branches whose waste can't beat the best packing known are pruned. The plan that comes out says which
-ranks of each length go to which sequences. Spark ranks the pieces within their length and looks their places up.
+counts allow; branches whose waste can't beat the best packing known are pruned. Sequences of that packing that waste room are
+then taken apart together with others and searched again. The plan that comes out says which
+ranks of each length go to which sequences. Spark ranks the pieces within their length and looks their places up; a piece as long
+as a sequence has one to itself.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import random
 import unicodedata
 import zlib
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
 KNOWN_WORDS = 700_000  # words whose ids a Python worker remembers
-OPEN = 24  # branches that wait; of more, the oldest, which stand for early choices, are given up
-SALTS = 64  # parts in which the pieces of one length are ranked
+EARLY = 2
+SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
 
 
 #: ASCII punctuation that is no part of a contraction.
@@ -183,12 +186,29 @@ class Filling:
     times: int
 
 
-def _completions(counts: dict[int, int], lengths: list[int], room: int, most: int, tries: int) -> list[tuple[int, ...]]:
-    """Fillings of the room by lengths left (ascending), least waste first, large pieces before small ones.
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether all pieces of b fit into the places of those of a: then whatever b leaves over a leaves over too, or less."""
+    if len(b) > 8 or sum(b) > sum(a):
+        return False
+    room = list(a)
 
-    One that wastes as much as a length left would fill is dominated and is not listed. most: how many are enough;
-    tries: bound on the steps of the search.
-    """
+    def put(k: int) -> bool:
+        if k == len(b):
+            return True
+        for i in range(len(room)):
+            if room[i] >= b[k]:
+                room[i] -= b[k]
+                if put(k + 1):
+                    return True
+                room[i] += b[k]
+        return False
+
+    return put(0)
+
+
+def _completions(counts: np.ndarray, room: int, most: int, tries: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of the room by lengths left, least waste first, large pieces before small ones; no more than `most`. tries: bound on the steps."""
+    lengths = np.flatnonzero(counts[: room + 1]).tolist()
     found: list[tuple[int, tuple[int, ...]]] = []
     steps = 0
 
@@ -196,70 +216,148 @@ def _completions(counts: dict[int, int], lengths: list[int], room: int, most: in
         nonlocal steps
         steps += 1
         fits = bisect.bisect_right(lengths, left, 0, top)
-        if not fits:
-            found.append((left, chosen))
-            return
         done = len(found)
         for i in range(fits - 1, -1, -1):
-            if steps > tries or len(found) >= 4 * most or found and found[-1][0] == 0 and len(found) >= most:
+            if steps > tries or len(found) >= 4 * most and found[-1][0] == 0:
                 break
             take = lengths[i]
+            if chosen and len(found) > done and i < fits - 6:
+                break
             if chosen.count(take) < counts[take]:
                 fill(i + 1, left - take, (*chosen, take))
-            if len(found) > done and i < fits - 6 and len(chosen) > 0:
-                break
         if len(found) == done:
             found.append((left, chosen))
 
     fill(len(lengths), room, ())
-    return [c for _, c in sorted(set(found), key=lambda x: (x[0], [-v for v in x[1]]))[:most]]
+    out: list[tuple[int, ...]] = []
+    for _, option in sorted(set(found), key=lambda x: (x[0], [-v for v in x[1]])):
+        if not any(_dominates(other, option) for other in out):
+            out.append(option)
+            if len(out) == most:
+                break
+    return out
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int, *, branches: int = 3, nodes: int = 20_000) -> list[Filling]:
-    """Fillings that hold each length as often as the histogram has it, in as few sequences as the search finds.
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A bound on all packings of counts (by length): for each least length, pieces too long for one another need a sequence each, and what the rest can't put beside them needs more."""
+    lengths = np.arange(capacity + 1)
+    many, size = np.cumsum(counts), np.cumsum(counts * lengths)
+    total, half = int(many[-1]), capacity // 2
+    small = np.flatnonzero(counts[: half + 1])
+    bound = max(-(-int(size[-1]) // capacity), total - int(many[half]))
+    if len(small):
+        alone = total - many[capacity - small]  # nothing of `small` or more fits beside them
+        beside = many[capacity - small] - many[half]
+        room = beside * capacity - (size[capacity - small] - size[half])
+        rest = size[half] - np.where(small > 0, size[small - 1], 0)
+        bound = max(bound, int((alone + beside + np.maximum(0, -(-(rest - room) // capacity))).max()))
+    return bound
 
-    A node of the search commits one filling as often as counts allow. Its first branches follow least waste, which is
-    best fit; the best complete packing is the incumbent. A branch is cut when its waste so far, plus what no packing of
-    the rest can avoid, leaves no room for a better packing; the search ends at the bound on all packings, or after
-    `nodes`.
-    """
-    total = sum(k * n for k, n in histogram.items())
-    bound = max(-(-total // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
-    best: list[Filling] | None = None
-    best_bins = 1 << 62
-    spent = 0
 
-    def room_left(counts: dict[int, int], bins: int) -> bool:
-        rest = sum(k * n for k, n in counts.items())
-        return bins + max(-(-rest // capacity), sum(n for k, n in counts.items() if 2 * k > capacity)) < best_bins
+@dataclass
+class Branch:
+    """A choice and all those before it; what is left is worked out when the branch is taken up."""
 
-    stack: deque[tuple[dict[int, int], list[Filling], int]] = deque([({k: n for k, n in histogram.items() if n > 0}, [], 0)], maxlen=OPEN)
-    while stack:
-        counts, made, bins = stack.pop()
-        if best is not None and (best_bins <= bound or spent >= nodes):
-            break
-        while counts:
-            if best is not None and (spent >= nodes or not room_left(counts, bins)):
+    before: Branch | None
+    filling: Filling | None
+    bins: int
+
+    def fillings(self) -> list[Filling]:
+        out, at = [], self
+        while at.filling is not None:
+            out.append(at.filling)
+            at = at.before  # type: ignore[assignment]
+        return out[::-1]
+
+
+def search(counts: np.ndarray, capacity: int, *, branches: int, nodes: int, below: int = 1 << 62) -> list[Filling] | None:
+    """The best packing in fewer than `below` sequences that is found by committing up to `nodes` fillings.
+
+    The search takes up the latest branch left, and each EARLY-th time the earliest, so that early choices are
+    reconsidered too. It ends at the bound on all packings.
+    """
+    bound = least_sequences(counts, capacity)
+    best: list[Filling] | None = None
+    spent, turn = 0, 1
+    waiting: deque[Branch] = deque([Branch(None, None, 0)])
+    while waiting and below > bound and (spent < nodes or best is None and below == 1 << 62):
+        branch = waiting.pop() if turn % EARLY else waiting.popleft()
+        turn += 1
+        left = counts.copy()
+        for filling in branch.fillings():
+            for k in filling.lengths:
+                left[k] -= filling.times
+        while branch.bins + least_sequences(left, capacity) < below:
+            some = np.flatnonzero(left)
+            if not len(some):
+                best, below = branch.fillings(), branch.bins
+                break
+            if spent >= nodes and not (best is None and below == 1 << 62):
                 break
             spent += 1
-            first = max(counts)
-            after = dict(counts)
-            after[first] -= 1
-            options = _completions(after, sorted(k for k, n in after.items() if n), capacity - first, branches, 3000)
+            first = int(some[-1])
+            left[first] -= 1
+            options = _completions(left, capacity - first, branches, 3000)
+            left[first] += 1
             following = []
             for option in options:
                 filling = (first, *option)
-                times = min(counts[k] // filling.count(k) for k in set(filling))
-                left = dict(counts)
-                for k in filling:
-                    left[k] -= times
-                following.append(({k: n for k, n in left.items() if n}, [*made, Filling(filling, times)], bins + times))
-            stack.extend(reversed(following[1:]))
-            counts, made, bins = following[0]
-        if not counts and bins < best_bins:
-            best, best_bins = made, bins
-            stack = deque((x for x in stack if room_left(x[0], x[2])), maxlen=OPEN)
-    return best or []
+                times = min(int(left[k]) // n for k, n in Counter(filling).items())
+                following.append(Branch(branch, Filling(filling, times), branch.bins + times))
+            waiting.extend(reversed(following[1:]))
+            branch = following[0]
+            for k in branch.filling.lengths:  # type: ignore[union-attr]
+                left[k] -= branch.filling.times  # type: ignore[union-attr]
+    return best
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int, *, branches: int = 3, nodes: int = 3000, rounds: int = 60, apart: int = 24) -> list[Filling]:
+    """Fillings that hold each length as often as the histogram has it, in as few sequences as the search finds.
+
+    A node of the search commits one filling as often as counts allow. Its first branches follow least waste, which is
+    best fit; the best complete packing is the incumbent. A branch is cut when what it has used, and what no packing of
+    the rest can do without, leave no room for a better packing; no branch is given up before `nodes` fillings. Then, up to `rounds` times, `apart` sequences or so,
+    those that waste most and others, are searched again for a packing in one less. All ends at the bound on all packings.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for k, n in histogram.items():
+        counts[k] += n
+    bound = least_sequences(counts, capacity)
+    best = search(counts, capacity, branches=branches, nodes=nodes) or []
+    bins = Counter({f.lengths: 0 for f in best})
+    for f in best:
+        bins[f.lengths] += f.times
+    order = random.Random(capacity)
+    failed = 0
+    while bins.total() > bound and failed < rounds:
+        waste = {k: capacity - sum(k) for k in bins}
+        total = sum(waste[k] * n for k, n in bins.items())
+        if total < capacity:
+            break
+        loose = sorted((k for k in bins if waste[k]), key=lambda k: (waste[k] * order.random(), k), reverse=True)
+        taken: Counter[tuple[int, ...]] = Counter()
+        free = 0
+        for k in loose:
+            if free >= capacity and taken.total() >= apart // 2:
+                break
+            n = min(bins[k], max(1, apart // 4))
+            taken[k] += n
+            free += n * waste[k]
+        full = [k for k in bins if not waste[k]]
+        for k in order.sample(full, min(len(full), max(2, apart - taken.total()))):
+            taken[k] += 1
+        own = np.zeros(capacity + 1, np.int64)
+        for k, n in taken.items():
+            for length in k:
+                own[length] += n
+        found = search(own, capacity, branches=branches, nodes=400, below=taken.total()) if free >= capacity else None
+        failed += 1
+        if found:
+            failed = 0
+            bins -= taken
+            for f in found:
+                bins[f.lengths] += f.times
+    return [Filling(k, n) for k, n in sorted(bins.items(), reverse=True) if n]
 
 
 @dataclass
@@ -295,9 +393,9 @@ class Places:
         return sequence, offset
 
 
-def with_ranks(pieces: DataFrame) -> DataFrame:
+def with_ranks(pieces: DataFrame, salts: int = 64) -> DataFrame:
     """pieces with rank, from 0 within their length: counted by hash parts first, so that no length is ranked in one task."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "salt", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
@@ -307,13 +405,14 @@ def with_ranks(pieces: DataFrame) -> DataFrame:
 
 
 def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32, more) with sequence_id and offset, gapless from 0 in each sequence.
+    """pieces (doc_id, piece, start, length, ids_crc32, more), a written table, with sequence_id and offset, gapless from 0 in each sequence.
 
-    Only the histogram of lengths, of at most `size` rows, and its packing come to the driver.
+    Only the histogram of lengths, of at most `size` rows, and its packing come to the driver. Pieces of `size` have sequences of their own, with
+    ids below 0, and need no rank.
     """
-    histogram = {r["length"]: r["rows"] for r in pieces.groupBy("length").agg(F.count("*").alias("rows")).collect()}
+    histogram = {r["length"]: r["rows"] for r in pieces.where(F.col("length") < size).groupBy("length").agg(F.count("*").alias("rows")).collect()}
     places = pieces.sparkSession.sparkContext.broadcast(Places.of(pack_histogram(histogram, size)))
-    ranked = with_ranks(pieces)
+    ranked = with_ranks(pieces.where(F.col("length") < size), max(64, -(-max(histogram.values(), default=0) // SALTED_ROWS)))
     columns = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +421,9 @@ def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*columns, F.col("rank").cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    placed = ranked.select(*columns, F.col("rank").cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    alone = pieces.where(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -335,4 +436,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
 
 def op2_best_fit_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per piece of every row the contract's columns. Odd rows are those of pack_documents: each row gives a piece at least."""
     return pack_documents(docs, tokenizer, with_ids=False)

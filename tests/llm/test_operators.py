@@ -91,6 +91,40 @@ def test_packing_of_histograms(histogram):
     assert sum(f.times for f in fillings) <= max(-(-total // 2048) + 1, sum(n for k, n in histogram.items() if 2 * k > 2048) + 1)
 
 
+def test_packing_of_exact_triplets():
+    """Hard on purpose: sequences that three pieces fill exactly. The gap is within 2 % of the bound, which is in the README."""
+    import random
+
+    r, histogram = random.Random(1), Counter()
+    for _ in range(100):
+        a, b = r.randint(400, 900), r.randint(400, 900)
+        histogram.update((a, b, 2048 - a - b))
+    fillings = packing.pack_histogram(histogram, 2048)
+    assert sum(f.times for f in fillings) <= 102
+
+
+def test_least_sequences_is_a_bound():
+    import random
+    from functools import cache
+
+    r = random.Random(6)
+    for _ in range(60):
+        pieces = tuple(sorted((r.randint(1, 20) for _ in range(r.randint(1, 8))), reverse=True))
+
+        @cache
+        def fewest(left, rooms):
+            if not left:
+                return 0
+            out = 1 + fewest(left[1:], tuple(sorted((*rooms, 20 - left[0]))))
+            return min([out, *(fewest(left[1:], tuple(sorted((*rooms[:i], x - left[0], *rooms[i + 1 :])))) for i, x in enumerate(rooms) if x >= left[0])])
+
+        counts = np.bincount(pieces, minlength=21)
+        exact = fewest(pieces, ())
+        assert packing.least_sequences(counts, 20) <= exact
+        assert sum(f.times for f in packing.pack_histogram(dict(Counter(pieces)), 20)) == exact
+        assert packing._dominates((9, 4), (5, 4, 4)) and not packing._dominates((8, 4), (5, 4, 4))
+
+
 def test_word_encoder_is_the_tokenizer():
     import random
 
