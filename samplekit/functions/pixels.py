@@ -1,22 +1,22 @@
-"""Kernels over pixel arrays, Arrow batches of images at a time; borders mirror without repeating the edge (reflect-101)."""
+"""Kernels over stacks of images of one size: arrays of image, row, column and, if they have colours, channel. Borders mirror without repeating the edge (reflect-101)."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def reflect_pad(image: np.ndarray, by: int) -> np.ndarray:
-    return np.pad(image, ((by, by), (by, by)) + ((0, 0),) * (image.ndim - 2), mode="reflect" if min(image.shape[:2]) > by else "edge")
+def reflect_pad(stack: np.ndarray, by: int) -> np.ndarray:
+    return np.pad(stack, ((0, 0), (by, by), (by, by)) + ((0, 0),) * (stack.ndim - 3), mode="reflect" if min(stack.shape[1:3]) > by else "edge")
 
 
-def filtered(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+def filtered(stack: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Correlation with a square kernel."""
     k = kernel.shape[0] // 2
-    padded = reflect_pad(image.astype(np.float64), k)
-    h, w = image.shape[:2]
-    out = np.zeros(image.shape, np.float64)
+    padded = reflect_pad(stack.astype(np.float64), k)
+    h, w = stack.shape[1:3]
+    out = np.zeros(stack.shape, np.float64)
     for i, j in np.argwhere(kernel != 0):
-        out += kernel[i, j] * padded[i : i + h, j : j + w]
+        out += kernel[i, j] * padded[:, i : i + h, j : j + w]
     return out
 
 
@@ -26,22 +26,26 @@ SHARPEN = np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], float)
 EMBOSS = np.array([[-1, -1, 0], [-1, 1, 1], [0, 1, 1]], float)
 
 
-def grayscale(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else np.floor(image[..., :3] @ np.array([0.299, 0.587, 0.114]) + 0.5)
+def grayscale(stack: np.ndarray) -> np.ndarray:
+    return stack if stack.ndim == 3 else np.floor(stack[..., :3] @ np.array([0.299, 0.587, 0.114]) + 0.5)
 
 
-def quality_of(image: np.ndarray) -> dict[str, float]:
-    """sharpness, contrast, mean_brightness and blur_score of an image with values up to 255."""
-    gray = grayscale(image.astype(np.float64))
-    laplacian = filtered(gray, LAPLACIAN).var()
+def quality_of(stack: np.ndarray) -> dict[str, np.ndarray]:
+    """sharpness, contrast, mean_brightness and blur_score of images with values up to 255."""
+    gray = grayscale(stack.astype(np.float64))
+    inside = (1, 2)
+    laplacian = filtered(gray, LAPLACIAN).var(axis=inside)
     gx, gy = filtered(gray, SOBEL), filtered(gray, SOBEL.T)
     energy = gx * gx + gy * gy
-    return {"sharpness": 0.7 * laplacian + 0.3 * np.sqrt(energy).mean(), "contrast": gray.std(), "mean_brightness": gray.mean(), "blur_score": (0.6 * laplacian + 0.4 * energy.var()) / 1000}
+    return {
+        "sharpness": 0.7 * laplacian + 0.3 * np.sqrt(energy).mean(axis=inside), "contrast": gray.std(axis=inside),
+        "mean_brightness": gray.mean(axis=inside), "blur_score": (0.6 * laplacian + 0.4 * energy.var(axis=inside)) / 1000,
+    }
 
 
-def saturated(image: np.ndarray) -> np.ndarray:
+def saturated(stack: np.ndarray) -> np.ndarray:
     """Whole numbers of 0 to 255, halves to even."""
-    return np.clip(np.rint(image), 0, 255)
+    return np.clip(np.rint(stack), 0, 255)
 
 
 def gaussian_kernel(sigma: float) -> np.ndarray:
@@ -50,40 +54,41 @@ def gaussian_kernel(sigma: float) -> np.ndarray:
     return np.outer(line, line) / line.sum() ** 2
 
 
-def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
-    return filtered(image, gaussian_kernel(sigma))
+def blurred(stack: np.ndarray, sigma: float) -> np.ndarray:
+    return filtered(stack, gaussian_kernel(sigma))
 
 
-def unsharp(image: np.ndarray, sigma: float = 2.0) -> np.ndarray:
-    return saturated(1.5 * image - 0.5 * blurred(image, sigma))
+def unsharp(stack: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    return saturated(1.5 * stack - 0.5 * blurred(stack, sigma))
 
 
-def gamma_scaled(image: np.ndarray, gamma: float = 1.2, factor: float = 1.1, shift: float = 5) -> np.ndarray:
-    return saturated(np.abs(np.floor((image / 255) ** (1 / gamma) * 255) * factor + shift))
+def gamma_scaled(stack: np.ndarray, gamma: float = 1.2, factor: float = 1.1, shift: float = 5) -> np.ndarray:
+    return saturated(np.abs(np.floor((stack / 255) ** (1 / gamma) * 255) * factor + shift))
 
 
-def frame_sharpen(image: np.ndarray) -> np.ndarray:
-    """A mild sharpening, blended with the image."""
-    return saturated(0.7 * image + 0.3 * saturated(filtered(image, 0.6 * SHARPEN)))
+def frame_sharpen(stack: np.ndarray) -> np.ndarray:
+    """A mild sharpening, blended with the images."""
+    return saturated(0.7 * stack + 0.3 * saturated(filtered(stack, 0.6 * SHARPEN)))
 
 
-def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+def resized(stack: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear, by pixel centres."""
     def places(new: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, old - 1), at - low
 
-    y0, y1, fy = places(height, image.shape[0])
-    x0, x1, fx = places(width, image.shape[1])
-    more = (1,) * (image.ndim - 2)
+    y0, y1, fy = places(height, stack.shape[1])
+    x0, x1, fx = places(width, stack.shape[2])
+    more = (1,) * (stack.ndim - 3)
     fy, fx = fy.reshape(-1, 1, *more), fx.reshape(1, -1, *more)
-    top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
-    bottom = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
+    upper, lower = stack[:, y0], stack[:, y1]
+    top = upper[:, :, x0] * (1 - fx) + upper[:, :, x1] * fx
+    bottom = lower[:, :, x0] * (1 - fx) + lower[:, :, x1] * fx
     return top * (1 - fy) + bottom * fy
 
 
-def median_filtered(image: np.ndarray, size: int) -> np.ndarray:
-    padded = reflect_pad(image, size // 2)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(0, 1))
+def median_filtered(stack: np.ndarray, size: int) -> np.ndarray:
+    padded = reflect_pad(stack, size // 2)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(1, 2))
     return np.median(windows, axis=(-2, -1))

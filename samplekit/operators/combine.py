@@ -16,13 +16,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def combine(df: DataFrame, membership: DataFrame, *, source: str = "dataset", balance: bool = True, by: list[str] | None = None, cap: int | None = None, label: str = "label", key: str = "sample_id", seed: int = 42) -> DataFrame:
-    """df with combo: each combination's rows, its sources brought to one size. membership: combo, source. A source that df lacks is left out."""
+    """df with combo: each combination's rows, its sources brought to one size. membership: combo, source.
+
+    A source that df lacks is left out; where nothing is left of any combination, that is an error. Ranks within a source are the same in all
+    combinations and are worked out once.
+    """
     by = by or []
-    rows = df.join(membership.distinct(), source)
+    wanted = membership.distinct()
+    if wanted.join(df.select(source).distinct(), source, "left_semi").isEmpty():
+        raise ValueError("none of the sources to combine has rows")
     if not balance:
-        return rows.withColumn("replica_no", F.lit(1).cast("long"))
+        return df.join(wanted, source).withColumn("replica_no", F.lit(1).cast("long"))
+    rows = sampling.with_quota_ranks(df, [source, *by], label, key, seed).join(wanted, source)
     targets = sampling.balance_targets(rows, source=source, by=["combo", *by], cap=cap)
-    return sampling.resample_to(rows, targets, by=[source, "combo", *by], label=label, key=key, seed=seed)
+    return sampling.resample_ranked(rows, targets, by=[source, "combo", *by], label=label, key=key, seed=seed)
 
 
 def leave_one_out(df: DataFrame, *, source: str = "dataset", prefix: str = "combined_without_") -> DataFrame:

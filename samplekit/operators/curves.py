@@ -62,12 +62,15 @@ def roc_curve(df: DataFrame, by: list[str], *, drop_intermediate: bool = True, s
     return curve.unionByName(first).withColumnRenamed("rank", "point")
 
 
-def roc_auc(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
-    """by, roc_auc: area by trapezoids, null where a class is absent or all scores are one."""
-    points = cumulative_counts(df, by, score, label)
+def _auc() -> Column:
     area = F.sum(F.col("neg") * (2 * F.col("tps") - F.col("pos")) / 2.0)
     both = F.max("all_pos").cast("double") * F.max("all_neg")
-    return points.groupBy(*by).agg(F.when((both > 0) & (F.max("points") > 1), area / both).alias("roc_auc"))
+    return F.when((both > 0) & (F.max("points") > 1), area / both)
+
+
+def roc_auc(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
+    """by, roc_auc: area by trapezoids, null where a class is absent or all scores are one."""
+    return cumulative_counts(df, by, score, label).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
@@ -78,22 +81,36 @@ def pr_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str =
     return curve.unionByName(end)
 
 
+def _average_precision() -> Column:
+    total = F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
+    return F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), total / F.max("all_pos"))
+
+
 def average_precision(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
     """by, average_precision: precision weighted by the step in recall; null where a class is absent."""
-    points = cumulative_counts(df, by, score, label)
-    total = F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
-    return points.groupBy(*by).agg(F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), total / F.max("all_pos")).alias("average_precision"))
+    return cumulative_counts(df, by, score, label).groupBy(*by).agg(_average_precision().alias("average_precision"))
+
+
+def _least_gap(drop_intermediate: bool = True) -> Column:
+    """Struct of eer and threshold at the point where the rates differ least; null where a class is absent or scores are constant."""
+    usable = (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & (F.col("points") > 1)
+    if drop_intermediate:
+        usable = usable & _corner()
+    fpr, fnr = F.when(usable, F.col("fps") / F.col("all_neg")), F.when(usable, 1 - F.col("tps") / F.col("all_pos"))
+    point = F.struct(F.round(F.abs(fpr - fnr), 12).alias("gap"), F.col("rank").alias("rank"), ((fpr + fnr) / 2).alias("eer"), F.col("score").alias("threshold"))
+    return F.min(F.when(usable, point))  # the start (0, 0) has a gap of 1, which no later point exceeds
 
 
 def equal_error(df: DataFrame, by: list[str], *, drop_intermediate: bool = True, score: str = "score", label: str = "label") -> DataFrame:
     """by, eer, eer_threshold: where false positive and false negative rates differ least (to 12 decimals), at the highest such threshold; null where a class is absent or scores are constant."""
-    points = cumulative_counts(df, by, score, label)
-    usable = (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & (F.col("points") > 1)
-    corners = points.where(_corner()) if drop_intermediate else points
-    fpr, fnr = F.col("fps") / F.col("all_neg"), 1 - F.col("tps") / F.col("all_pos")
-    gap = F.when(usable, F.struct(F.round(F.abs(F.when(usable, fpr) - F.when(usable, fnr)), 12).alias("gap"), F.col("rank").alias("rank"), ((F.when(usable, fpr) + F.when(usable, fnr)) / 2).alias("eer"), F.col("score").alias("threshold")))
-    best = corners.groupBy(*by).agg(F.min(gap).alias("best"))  # the start (0, 0) has a gap of 1, which no later point exceeds
-    return best.select(*by, F.col("best.eer").alias("eer"), F.when(F.col("best").isNotNull(), F.col("best.threshold")).alias("eer_threshold"))
+    best = cumulative_counts(df, by, score, label).groupBy(*by).agg(_least_gap(drop_intermediate).alias("best"))
+    return best.select(*by, F.col("best.eer").alias("eer"), F.col("best.threshold").alias("eer_threshold"))
+
+
+def curve_metrics(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
+    """by, roc_auc, average_precision, eer, eer_threshold: one build of the curves and one aggregation over them."""
+    out = cumulative_counts(df, by, score, label).groupBy(*by).agg(_auc().alias("roc_auc"), _average_precision().alias("average_precision"), _least_gap().alias("best"))
+    return out.select(*by, "roc_auc", "average_precision", F.col("best.eer").alias("eer"), F.col("best.threshold").alias("eer_threshold"))
 
 
 def det_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
@@ -107,6 +124,11 @@ def det_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str
 def bpcer_at_apcer(df: DataFrame, by: list[str], targets: tuple[float, ...] = (0.1, 0.05, 0.01), *, iso: bool = False, score: str = "score", label: str = "label") -> DataFrame:
     """by, bpcer_at_apcer: for each target (as text) the share of bonafide scores up to the attack score that this share of attacks lies below; above it, if iso. 0 where a class is absent."""
     points = cumulative_counts(df, by, score, label)
+    return points.groupBy(*by).agg(_bpcer_at(targets, iso).alias("bpcer_at_apcer"))
+
+
+def _bpcer_at(targets: tuple[float, ...], iso: bool) -> Column:
+    """Map from targets, as text, to rates."""
     rate = F.col("fps") - F.col("neg") if iso else F.col("all_neg") - F.col("fps") + F.col("neg")
     below = F.col("all_pos") - F.col("tps") + F.col("pos")
 
@@ -115,4 +137,10 @@ def bpcer_at_apcer(df: DataFrame, by: list[str], targets: tuple[float, ...] = (0
         found = F.min(F.when((below > place) & (F.col("all_neg") > 0), F.struct("score", F.try_divide(rate, F.col("all_neg")).alias("value"))))
         return F.coalesce(found["value"], F.lit(0.0))
 
-    return points.groupBy(*by).agg(*(at(t).alias(f"__{i}") for i, t in enumerate(targets))).select(*by, F.create_map(*(x for i, t in enumerate(targets) for x in (F.lit(f"{t:g}"), F.col(f"__{i}")))).alias("bpcer_at_apcer"))
+    return F.create_map(*(x for t in targets for x in (F.lit(f"{t:g}"), at(t))))
+
+
+def biometric_points(df: DataFrame, by: list[str], targets: tuple[float, ...], *, iso: bool = False, score: str = "score", label: str = "label") -> DataFrame:
+    """by, eer, eer_threshold, bpcer_at_apcer, of one build of the curves."""
+    out = cumulative_counts(df, by, score, label).groupBy(*by).agg(_least_gap().alias("best"), _bpcer_at(targets, iso).alias("bpcer_at_apcer"))
+    return out.select(*by, F.col("best.eer").alias("eer"), F.col("best.threshold").alias("eer_threshold"), "bpcer_at_apcer")

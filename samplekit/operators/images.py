@@ -1,179 +1,266 @@
-"""Jobs over image pixels: quality, enhancement, resizing, and augmentation by plan."""
+"""Jobs over image pixels: quality, enhancement, resizing, and augmentation by plan. Images of one size in an Arrow batch are worked on as one stack."""
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from samplekit.functions import pixels as px
 from samplekit.functions.hashing import hash_uniform
 
+MEASURES = ("sharpness", "contrast", "mean_brightness", "blur_score")
+STACK_VALUES = 4 << 20  # of one stack
+Stack = tuple[np.ndarray, np.ndarray]
 
-def image_of(row: pd.Series) -> np.ndarray | None:
-    """The pixels of a row (height, width, pixels) as an array; None where they don't make an image."""
-    values, h, w = row["pixels"], row["height"], row["width"]
-    if values is None or h is None or w is None or h < 1 or w < 1 or len(values) % (h * w):
-        return None
-    image = np.asarray(values, np.float64).reshape(int(h), int(w), -1)
-    return image[..., 0] if image.shape[2] == 1 else image
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
 
-def with_quality(df: DataFrame) -> DataFrame:
-    """df (height, width, pixels) with sharpness, contrast, mean_brightness and blur_score; null for what is no image."""
-    names = ["sharpness", "contrast", "mean_brightness", "blur_score"]
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            images = [image_of(r) for _, r in part.iterrows()]
-            found = pd.DataFrame([px.quality_of(i) if i is not None else dict.fromkeys(names) for i in images], columns=names, index=part.index, dtype="float64")
-            yield pd.concat([part, found], axis=1)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values of a list column, where each row's begin, and how many it has (null: none)."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths, lengths
 
-    return df.mapInPandas(measure, _schema(df, ", ".join(f"{n} double" for n in names)))
 
+def stacks(batch: pa.RecordBatch) -> Iterator[Stack]:
+    """Rows and their images as a stack, for each size; rows whose pixels don't make an image (height, width, pixels) are in none."""
+    values, starts, lengths = _flat(batch.column("pixels"))
+    height, width = _numbers(batch.column("height")), _numbers(batch.column("width"))
+    area = height * width
+    good = np.flatnonzero((height > 0) & (width > 0) & (lengths > 0) & (lengths % np.maximum(area, 1) == 0))
+    sizes, group = np.unique(np.column_stack([height, width, lengths])[good], axis=0, return_inverse=True)
+    for k, (h, w, n) in enumerate(sizes.tolist()):
+        rows = good[group.ravel() == k]
+        for low in range(0, len(rows), max(1, STACK_VALUES // n)):
+            own = rows[low : low + max(1, STACK_VALUES // n)]
+            stack = values[starts[own][:, None] + np.arange(n)].astype(np.float64).reshape(len(own), h, w, -1)
+            yield own, stack[..., 0] if stack.shape[3] == 1 else stack
 
-def _schema(df: DataFrame, more: str = "") -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *([more] if more else [])])
 
+def with_quality(df: DataFrame) -> DataFrame:
+    """df (height, width, pixels) with sharpness, contrast, mean_brightness and blur_score; null for what is no image."""
 
-def map_images(df: DataFrame, change: Callable[[np.ndarray, pd.Series], np.ndarray]) -> DataFrame:
-    """df with each image changed; rows that are no image keep what they have."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part = part.copy()
-            done = [(change(i, r) if (i := image_of(r)) is not None else None) for _, r in part.iterrows()]
-            part["pixels"] = [old if new is None else new.ravel().tolist() for old, new in zip(part["pixels"], done, strict=True)]
-            part["height"] = [old if new is None else new.shape[0] for old, new in zip(part["height"], done, strict=True)]
-            part["width"] = [old if new is None else new.shape[1] for old, new in zip(part["width"], done, strict=True)]
-            yield part
-
-    return df.mapInPandas(run, _schema(df))
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {name: np.full(batch.num_rows, np.nan) for name in MEASURES}
+            for rows, stack in stacks(batch):
+                for name, values in px.quality_of(stack).items():
+                    found[name][rows] = values
+            columns = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in found.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *MEASURES])
+
+    return df.mapInArrow(measure, StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in MEASURES)]))
+
+
+def _with_images(batch: pa.RecordBatch, changed: list[Stack]) -> pa.RecordBatch:
+    """The batch with other images in some of its rows."""
+    column = batch.column("pixels")
+    values, starts, lengths = _flat(column)
+    height, width = _numbers(batch.column("height")), _numbers(batch.column("width"))
+    sizes = lengths.copy()
+    for rows, stack in changed:
+        height[rows], width[rows] = stack.shape[1:3]
+        sizes[rows] = stack[0].size
+    begins = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()))
+    same = np.ones(len(sizes), bool)
+    for rows, stack in changed:
+        out[begins[rows][:, None] + np.arange(stack[0].size)] = stack.reshape(len(rows), -1)
+        same[rows] = False
+    for row in np.flatnonzero(same & (lengths > 0)).tolist():
+        out[begins[row] : begins[row] + lengths[row]] = values[starts[row] : starts[row] + lengths[row]]
+    offsets = pa.array(np.append(begins, sizes.sum()), pa.int32(), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
+    replaced = {"pixels": pa.ListArray.from_arrays(offsets, pa.array(out)), "height": pa.array(height, mask=height < 0), "width": pa.array(width, mask=width < 0)}
+    arrays = [replaced[f.name].cast(f.type) if f.name in replaced else batch.column(f.name) for f in batch.schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+
+def map_images(df: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """df with each stack of images changed; rows that are no image keep what they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _with_images(batch, [(rows, change(stack)) for rows, stack in stacks(batch)])
+
+    return df.mapInArrow(run, df.schema)
 
 
 ENHANCEMENTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"gamma_scale": px.gamma_scaled, "unsharp": px.unsharp, "frame_sharpen": px.frame_sharpen}
 
 
 def enhance_images(df: DataFrame, steps: tuple[str, ...] = ("gamma_scale", "unsharp")) -> DataFrame:
-    def change(image: np.ndarray, _: pd.Series) -> np.ndarray:
+    def change(stack: np.ndarray) -> np.ndarray:
         for step in steps:
-            image = ENHANCEMENTS[step](image)
-        return image
+            stack = ENHANCEMENTS[step](stack)
+        return stack
 
     return map_images(df, change)
 
 
 def resize_images(df: DataFrame, height: int, width: int) -> DataFrame:
-    return map_images(df, lambda image, _: px.resized(image, height, width))
-
-
-#: By level, entries in order as (probability, members); a member is a name with the least and largest of its
-#: parameter. An entry of several members takes one of them, each as likely.
-PLANS: dict[str, tuple[tuple[float, tuple[tuple[str, float, float], ...]], ...]] = {
-    "light": ((0.5, (("rotate90", 0, 4),)), (0.5, (("flip", 0, 3),)), (0.5, (("brightness_contrast", -0.1, 0.1),)), (0.3, (("gauss_noise", 5, 20),))),
+    return map_images(df, lambda stack: px.resized(stack, height, width))
+
+
+Range = tuple[float, float]
+Member = tuple[str, tuple[Range, ...]]
+#: By level, entries in order as (probability, members); a member is a name with the least and largest of each of its
+#: parameters. An entry of several members takes one of them, each as likely.
+PLANS: dict[str, tuple[tuple[float, tuple[Member, ...]], ...]] = {
+    "light": (
+        (0.5, (("rotate90", ((0, 4),)),)),
+        (0.5, (("flip", ((0, 3),)),)),
+        (0.5, (("brightness_contrast", ((-0.1, 0.1), (-0.1, 0.1))),)),
+        (0.3, (("gauss_noise", ((5, 20),)),)),
+    ),
     "medium": (
-        (0.5, (("rotate90", 0, 4),)), (0.5, (("flip", 0, 3),)), (0.3, (("transpose", 0, 0),)),
-        (0.3, (("grid_distortion", -0.3, 0.3), ("optical_distortion", -0.3, 0.3))),
-        (0.5, (("hue_saturation_value", -20, 20), ("brightness_contrast", -0.2, 0.2), ("gamma", 80, 120))),
-        (0.4, (("gauss_noise", 10, 30), ("iso_noise", 0.1, 0.5))), (0.3, (("motion_blur", 5, 5), ("median_blur", 5, 5), ("blur", 5, 5))),
-        (0.3, (("clahe", 2, 2),)), (0.3, (("sharpen", 0.2, 0.5),)), (0.3, (("image_compression", 70, 90),)),
+        (0.5, (("rotate90", ((0, 4),)),)),
+        (0.5, (("flip", ((0, 3),)),)),
+        (0.3, (("transpose", ()),)),
+        (0.3, (("grid_distortion", ((-0.3, 0.3),)), ("optical_distortion", ((-0.3, 0.3), (-0.3, 0.3))))),
+        (0.5, (("hue_saturation_value", ((-10, 10), (-20, 20), (-10, 10))), ("brightness_contrast", ((-0.2, 0.2), (-0.2, 0.2))), ("gamma", ((80, 120),)))),
+        (0.4, (("gauss_noise", ((10, 30),)), ("iso_noise", ((0.01, 0.05), (0.1, 0.5))))),
+        (0.3, (("motion_blur", ((5, 5),)), ("median_blur", ((5, 5),)), ("blur", ((5, 5),)))),
+        (0.3, (("clahe", ((2, 2),)),)),
+        (0.3, (("sharpen", ((0.2, 0.5), (0.5, 1.0))),)),
+        (0.3, (("image_compression", ((70, 90),)),)),
     ),
     "heavy": (
-        (0.7, (("rotate90", 0, 4),)), (0.7, (("flip", 0, 3),)), (0.5, (("transpose", 0, 0),)),
-        (0.5, (("grid_distortion", -0.5, 0.5), ("optical_distortion", -0.5, 0.5), ("elastic", 120, 120))),
-        (0.7, (("hue_saturation_value", -30, 30), ("brightness_contrast", -0.3, 0.3), ("gamma", 50, 150))),
-        (0.6, (("gauss_noise", 20, 50), ("iso_noise", 0.2, 0.7), ("multiplicative_noise", 0.8, 1.2))),
-        (0.5, (("motion_blur", 7, 7), ("median_blur", 7, 7), ("blur", 7, 7), ("gaussian_blur", 3, 7))),
-        (0.5, (("clahe", 4, 4), ("sharpen", 0.3, 0.7), ("emboss", 0.2, 0.5))), (0.4, (("coarse_dropout", 8, 8), ("cutout", 8, 8))),
-        (0.3, (("channel_shuffle", 0, 6), ("rgb_shift", -20, 20), ("channel_dropout", 0, 3))), (0.4, (("downscale", 0.5, 0.9), ("image_compression", 50, 80))),
+        (0.7, (("rotate90", ((0, 4),)),)),
+        (0.7, (("flip", ((0, 3),)),)),
+        (0.5, (("transpose", ()),)),
+        (0.5, (("grid_distortion", ((-0.5, 0.5),)), ("optical_distortion", ((-0.5, 0.5), (-0.5, 0.5))), ("elastic", ((120, 120), (6, 6), (3.6, 3.6))))),
+        (0.7, (("hue_saturation_value", ((-20, 20), (-30, 30), (-20, 20))), ("brightness_contrast", ((-0.3, 0.3), (-0.3, 0.3))), ("gamma", ((50, 150),)))),
+        (0.6, (("gauss_noise", ((20, 50),)), ("iso_noise", ((0.01, 0.1), (0.2, 0.7))), ("multiplicative_noise", ((0.8, 1.2),)))),
+        (0.5, (("motion_blur", ((7, 7),)), ("median_blur", ((7, 7),)), ("blur", ((7, 7),)), ("gaussian_blur", ((3, 7),)))),
+        (0.5, (("clahe", ((4, 4),)), ("sharpen", ((0.3, 0.7), (0.5, 1.0))), ("emboss", ((0.2, 0.5), (0.2, 0.7))))),
+        (0.4, (("coarse_dropout", ((8, 8),)), ("cutout", ((8, 8),)))),
+        (0.3, (("channel_shuffle", ()), ("rgb_shift", ((-20, 20), (-20, 20), (-20, 20))), ("channel_dropout", ((0, 3),)))),
+        (0.4, (("downscale", ((0.5, 0.9),)), ("image_compression", ((50, 80),)))),
     ),
 }
+VALUES = ("value", "second", "third")
+
+
+def _member(name: str, ranges: tuple[Range, ...]) -> Column:
+    ends = [(F.lit(float(ranges[i][0])), F.lit(float(ranges[i][1]))) if i < len(ranges) else (F.lit(None).cast("double"),) * 2 for i in range(len(VALUES))]
+    return F.struct(F.lit(name).alias("name"), *(x.alias(f"{end}_{v}") for v, pair in zip(VALUES, ends, strict=True) for end, x in zip(("low", "high"), pair, strict=True)))
 
 
 def augmentation_plan(df: DataFrame, level: str = "medium", epochs: int = 1, seed: int = 42, key: str = "sample_id") -> DataFrame:
-    """key, epoch, step, transform, value: what each sample gets in each epoch, by hash; the same whatever else is planned. Unknown levels are heavy."""
+    """key, epoch, step, transform, value, second, third: what each sample gets in each epoch, by hash; the same whatever else is planned.
+
+    A transform has up to three parameters, drawn apart; one that it lacks is null. Unknown levels are heavy.
+    """
     entries = PLANS.get(level, PLANS["heavy"])
-    steps = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(p).alias("p"), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(z)).alias("high")) for n, a, z in members)).alias("members")) for i, (p, members) in enumerate(entries)))
+    steps = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(p).alias("p"), F.array(*(_member(*m) for m in members)).alias("members")) for i, (p, members) in enumerate(entries)))
     rows = df.select(key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("s", F.explode(steps)).select(key, "epoch", "s.*")
     taken = rows.where(hash_uniform(seed, key, "epoch", "step") < F.col("p"))
     pick = F.floor(hash_uniform(seed + 1, key, "epoch", "step") * F.size("members")).cast("int")
     member = F.get("members", pick)
-    return taken.select(key, "epoch", "step", member["name"].alias("transform"), (member["low"] + hash_uniform(seed + 2, key, "epoch", "step") * (member["high"] - member["low"])).alias("value"))
-
+    drawn = [(member[f"low_{v}"] + hash_uniform(seed + 2 + i, key, "epoch", "step") * (member[f"high_{v}"] - member[f"low_{v}"])).alias(v) for i, v in enumerate(VALUES)]
+    return taken.select(key, "epoch", "step", member["name"].alias("transform"), *drawn)
 
 
-def _seed(row: pd.Series) -> int:
-    return zlib.crc32(f"{row['__key']}|{row['epoch']}".encode())
+def _over(values: np.ndarray, stack: np.ndarray) -> np.ndarray:
+    return values.reshape(-1, *(1,) * (stack.ndim - 1))
 
 
-def _contrast(image: np.ndarray, value: float) -> np.ndarray:
-    return (1 + value) * image + value * 255
+def _noise(stack: np.ndarray, rngs: list[np.random.Generator]) -> np.ndarray:
+    return np.stack([rng.normal(0, 1, stack.shape[1:]) for rng in rngs])
 
 
-def _dropout(image: np.ndarray, rng: np.random.Generator, holes: int) -> np.ndarray:
-    out = image.copy()
-    h, w = image.shape[:2]
-    for _ in range(holes):
-        y, x = rng.integers(0, h), rng.integers(0, w)
-        out[y : y + max(1, h // 8), x : x + max(1, w // 8)] = 0
+def _dropout(stack: np.ndarray, rngs: list[np.random.Generator], holes: int) -> np.ndarray:
+    out = stack.copy()
+    h, w = stack.shape[1:3]
+    for image, rng in zip(out, rngs, strict=True):
+        for y, x in zip(rng.integers(0, h, holes), rng.integers(0, w, holes), strict=True):
+            image[y : y + max(1, h // 8), x : x + max(1, w // 8)] = 0
     return out
 
 
-def transformed(image: np.ndarray, name: str, value: float, rng: np.random.Generator) -> np.ndarray:
-    """The image after one step of a plan; transforms that need a codec or a distortion library leave it as it is."""
-    channels = image.ndim == 3
+#: Transforms whose first parameter decides on the shape or the kernel: images go together only where it is the same.
+ALIKE = ("rotate90", "flip", "blur", "gaussian_blur", "median_blur", "downscale", "coarse_dropout", "cutout", "channel_dropout")
+WHOLE = ("rotate90", "flip", "channel_dropout")
+
+
+def transformed(stack: np.ndarray, name: str, values: np.ndarray, rngs: list[np.random.Generator]) -> np.ndarray:
+    """The images after one step of a plan; values: parameters of each image. Transforms that need a codec or a distortion library leave them as they are."""
+    channels = stack.ndim == 4
+    first = values[:, 0]
+    kind = first[0]
     if name == "rotate90":
-        return np.rot90(image, int(value))
+        return np.rot90(stack, int(kind), axes=(1, 2))
     if name == "flip":
-        return image[::-1] if int(value) == 0 else image[:, ::-1] if int(value) == 1 else image[::-1, ::-1]
+        return stack[:, ::-1] if int(kind) == 0 else stack[:, :, ::-1] if int(kind) == 1 else stack[:, ::-1, ::-1]
     if name == "transpose":
-        return image.swapaxes(0, 1)
+        return stack.swapaxes(1, 2)
     if name == "brightness_contrast":
-        return px.saturated(_contrast(image, value))
+        return px.saturated((1 + _over(values[:, 1], stack)) * stack + _over(first, stack) * 255)
     if name == "gamma":
-        return px.saturated((image / 255) ** (value / 100) * 255)
+        return px.saturated((stack / 255) ** (_over(first, stack) / 100) * 255)
     if name == "gauss_noise":
-        return px.saturated(image + rng.normal(0, np.sqrt(value), image.shape))
+        return px.saturated(stack + _noise(stack, rngs) * np.sqrt(_over(first, stack)))
     if name == "multiplicative_noise":
-        return px.saturated(image * value)
+        return px.saturated(stack * _over(first, stack))
     if name == "blur":
-        size = int(value)
-        return px.saturated(px.filtered(image, np.full((size, size), 1 / size**2)))
+        return px.saturated(px.filtered(stack, np.full((int(kind),) * 2, 1 / int(kind) ** 2)))
     if name == "gaussian_blur":
-        return px.saturated(px.blurred(image, value / 6))
+        return px.saturated(px.blurred(stack, kind / 6))
     if name == "median_blur":
-        return px.median_filtered(image, int(value))
+        return px.median_filtered(stack, int(kind))
     if name in ("sharpen", "emboss"):
-        return px.saturated((1 - value) * image + value * px.filtered(image, px.SHARPEN if name == "sharpen" else px.EMBOSS))
+        alpha = _over(first, stack)
+        return px.saturated((1 - alpha) * stack + alpha * px.filtered(stack, px.SHARPEN if name == "sharpen" else px.EMBOSS))
     if name in ("coarse_dropout", "cutout"):
-        return _dropout(image, rng, int(value))
+        return _dropout(stack, rngs, int(kind))
     if name == "downscale":
-        h, w = image.shape[:2]
-        return px.saturated(px.resized(px.resized(image, max(1, int(h * value)), max(1, int(w * value))), h, w))
+        h, w = stack.shape[1:3]
+        return px.saturated(px.resized(px.resized(stack, max(1, int(h * kind)), max(1, int(w * kind))), h, w))
     if name == "channel_shuffle" and channels:
-        return image[..., rng.permutation(image.shape[2])]
-    if name == "rgb_shift" and channels:
-        return px.saturated(image + rng.uniform(-abs(value), abs(value), image.shape[2]))
+        return np.stack([image[..., rng.permutation(stack.shape[3])] for image, rng in zip(stack, rngs, strict=True)])
+    if name == "rgb_shift" and channels and stack.shape[3] == 3:
+        return px.saturated(stack + values[:, None, None, :3])
     if name == "channel_dropout" and channels:
-        out = image.copy()
-        out[..., int(value) % image.shape[2]] = 128
+        out = stack.copy()
+        out[..., int(kind) % stack.shape[3]] = 128
         return out
-    return image
+    return stack
+
+
+def _augmented(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch (__key, epoch, __steps) with the steps of each row applied in order, those of equal kind and size together."""
+    images = {int(row): image for rows, stack in stacks(batch) for row, image in zip(rows, stack, strict=True)}
+    keys, epochs, steps = (batch.column(c).to_pylist() for c in ("__key", "epoch", "__steps"))
+    rngs = {row: np.random.default_rng(zlib.crc32(f"{keys[row]}|{epochs[row]}".encode())) for row in images}
+    for turn in range(max((len(s or ()) for s in steps), default=0)):
+        together: defaultdict[tuple, list[int]] = defaultdict(list)
+        for row, image in images.items():
+            if steps[row] and turn < len(steps[row]):
+                step = steps[row][turn]
+                value = step["value"] if step["transform"] in ALIKE else None
+                together[step["transform"], image.shape, int(value) if step["transform"] in WHOLE else value].append(row)
+        for (name, _, _), rows in together.items():
+            values = np.array([[steps[row][turn][v] for v in VALUES] for row in rows], np.float64)
+            changed = transformed(np.stack([images[row] for row in rows]), name, values, [rngs[row] for row in rows])
+            images.update(zip(rows, changed, strict=True))
+    by_shape: defaultdict[tuple, list[int]] = defaultdict(list)
+    for row, image in images.items():
+        by_shape[image.shape].append(row)
+    return _with_images(batch, [(np.array(rows), np.stack([images[row] for row in rows])) for rows in by_shape.values()])
 
 
 def apply_augmentation(df: DataFrame, plan: DataFrame, epochs: int = 1, key: str = "sample_id") -> DataFrame:
     """df for each epoch, the steps of the plan applied in order; a sample without a step in an epoch is unchanged there."""
-    steps = plan.groupBy(F.col(key).alias("__key"), "epoch").agg(F.sort_array(F.collect_list(F.struct("step", "transform", "value"))).alias("__steps"))
+    steps = plan.groupBy(F.col(key).alias("__of"), F.col("epoch").alias("__epoch")).agg(F.sort_array(F.collect_list(F.struct("step", "transform", *VALUES))).alias("__steps"))
     spread = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    rows = spread.join(steps.withColumnRenamed("epoch", "__epoch"), (F.col(key) == F.col("__key")) & (F.col("epoch") == F.col("__epoch")), "left").drop("__epoch").withColumn("__key", F.col(key).cast("string"))
-
-    def change(image: np.ndarray, row: pd.Series) -> np.ndarray:
-        rng = np.random.default_rng(_seed(row))
-        for step in row["__steps"] if row["__steps"] is not None else ():
-            image = transformed(image, step["transform"], step["value"], rng)
-        return np.ascontiguousarray(image)
-
-    return map_images(rows, change).drop("__key", "__steps")
+    rows = spread.join(steps, (F.col(key) == F.col("__of")) & (F.col("epoch") == F.col("__epoch")), "left").drop("__of", "__epoch").withColumn("__key", F.col(key).cast("string"))
+    return rows.mapInArrow(lambda batches: map(_augmented, batches), rows.schema).drop("__key", "__steps")

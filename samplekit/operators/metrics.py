@@ -56,7 +56,7 @@ def biometric_metrics(df: DataFrame, by: list[str], targets: tuple[float, ...] =
     from samplekit.operators import curves
 
     rates = with_error_rates(confusion(df, by, threshold=threshold, score=score, label=label))
-    return rates.join(curves.equal_error(df, by, score=score, label=label), by, "left").join(curves.bpcer_at_apcer(df, by, targets, iso=iso, score=score, label=label), by, "left")
+    return rates.join(curves.biometric_points(df, by, targets, iso=iso, score=score, label=label), by, "left")
 
 
 def classification_report(df: DataFrame, by: list[str], *, threshold: float = 0.5, score: str = "score", label: str = "label", names: tuple[str, str] = ("Bonafide", "Attack")) -> DataFrame:
@@ -162,4 +162,4 @@ def evaluation(df: DataFrame, by: list[str], *, threshold: float = 0.5, score: s
     from samplekit.operators import curves
 
     counts = with_error_rates(standard_metrics(df, by, threshold=threshold, score=score, label=label))
-    return counts.join(curves.roc_auc(df, by, score=score, label=label), by, "left").join(curves.average_precision(df, by, score=score, label=label), by, "left").join(curves.equal_error(df, by, score=score, label=label), by, "left")
+    return counts.join(curves.curve_metrics(df, by, score=score, label=label), by, "left")

@@ -58,8 +58,10 @@ def generalisation_gap(logs: DataFrame, metrics: list[str], *, run: str = "run_i
     return rows.withColumn("best", turn == 1)
 
 
-def time_stats(logs: DataFrame, *, run: str = "run_id", seconds: str = "seconds") -> DataFrame:
-    return logs.groupBy(run).agg(F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.max(seconds).alias("longest"))
+def time_stats(logs: DataFrame, *, run: str = "run_id", seconds: str = "seconds", memory: tuple[str, ...] = ("cpu_memory", "gpu_memory")) -> DataFrame:
+    """run, total, mean and longest seconds of its epochs; mean_ and peak_ of each of the memory columns that the logs have."""
+    of_memory = [f(c).alias(f"{name}_{c}") for c in memory if c in logs.columns for name, f in (("mean", F.avg), ("peak", F.max))]
+    return logs.groupBy(run).agg(F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.max(seconds).alias("longest"), *of_memory)
 
 
 def job_summary(runs: DataFrame) -> DataFrame:

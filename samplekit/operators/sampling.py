@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplekit.functions.hashing import hash_key, with_hash_rank
+from samplekit.functions.hashing import with_hash_rank
 
 
 def check_share(share: float, name: str = "share") -> None:
@@ -13,17 +13,32 @@ def check_share(share: float, name: str = "share") -> None:
         raise ValueError(f"{name} must lie in [0, 1]: {share}")
 
 
-def with_exact_rank(df: DataFrame, by: list[str], value: str, key: str, rank: str = "rank", parts: int = 256) -> DataFrame:
-    """df with its rank, from 1, by value (largest first) and key within `by`: over value ranges first, so that no task sorts a whole group. Null values come last."""
-    reach = df.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high")).select(*[F.col(c).alias(f"__r_{c}") for c in by], "__low", "__high")
+def _bounds(value: Column, parts: int) -> Column:
+    return F.percentile_approx(value, [k / parts for k in range(1, parts)], 100 * parts)
+
+
+def _below(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(bounds, lambda x: x < value))
+
+
+def with_exact_rank(df: DataFrame, by: list[str], value: str, key: str, rank: str = "rank", parts: int = 64) -> DataFrame:
+    """df with its rank, from 1, by value (largest first) and key within `by`. Null values come last.
+
+    Rows are counted by parts of each group first, between approximate quantiles of the value. A value that makes up several quantiles is a part
+    of its own, cut further by quantiles of the key where that is a number: neither an outlier nor many ties make one task sort a whole group.
+    """
+    numeric = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+    of_key = _bounds(F.col(key), parts) if numeric else F.array().cast("array<double>")
+    reach = df.groupBy(*by).agg(_bounds(F.col(value), parts).alias("__values"), of_key.alias("__keys")).select(*[F.col(c).alias(f"__r_{c}") for c in by], "__values", "__keys")
     own = df.join(reach, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by] or F.lit(True))
-    share = F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
-    own = own.withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(F.floor(share * (parts - 1)), F.lit(0))).cast("int"))
-    sizes = own.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
-    above = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(c).alias(f"__o_{c}") for c in by], F.col("__part").alias("__of"), F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__before"))
-    ranked = own.withColumn("__within", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(F.desc_nulls_last(value), key)))
-    match = [F.col("__part") == F.col("__of"), *(F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in by)]
+    tied = F.size(F.filter("__values", lambda x: x == F.col(value))) > 1
+    own = own.withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(2 * _below(F.col("__values"), F.col(value)) + tied.cast("int")))
+    own = own.withColumn("__sub", F.when(F.col(value).isNull() | tied, _below(F.col("__keys"), F.col(key))).otherwise(0))
+    sizes = own.groupBy(*by, "__part", "__sub").agg(F.count("*").alias("__rows"))
+    above = Window.partitionBy(*by).orderBy(F.desc("__part"), "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"__o_{c}") for c in by], F.col("__part").alias("__of"), F.col("__sub").alias("__of_sub"), F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__before"))
+    ranked = own.withColumn("__within", F.row_number().over(Window.partitionBy(*by, "__part", "__sub").orderBy(F.desc_nulls_last(value), key)))
+    match = [F.col("__part") == F.col("__of"), F.col("__sub") == F.col("__of_sub"), *(F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in by)]
     return ranked.join(offsets, match).withColumn(rank, (F.col("__before") + F.col("__within")).cast("long")).select(*df.columns, rank)
 
 
@@ -53,7 +68,8 @@ def sample_frames(manifest: DataFrame, most: int = 20) -> DataFrame:
     return manifest.withColumn("frame", F.explode(frames))
 
 
-def _quota_ranks(df: DataFrame, by: list[str], label: str, key: str, seed: int) -> DataFrame:
+def with_quota_ranks(df: DataFrame, by: list[str], label: str, key: str, seed: int) -> DataFrame:
+    """df with its hash ranks within a class of a group and within the group."""
     return with_hash_rank(with_hash_rank(df, seed, key, [*by, label], "__in_class"), seed, key, by, "__in_all")
 
 
@@ -63,19 +79,26 @@ def resample_to(df: DataFrame, targets: DataFrame, *, by: list[str], label: str
     Down: each class gets its share, rounded down, in hash order; what is missing is taken from the rest in hash order. Up: the whole
     group is repeated, and the remainder is its first rows in hash order. Groups without a target go.
     """
-    counts = _totals(df, by, label).select(*by, label, "n", "total").join(targets.select(*by, F.col("target").cast("long").alias("__target")), by)
+    return resample_ranked(with_quota_ranks(df, by, label, key, seed), targets, by=by, label=label, key=key, seed=seed)
+
+
+def resample_ranked(ranked: DataFrame, targets: DataFrame, *, by: list[str], label: str, key: str, seed: int) -> DataFrame:
+    """resample_to of rows that have their ranks of with_quota_ranks already; whole groups may stand in several groups of by."""
+    columns = [c for c in ranked.columns if c not in ("__in_class", "__in_all")]
+    counts = _totals(ranked, by, label).select(*by, label, "n", "total").join(targets.select(*by, F.col("target").cast("long").alias("__target")), by)
     quota = F.floor(F.col("__target") * (F.col("n") / F.col("total"))).cast("long")
     counts = counts.withColumn("__quota", F.least("n", quota))
     counts = counts.withColumn("__missing", F.col("__target") - F.sum("__quota").over(Window.partitionBy(*by)))
-    rows = _quota_ranks(df, by, label, key, seed).join(counts.select(*by, label, "total", "__target", "__quota", "__missing"), [*by, label])
+    rows = ranked.join(counts.select(*by, label, "total", "__target", "__quota", "__missing"), [*by, label])
     up = rows.where(F.col("total") < F.col("__target"))
     times = F.floor(F.col("__target") / F.col("total")) + F.when(F.col("__in_all") <= F.col("__target") % F.col("total"), 1).otherwise(0)
-    up = up.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("replica_no"))
+    up = up.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("replica_no"))
     down = rows.where(F.col("total") >= F.col("__target"))
     first = down.where("__in_class <= __quota")
-    rest = with_hash_rank(down.where("__in_class > __quota"), seed, key, by, "__spare").where("__spare <= __missing")
+    few = down.where("__in_class > __quota and __in_class <= __quota + __missing")  # no class gives more than all that is missing, fewer than classes
+    rest = few.withColumn("__spare", F.row_number().over(Window.partitionBy(*by).orderBy("__in_all"))).where("__spare <= __missing")
     one = F.lit(1).cast("long").alias("replica_no")
-    return up.unionByName(first.select(*df.columns, one)).unionByName(rest.select(*df.columns, one))
+    return up.unionByName(first.select(*columns, one)).unionByName(rest.select(*columns, one))
 
 
 def balance_targets(df: DataFrame, *, source: str = "dataset", by: list[str] | None = None, cap: int | None = None) -> DataFrame:
@@ -169,7 +192,3 @@ def folds(df: DataFrame, k: int = 5, *, label: str = "label", by: list[str] | No
 def preview(df: DataFrame, n: int, key: str = "sample_id") -> DataFrame:
     """The first n rows by key."""
     return df.orderBy(key).limit(n)
-
-
-def hash_of(key: str, seed: int = 42) -> Column:
-    return hash_key(seed, key)

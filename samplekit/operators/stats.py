@@ -39,6 +39,23 @@ def dataset_stats(df: DataFrame, *, source: str = "dataset", quality: str = "qua
     return df.groupBy(F.col(source).alias("dataset_name")).agg(*(c.alias(k) for k, c in (counts | rest).items()))
 
 
+def with_settings(
+    stats: DataFrame, *, video_like: tuple[str, ...] = (), target_size: tuple[int, int] = (256, 256), train_ratio: float = 0.8, quality_threshold: float = 0.65,
+    balanced: bool = True, quality_enhanced: bool = True, synthetic_data: bool = False, created: Column | None = None,
+) -> DataFrame:
+    """dataset_stats with how the sets were made: creation_time (now, if not given), target_size, train_ratio, quality_threshold, data_type and flags."""
+    return stats.withColumns({
+        "creation_time": F.current_timestamp() if created is None else created,
+        "target_size": F.array(*map(F.lit, target_size)),
+        "train_ratio": F.lit(float(train_ratio)),
+        "quality_threshold": F.lit(float(quality_threshold)),
+        "data_type": F.when(F.col("dataset_name").isin(*video_like), "video").otherwise("image"),
+        "balanced": F.lit(balanced),
+        "quality_enhanced": F.lit(quality_enhanced),
+        "synthetic_data": F.lit(synthetic_data),
+    })
+
+
 def combined_stats(df: DataFrame, *, source: str = "dataset") -> DataFrame:
     """One row: totals, included_datasets and samples_per_dataset (a map of train and test sizes)."""
     per = df.groupBy(source).agg(F.count_if(_of("train")).alias("train"), F.count_if(_of("test")).alias("test"))
@@ -55,8 +72,13 @@ def overall_stats(stats: DataFrame) -> DataFrame:
 
 
 def loader_info(df: DataFrame, *, label: str = "label") -> DataFrame:
-    """split, size, classes, class_0 and class_1: rows of each class."""
-    return df.groupBy("split").agg(F.count("*").alias("size"), F.count_distinct(label).alias("classes"), F.count_if(F.col(label) == 0).alias("class_0"), F.count_if(F.col(label) == 1).alias("class_1"))
+    """split, size, classes, class_0 and class_1 (rows of each class), share_0 and share_1; of images (height, width, pixels) input_shape too."""
+    counts = {"size": F.count("*"), "classes": F.count_distinct(label), "class_0": F.count_if(F.col(label) == 0), "class_1": F.count_if(F.col(label) == 1)}
+    if {"height", "width", "pixels"} <= set(df.columns):
+        channels = F.max(F.try_divide(F.size("pixels"), F.col("height") * F.col("width"))).cast("int")
+        counts["input_shape"] = F.array(F.max("height"), F.max("width"), channels)
+    out = df.groupBy("split").agg(*(c.alias(k) for k, c in counts.items()))
+    return out.withColumns({f"share_{k}": F.col(f"class_{k}") / F.col("size") for k in (0, 1)})
 
 
 def rollup_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,18 +98,38 @@ def rejection_report(df: DataFrame, by: list[str], *, accepted: str = "accepted"
     return df.groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(accepted).alias("kept"), F.avg(F.col(accepted).cast("int")).alias("success_rate"), F.avg(F.when(F.col(accepted), F.col(quality))).alias("mean_quality"))
 
 
-def markdown_report(stats: DataFrame) -> DataFrame:
-    """dataset_name, value: a section of Markdown for each row of dataset_stats."""
-    def n(column: str) -> Column:
-        return F.col(column).cast("string")
+def _shown(column: str | Column, digits: int = 3) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(F.round(column, digits).cast(f"decimal(12,{digits})").cast("string"), F.lit("-"))
+
+
+def _counted(column: str) -> Column:
+    return F.format_number(column, 0)
+
+
+def markdown_report(stats: DataFrame, *, quality_threshold: float = 0.65) -> DataFrame:
+    """part, dataset_name, value: Markdown of a summary table (part 0), a section for each row of dataset_stats with data_type (1), and the range of quality (2)."""
+    whole = overall_stats(stats)
+    rows = [("Datasets", _counted("datasets")), ("Samples", _counted("total_samples")), ("Training samples", _counted("train_samples")), ("Test samples", _counted("test_samples"))]
+    rows += [("Mean quality", _shown("average_quality")), ("Quality threshold", F.lit(f"{quality_threshold:g}"))]
+    table = [F.concat(F.lit(f"| {name} | "), value, F.lit(" |")) for name, value in rows]
+    summary = [F.lit("## Summary"), F.lit(""), F.lit("| What | Value |"), F.lit("| --- | --- |"), *table]
+    reach = F.concat(F.lit("- Range of quality: "), _shown("min_quality"), F.lit(" to "), _shown("max_quality"))
+    analysis = [F.lit("## Quality"), F.lit(""), F.lit(f"- Threshold: {quality_threshold:g}"), F.concat(F.lit("- Mean quality: "), _shown("average_quality")), reach]
 
-    def share(column: str, digits: int) -> Column:
-        return F.coalesce(F.round(column, digits).cast(f"decimal(12,{digits})").cast("string"), F.lit("-"))
+    def split_line(name: str, split: str) -> Column:
+        return F.concat(F.lit(f"- {name}: "), _counted(f"{split}_samples"), F.lit(" (bonafide "), _counted(f"{split}_bonafide"), F.lit(", attack "), _counted(f"{split}_attack"), F.lit(")"))
 
-    lines = [
-        F.concat(F.lit("### "), "dataset_name"), F.lit(""), F.concat(F.lit("- Samples: "), n("total_samples")),
-        F.concat(F.lit("- Train: "), n("train_samples"), F.lit(" (bonafide "), n("train_bonafide"), F.lit(", attack "), n("train_attack"), F.lit(")")),
-        F.concat(F.lit("- Test: "), n("test_samples"), F.lit(" (bonafide "), n("test_bonafide"), F.lit(", attack "), n("test_attack"), F.lit(")")),
-        F.concat(F.lit("- Attack share: train "), share("train_balance_ratio", 3), F.lit(", test "), share("test_balance_ratio", 3)),
+    section = [
+        F.concat(F.lit("### "), "dataset_name"),
+        F.lit(""),
+        F.concat(F.lit("- Type: "), "data_type"),
+        F.concat(F.lit("- Samples: "), _counted("total_samples")),
+        split_line("Train", "train"),
+        split_line("Test", "test"),
+        F.concat(F.lit("- Attack share: train "), _shown("train_balance_ratio"), F.lit(", test "), _shown("test_balance_ratio")),
+        F.concat(F.lit("- Quality: train "), _shown("avg_train_quality"), F.lit(", test "), _shown("avg_test_quality")),
     ]
-    return stats.select("dataset_name", F.concat_ws("\n", *lines).alias("value"))
+    none = F.lit(None).cast("string").alias("dataset_name")
+    parts = [whole.select(F.lit(k).alias("part"), none, F.concat_ws("\n", *lines).alias("value")) for k, lines in ((0, summary), (2, analysis))]
+    return parts[0].unionByName(stats.select(F.lit(1).alias("part"), "dataset_name", F.concat_ws("\n", *section).alias("value"))).unionByName(parts[1])

@@ -33,7 +33,7 @@ MANIFEST = "manifest as (select user_id as video_id, count(*) as total_frames fr
 EPOCHS = """epochs as (
   select * from (select user_id as run_id, row_number() over (partition by user_id order by ts, event_id) - 1 as epoch,
     value as val_loss, cast((event_id * 37) % 256 as double) / 256 as val_accuracy, cast((event_id * 91) % 256 as double) / 256 as accuracy, value * 0.9e0 as loss,
-    cast(event_id % 13 as double) as seconds from events) e where epoch < 50)"""
+    cast(event_id % 13 as double) as seconds from events) e)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr(
         "user_id as run_id", "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as epoch", "value as val_loss",
         "cast((event_id * 37) % 256 as double) / 256 as val_accuracy", "cast((event_id * 91) % 256 as double) / 256 as accuracy", "value * 0.9D as loss", "cast(event_id % 13 as double) as seconds",
-    ).where("epoch < 50")
+    )
 
 
 def full(sql: str) -> str:

@@ -44,6 +44,20 @@ RANKED = RESULTS + f", means as (select model, {MEANS} from results group by mod
 MOMENTS = RESULTS + ", mo as (select model, count(*) as n, avg(accuracy) as mean, var_pop(accuracy) as var from results group by model)"
 TEST_SUM = "select sum(n * mean) / sum(n) as grand, sum(n) as k, count(*) as g, sum(n * var) as w, sum(n * mean * mean) as sq from mo"
 
+def _time_stats(spark, d):  # noqa: ANN001, ANN202
+    """Shares of two columns stand for the use of memory."""
+    logs = b.epochs(spark, d).withColumns({"cpu_memory": F.col("val_accuracy") * 100, "gpu_memory": F.col("accuracy") * 100})
+    columns = ("total", "mean", "longest", "mean_cpu_memory", "peak_cpu_memory", "mean_gpu_memory", "peak_gpu_memory")
+    return r6(runs.time_stats(logs), *columns)
+
+
+TIME_STATS = b.EPOCHS + """
+select run_id, round(sum(seconds), 6) as total, round(avg(seconds), 6) as mean, round(max(seconds), 6) as longest,
+  round(avg(val_accuracy * 100), 6) as mean_cpu_memory, round(max(val_accuracy * 100), 6) as peak_cpu_memory,
+  round(avg(accuracy * 100), 6) as mean_gpu_memory, round(max(accuracy * 100), 6) as peak_gpu_memory
+from epochs group by run_id"""
+
+
 QUERIES = {
     "g01_flatten_results": (lambda spark, d: r6(compare.flatten_results(results(spark, d).select(*BY, F.struct("accuracy", "f1_score").alias("standard"), F.struct("acer", "eer").alias("biometric")), ["standard", "biometric"]), "accuracy", "f1_score", "acer", "eer"), RESULTS + f" select {KEYS}, round(accuracy, 6) as accuracy, round(f1_score, 6) as f1_score, round(acer, 6) as acer, round(eer, 6) as eer from results"),
     "g02_best_by_metric": (lambda spark, d: r6(compare.best_by(results(spark, d).withColumns({m: F.round(m, 6) for m in METRICS}), {"accuracy": "max", "f1_score": "max", "acer": "min", "eer": "min"}, BY), "value"), RESULTS + ", v as (" + " union all ".join(f"select '{m}' as metric, {KEYS}, round({m}, 6) as value, {s}round({m}, 6) as o from results" for m, s in (("accuracy", "-"), ("f1_score", "-"), ("acer", ""), ("eer", ""))) + f") select metric, {KEYS}, value from (select *, row_number() over (partition by metric order by o, {KEYS}) as j from v) where j = 1"),
@@ -70,7 +84,7 @@ QUERIES = {
     "h03_plateau_replay": (lambda spark, d: runs.plateau_replay(b.epochs(spark, d)), None),
     "h04_warmup_rates": (lambda spark, d: r6(runs.warmup_rates(b.epochs(spark, d).select("run_id", "epoch")), "warmup_lr"), b.EPOCHS + " select run_id, epoch, round(case when epoch < 5 then 1e-3 * (epoch + 1) / 5 else 1e-3 end, 6) as warmup_lr from epochs"),
     "h05_generalisation_gap": (lambda spark, d: r6(runs.generalisation_gap(b.epochs(spark, d), ["loss", "accuracy"]), "train", "val", "gap"), b.EPOCHS + ", p as (select run_id, epoch, 'loss' as metric, loss as train, val_loss as val, val_loss as o from epochs union all select run_id, epoch, 'accuracy', accuracy, val_accuracy, -val_accuracy from epochs) select run_id, epoch, metric, round(train, 6) as train, round(val, 6) as val, round(val - train, 6) as gap, row_number() over (partition by run_id, metric order by o, epoch) = 1 as best from p"),
-    "h06_time_stats": (lambda spark, d: r6(runs.time_stats(b.epochs(spark, d)), "total", "mean", "longest"), b.EPOCHS + " select run_id, round(sum(seconds), 6) as total, round(avg(seconds), 6) as mean, round(max(seconds), 6) as longest from epochs group by run_id"),
+    "h06_time_stats": (_time_stats, TIME_STATS),
     "h07_job_summary": (lambda spark, d: runs.job_summary(_runs(spark, d)).select("total", "successful", "failed", F.array_join("failed_jobs", ",").alias("failed_jobs"), F.round("success_rate", 6).alias("success_rate")), RUNS + " select count(*) as total, count(*) filter (where success) as successful, count(*) filter (where not success) as failed, string_agg(job_key, ',' order by job_key) filter (where not success) as failed_jobs, round(avg(success::int), 6) as success_rate from runs"),
     "h08_best_runs": (lambda spark, d: r6(runs.best_runs(_runs(spark, d), ["dataset"]), "accuracy"), RUNS + " select dataset, job_key, round(a, 6) as accuracy from (select *, coalesce(accuracy, 0) as a, row_number() over (partition by dataset order by coalesce(accuracy, 0) desc, job_key) as j from runs where success) where j = 1"),
     "h09_training_time": (lambda spark, d: r6(runs.training_time(_runs(spark, d)), "total", "mean", "shortest", "longest"), RUNS + " select round(sum(training_time), 6) as total, round(avg(training_time), 6) as mean, min(training_time) as shortest, max(training_time) as longest from runs where success"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplekit.functions import normal
 from samplekit.operators import curves, metrics
 from samplekit.plans import bindings as b
 
@@ -56,6 +57,58 @@ def standard(spark: SparkSession, d: str) -> DataFrame:
     return r6(metrics.standard_metrics(predictions(spark, d), BY).select(*BY, *names), *names)
 
 
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    attack = F.col("score")
+    rows = predictions(spark, d).select(
+        "model", "trained_on", "sample_id", F.round(1 - attack, 6).alias("bonafide_prob"), F.round(attack, 6).alias("attack_prob"),
+        _half_labels().alias("predicted_label"), F.round(F.greatest(attack, 1 - attack), 6).alias("confidence"), (_half_labels() == F.col("label")).alias("correct"),
+    )
+    return rows
+
+
+DECISIONS = b.PREDICTIONS + """
+select model, trained_on, sample_id, round(1 - score, 6) as bonafide_prob, round(score, 6) as attack_prob, case when score > 1 - score then 1 else 0 end as predicted_label,
+  round(greatest(score, 1 - score), 6) as confidence, case when score > 1 - score then 1 else 0 end = label as correct
+from predictions"""
+
+
+def _weighted_loss(spark: SparkSession, d: str) -> DataFrame:
+    weighted = predictions(spark, d).withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(0.25))
+    return r6(metrics.cross_entropy(weighted, BY, weight="weight"), "loss")
+
+
+WEIGHTED_LOSS = b.PREDICTIONS + f"""
+, p as (select *, greatest(least(score, 1 - 1e-7), 1e-7) as attack, greatest(least(1 - score, 1 - 1e-7), 1e-7) as bonafide, case when label = 1 then 1.0::double else 0.25::double end as weight from predictions)
+select {KEYS}, round(sum(-(label * ln(attack) + (1 - label) * ln(bonafide)) * weight) / count(*), 6) as loss from p group by {KEYS}"""
+
+
+def _polynomial(values: tuple[float, ...], x: str) -> str:
+    out = f"{values[-1]!r}::double"
+    for value in values[-2::-1]:
+        out = f"({out} * {x} + {value!r}::double)"
+    return out
+
+
+def _deviate(p: str) -> str:
+    """The rational approximations of the normal quantile, as SQL."""
+    q, r = f"({p} - 0.5::double)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    parts = [(normal.MIDDLE, f"(0.180625::double - {q} * {q})"), (normal.AWAY, f"({r} - 1.6::double)"), (normal.TAIL, f"({r} - 5)")]
+    middle, away, tail = (f"{_polynomial(own[0], x)} / {_polynomial(own[1], x)}" for own, x in parts)
+    return f"case when {p} > 0 and {p} < 1 then case when abs{q} <= 0.425::double then {q} * {middle} when {r} <= 5 then sign{q} * {away} else sign{q} * {tail} end end"
+
+
+def _det(spark: SparkSession, d: str) -> DataFrame:
+    curve = curves.det_curve(predictions(spark, d), BY)
+    return r6(curve.select(*BY, "point", "fpr", "fnr", "fpr_deviate", "fnr_deviate"), "fpr", "fnr", "fpr_deviate", "fnr_deviate")
+
+
+DET = CURVE + f"""
+, points as (
+  select {KEYS}, k as point, fps::double / n as fpr, 1 - tps::double / p as fnr from corners
+  union all select distinct {KEYS}, 0, 0.0::double, 1.0::double from w)
+select {KEYS}, point, round(fpr, 6) as fpr, round(fnr, 6) as fnr, round({_deviate("fpr")}, 6) as fpr_deviate, round({_deviate("fnr")}, 6) as fnr_deviate from points"""
+
+
 QUERIES = {
     "f01_f02_f13_f15_confusion_rates": (confusion_slice, STANDARD + f" select {KEYS}, tp, fn, tn, fp, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(apcer, 6) as apcer, round(bpcer, 6) as bpcer, round((apcer + bpcer) / 2, 6) as acer from s"),
     "f02_f06_standard_metrics": (standard, STANDARD + f""" select {KEYS}, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(f1_score, 6) as f1_score,
@@ -89,7 +142,7 @@ QUERIES = {
     ),
     "f19_near_constant": (lambda spark, d: metrics.near_constant(predictions(spark, d), BY), b.PREDICTIONS + f", f as (select {KEYS}, arg_min(score, sample_id) as s0, min(score) as lo, max(score) as hi from predictions group by {KEYS}) select {KEYS}, greatest(hi - s0, s0 - lo) <= 1e-8 + 1e-5 * abs(s0) as constant from f"),
     "f20_det_rates": (lambda spark, d: r6(curves.roc_curve(predictions(spark, d), BY).select(*BY, "point", "fpr", (1 - F.col("tpr")).alias("fnr")), "fpr", "fnr"), CURVE + f" select {KEYS}, k as point, round(fps::double / n, 6) as fpr, round(1 - tps::double / p, 6) as fnr from corners union all select distinct {KEYS}, 0, 0.0::double, 1.0::double from w"),
-    "f20_det_curve": (lambda spark, d: curves.det_curve(predictions(spark, d), BY), None),
+    "f20_det_curve": (_det, DET),
     "f21_score_histogram": (lambda spark, d: r6(metrics.score_histogram(predictions(spark, d), ["model"]), "density"), b.PREDICTIONS + " select model, label, least(floor(score * 49), 48)::bigint as bin, count(*) as n, round(count(*) * 49.0::double / sum(count(*)) over (partition by model, label), 6) as density from predictions where score between 0 and 1 group by model, label, least(floor(score * 49), 48)"),
     "f22_error_by_confidence": (lambda spark, d: r6(metrics.error_by_confidence(predictions(spark, d), ["model"]), "error_rate"), b.PREDICTIONS + """, f as (select model, floor(score * 10)::bigint as bin, count(*) as n, avg((case when score > 0.5 then 1 else 0 end <> label)::int) as e from predictions where score >= 0 and score < 1 group by 1, 2)
         select m.model, k.bin, coalesce(n, 0) as n, round(coalesce(e, 0), 6) as error_rate from (select distinct model from predictions) m cross join (select unnest(range(10))::bigint as bin) k left join f on f.model = m.model and f.bin = k.bin"""),
@@ -106,7 +159,8 @@ QUERIES = {
         , c as (select *, sum(yes) over (partition by model order by b desc) as cy from k)
         select model, sum(tp)::bigint as tp, sum(fp)::bigint as fp, (sum(yes) - sum(tp))::bigint as fn, (sum(no) - sum(fp))::bigint as tn, round(sum(tp)::double / greatest(sum(tp) + sum(fp), 1), 6) as precision, round(sum(tp)::double / greatest(sum(yes), 1), 6) as recall,
           round(sum(no * (2 * cy - yes) / 2.0::double) / (sum(yes)::double * sum(no)), 6) as auc from c group by model"""),
+    "f28_weighted_cross_entropy": (_weighted_loss, WEIGHTED_LOSS),
     "f28_cross_entropy": (lambda spark, d: r6(metrics.cross_entropy(predictions(spark, d), BY, smoothing=0.1), "loss"), b.PREDICTIONS + f" select {KEYS}, round(avg(-((label * 0.9::double + 0.05::double) * ln(greatest(least(score, 1 - 1e-7), 1e-7)) + (1 - (label * 0.9::double + 0.05::double)) * ln(greatest(least(1 - score, 1 - 1e-7), 1e-7)))), 6) as loss from predictions group by {KEYS}"),
     "e09_score_profile": (lambda spark, d: r6(metrics.score_profile(predictions(spark, d), ["model"]).drop("counts"), "low", "high"), b.PREDICTIONS + " select model, round(min(score), 6) as low, round(max(score), 6) as high, count(distinct round(score, 6)) as distinct, count(distinct round(score, 6)) <= 3 as near_constant from predictions group by model"),
-    "b16_b17_decisions": (lambda spark, d: predictions(spark, d).where("model = 'm0' and trained_on = 'ds0'").select("sample_id", F.round(1 - F.col("score"), 6).alias("bonafide_prob"), F.round("score", 6).alias("attack_prob"), _half_labels().alias("predicted_label"), F.round(F.greatest("score", 1 - F.col("score")), 6).alias("confidence"), (_half_labels() == F.col("label")).alias("correct")), b.PREDICTIONS + " select sample_id, round(1 - score, 6) as bonafide_prob, round(score, 6) as attack_prob, case when score > 1 - score then 1 else 0 end as predicted_label, round(greatest(score, 1 - score), 6) as confidence, case when score > 1 - score then 1 else 0 end = label as correct from predictions where model = 'm0' and trained_on = 'ds0'"),
+    "b16_b17_decisions": (_decisions, DECISIONS),
 }

@@ -2,51 +2,77 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplekit.operators import mlgrid, runs, sampling, stats
+from samplekit.operators import metrics, mlgrid, runs, sampling
 from samplekit.plans import bindings as b
-from samplekit.plans.evaluation import r6
-from samplekit.plans.stats import SPLIT, STATS
+from samplekit.plans.evaluation import BY, COUNTS, KEYS, r6
+from samplekit.plans.stats import SPLIT, STATS, dataset_stats, split_quality
 from samplekit.sources import scan, sinks
+from samplekit.sources.shared import shared_folder
 from samplekit.streaming import running
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_split(b.samples(spark, d), 0.8, by=["dataset"])
 
 
 def dataset_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark)
+    path = shared_folder(spark)
     sinks.write_dataset(_split(spark, d).select("sample_id", "dataset", "split", "label"), path)
     return scan.read_dataset(spark, path, "ds1").select("sample_id", "dataset", "split", "label")
 
 
 def stats_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    from samplekit.plans.stats import _stats
+    path = shared_folder(spark)
+    sinks.write_stats(dataset_stats(spark, d), path)
+    read = scan.read_stats(spark, path)
+    return read.select("dataset_name", "total_samples", "train_ratio", "quality_threshold", "data_type", "balanced", F.array_join("target_size", "x").alias("size"), F.round("min_quality", 6).alias("min_quality"))
 
-    path = folder(spark)
-    sinks.write_stats(_stats(spark, d), path)
-    return scan.read_stats(spark, path).select("dataset_name", "total_samples", F.round("min_quality", 6).alias("min_quality"))
+
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark)
+    rows = split_quality(spark, d).select("sample_id", "dataset", "split", "composite_score", "sharpness", "contrast")
+    sinks.write_quality_report(rows, dataset_stats(spark, d), path)
+    written = spark.read.schema("sample_id long, composite_score double, sharpness double, contrast double, dataset string, split string").json(f"{path}/metrics")
+    found = written.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.avg("composite_score").alias("quality"), F.max("contrast").alias("contrast"))
+    sizes = scan.read_stats(spark, f"{path}/stats").select(F.col("dataset_name").alias("dataset"), "total_samples")
+    return r6(found.join(sizes, "dataset"), "quality", "contrast")
 
 
 def predictions_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark)
-    sinks.write_predictions(b.predictions(spark, d).where("trained_on = 'ds0'"), path)
+    path = shared_folder(spark)
+    sinks.write_predictions(b.predictions(spark, d), path)
     schema = "true_label int, predicted_label int, bonafide_prob double, attack_prob double, confidence double, correct boolean, model string, tested_on string"
     return spark.read.schema(schema).option("header", True).csv(path).groupBy("model", "tested_on").agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
 
 
+def _both_formats(spark: SparkSession, results: DataFrame) -> DataFrame:
+    """Results written as JSON and CSV, read again with form."""
+    path = shared_folder(spark)
+    sinks.write_results(results, path)
+    as_json = spark.read.schema(results.schema).json(f"{path}/json").withColumn("form", F.lit("json"))
+    return as_json.unionByName(spark.read.schema(results.schema).option("header", True).csv(f"{path}/csv").withColumn("form", F.lit("csv")))
+
+
+def evaluation_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    counts = metrics.confusion(b.predictions(spark, d), BY)
+    return _both_formats(spark, r6(metrics.with_error_rates(counts), "apcer", "bpcer", "acer").select(*BY, "tp", "fn", "tn", "fp", "apcer", "bpcer", "acer"))
+
+
+def comparison_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rates = metrics.standard_metrics(b.predictions(spark, d), ["model"])
+    return _both_formats(spark, r6(rates, "accuracy", "precision", "recall").select("model", "accuracy", "precision", "recall"))
+
+
+def epoch_logs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark)
+    logs = b.epochs(spark, d).select("run_id", "epoch", "loss", "val_loss")
+    logs.hint("rebalance", F.col("run_id")).write.partitionBy("run_id").option("header", True).csv(path)
+    return r6(scan.read_epoch_logs(spark, path, ["loss", "val_loss"]), "loss", "val_loss")
+
+
 def path_labels(spark: SparkSession, d: str) -> DataFrame:
     half = F.when(F.col("label") == 1, "attack").otherwise("bonafide")
     split = F.when(F.col("sample_id") % 4 == 0, "validation").otherwise("training")
@@ -56,8 +82,8 @@ def path_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _split(spark, d)
-    models = {k: m for k, m in mlgrid.estimators().items() if k != "perceptron"}
-    return mlgrid.score_matrix(mlgrid.train_grid(rows, models, ["ds1", "ds4"]), rows)
+    sources = sorted(r["dataset"] for r in rows.select("dataset").distinct().collect())
+    return mlgrid.score_matrix(mlgrid.train_grid(rows, mlgrid.estimators(), sources), rows)
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +102,17 @@ RATES = """e as (select date_trunc('day', ts) as start, case when event_type in
 QUERIES = {
     "a02_path_labels": (path_labels, b.SAMPLES + " select sample_id, label, case when sample_id % 4 = 0 then 'validation' else 'training' end as split from samples"),
     "a05_j01_dataset": (dataset_roundtrip, SPLIT + " select sample_id, dataset, split, label from split_rows where dataset = 'ds1'"),
-    "a06_j02_stats": (stats_roundtrip, STATS + " select dataset_name, total_samples, round(min_quality, 6) as min_quality from st"),
-    "j03_predictions": (predictions_roundtrip, b.PREDICTIONS + " select model, tested_on, count(*) as n, count(*) filter (where (case when score > 1 - score then 1 else 0 end) = label) as right from predictions where trained_on = 'ds0' group by model, tested_on"),
+    "a06_j02_stats": (stats_roundtrip, STATS + """ select dataset_name, total_samples, 0.8::double as train_ratio, 0.65::double as quality_threshold,
+      case when dataset_name in ('ds3', 'ds4') then 'video' else 'image' end as data_type, true as balanced, '256x256' as size, round(min_quality, 6) as min_quality from st"""),
+    "j02_quality_report": (quality_report, STATS + """ select s.dataset, s.split, count(*) as n, round(avg(composite_score), 6) as quality, round(max(contrast), 6) as contrast, any_value(total_samples) as total_samples
+      from split_rows s join st on st.dataset_name = s.dataset group by s.dataset, s.split"""),
+    "j03_predictions": (predictions_roundtrip, b.PREDICTIONS + " select model, tested_on, count(*) as n, count(*) filter (where (case when score > 1 - score then 1 else 0 end) = label) as right from predictions group by model, tested_on"),
+    "j04_evaluation_files": (evaluation_roundtrip, COUNTS + f""" select {KEYS}, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer,
+      round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer, form from c cross join (select unnest(['json', 'csv']) as form)"""),
+    "j05_comparison_files": (comparison_roundtrip, COUNTS + """, m as (select model, sum(tp) as tp, sum(fn) as fn, sum(tn) as tn, sum(fp) as fp from c group by model)
+      select model, round((tp + tn)::double / (tp + fn + tn + fp), 6) as accuracy, round(tp::double / greatest(tp + fp, 1), 6) as precision, round(tp::double / greatest(tp + fn, 1), 6) as recall, form
+      from m cross join (select unnest(['json', 'csv']) as form)"""),
+    "a09_epoch_logs": (epoch_logs_roundtrip, b.EPOCHS + " select run_id::varchar as run_id, epoch::int as epoch, round(loss, 6) as loss, round(val_loss, 6) as val_loss from epochs"),
     "i01_i02_grid_scores": (grid_scores, None),
     "i03_grid_search": (grid_search, None),
     "x_hourly_rates": (hourly_rates, RATES + " select start, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer, round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer from c"),

@@ -66,7 +66,7 @@ QUERIES = {
     "d02_combine_all": (lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets({"all": None}, _samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")), BALANCED + " select 'all' as combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids from resampled group by dataset, label"),
     "d03_leave_one_out": (lambda spark, d: combine.combine(_samples(spark, d), combine.leave_one_out(_samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"), F.max("replica_no").alias("most")), LOO + " select combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids, max(replica_no) as most from resampled group by combo, dataset, label"),
     "d04_named_subsets": (lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets(SUBSETS, _samples(spark, d)), balance=False).groupBy("combo", "dataset").agg(F.count("*").alias("n")), b.SAMPLES + " select combo, dataset, count(*) as n from samples join (select 'high_quality' as combo, unnest(['ds0', 'ds1']) as dataset union all select 'video', unnest(['ds3', 'ds4', 'absent']) union all select distinct 'all', dataset from samples) m using (dataset) group by combo, dataset"),
-    "d05_combine_splits": (lambda spark, d: combine.combine_splits([sampling.stratified_split(_samples(spark, d).where(F.col("dataset") == x), 0.8, by=["dataset"]) for x in ("ds0", "ds1")]).select("sample_id", "dataset", "split", "shuffle_rank"), b.SAMPLES + _split("0.8", "floor", "train", "test") + f" select sample_id, dataset, split, row_number() over (partition by split order by {HASH}, sample_id) as shuffle_rank from strat where dataset in ('ds0', 'ds1')"),
+    "d05_combine_splits": (lambda spark, d: combine.combine_splits([sampling.stratified_split(_samples(spark, d).where(F.col("dataset") == x), 0.8, by=["dataset"]) for x in ("ds0", "ds1", "ds2", "ds3", "ds4")]).select("sample_id", "dataset", "split", "shuffle_rank"), b.SAMPLES + _split("0.8", "floor", "train", "test") + f" select sample_id, dataset, split, row_number() over (partition by split order by {HASH}, sample_id) as shuffle_rank from strat"),
     "d06_membership": (lambda spark, d: combine.members(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).select("sample_id", "dataset"), b.SAMPLES + " select sample_id, dataset from samples where sample_id in (select doc_id from labels join documents using (doc_id))"),
     "d07_difference": (lambda spark, d: combine.without(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).groupBy("dataset").agg(F.count("*").alias("n")), b.SAMPLES + " select dataset, count(*) as n from samples where sample_id not in (select doc_id from labels join documents using (doc_id)) group by dataset"),
     "d08_distinct_counts": (lambda spark, d: combine.distinct_counts(_samples(spark, d), ["dataset", "label"]), b.SAMPLES + " select dataset, label, count(*) as n from samples group by dataset, label"),

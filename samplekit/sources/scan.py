@@ -80,7 +80,12 @@ def read_dataset(spark: SparkSession, base: str, name: str, missing: str = "erro
     return reader.parquet(base).where(F.col("dataset") == name)
 
 
-STATS = "dataset_name string, total_samples bigint, train_samples bigint, test_samples bigint, train_bonafide bigint, train_attack bigint, test_bonafide bigint, test_attack bigint, train_balance_ratio double, test_balance_ratio double, avg_train_quality double, avg_test_quality double, quality_std double, min_quality double, max_quality double"
+STATS = (
+    "dataset_name string, creation_time timestamp, target_size array<int>, train_ratio double, quality_threshold double, total_samples bigint,"
+    " train_samples bigint, test_samples bigint, train_bonafide bigint, train_attack bigint, test_bonafide bigint, test_attack bigint,"
+    " train_balance_ratio double, test_balance_ratio double, data_type string, balanced boolean, quality_enhanced boolean, synthetic_data boolean,"
+    " avg_train_quality double, avg_test_quality double, quality_std double, min_quality double, max_quality double"
+)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +94,11 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_epoch_logs(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
-    """run_id (the file's name), epoch, metrics of CSV logs with a header."""
+    """run_id, epoch, metrics of CSV logs with a header. The run is a partition run_id of the folder, or else the file's name."""
     schema = "epoch int, " + ", ".join(f"`{m}` double" for m in metrics)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("run_id"), "*")
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    run = F.col("run_id").cast("string") if "run_id" in rows.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
+    return rows.select(run.alias("run_id"), "epoch", *metrics)
 
 
 def read_history(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by dataset and split; rows of one partition come together first, so that each has few files."""
-    df.repartition("dataset", "split").write.mode(mode).partitionBy("dataset", "split").parquet(path)
+    """Parquet by dataset and split; rows of one partition come together first, in tasks of an even size, so that each has few files and a large one has several writers."""
+    df.hint("rebalance", F.col("dataset"), F.col("split")).write.mode(mode).partitionBy("dataset", "split").parquet(path)
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -20,6 +20,12 @@ def write_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
     without_nan(stats).write.mode(mode).json(path)
 
 
+def write_quality_report(rows: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON under path: the quality of every sample (dataset, split, more) by dataset and split as metrics, and the statistics of the datasets as stats."""
+    without_nan(rows).hint("rebalance", F.col("dataset"), F.col("split")).write.mode(mode).partitionBy("dataset", "split").json(f"{path}/metrics")
+    write_stats(stats, f"{path}/stats", mode)
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, by model and tested_on, of scores with the decision, its confidence and whether it is right."""
     predicted = F.when(F.col("score") > 1 - F.col("score"), 1).otherwise(0)
@@ -37,4 +43,4 @@ def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def write_report(sections: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Text files of a report's sections, in the order of their names."""
-    sections.orderBy("dataset_name").select("value").write.mode(mode).text(path)
+    sections.orderBy("part", "dataset_name").select("value").write.mode(mode).text(path)

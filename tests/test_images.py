@@ -51,8 +51,76 @@ def test_enhancement_saturates():
     image = np.array([[0.0, 255.0], [128.0, 64.0]])
     out = px.gamma_scaled(image)
     assert out.min() >= 0 and out.max() == 255 and out[0, 0] == 5
-    assert px.unsharp(np.full((9, 9), 77.0)).tolist() == np.full((9, 9), 77.0).tolist()
-    assert px.resized(np.arange(16.0).reshape(4, 4), 2, 2).tolist() == [[2.5, 4.5], [10.5, 12.5]]
+    assert px.unsharp(np.full((1, 9, 9), 77.0)).tolist() == np.full((1, 9, 9), 77.0).tolist()
+    assert px.resized(np.arange(16.0).reshape(1, 4, 4), 2, 2).tolist() == [[[2.5, 4.5], [10.5, 12.5]]]
+
+
+def _at(image, y, x):
+    """The pixel with mirrored borders, one at a time."""
+    def inside(k, n):
+        k = abs(k)
+        return 2 * (n - 1) - k if k >= n else k
+
+    return image[inside(y, image.shape[0])][inside(x, image.shape[1])]
+
+
+def _plain_filter(image, kernel):
+    r = len(kernel) // 2
+    return np.array([[sum(kernel[i + r][j + r] * _at(image, y + i, x + j) for i in range(-r, r + 1) for j in range(-r, r + 1)) for x in range(image.shape[1])] for y in range(image.shape[0])])
+
+
+def test_kernels_against_loops_over_pixels():
+    rng = np.random.default_rng(0)
+    stack = rng.integers(0, 256, (3, 9, 11)).astype(float)
+    whole = lambda a: np.clip(np.rint(a), 0, 255)
+    gauss = [[np.exp(-(i * i + j * j) / 8) for j in range(-6, 7)] for i in range(-6, 7)]
+    gauss = np.array(gauss) / np.sum(gauss)
+    for k, image in enumerate(stack):
+        assert px.unsharp(stack)[k] == pytest.approx(whole(1.5 * image - 0.5 * _plain_filter(image, gauss)))
+        sharp = whole(_plain_filter(image, [[0, -0.6, 0], [-0.6, 3.0, -0.6], [0, -0.6, 0]]))
+        assert px.frame_sharpen(stack)[k] == pytest.approx(whole(0.7 * image + 0.3 * sharp))
+        middle = [[np.median([_at(image, y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]) for x in range(11)] for y in range(9)]
+        assert px.median_filtered(stack, 3)[k].tolist() == np.array(middle).tolist()
+        y, x = 1.5 * 9 / 5 - 0.5, 2.5 * 11 / 7 - 0.5
+        a, b = int(y), int(x)
+        expected = sum(image[a + i][b + j] * (1 - abs(y - a - i)) * (1 - abs(x - b - j)) for i in (0, 1) for j in (0, 1))
+        assert px.resized(stack, 5, 7)[k][1][2] == pytest.approx(expected)
+
+
+def test_two_stage_gate(spark):
+    rows = [(k, 8, 8, CASES[n][0].ravel().tolist()) for k, n in enumerate(("flat", "ramp", "checker", "step"))]
+    raw = spark.createDataFrame(rows, "sample_id long, height int, width int, pixels array<double>")
+    before, after = (features.with_composite(images.with_quality(x)) for x in (raw, images.enhance_images(raw)))
+    scores = {r.sample_id: (r.a, r.b) for r in before.select("sample_id", F.col("composite_score").alias("a")).join(after.select("sample_id", F.col("composite_score").alias("b")), "sample_id").collect()}
+    got = {r.sample_id: (r.composite_score, r.final.composite_score) for r in features.two_stage_gate(before, after, 0.6).collect()}
+    assert got and set(got) <= {1, 2, 3} and all(got[i] == pytest.approx(scores[i]) for i in got)
+
+
+def test_transforms_against_single_images():
+    rng = np.random.default_rng(1)
+    gray, colour = rng.integers(0, 256, (4, 5, 7)).astype(float), rng.integers(0, 256, (4, 5, 7, 3)).astype(float)
+    whole = lambda a: np.clip(np.rint(a), 0, 255)
+    values = np.array([[0.1, -0.2, np.nan], [-0.1, 0.2, np.nan], [0.0, 0.3, np.nan], [0.2, 0.0, np.nan]])
+    same = lambda x: np.tile([x, np.nan, np.nan], (4, 1))
+    for stack in (gray, colour):
+        for k, image in enumerate(stack):
+            assert images.transformed(stack, "rotate90", same(1.7), [])[k].tolist() == np.rot90(image).tolist()
+            assert images.transformed(stack, "flip", same(0.2), [])[k].tolist() == image[::-1].tolist()
+            assert images.transformed(stack, "flip", same(1.2), [])[k].tolist() == image[:, ::-1].tolist()
+            assert images.transformed(stack, "flip", same(2.9), [])[k].tolist() == image[::-1, ::-1].tolist()
+            assert images.transformed(stack, "transpose", same(np.nan), [])[k].tolist() == np.swapaxes(image, 0, 1).tolist()
+            assert images.transformed(stack, "brightness_contrast", values, [])[k] == pytest.approx(whole((1 + values[k, 1]) * image + 255 * values[k, 0]))
+            assert images.transformed(stack, "gamma", 100 + 100 * values, [])[k] == pytest.approx(whole((image / 255) ** (1 + values[k, 0]) * 255))
+            assert images.transformed(stack, "multiplicative_noise", 1 + values, [])[k] == pytest.approx(whole(image * (1 + values[k, 0])))
+    assert images.transformed(gray, "blur", same(3), [])[2] == pytest.approx(whole(_plain_filter(gray[2], np.full((3, 3), 1 / 9))))
+    mixed = 0.7 * gray[1] + 0.3 * _plain_filter(gray[1], px.EMBOSS)
+    assert images.transformed(gray, "emboss", same(0.3), [])[1] == pytest.approx(whole(mixed))
+    shift = np.tile([5.0, -7.0, 20.0], (4, 1))
+    assert images.transformed(colour, "rgb_shift", shift, [])[3] == pytest.approx(whole(colour[3] + shift[3]))
+    assert (images.transformed(colour, "channel_dropout", same(1.5), [])[..., 1] == 128).all()
+    rngs = [np.random.default_rng(k) for k in range(4)]
+    assert sorted(images.transformed(colour, "channel_shuffle", same(np.nan), rngs)[0].ravel()) == sorted(colour[0].ravel())
+    assert images.transformed(gray, "clahe", same(2), []) is gray
 
 
 def test_augmentation(spark):

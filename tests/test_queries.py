@@ -28,16 +28,17 @@ def values(frame):
     return sorted(shown, key=str)
 
 
-SLOW = {"i01_i02_grid_scores", "i03_grid_search"}
+#: Without SQL: what each returns at least.
+COLUMNS = {"g11_anova": {"f", "p_value"}, "g12_pairwise_ttest": {"t", "p_value"}, "h03_plateau_replay": {"run_id", "epoch", "lr"}}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
     got = registry.queries()[name](spark, DATA).toPandas()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns)
+        assert len(got) and COLUMNS.get(name, set()) <= set(got.columns)
         return
     expected = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(expected.columns)
