@@ -4,7 +4,7 @@ The patterns give the protected entities (an address, a number). How strongly a
 estimated from the corpus: the information that the term carries about the entity is their pointwise mutual
 information over documents, log2 p(t, e) / (p(t) p(e)), and the share of the entity's own information -log2 p(e)
 that it makes up is the disclosure. Terms beyond the disclosure limit, seen beside the entity in enough different
-lines, are replaced by the entity's kind wherever they occur.
+lines, are found wherever they occur; generalise puts the kind of what was found in its place.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ KINDS: tuple[tuple[str, str, str], ...] = (
 SEPARATOR = r"[\x20\x09-\x0D\p{Punct}]"
 FEW_TERMS = 100_000  # up to which terms are broadcast
 SKETCH, NEAR = 32, 0.6  # hashes that stand for a line's terms; share of common terms from which a line is a near copy
-PART_LINES = 1000  # lines of an entity that one part compares
+PART_LINES = 1000  # lines of an entity that one part compares, and parts that a larger one unites
 MATCH = "struct<start: bigint, stop: bigint, value: string>"
 
 
@@ -99,12 +99,16 @@ def revealing_terms(found: DataFrame, docs: DataFrame, total: int, *, least_line
     often = materialize(beside.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= least_lines))  # no term of another is in enough lines
     beside = beside.join(F.broadcast(often) if often.count() <= FEW_TERMS else often, "e")
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("line"))), 1 + F.floor(F.col("n") / PART_LINES))
-    terms = beside.select("doc_id", "e", part.alias("part"), _terms(F.col("line")).alias("terms"))
-    terms = terms.select("doc_id", "e", "part", F.slice(_sketch("terms", _terms(F.col("e.value"))), 1, SKETCH + 1).alias("sketch"), F.explode("terms").alias("term"))
+    upper = F.pmod(F.xxhash64("part"), 1 + F.floor(F.col("n") / PART_LINES**2))
+    terms = beside.select("doc_id", "e", part.alias("part"), "n", _terms(F.col("line")).alias("terms"))
+    terms = terms.select("doc_id", "e", "part", upper.alias("upper"), F.slice(_sketch("terms", _terms(F.col("e.value"))), 1, SKETCH + 1).alias("sketch"), F.explode("terms").alias("term"))
     terms = terms.where((F.length("term") >= term_chars) & ~F.col("term").rlike("[0-9]") & ~F.contains(F.col("e.value"), F.col("term")))
     terms = terms.withColumn("sketch", F.slice(F.array_remove("sketch", F.xxhash64("term")), 1, SKETCH))
-    parts = terms.groupBy("e", "term", "part").agg(_different(F.collect_set("sketch"), least_lines).alias("own"), F.size(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id"))
-    pairs = parts.groupBy("e", "term").agg(_different(F.flatten(F.collect_list("own")), least_lines).alias("own"), (F.sum("ids") + F.max("no_id")).alias("both")).where(F.size("own") >= least_lines)
+    # What a part hands on is bounded: least_lines sketches, and numbers.
+    parts = terms.groupBy("e", "term", "upper", "part").agg(_different(F.collect_set("sketch"), least_lines).alias("own"), F.size(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id"))
+    for keys in (["e", "term", "upper"], ["e", "term"]):
+        parts = parts.groupBy(*keys).agg(_different(F.flatten(F.collect_list("own")), least_lines).alias("own"), F.sum("ids").alias("ids"), F.max("no_id").alias("no_id"))
+    pairs = parts.where(F.size("own") >= least_lines).withColumn("both", F.col("ids") + F.col("no_id"))
     pairs = materialize(pairs.select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "both"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     wanted = materialize(pairs.select("term").distinct())
@@ -137,11 +141,12 @@ def _different(sketches: Column, most: int) -> Column:
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 3, disclosure: float = 0.8, term_chars: int = 4) -> DataFrame:
-    """Per row of docs: doc_id, email, ip, card, phone (arrays of start, stop, value), terms (array of start, stop, value, kind).
+    """Per row of docs: doc_id, key (xxhash64 of the text), email, ip, card, phone (arrays of start, stop, value), terms (array of start, stop, value, kind).
 
     Places are in code points, ends exclusive. Null and empty texts have none; a null id stays null; repeated rows each give
     a row; an empty table gives none. Other columns aren't read. least_lines: different lines, near copies counted once, in which a term
-    must stand beside an entity; disclosure: share of the entity's information that it must give away.
+    must stand beside an entity; disclosure: share of the entity's information that it must give away; term_chars: characters that a term has at
+    least. A term with a digit is none. Where terms tie on a place the longer match isn't sought: the leftmost that the pattern finds stands.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = [k for k, _, _ in KINDS]
@@ -161,7 +166,37 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     told = told.select("told_id", F.xxhash64("text").alias("told_key"), terms.alias("terms")).dropDuplicates(["told_id", "told_key"])
     both = base.drop("text").join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("key") == F.col("told_key")), "left")
-    return both.select("doc_id", *kinds, F.coalesce("terms", F.array().cast("array<struct<start: bigint, stop: bigint, value: string, kind: string>>")).alias("terms"))
+    return both.select("doc_id", "key", *kinds, F.coalesce("terms", F.array().cast("array<struct<start: bigint, stop: bigint, value: string, kind: string>>")).alias("terms"))
+
+
+def _ends(kind: str) -> Column:
+    return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("end"), F.lit(kind).alias("kind")))
+
+
+def generalise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """docs with what was found replaced in text_col by its kind in brackets, "[email]"; a term by that of the entity that it reveals. how: see find_personal_data.
+
+    Of spans that overlap the earlier one counts, of those that begin together the longer. A null text stays null; all rows and columns of docs stay, those
+    of an empty table none.
+    """
+    own = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    renamed = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = find_personal_data(renamed, **how)  # type: ignore[arg-type]
+    spans = [_ends(k) for k, _, _ in KINDS]
+    spans.append(F.transform("terms", lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("end"), m["kind"].alias("kind"))))
+    listed = found.select(F.col("doc_id").alias("__of"), F.col("key").alias("__of_key"), F.array_sort(F.concat(*spans)).alias("__spans")).where(F.size("__spans") > 0)
+    rows = own.join(listed.dropDuplicates(["__of", "__of_key"]), F.col(id_col).cast("long").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left")
+    text = F.col(text_col)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        between = F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        further = F.struct((-span["end"]).alias("at"), F.concat(state["out"], between, F.lit("["), span["kind"], F.lit("]")).alias("out"))
+        return F.when(span["start"] >= state["at"], further).otherwise(state)
+
+    done = F.aggregate("__spans", start, step)
+    clean = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)
 
 
 def _listed(kind: Column, spans: str) -> Column:
@@ -169,6 +204,7 @@ def _listed(kind: Column, spans: str) -> Column:
 
 
 def op6_pii(docs: DataFrame) -> DataFrame:
+    """Per row of docs the contract's columns. Odd rows are those of find_personal_data: each row gives one, without spans 0 and the hash of nothing."""
     found = find_personal_data(docs)
     kinds = [k for k, _, _ in KINDS]
     base = F.flatten(F.array(*(_listed(F.lit(k), k) for k in kinds)))
