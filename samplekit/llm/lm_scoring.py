@@ -3,9 +3,10 @@
 A word's probability is the sum over all its segmentations into pieces of a given vocabulary, found by a forward
 recursion in log space; a text's is the product over its words and one end. A word seen in training is one more
 edge of its lattice, as long as the word, by its discounted count; the discounts of all words are shared out by the
-pieces. Piece probabilities are estimated on the distinct training words. As a text's probability depends only on how often it has which words, documents are read once
-into bags of word numbers, by chunks that each have a dictionary of their own; every distinct word is counted and
-scored once for the whole corpus, and what it got goes back to the chunks that have it.
+pieces. Piece probabilities are estimated on the distinct training words. As a text's probability depends only on how
+often it has which words, documents are read once into bags of word numbers, by chunks that each have a dictionary of
+their own; every distinct word is counted and scored once for the whole corpus, and what it got goes back to the chunks
+that have it. Words of one length go through the recursion together.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ CHUNK_WORDS, CHUNK_TOKENS = 400_000, 12_000_000  # distinct words and tokens aft
 BLOCK = 20_000
 START = "▁"  # stands before a word's first piece
 LEAST_PRODUCT = 1e-250  # of a word's probability, below which plain products lose digits
+LONG_WORD = 64  # characters from which a word goes through the recursion on its own
+PART_BYTES = 24 << 20  # of text that a partition of words, or of chunks, stands for
+LN10 = math.log(10)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 BAGS = "chunk long, doc_id long, held_out boolean, n_tokens long, bag binary, first int, words array<binary>, n_train array<long>"
 _BAGS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("bag", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.binary())), ("n_train", pa.list_(pa.int64()))])
@@ -179,6 +184,97 @@ class Lattice:
         return out
 
 
+class Words:
+    """A lattice for many words at once: pieces are found by the hashes of their characters, by length."""
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice = lattice
+        self.names = list(lattice.logs)
+        self.logs = np.fromiter(lattice.logs.values(), np.float64, len(self.names)) * LN10
+        of_length: defaultdict[int, list[int]] = defaultdict(list)
+        for k, name in enumerate(self.names):
+            of_length[len(name)].append(k)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length, own in of_length.items():
+            hashes = np.zeros(len(own), np.uint64)
+            for column in self._characters([self.names[k] for k in own], length).T:
+                hashes = hashes * FACTOR + column + np.uint64(1)
+            order = np.argsort(hashes)
+            self.tables[length] = hashes[order], np.array(own)[order]
+
+    @staticmethod
+    def _characters(texts: list[str], length: int) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), length).astype(np.uint64)
+
+    def _edges(self, texts: list[str], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None, np.ndarray]]:
+        """From, to, which texts have an edge there, its piece (None: the bytes of a character that is no piece), its log."""
+        characters = self._characters(texts, length)
+        for i in range(length):
+            hashes = np.zeros(len(texts), np.uint64)
+            for j in range(i + 1, min(length, i + self.lattice.longest) + 1):
+                hashes = hashes * FACTOR + characters[:, j - 1] + np.uint64(1)
+                known, pieces = self.tables.get(j - i, (hashes[:0], np.zeros(0, np.int64)))
+                found = np.zeros(len(texts), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    found = known[at] == hashes
+                    rows = np.flatnonzero(found)
+                    if len(rows):
+                        piece = pieces[at[rows]]
+                        yield i, j, rows, piece, self.logs[piece]
+                if j == i + 1 and not found.all():
+                    rows = np.flatnonzero(~found)
+                    values, which = np.unique(characters[rows, i], return_inverse=True)
+                    own = [sum(self.lattice.byte_logs[b] for b in chr(v).encode("utf-8", "surrogatepass")) * LN10 for v in values.tolist()]
+                    yield i, j, rows, None, np.array(own)[which]
+
+    def _by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str], int]]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + len(START)
+        for length in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == length)
+            yield rows, [START + words[k] for k in rows.tolist()], length
+
+    def _forward(self, texts: list[str], length: int) -> tuple[np.ndarray, list]:
+        forward = np.full((length + 1, len(texts)), -np.inf)
+        forward[0] = 0.0
+        edges = []
+        for edge in self._edges(texts, length):
+            i, j, rows, _, log = edge
+            forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + log)
+            edges.append(edge)
+        return forward, edges
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """log10 probability of each word."""
+        out = np.zeros(len(words))
+        for rows, texts, length in self._by_length(words):
+            if length > LONG_WORD:
+                out[rows] = [self.lattice.word(words[k]) for k in rows.tolist()]
+            else:
+                out[rows] = self._forward(texts, length)[0][-1] / LN10
+        return out
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is expected in the words, over all segmentations."""
+        out = np.zeros(len(self.names))
+        number = {name: k for k, name in enumerate(self.names)}
+        for rows, texts, length in self._by_length(words):
+            if length > LONG_WORD:
+                for k in rows.tolist():
+                    for piece, n in self.lattice.shares(words[k]).items():
+                        out[number[piece]] += n
+                continue
+            forward, edges = self._forward(texts, length)
+            backward = np.full_like(forward, -np.inf)
+            backward[-1] = 0.0
+            for i, j, at, piece, log in reversed(edges):
+                ahead = log + backward[j, at]
+                backward[i, at] = np.logaddexp(backward[i, at], ahead)
+                if piece is not None:
+                    out += np.bincount(piece, np.exp(forward[i, at] + ahead - forward[-1, at]), len(out))
+        return out
+
+
 def _log_sum(logs: list[float]) -> float:
     if not logs:
         return -math.inf
@@ -205,13 +301,12 @@ def expected_counts(words: DataFrame, lattice: Lattice) -> dict[str, float]:
     shared = words.sparkSession.sparkContext.broadcast((lattice.logs, lattice.byte_logs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*shared.value)
-        total: defaultdict[str, float] = defaultdict(float)
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                for piece, n in own.shares(word.decode("utf-8", "replace")).items():
-                    total[piece] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["piece", "n"])
+        own = Words(Lattice(*shared.value))
+        total = np.zeros(len(own.names))
+        for batch in slices(batches, "word", 1 << 20):
+            total += own.expected([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([own.names[k] for k in some.tolist()], pa.string()), pa.array(total[some])], names=["piece", "n"])
 
     return _summed(words.mapInArrow(count, "piece string, n double"))
 
@@ -236,7 +331,17 @@ def lattice_of(counts: dict[str, float], vocabulary: str) -> Lattice:
     return Lattice(logs, byte_logs)
 
 
-def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _discounts(of: list[int]) -> tuple[float, float, float]:
+    """What words seen once, twice and more often give up, by how many words have 1, 2, 3 and 4 occurrences."""
+    once, twice, thrice, four = of
+    if not once or not twice or not thrice:
+        return (0.5, 0.5, 0.5)
+    share = once / (once + 2 * twice)
+    wanted = (1 - 2 * share * twice / once, 2 - 3 * share * thrice / twice, 3 - 4 * share * four / thrice)
+    return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), wanted, strict=True))  # type: ignore[return-value]
+
+
+def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None = None, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are lower-cased (A-Z) and cut at ASCII white space; one end follows. Null or empty texts have the end alone. A null id
@@ -245,11 +350,13 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
     vocabulary: path of a sentencepiece model whose pieces are used. rounds: of expectation and maximisation of their probabilities.
     """
     out = F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 7 == 2 if held_out is None else held_out
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    parts = max(8, -(-total // PART_BYTES))
     bags = materialize(word_bags(docs, out, id_col=id_col, text_col=text_col))
     entries = bags.where("words is not null").select("chunk", "first", F.posexplode(F.arrays_zip("words", "n_train")).alias("at", "entry"))
     seen = entries.select("chunk", (F.col("first") + F.col("at")).alias("number"), F.col("entry.words").alias("word"), F.col("entry.n_train").alias("n_train"))
-    words = materialize(seen.groupBy("word").agg(F.sum("n_train").alias("c"), F.collect_list(F.struct("chunk", "number")).alias("places")))
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2)))).first()
+    words = materialize(seen.repartition(parts, "word").groupBy("word").agg(F.sum("n_train").alias("c"), F.collect_list(F.struct("chunk", "number")).alias("places")))
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), *((f"of{k}", F.col("c") == k) for k in (1, 2, 3, 4))))).first()
     ends = bags.where("bag is not null and not held_out").count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
     trained = words.where("c > 0").select("word")
@@ -258,19 +365,20 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
         lattice = lattice_of(expected_counts(trained, lattice), vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((lattice.logs, lattice.byte_logs))
     base_total = math.log10(n + v + 1)
-    discount = max(0.1, sums["once"] / max(1, sums["once"] + 2 * sums["twice"]))
-    spare = discount * v / n if n else 0.5  # what the discounts leave to the lattice
-    end_log = math.log10((ends - discount) / n) if ends else math.log10(0.5)
+    discounts = _discounts([sums[f"of{k}"] for k in (1, 2, 3, 4)])
+    often = sums["v"] - sums["of1"] - sums["of2"]
+    spare = (discounts[0] * sums["of1"] + discounts[1] * sums["of2"] + discounts[2] * (often + (ends > 0))) / n if n else 0.5  # what the discounts leave to the lattice
+    end_log = math.log10(max(ends - discounts[2], 0.5) / n) if ends else math.log10(0.5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*shared.value)
-        for batch in batches:
-            logs = []
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                log = own.word(word.decode("utf-8", "replace")) + math.log10(spare)
-                whole = math.log10((c - discount) / n) if c else -math.inf
-                logs.append(max(log, whole) + math.log10(1 + 10 ** -abs(log - whole)))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("places"), pa.array(logs, pa.float64())], names=["c", "places", "log"])
+        own = Words(Lattice(*shared.value))
+        for batch in slices(batches, "word", 1 << 20):
+            c = batch.column("c").to_numpy()
+            pieces = own.scores([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]) + math.log10(spare)
+            taken = np.choose(np.clip(c, 1, 3) - 1, discounts)
+            whole = np.where(c > 0, np.log10(np.maximum(c - taken, 1e-9) / max(n, 1)), -np.inf)
+            logs = np.logaddexp(pieces * LN10, whole * LN10) / LN10
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("places"), pa.array(logs)], names=["c", "places", "log"])
 
     def add_up(key: tuple, bag: pa.Table, scored: pa.Table) -> pa.Table:
         at = scored.column("number").to_numpy()
@@ -290,8 +398,10 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
     scored = scored.select("c", "log", F.explode("places").alias("p")).select("p.chunk", "p.number", "c", "log")
     texts = bags.where("bag is not null").select("chunk", "doc_id", "held_out", "n_tokens", "bag")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts, scored = texts.repartition(parts, "chunk"), scored.repartition(parts, "chunk")
     return texts.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(add_up, schema)
 
 
 def op7_lm_scoring(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Per row of docs the contract's columns. Odd rows are those of score_documents: each row gives one, without words that of the end alone."""
     return score_documents(docs, vocabulary)

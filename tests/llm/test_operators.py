@@ -51,6 +51,71 @@ def test_suffix_dedup(docs, nothing):
     assert kept[2] == "" and len(kept[3]) < 130
 
 
+def _removed(rows):
+    """Marks of the bytes that go, by brute force."""
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], LAST))
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        yield i, gone
+
+
+def test_edges_of_a_common_passage_are_dealt_out(spark):
+    """One passage with other text around it in each row: its ranks are common, and no bucket gets all of its edges."""
+    from conftest import words
+
+    passage = words(1, 30)
+    rows = [(i, f"{words(1000 + i, 12)} {passage} {words(5000 + i, 12)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = sorted((i, int(gone.sum())) for i, gone in _removed([(i, t.encode()) for i, t in rows]))
+    for hot_rows in (50, 10_000):
+        got = suffix_dedup.remove_repeats(df, hot_rows=hot_rows)
+        assert rows_of(got, "doc_id", "n_removed") == sorted(expected, key=str), hot_rows
+    bodies = [t.encode() for _, t in rows]
+    own = suffix_dedup.Windows(bodies, 50)
+    values, counts = np.unique(own.rank >> np.uint64(16), return_counts=True)
+    sent = {}
+    for name, hot in (("by rank", values[:0]), ("by window", values[counts > 50])):
+        everywhere = [np.arange(len(b)) for b in bodies]
+        out = suffix_dedup._slice_records(bodies, np.arange(400, dtype=np.uint64), np.arange(400), np.zeros(400, np.int64), everywhere, 0, hot, 50, 512)
+        sent[name] = Counter()
+        for batch in out:
+            for bucket, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part is None:
+                    a, z = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+                    sent[name][bucket] += len(suffix_dedup._unpacked(blob[8 + a : 8 + a + z], "<u4", "<u4", "<u4")[0])
+    assert max(sent["by rank"].values()) > 350
+    assert max(sent["by window"].values()) < 3 * sum(sent["by window"].values()) / 512
+
+
+def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
+    from conftest import words
+
+    base = words(3, 3000)
+    rows = [(1, base), (2, words(4, 50) + base[5000:15000] + words(5, 50)), (3, base[:200])]
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
+    got = {}
+    for i, t in rows:
+        for bodies, of, begins in suffix_dedup.pieces([t.encode()], 50):
+            assert sum(map(len, bodies)) <= 1000 + 49 and not of.any()
+            for body, begin in zip(bodies, begins.tolist(), strict=True):
+                own = suffix_dedup.Windows([body], 50)
+                for place, a, z in zip(own.place.tolist(), own.first.tolist(), own.last.tolist(), strict=True):
+                    for p in range(a, z + 1):
+                        assert (i, p + begin) not in got
+                        got[i, p + begin] = place + begin
+    whole = {}
+    for i, t in rows:
+        own = suffix_dedup.Windows([t.encode()], 50)
+        whole |= {(i, p): place for place, a, z in zip(own.place.tolist(), own.first.tolist(), own.last.tolist(), strict=True) for p in range(a, z + 1)}
+    assert got == whole
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
@@ -405,6 +470,48 @@ def test_terms_that_reveal_an_entity(spark):
     assert not any(out[100 + i].terms for i in range(60))
 
 
+def _revealing(rows, least_lines=3, disclosure=0.8):
+    """Terms by brute force: exact word sets of lines, every pair of an entity and a word beside it."""
+    beside, of_entity, of_term = defaultdict(list), defaultdict(set), defaultdict(set)
+    split = lambda text: set(re.split(r"[ \t\n!-/:-@\[-`{-~]+", text)) - {""}
+    for i, text in rows:
+        for term in split(text):
+            of_term[term].add(i)
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+            of_entity[m[0]].add(i)
+        for line in text.split("\n"):
+            for e in {m[0] for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", line)}:
+                for term in split(line):
+                    if len(term) >= 4 and not re.search("[0-9]", term) and term not in e:
+                        beside[e, term].append((i, split(line) - split(e) - {term}))
+    out = set()
+    for (e, term), lines in beside.items():
+        own: list[set] = []
+        for _, words in lines:
+            if not any(len(words & o) >= 0.6 * len(words | o) for o in own):
+                own.append(words)
+        both, n = len({i for i, _ in lines}), len(rows)
+        pmi = math.log2(both * n / (len(of_entity[e]) * len(of_term[term])))
+        if len(own) >= least_lines and pmi >= disclosure * math.log2(n / len(of_entity[e])) > 0:
+            out.add(term)
+    return out
+
+
+def test_terms_against_brute_force_and_what_is_generalised(spark):
+    from conftest import words
+
+    rows = [(i, f"{words(i, 9)} Name{'abcdefg'[i % 7]}x {words(i + 500, 7)} mail{i % 7}@host.example {words(i + 900, 4)} common") for i in range(42)]
+    rows += [(100 + i, f"{words(2000 + i, 20)} common {'Namebx' if i < 12 else ''}\nname of mail{i % 7}@host.example, far Nameax") for i in range(60)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, None, "y")], "doc_id long, text string, term string")
+    found = pii.find_personal_data(df).collect()
+    told = {t.value for r in found for t in r.terms}
+    assert told == _revealing([*rows, (None, "")]) and "Namecx" in told and "common" not in told
+    clean = {(r.doc_id, r.term): r.text for r in pii.generalise(df).collect()}
+    assert len(clean) == len(rows) + 1 and clean[None, "y"] is None
+    text = dict(rows)[2]
+    assert clean[2, "x"] == text.replace("Namecx", "[email]").replace("mail2@host.example", "[email]")
+
+
 def test_terms_in_exactly_so_many_short_lines(spark):
     from conftest import words
 
@@ -438,6 +545,39 @@ def test_lm_scoring(docs, nothing):
     assert lm_scoring.op7_lm_scoring(nothing, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_scores_of_documents_against_brute_force(spark):
+    """Whole document scores: the lattice of each word by plain dictionaries, its discounted count beside it, and one end."""
+    import random
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=40))) for i in range(30)] + [(31, None), (32, "Unseen wörds here")]
+    path = tokenizer_path("piece_bpe_32k.model")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts: Counter = Counter()
+    for i, t in rows:
+        if not held(i):
+            counts.update((t or "").encode().lower().split())
+    ends = sum(not held(i) for i, _ in rows)
+    n = sum(counts.values()) + ends
+    trained = spark.createDataFrame([(w,) for w in counts], "word binary")
+    own = lm_scoring.lattice_of(lm_scoring.tokenizer_counts(trained, path), path)
+    for _ in range(2):
+        found: Counter = Counter()
+        for w in counts:
+            found.update(own.shares(w.decode()))
+        own = lm_scoring.lattice_of(found, path)
+    of = Counter(counts.values())
+    d = lm_scoring._discounts([of[k] for k in (1, 2, 3, 4)])
+    taken = lambda c: d[min(c, 3) - 1]
+    spare = (sum(taken(c) for c in counts.values()) + d[2]) / n
+    word = lambda w: math.log10(10 ** own.word(w.decode()) * spare + (max(counts[w] - taken(counts[w]), 0) / n if w in counts else 0))
+    expected = {i: sum(word(w) for w in (t or "").encode().translate(lm_scoring.LOWER).split()) + math.log10((ends - d[2]) / n) for i, t in rows}
+    got = {x.doc_id: x.score for x in lm_scoring.op7_lm_scoring(df, path).collect()}
+    assert got == pytest.approx(expected, rel=1e-9)
+
+
 def test_lattice_sums_over_all_segmentations():
     logs = {"▁a": -1.0, "▁ab": -1.5, "b": -0.7, "c": -0.9, "bc": -1.1, "▁": -2.0, "a": -1.2}
     own = lm_scoring.Lattice(logs, [-3.0] * 256)
@@ -455,6 +595,13 @@ def test_lattice_sums_over_all_segmentations():
     for piece in logs:
         assert shares.get(piece, 0) == pytest.approx(sum(m * w.count(piece) for w, m in mass.items()) / sum(mass.values()))
     assert own.word("x" * 5000) < -5000
+    many, words = lm_scoring.Words(own), ["abc", "a", "aabcb", "aéb", "ccc", "", "x" * 100, "b\U0001F600"]
+    assert many.scores(words) == pytest.approx([own.word(w) for w in words])
+    total = defaultdict(float)
+    for w in words:
+        for piece, n in own.shares(w).items():
+            total[piece] += n
+    assert dict(zip(many.names, many.expected(words), strict=True)) == pytest.approx({name: total[name] for name in many.names})
 
 
 def _contamination(data, items):
