@@ -207,19 +207,22 @@ def near_edges(distinct: DataFrame, *, bits: int = 3, leaf: int = 1024, most: in
 
     dealt = distinct.select("node", "fp").mapInArrow(deal, "shard long, node long, fp long, home boolean")
     crowded = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("shard", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")))
-    dealt = dealt.withColumn("block", F.lit(0)) if crowded.isEmpty() else _in_blocks(dealt, crowded)
+    if crowded.isEmpty():
+        dealt = dealt.withColumn("block", F.lit(0))
+    else:
+        dealt = _in_blocks(dealt.join(crowded, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     return dealt.groupBy("shard", "block").applyInPandas(link, "a long, b long").distinct()
 
 
-def _in_blocks(dealt: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Rows of crowded shards, once for each pair of blocks: those of the first block live there, those of the second visit."""
-    rows = dealt.join(crowded, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (shard, node, home, blocks, more) once for each pair of blocks, with block: those of the first block live there, those of the second visit."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     lives = F.transform(every, lambda k: F.struct((own * F.col("blocks") + k).alias("block"), F.col("home").alias("home")))
     visits = F.transform(F.filter(every, lambda k: k != own), lambda k: F.struct((k * F.col("blocks") + own).alias("block"), F.lit(False).alias("home")))
     lives = F.when(F.col("home"), lives).otherwise(F.slice(lives, own + 1, 1))  # one that only visits is compared in its own block and as a visitor
-    return rows.select("shard", "node", "fp", F.explode(F.concat(lives, visits)).alias("b")).select("shard", "node", "fp", "b.home", "b.block")
+    kept = [c for c in rows.columns if c not in ("home", "blocks")]
+    return rows.select(*kept, F.explode(F.concat(lives, visits)).alias("b")).select(*kept, "b.home", "b.block")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -268,14 +271,19 @@ _FACTORS = _r.integers(0, 1 << 32, ROWS_IN_BAND * BANDS, dtype=np.uint32) | np.u
 _ADDENDS = _r.integers(0, 1 << 32, ROWS_IN_BAND * BANDS, dtype=np.uint32)
 
 
+def _minima(hashes: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The least value of each hash function over the shingles of each text; all texts have some."""
+    starts, short = starts_of(counts)[:-1], (hashes >> np.uint64(17)).astype(np.uint32)
+    for factor, addend in zip(_FACTORS, _ADDENDS, strict=True):
+        yield np.minimum.reduceat(short * factor + addend, starts)
+
+
 def _bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Of each text with words: a hash of each band of minimum hashes. One row a text; texts without words have none, rows of zeros."""
     out = np.zeros((len(counts), BANDS), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        starts, short = starts_of(counts[full])[:-1], (hashes >> np.uint64(17)).astype(np.uint32)
-        for k, (factor, addend) in enumerate(zip(_FACTORS, _ADDENDS, strict=True)):
-            least = np.minimum.reduceat(short * factor + addend, starts)
+        for k, least in enumerate(_minima(hashes, counts[full])):
             band = k // ROWS_IN_BAND
             out[full, band] = (out[full, band] ^ least) * np.uint64(0xFF51AFD7ED558CCD)
             out[full, band] ^= out[full, band] >> np.uint64(32)
@@ -301,69 +309,78 @@ def signatures(docs: DataFrame, *keep: str, text_col: str = "text", width: int =
 
 
 def shingle_sets(texts: DataFrame, *, width: int) -> DataFrame:
-    """node and the distinct hashes of its shingles, ascending, from node and body."""
+    """node, sketch (16 bits of each minimum hash) and shingles (their distinct hashes, ascending), from node and body. A text without words has none."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
             hashes, counts = _shingle_hashes(batch.column("body").to_pylist(), width)
-            parts = np.split(hashes, np.cumsum(counts)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["node", "shingles"])
-
-    return texts.mapInArrow(distinct, "node long, shingles binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with ok: whether their shingles are so similar, in common to in all."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum()) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                ok.append(same > 0 and same >= similarity * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    of_a, of_b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, ok boolean")
-
-
-def _with_least(members: DataFrame) -> DataFrame:
-    """members (band, h, node) of groups of two or more, but the least of each, with that least one."""
-    groups = members.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return members.join(groups, ["band", "h"]).where("node <> least")
+            full = np.flatnonzero(counts)
+            if not len(full):
+                continue
+            sketches = np.column_stack([x.astype(np.uint16) for x in _minima(hashes, counts[full])])
+            sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts[full])[:-1])]
+            columns = [batch.column("node").take(pa.array(full)), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "shingles"])
+
+    return texts.mapInArrow(distinct, "node long, sketch binary, shingles binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of two ascending sets of hashes: whether so large a share of all is in both."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= similarity * (len(both) - same)
+
+
+SLACK = 0.14  # four deviations of a similarity of 0.8 as the sketches estimate it
+
+
+def _linked(node: np.ndarray, home: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between those that live here and all. Sketches rule pairs out, shingles decide, pairs that are linked already aren't looked at."""
+    root = np.arange(len(node))
+    out = []
+    for i in np.flatnonzero(home).tolist():
+        near = (sketches == sketches[i]).mean(axis=1) >= similarity - SLACK
+        near[i] = False
+        for j in np.flatnonzero(near).tolist():
+            if root[i] != root[j] and _similar(sets[i], sets[j], similarity):
+                out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+                root[root == root[j]] = root[i]
+    return out
 
 
 MOST_KEYS = 1_000_000  # keys, of 60 bytes each, up to which they are broadcast
 
 
-def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width: int, similarity: float, bits: int) -> DataFrame:
-    """Links (a, b) of texts of that similarity. distinct: node, r1, r2 (a row of docs that has the text), fp, bands.
+def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width: int, similarity: float, bits: int, crowd: int = 2048) -> DataFrame:
+    """Links (a, b) whose components are those of all candidates of that similarity. distinct: node, r1, r2 (a row of docs that has the text), fp, bands.
 
-    Candidates are links of fingerprints and texts that share a band, each with the least of its band; those that it isn't similar to are
-    compared among themselves, until no band has two left. Only texts of candidates are read again.
+    Candidates share a band, a fingerprint, or a link of fingerprints. Each such group is compared in a task, one of more than
+    `crowd` texts in blocks, by several. Only texts of candidates are read again.
     """
-    of_fp = materialize(distinct.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
-    same = distinct.join(of_fp.where("n > 1").select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    pending = materialize(_with_least(distinct.select("node", F.posexplode("bands").alias("band", "h"))))
-    first = near_edges(of_fp, bits=bits).union(same).distinct()
-    pairs = materialize(first.union(pending.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(pending.select("node")).distinct().join(distinct.select("node", "r1", "r2"), "node"))
+    of_fp = materialize(distinct.groupBy("fp").agg(F.min("node").alias("node")))
+    edges = near_edges(of_fp, bits=bits).select(F.lit(-1).alias("band"), F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("node"))
+    groups = distinct.select(F.posexplode("bands").alias("band", "h"), "node").union(distinct.select(F.lit(-2), "fp", "node")).union(edges)
+    several = groups.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(groups.join(several, ["band", "h"]))
+    wanted = materialize(members.select("node").distinct().join(distinct.select("node", "r1", "r2"), "node"))
     small = F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted
     texts = docs.join(small, ["r1", "r2"]).select("node", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     sets = materialize(shingle_sets(texts, width=width).dropDuplicates(["node"]))
-    links = None
-    while True:
-        checked = materialize(confirmed(pairs, sets, similarity))
-        good = checked.where("ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        failed = pending.join(checked.where("not ok").select(F.col("a").alias("node"), F.col("b").alias("least")), ["node", "least"]).select("band", "h", "node")
-        pending = materialize(_with_least(failed))
-        if pending.isEmpty():
-            return links
-        pairs = pending.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    blocks = F.ceil(F.col("n") / crowd).cast("int")
+    placed = _in_blocks(members.select(F.struct("band", "h").alias("shard"), "node", F.lit(True).alias("home"), blocks.alias("blocks")))
+    schema = "a long, b long"
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", ignore_index=True)
+        sketches = np.stack([np.frombuffer(x, np.uint16) for x in part["sketch"]])
+        sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+        return pd.DataFrame(_linked(part["node"].to_numpy(), part["home"].to_numpy(), sketches, sets, similarity), columns=["a", "b"], dtype="int64")
+
+    return placed.join(sets, "node").groupBy("shard", "block").applyInPandas(link, schema).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
