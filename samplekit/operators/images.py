@@ -65,8 +65,7 @@ def _with_images(batch: pa.RecordBatch, changed: list[Stack]) -> pa.RecordBatch:
     """The batch with other images in some of its rows."""
     column = batch.column("pixels")
     values, starts, lengths = _flat(column)
-    height, width = _numbers(batch.column("height")), _numbers(batch.column("width"))
-    sizes = lengths.copy()
+    height, width, sizes = _numbers(batch.column("height")).copy(), _numbers(batch.column("width")).copy(), lengths.copy()
     for rows, stack in changed:
         height[rows], width[rows] = stack.shape[1:3]
         sizes[rows] = stack[0].size

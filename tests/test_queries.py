@@ -29,7 +29,7 @@ def values(frame):
 
 
 #: Without SQL: what each returns at least.
-COLUMNS = {"g11_anova": {"f", "p_value"}, "g12_pairwise_ttest": {"t", "p_value"}, "h03_plateau_replay": {"run_id", "epoch", "lr"}}
+COLUMNS = {"g11_anova": {"f", "p"}, "g12_pairwise_ttest": {"t", "p"}, "h03_plateau_replay": {"run_id", "epoch", "lr"}}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from samplekit.operators import mlgrid, runs, sampling
-from samplekit.plans import files
+from samplekit.sources.shared import shared_folder
 
 
 def logs(spark, losses):
@@ -45,4 +45,4 @@ def test_grid_of_models(spark):
     assert scores.count() == 2 * rows.where("split = 'test'").count()
     assert scores.where("(score > 0.5) <> (label = 1)").count() == 0
     assert runs.best_trial(mlgrid.search(df, mlgrid.estimators())).count() == 1
-    assert files.folder(spark)
+    assert shared_folder(spark) != shared_folder(spark)
