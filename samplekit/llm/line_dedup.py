@@ -2,7 +2,8 @@
 
 Each line's hash gets a HyperLogLog sketch of the sites that it is seen on; sketches of map tasks merge by aggregation,
 so that a line on a third of all pages costs one sketch a task. Lines whose estimate is near the limit get an exact
-count of distinct sites; the others are decided by the sketch, whose error they are beyond.
+count of distinct sites; the others are decided by the sketch, whose error they are beyond. While the lines found are few, their
+hashes stand in the plan and documents are cut in one scan; beyond that each document meets its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from samplekit.llm.common import materialize
 
 BLANK = " \t\r"
 LG_K = 12
+FEW = 5000  # lines up to which their hashes stand in the plan
 
 
 def _key(line: Column) -> Column:
@@ -23,11 +25,12 @@ def _key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """Distinct lines of each row with min_words words or more: doc_id, site, k1, k2."""
+    """Distinct lines of each row with min_words words or more: doc_id, text_key, site, k1, k2."""
     pieces = F.array_distinct(F.split(F.col(text_col), "\n"))
-    long = F.filter(pieces, lambda x: F.size(F.split(F.btrim(x, F.lit(BLANK)), "[ \t\r]+")) >= min_words)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(long).alias("line"))
-    return rows.select("doc_id", "site", _key(F.col("line")).alias("k")).select("doc_id", "site", "k.k1", "k.k2")
+    long = F.filter(pieces, lambda x: _is_long(x, min_words))
+    key = F.xxhash64(F.col(text_col)).alias("text_key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key, F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(long).alias("line"))
+    return rows.select("doc_id", "text_key", "site", _key(F.col("line")).alias("k")).select("doc_id", "text_key", "site", "k.k1", "k.k2")
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -41,22 +44,47 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.where(F.col("sites") > min_sites + slack).select("k1", "k2").union(exact.where(F.col("sites") >= min_sites).select("k1", "k2"))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3) -> DataFrame:
+def _is_long(line: Column, min_words: int) -> Column:
+    return F.size(F.split(F.btrim(line, F.lit(BLANK)), "[ \t\r]+")) >= min_words
+
+
+def _kept_by_plan(docs: DataFrame, common: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """docs with __kept, the lines that stay; the few lines that go are literals."""
+    split = F.split(F.col(text_col), "\n")
+    keys = common.collect()  # FEW rows at most
+    first, second = ([r[k] for r in keys] for k in ("k1", "k2"))
+    if not keys:
+        return docs.withColumn("__kept", split)
+    gone = lambda x: _key(x)["k1"].isin(first) & _key(x)["k2"].isin(second) & _is_long(x, min_words)
+    return docs.withColumn("__kept", F.filter(split, lambda x: ~gone(x)))
+
+
+def _kept_by_join(docs: DataFrame, lines: DataFrame, common: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """docs with __kept; each document meets those of its own lines that go. Those without an id meet all of theirs, so they have a key of their text."""
+    row = F.struct(F.col("doc_id"), F.col("text_key"))
+    drop = lines.join(common, ["k1", "k2"]).groupBy(row.alias("__drop_row")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drop_keys"))
+    own = docs.withColumn("__row", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")))
+    with_keys = own.join(drop, F.col("__row") == F.col("__drop_row"), "left")
+    split = F.split(F.col(text_col), "\n")
+    kept = F.filter(split, lambda x: ~_is_long(x, min_words) | ~F.array_contains(F.col("__drop_keys"), _key(x)))
+    return with_keys.withColumn("__kept", F.when(F.col("__drop_keys").isNull(), split).otherwise(kept)).drop("__row", "__drop_row", "__drop_keys")
+
+
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, few: int = FEW) -> DataFrame:
     """docs with text_col without lines that stand on min_sites sites or more, and line_stats (struct: lines, removed).
 
     A line is what stands between line feeds, compared without spaces, tabs and carriage returns at its ends; one of fewer
     than min_words words stays. A null text stays null (no lines); a null site is a site of its own. All rows stay, also
-    those left empty and those without an id; rows that repeat an id lose the same lines. All columns of docs stay.
+    those left empty and those without an id; rows that repeat an id lose what they have of the lines. Order and repeats of the lines that stay are
+    kept. All columns of docs stay. few: lines up to which they are literals of the plan; the rows are the same beyond.
     """
     lines = _lines(docs, id_col, text_col, site_col, min_words)
     common = materialize(boilerplate_lines(lines, min_sites).distinct())
-    drop = lines.join(common, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys")).select(F.col("doc_id").alias("__drop_id"), F.col("keys").alias("__drop_keys"))
-    with_keys = docs.join(drop, docs[id_col].eqNullSafe(F.col("__drop_id")), "left")
+    kept = _kept_by_plan(docs, common, text_col, min_words) if common.count() <= few else _kept_by_join(docs, lines, common, id_col, text_col, min_words)
     split = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__drop_keys").isNull(), split).otherwise(F.filter(split, lambda x: (F.size(F.split(F.btrim(x, F.lit(BLANK)), "[ \t\r]+")) < min_words) | ~F.array_contains(F.col("__drop_keys"), _key(x))))
-    with_keys = with_keys.withColumn("__kept", kept)
     stats = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long").alias("removed"))
-    return with_keys.withColumn("line_stats", F.when(F.col(text_col).isNull(), F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))).otherwise(stats)).withColumn(text_col, F.array_join("__kept", "\n")).drop("__drop_id", "__drop_keys", "__kept")
+    none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))
+    return kept.withColumn("line_stats", F.when(F.col(text_col).isNull(), none).otherwise(stats)).withColumn(text_col, F.array_join("__kept", "\n")).drop("__kept")
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
