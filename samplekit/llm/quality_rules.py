@@ -145,18 +145,19 @@ def _shape(sums: pd.DataFrame) -> pd.DataFrame:
             i, j = NAMES.index(a), NAMES.index(b)
             cov[i, j] = cov[j, i] = r[f"s_{a}_{b}"] / n - mean[i] * mean[j]
         inverse = np.linalg.inv(cov + floors)
-        rows.append({"cell": r["cell"], "start": r["start"], "logdet": np.linalg.slogdet(cov + floors)[1]} | {f"m_{a}": m for a, m in zip(NAMES, mean, strict=True)} | {f"v_{a}_{b}": inverse[NAMES.index(a), NAMES.index(b)] for a, b in PAIRS})
-    return pd.DataFrame(rows, columns=["cell", "start", "logdet", *(f"m_{a}" for a in NAMES), *(f"v_{a}_{b}" for a, b in PAIRS)])
+        rows.append({"cell": r["cell"], "start": r["start"], "cut": r["cut"], "logdet": np.linalg.slogdet(cov + floors)[1]} | {f"m_{a}": m for a, m in zip(NAMES, mean, strict=True)} | {f"v_{a}_{b}": inverse[NAMES.index(a), NAMES.index(b)] for a, b in PAIRS})
+    return pd.DataFrame(rows, columns=["cell", "start", "cut", "logdet", *(f"m_{a}" for a in NAMES), *(f"v_{a}_{b}" for a, b in PAIRS)])
 
 
-SHAPE = "cell string, start int, logdet double, " + ", ".join([*(f"m_{a} double" for a in NAMES), *(f"v_{a}_{b} double" for a, b in PAIRS)])
+SHAPE = "cell string, start int, cut long, logdet double, " + ", ".join([*(f"m_{a} double" for a in NAMES), *(f"v_{a}_{b} double" for a, b in PAIRS)])
 KEYS = ["cell", "start"]
 
 
 def _fitted(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """One row per cell and start, of numbers whose count doesn't depend on the rows. weight: of each row in the products."""
+    """One row per cell and start, of numbers whose count doesn't depend on the rows. weight: of each row in the products; cut: of the cell, where rows have it."""
     weight = F.lit(1.0) if weight is None else weight
-    sums = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b) * weight).alias(f"s_{a}_{b}") for a, b in PAIRS))
+    cut = F.max("cut") if "cut" in rows.columns else F.lit(0)
+    sums = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), cut.cast("long").alias("cut"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b) * weight).alias(f"s_{a}_{b}") for a, b in PAIRS))
     return sums.mapInPandas(lambda parts: (_shape(p) for p in parts), SHAPE)
 
 
@@ -181,7 +182,7 @@ class Cells:
 
     def measured(self, rows: DataFrame, shape: DataFrame) -> DataFrame:
         """A row for each start that its cell has in shape."""
-        far = self.beside(rows, shape, ["cell"]).select(*rows.columns, "start", _distance().alias("d2"))
+        far = self.beside(rows, shape.drop("cut"), ["cell"]).select(*rows.columns, "start", _distance().alias("d2"))
         return far.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
 
     def cut(self, measured: DataFrame, share: float) -> DataFrame:
@@ -204,7 +205,7 @@ class Cells:
         """Three shapes of each cell: medians and median deviations (0), all rows (1), the directions of all rows from the medians (2)."""
         middle = materialize(self.medians())
         inverse = [(1 / F.pow(f"w_{x}", 2) if x == y else F.lit(0.0)).alias(f"v_{x}_{y}") for x, y in PAIRS]
-        plain = middle.select("cell", F.lit(0).alias("start"), F.lit(0.0).alias("logdet"), *(f"m_{n}" for n in NAMES), *inverse)
+        plain = middle.select("cell", F.lit(0).alias("start"), F.lit(0).cast("long").alias("cut"), F.lit(0.0).alias("logdet"), *(f"m_{n}" for n in NAMES), *inverse)
         whole = _fitted(self.rows.select("cell", F.lit(1).alias("start"), *NAMES))
         centred = self.beside(self.rows, middle, ["cell"])
         centred = centred.select("cell", F.lit(2).alias("start"), *((F.col(n) - F.col(f"m_{n}")).alias(n) for n in NAMES), *(F.col(f"w_{n}") for n in NAMES))
@@ -218,9 +219,8 @@ class Cells:
     def step(self, shape: DataFrame, share: float) -> DataFrame:
         """Shapes of the nearest share of rows, with the cut that holds them."""
         measured = self.measured(self.rows, shape)
-        cut = materialize(self.cut(measured, share))
-        near = self.beside(measured, cut, KEYS).where(F.col("bin") <= F.col("cut"))
-        return materialize(self.beside(_fitted(near), cut, KEYS))
+        near = self.beside(measured, self.cut(measured, share), KEYS).where(F.col("bin") <= F.col("cut"))
+        return materialize(_fitted(near))
 
     def least_determinant(self, share: float, first: int, most: int) -> DataFrame:
         """One shape for each cell: `first` steps from every start, then those of the least determinant until no cut moves, or `most` steps."""

@@ -222,6 +222,8 @@ def test_line_dedup(docs, nothing):
     out = line_dedup.remove_boilerplate(docs)
     assert rows_of(out, "doc_id", "text") == sorted(expected, key=str)
     assert set(docs.columns) | {"line_stats"} == set(out.columns)
+    joined = line_dedup.remove_boilerplate(docs, few=0)
+    assert rows_of(joined, "doc_id", "text", "line_stats") == rows_of(out, "doc_id", "text", "line_stats")
     assert line_dedup.op3_line_dedup(nothing).count() == 0
 
 
