@@ -110,12 +110,18 @@ select {KEYS}, point, round(fpr, 6) as fpr, round(fnr, 6) as fnr, round({_deviat
 
 
 QUERIES = {
-    "f01_f02_f13_f15_confusion_rates": (confusion_slice, STANDARD + f" select {KEYS}, tp, fn, tn, fp, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(apcer, 6) as apcer, round(bpcer, 6) as bpcer, round((apcer + bpcer) / 2, 6) as acer from s"),
-    "f02_f06_standard_metrics": (standard, STANDARD + f""" select {KEYS}, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(f1_score, 6) as f1_score,
+    "f01_f02_f13_f15_confusion_rates": (
+        confusion_slice,
+        STANDARD + f" select {KEYS}, tp, fn, tn, fp, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(apcer, 6) as apcer, round(bpcer, 6) as bpcer, round((apcer + bpcer) / 2, 6) as acer from s",
+    ),
+    "f02_f06_standard_metrics": (
+        standard,
+        STANDARD + f""" select {KEYS}, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(f1_score, 6) as f1_score,
       round(case when tp + fp = 0 or tn + fn = 0 or (tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn) = 0 then 0 else (tp::double * tn - fp::double * fn) / sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)) end, 6) as mcc,
       round(case when tp + fp = 0 or tn + fn = 0 then 0 else ((tp + tn)::double / (tp + tn + fp + fn) - ch) / (1 - ch) end, 6) as cohen_kappa,
       round(case when tp + fn = 0 then specificity when tn + fp = 0 then recall else (recall + specificity) / 2 end, 6) as balanced_accuracy
-      from (select *, ((tp + fp)::double * (tp + fn) + (tn + fn)::double * (tn + fp)) / ((tp + tn + fp + fn)::double * (tp + tn + fp + fn)) as ch from s)"""),
+      from (select *, ((tp + fp)::double * (tp + fn) + (tn + fn)::double * (tn + fp)) / ((tp + tn + fp + fn)::double * (tp + tn + fp + fn)) as ch from s)""",
+    ),
     "f07_classification_report": (
         lambda spark, d: r6(metrics.classification_report(predictions(spark, d), ["model", "tested_on"]), "precision", "recall", "f1_score"),
         b.PREDICTIONS + """, c as (select model, tested_on, count(*) filter (where label = 1 and score > 0.5)::double as tp, count(*) filter (where label = 1 and score <= 0.5)::double as fn,
@@ -128,39 +134,87 @@ QUERIES = {
           union all select model, tested_on, 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support)::bigint from k group by model, tested_on
           union all select model, tested_on, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1_score * support) / sum(support), sum(support)::bigint from k group by model, tested_on)""",
     ),
-    "f08_roc_curve": (lambda spark, d: r6(curves.roc_curve(predictions(spark, d), BY), "threshold", "fpr", "tpr"), CURVE + f" select {KEYS}, round(score, 6) as threshold, round(fps::double / n, 6) as fpr, round(tps::double / p, 6) as tpr, k as point from corners union all select distinct {KEYS}, null, 0.0::double, 0.0::double, 0 from w"),
-    "f09_roc_auc": (lambda spark, d: r6(curves.roc_auc(predictions(spark, d), BY), "roc_auc"), RESULTS + f" select {KEYS}, round(roc_auc, 6) as roc_auc from auc"),
-    "f10_pr_curve": (lambda spark, d: r6(curves.pr_curve(predictions(spark, d), BY), "threshold", "precision", "recall"), CURVE + f" select {KEYS}, round(score, 6) as threshold, round(tps::double / (tps + fps), 6) as precision, round(tps::double / p, 6) as recall from w union all select distinct {KEYS}, null, 1.0::double, 0.0::double from w"),
-    "f11_average_precision": (lambda spark, d: r6(curves.average_precision(predictions(spark, d), BY), "average_precision"), CURVE + f" select {KEYS}, round(sum(pos * tps::double / (tps + fps)) / max(p), 6) as average_precision from w group by {KEYS}"),
-    "f12_equal_error": (lambda spark, d: r6(curves.equal_error(predictions(spark, d), BY), "eer", "eer_threshold"), RESULTS + f" select {KEYS}, round(eer, 6) as eer, round(eer_threshold, 6) as eer_threshold from e"),
-    "f16_f17_far_frr_hter": (lambda spark, d: r6(metrics.with_error_rates(metrics.confusion(predictions(spark, d), BY)).select(*BY, "far", "frr", "hter"), "far", "frr", "hter"), STANDARD + f" select {KEYS}, round(bpcer, 6) as far, round(apcer, 6) as frr, round((apcer + bpcer) / 2, 6) as hter from s"),
+    "f08_roc_curve": (
+        lambda spark, d: r6(curves.roc_curve(predictions(spark, d), BY), "threshold", "fpr", "tpr"),
+        CURVE + f" select {KEYS}, round(score, 6) as threshold, round(fps::double / n, 6) as fpr, round(tps::double / p, 6) as tpr, k as point from corners union all select distinct {KEYS}, null, 0.0::double, 0.0::double, 0 from w",
+    ),
+    "f09_roc_auc": (
+        lambda spark, d: r6(curves.roc_auc(predictions(spark, d), BY), "roc_auc"),
+        RESULTS + f" select {KEYS}, round(roc_auc, 6) as roc_auc from auc",
+    ),
+    "f10_pr_curve": (
+        lambda spark, d: r6(curves.pr_curve(predictions(spark, d), BY), "threshold", "precision", "recall"),
+        CURVE + f" select {KEYS}, round(score, 6) as threshold, round(tps::double / (tps + fps), 6) as precision, round(tps::double / p, 6) as recall from w union all select distinct {KEYS}, null, 1.0::double, 0.0::double from w",
+    ),
+    "f11_average_precision": (
+        lambda spark, d: r6(curves.average_precision(predictions(spark, d), BY), "average_precision"),
+        CURVE + f" select {KEYS}, round(sum(pos * tps::double / (tps + fps)) / max(p), 6) as average_precision from w group by {KEYS}",
+    ),
+    "f12_equal_error": (
+        lambda spark, d: r6(curves.equal_error(predictions(spark, d), BY), "eer", "eer_threshold"),
+        RESULTS + f" select {KEYS}, round(eer, 6) as eer, round(eer_threshold, 6) as eer_threshold from e",
+    ),
+    "f16_f17_far_frr_hter": (
+        lambda spark, d: r6(metrics.with_error_rates(metrics.confusion(predictions(spark, d), BY)).select(*BY, "far", "frr", "hter"), "far", "frr", "hter"),
+        STANDARD + f" select {KEYS}, round(bpcer, 6) as far, round(apcer, 6) as frr, round((apcer + bpcer) / 2, 6) as hter from s",
+    ),
     "f18_bpcer_at_apcer": (
         lambda spark, d: r6(curves.bpcer_at_apcer(predictions(spark, d), BY).select(*BY, *(F.col("bpcer_at_apcer")[t].alias(f"at_{n}") for t, n in (("0.1", "10"), ("0.05", "5"), ("0.01", "1")))), "at_10", "at_5", "at_1"),
         b.PREDICTIONS + f""", a as (select {KEYS}, score, row_number() over (partition by {KEYS} order by score) - 1 as i, count(*) over (partition by {KEYS}) as n from predictions where label = 1)
         , t as (select {KEYS}, max(score) filter (where i = floor(greatest(0.0::double, least(n * 0.1::double, n - 1)))) as t10, max(score) filter (where i = floor(greatest(0.0::double, least(n * 0.05::double, n - 1)))) as t5, max(score) filter (where i = floor(greatest(0.0::double, least(n * 0.01::double, n - 1)))) as t1 from a group by {KEYS})
         select {KEYS}, round(avg((score <= t10)::int), 6) as at_10, round(avg((score <= t5)::int), 6) as at_5, round(avg((score <= t1)::int), 6) as at_1 from predictions join t using ({KEYS}) where label = 0 group by {KEYS}""",
     ),
-    "f19_near_constant": (lambda spark, d: metrics.near_constant(predictions(spark, d), BY), b.PREDICTIONS + f", f as (select {KEYS}, arg_min(score, sample_id) as s0, min(score) as lo, max(score) as hi from predictions group by {KEYS}) select {KEYS}, greatest(hi - s0, s0 - lo) <= 1e-8 + 1e-5 * abs(s0) as constant from f"),
-    "f20_det_rates": (lambda spark, d: r6(curves.roc_curve(predictions(spark, d), BY).select(*BY, "point", "fpr", (1 - F.col("tpr")).alias("fnr")), "fpr", "fnr"), CURVE + f" select {KEYS}, k as point, round(fps::double / n, 6) as fpr, round(1 - tps::double / p, 6) as fnr from corners union all select distinct {KEYS}, 0, 0.0::double, 1.0::double from w"),
+    "f19_near_constant": (
+        lambda spark, d: metrics.near_constant(predictions(spark, d), BY),
+        b.PREDICTIONS + f", f as (select {KEYS}, arg_min(score, sample_id) as s0, min(score) as lo, max(score) as hi from predictions group by {KEYS}) select {KEYS}, greatest(hi - s0, s0 - lo) <= 1e-8 + 1e-5 * abs(s0) as constant from f",
+    ),
+    "f20_det_rates": (
+        lambda spark, d: r6(curves.roc_curve(predictions(spark, d), BY).select(*BY, "point", "fpr", (1 - F.col("tpr")).alias("fnr")), "fpr", "fnr"),
+        CURVE + f" select {KEYS}, k as point, round(fps::double / n, 6) as fpr, round(1 - tps::double / p, 6) as fnr from corners union all select distinct {KEYS}, 0, 0.0::double, 1.0::double from w",
+    ),
     "f20_det_curve": (_det, DET),
-    "f21_score_histogram": (lambda spark, d: r6(metrics.score_histogram(predictions(spark, d), ["model"]), "density"), b.PREDICTIONS + " select model, label, least(floor(score * 49), 48)::bigint as bin, count(*) as n, round(count(*) * 49.0::double / sum(count(*)) over (partition by model, label), 6) as density from predictions where score between 0 and 1 group by model, label, least(floor(score * 49), 48)"),
-    "f22_error_by_confidence": (lambda spark, d: r6(metrics.error_by_confidence(predictions(spark, d), ["model"]), "error_rate"), b.PREDICTIONS + """, f as (select model, floor(score * 10)::bigint as bin, count(*) as n, avg((case when score > 0.5 then 1 else 0 end <> label)::int) as e from predictions where score >= 0 and score < 1 group by 1, 2)
-        select m.model, k.bin, coalesce(n, 0) as n, round(coalesce(e, 0), 6) as error_rate from (select distinct model from predictions) m cross join (select unnest(range(10))::bigint as bin) k left join f on f.model = m.model and f.bin = k.bin"""),
-    "f23_confidence_histograms": (lambda spark, d: r6(metrics.confidence_histograms(predictions(spark, d), ["model"]), "mean"), b.PREDICTIONS + """, q as (select model, case when (score > 0.5)::int = label then 'correct' else 'error' end as kind, greatest(score, 1 - score) as x, 30 as bins from predictions
+    "f21_score_histogram": (
+        lambda spark, d: r6(metrics.score_histogram(predictions(spark, d), ["model"]), "density"),
+        b.PREDICTIONS + " select model, label, least(floor(score * 49), 48)::bigint as bin, count(*) as n, round(count(*) * 49.0::double / sum(count(*)) over (partition by model, label), 6) as density from predictions where score between 0 and 1 group by model, label, least(floor(score * 49), 48)",
+    ),
+    "f22_error_by_confidence": (
+        lambda spark, d: r6(metrics.error_by_confidence(predictions(spark, d), ["model"]), "error_rate"),
+        b.PREDICTIONS + """, f as (select model, floor(score * 10)::bigint as bin, count(*) as n, avg((case when score > 0.5 then 1 else 0 end <> label)::int) as e from predictions where score >= 0 and score < 1 group by 1, 2)
+        select m.model, k.bin, coalesce(n, 0) as n, round(coalesce(e, 0), 6) as error_rate from (select distinct model from predictions) m cross join (select unnest(range(10))::bigint as bin) k left join f on f.model = m.model and f.bin = k.bin""",
+    ),
+    "f23_confidence_histograms": (
+        lambda spark, d: r6(metrics.confidence_histograms(predictions(spark, d), ["model"]), "mean"),
+        b.PREDICTIONS + """, q as (select model, case when (score > 0.5)::int = label then 'correct' else 'error' end as kind, greatest(score, 1 - score) as x, 30 as bins from predictions
           union all select model, case when score > 0.5 then 'false_positive' else 'false_negative' end, score, 20 from predictions where (score > 0.5)::int <> label)
         , r as (select model, kind, min(x) as low, max(x) as high, avg(x) as mean from q group by model, kind)
-        select model, kind, coalesce(least(floor((x - low) / nullif(high - low, 0) * bins), bins - 1), 0)::bigint as bin, count(*) as n, round(max(mean), 6) as mean from q join r using (model, kind) group by 1, 2, 3"""),
-    "f24_confusion_normalized": (lambda spark, d: r6(metrics.confusion_normalized(predictions(spark, d), ["model", "tested_on"]), "share"), b.PREDICTIONS + """, t as (select model, tested_on, label as true_label, (score > 0.5)::int as predicted_label, count(*) as n from predictions group by all)
+        select model, kind, coalesce(least(floor((x - low) / nullif(high - low, 0) * bins), bins - 1), 0)::bigint as bin, count(*) as n, round(max(mean), 6) as mean from q join r using (model, kind) group by 1, 2, 3""",
+    ),
+    "f24_confusion_normalized": (
+        lambda spark, d: r6(metrics.confusion_normalized(predictions(spark, d), ["model", "tested_on"]), "share"),
+        b.PREDICTIONS + """, t as (select model, tested_on, label as true_label, (score > 0.5)::int as predicted_label, count(*) as n from predictions group by all)
         select m.model, m.tested_on, a.l as true_label, p.l as predicted_label, coalesce(n, 0) as n, round(coalesce(n, 0)::double / greatest(sum(coalesce(n, 0)) over (partition by m.model, m.tested_on, a.l), 1), 6) as share
-        from (select distinct model, tested_on from predictions) m cross join (select unnest([0, 1]) as l) a cross join (select unnest([0, 1]) as l) p left join t on t.model = m.model and t.tested_on = m.tested_on and t.true_label = a.l and t.predicted_label = p.l"""),
-    "f25_f26_prevalence_distribution": (lambda spark, d: r6(predictions(spark, d).groupBy("tested_on").agg(F.avg("label").alias("prevalence"), F.count_if(F.col("label") == 0).alias("bonafide"), F.count_if(F.col("label") == 1).alias("attack")), "prevalence"), b.PREDICTIONS + " select tested_on, round(avg(label), 6) as prevalence, count(*) filter (where label = 0) as bonafide, count(*) filter (where label = 1) as attack from predictions group by tested_on"),
-    "f27_flattened_cell_metrics": (lambda spark, d: r6(metrics.flattened_cell_metrics(predictions(spark, d), ["model"]), "precision", "recall", "auc"), b.PREDICTIONS + """, q as (select model, label = 1 as y, score as p from predictions union all select model, label = 0, 1 - score from predictions)
+        from (select distinct model, tested_on from predictions) m cross join (select unnest([0, 1]) as l) a cross join (select unnest([0, 1]) as l) p left join t on t.model = m.model and t.tested_on = m.tested_on and t.true_label = a.l and t.predicted_label = p.l""",
+    ),
+    "f25_f26_prevalence_distribution": (
+        lambda spark, d: r6(predictions(spark, d).groupBy("tested_on").agg(F.avg("label").alias("prevalence"), F.count_if(F.col("label") == 0).alias("bonafide"), F.count_if(F.col("label") == 1).alias("attack")), "prevalence"),
+        b.PREDICTIONS + " select tested_on, round(avg(label), 6) as prevalence, count(*) filter (where label = 0) as bonafide, count(*) filter (where label = 1) as attack from predictions group by tested_on",
+    ),
+    "f27_flattened_cell_metrics": (
+        lambda spark, d: r6(metrics.flattened_cell_metrics(predictions(spark, d), ["model"]), "precision", "recall", "auc"),
+        b.PREDICTIONS + """, q as (select model, label = 1 as y, score as p from predictions union all select model, label = 0, 1 - score from predictions)
         , k as (select model, case when p > 0 then 1 + least(ceil(p * 199) - 1, 198) else 1 end as b, count(*) filter (where y) as yes, count(*) filter (where not y) as no, count(*) filter (where y and p > 0.5) as tp, count(*) filter (where not y and p > 0.5) as fp from q group by 1, 2)
         , c as (select *, sum(yes) over (partition by model order by b desc) as cy from k)
         select model, sum(tp)::bigint as tp, sum(fp)::bigint as fp, (sum(yes) - sum(tp))::bigint as fn, (sum(no) - sum(fp))::bigint as tn, round(sum(tp)::double / greatest(sum(tp) + sum(fp), 1), 6) as precision, round(sum(tp)::double / greatest(sum(yes), 1), 6) as recall,
-          round(sum(no * (2 * cy - yes) / 2.0::double) / (sum(yes)::double * sum(no)), 6) as auc from c group by model"""),
+          round(sum(no * (2 * cy - yes) / 2.0::double) / (sum(yes)::double * sum(no)), 6) as auc from c group by model""",
+    ),
     "f28_weighted_cross_entropy": (_weighted_loss, WEIGHTED_LOSS),
-    "f28_cross_entropy": (lambda spark, d: r6(metrics.cross_entropy(predictions(spark, d), BY, smoothing=0.1), "loss"), b.PREDICTIONS + f" select {KEYS}, round(avg(-((label * 0.9::double + 0.05::double) * ln(greatest(least(score, 1 - 1e-7), 1e-7)) + (1 - (label * 0.9::double + 0.05::double)) * ln(greatest(least(1 - score, 1 - 1e-7), 1e-7)))), 6) as loss from predictions group by {KEYS}"),
-    "e09_score_profile": (lambda spark, d: r6(metrics.score_profile(predictions(spark, d), ["model"]).drop("counts"), "low", "high"), b.PREDICTIONS + " select model, round(min(score), 6) as low, round(max(score), 6) as high, count(distinct round(score, 6)) as distinct, count(distinct round(score, 6)) <= 3 as near_constant from predictions group by model"),
+    "f28_cross_entropy": (
+        lambda spark, d: r6(metrics.cross_entropy(predictions(spark, d), BY, smoothing=0.1), "loss"),
+        b.PREDICTIONS + f" select {KEYS}, round(avg(-((label * 0.9::double + 0.05::double) * ln(greatest(least(score, 1 - 1e-7), 1e-7)) + (1 - (label * 0.9::double + 0.05::double)) * ln(greatest(least(1 - score, 1 - 1e-7), 1e-7)))), 6) as loss from predictions group by {KEYS}",
+    ),
+    "e09_score_profile": (
+        lambda spark, d: r6(metrics.score_profile(predictions(spark, d), ["model"]).drop("counts"), "low", "high"),
+        b.PREDICTIONS + " select model, round(min(score), 6) as low, round(max(score), 6) as high, count(distinct round(score, 6)) as distinct, count(distinct round(score, 6)) <= 3 as near_constant from predictions group by model",
+    ),
     "b16_b17_decisions": (_decisions, DECISIONS),
 }

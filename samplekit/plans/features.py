@@ -122,20 +122,53 @@ def _standardised(spark, d):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "b02_b05_pixel_quality": (lambda spark, d: images.with_quality(b.images(spark, d)).select("sample_id", *(F.round(c, 3).alias(c) for c in ("sharpness", "contrast", "mean_brightness", "blur_score"))), QUALITY + " select sample_id, " + ", ".join(f"round({c}, 3) as {c}" for c in images.MEASURES) + " from q"),
+    "b02_b05_pixel_quality": (
+        lambda spark, d: images.with_quality(b.images(spark, d)).select("sample_id", *(F.round(c, 3).alias(c) for c in ("sharpness", "contrast", "mean_brightness", "blur_score"))),
+        QUALITY + " select sample_id, " + ", ".join(f"round({c}, 3) as {c}" for c in images.MEASURES) + " from q",
+    ),
     "b01_gray": (_gray, GRAY),
-    "b03_contrast": (lambda spark, d: b.images(spark, d).select("sample_id", F.round(features.contrast_of("pixels"), 6).alias("contrast"), F.round(features.mean_of("pixels"), 6).alias("mean")), b.IMAGES + " select sample_id, round(list_stddev_pop(pixels), 6) as contrast, round(list_avg(pixels), 6) as mean from images"),
+    "b03_contrast": (
+        lambda spark, d: b.images(spark, d).select("sample_id", F.round(features.contrast_of("pixels"), 6).alias("contrast"), F.round(features.mean_of("pixels"), 6).alias("mean")),
+        b.IMAGES + " select sample_id, round(list_stddev_pop(pixels), 6) as contrast, round(list_avg(pixels), 6) as mean from images",
+    ),
     "b08_two_stage_gate": (lambda spark, d: _two_stage(spark, d), TWO_STAGE),
-    "b10_enhance_images": (lambda spark, d: images.enhance_images(b.images(spark, d)).select("sample_id", _text("pixels")), b.IMAGES + ENHANCED + AS_TEXT),
-    "b10_gamma_scale": (lambda spark, d: b.images(spark, d).withColumn("pixels", features.gamma_corrected("pixels")).select("sample_id", F.array_join(F.transform(features.scaled("pixels"), lambda x: x.cast("int").cast("string")), ",").alias("pixels")), b.IMAGES + " select sample_id, list_aggregate(list_transform(pixels, lambda x: least(255.0::double, round_even(abs(floor(pow(x / 255, 1 / 1.2::double) * 255) * 1.1::double + 5), 0))::int::varchar), 'string_agg', ',') as pixels from images"),
-    "b11_frame_sharpen": (lambda spark, d: images.enhance_images(b.images(spark, d), ("frame_sharpen",)).select("sample_id", _text("pixels")), FRAME + AS_TEXT),
-    "b12_resize": (lambda spark, d: images.resize_images(b.images(spark, d), 4, 4).select("sample_id", _text("pixels", "decimal(9,2)")), RESIZED),
-    "b13_b14_ranges": (lambda spark, d: b.images(spark, d).withColumn("unit", features.unit_range("pixels")).select("sample_id", *(F.round(features.mean_of(c), 6).alias(n) for c, n in (("unit", "unit_mean"), (features.signed_range("unit"), "signed_mean")))), b.IMAGES + " select sample_id, round(list_avg(list_transform(pixels, lambda x: x / 255)), 6) as unit_mean, round(list_avg(list_transform(pixels, lambda x: (x / 255 - 0.5::double) * 2)), 6) as signed_mean from images"),
-    "b15_one_hot": (lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", features.one_hot("label", 10).alias("h")).select("vec_id", F.array_join(F.transform("h", lambda x: x.cast("int").cast("string")), "").alias("one_hot"), features.argmax("h").alias("decoded")), "select vec_id, list_aggregate(list_transform(range(10), lambda i: case when i = label then '1' else '0' end), 'string_agg', '') as one_hot, label::int as decoded from embeddings"),
-    "b18_byte_range": (lambda spark, d: b.images(spark, d).withColumn("pixels", F.when(F.col("sample_id") % 2 == 0, features.unit_range("pixels")).otherwise(F.col("pixels"))).select("sample_id", F.round(features.mean_of(features.byte_range("pixels")), 6).alias("mean")), b.IMAGES + " select sample_id, round(list_avg(pixels), 6) as mean from images"),
+    "b10_enhance_images": (
+        lambda spark, d: images.enhance_images(b.images(spark, d)).select("sample_id", _text("pixels")),
+        b.IMAGES + ENHANCED + AS_TEXT,
+    ),
+    "b10_gamma_scale": (
+        lambda spark, d: b.images(spark, d).withColumn("pixels", features.gamma_corrected("pixels")).select("sample_id", F.array_join(F.transform(features.scaled("pixels"), lambda x: x.cast("int").cast("string")), ",").alias("pixels")),
+        b.IMAGES + " select sample_id, list_aggregate(list_transform(pixels, lambda x: least(255.0::double, round_even(abs(floor(pow(x / 255, 1 / 1.2::double) * 255) * 1.1::double + 5), 0))::int::varchar), 'string_agg', ',') as pixels from images",
+    ),
+    "b11_frame_sharpen": (
+        lambda spark, d: images.enhance_images(b.images(spark, d), ("frame_sharpen",)).select("sample_id", _text("pixels")),
+        FRAME + AS_TEXT,
+    ),
+    "b12_resize": (
+        lambda spark, d: images.resize_images(b.images(spark, d), 4, 4).select("sample_id", _text("pixels", "decimal(9,2)")),
+        RESIZED,
+    ),
+    "b13_b14_ranges": (
+        lambda spark, d: b.images(spark, d).withColumn("unit", features.unit_range("pixels")).select("sample_id", *(F.round(features.mean_of(c), 6).alias(n) for c, n in (("unit", "unit_mean"), (features.signed_range("unit"), "signed_mean")))),
+        b.IMAGES + " select sample_id, round(list_avg(list_transform(pixels, lambda x: x / 255)), 6) as unit_mean, round(list_avg(list_transform(pixels, lambda x: (x / 255 - 0.5::double) * 2)), 6) as signed_mean from images",
+    ),
+    "b15_one_hot": (
+        lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", features.one_hot("label", 10).alias("h")).select("vec_id", F.array_join(F.transform("h", lambda x: x.cast("int").cast("string")), "").alias("one_hot"), features.argmax("h").alias("decoded")),
+        "select vec_id, list_aggregate(list_transform(range(10), lambda i: case when i = label then '1' else '0' end), 'string_agg', '') as one_hot, label::int as decoded from embeddings",
+    ),
+    "b18_byte_range": (
+        lambda spark, d: b.images(spark, d).withColumn("pixels", F.when(F.col("sample_id") % 2 == 0, features.unit_range("pixels")).otherwise(F.col("pixels"))).select("sample_id", F.round(features.mean_of(features.byte_range("pixels")), 6).alias("mean")),
+        b.IMAGES + " select sample_id, round(list_avg(pixels), 6) as mean from images",
+    ),
     "b21_augmentation_plan": (_planned, PLANNED),
-    "b22_apply_augmentation": (lambda spark, d: images.apply_augmentation(b.images(spark, d), images.augmentation_plan(b.images(spark, d), "heavy", 2), 2), None),
-    "b23_cast_float": (lambda spark, d: b.images(spark, d).select("sample_id", F.col("pixels").cast("array<float>").alias("pixels")).select("sample_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 3).alias("total")), b.IMAGES + " select sample_id, round(list_sum(list_transform(pixels, lambda x: x::float::double)), 3) as total from images"),
+    "b22_apply_augmentation": (
+        lambda spark, d: images.apply_augmentation(b.images(spark, d), images.augmentation_plan(b.images(spark, d), "heavy", 2), 2),
+        None,
+    ),
+    "b23_cast_float": (
+        lambda spark, d: b.images(spark, d).select("sample_id", F.col("pixels").cast("array<float>").alias("pixels")).select("sample_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 3).alias("total")),
+        b.IMAGES + " select sample_id, round(list_sum(list_transform(pixels, lambda x: x::float::double)), 3) as total from images",
+    ),
     "x_standardise": (_standardised, STANDARDISED),
 }
 

@@ -100,20 +100,44 @@ RATES = """e as (select date_trunc('day', ts) as start, case when event_type in
 , c as (select start::timestamp as start, count(*) filter (where label = 1 and score > 0.5) as tp, count(*) filter (where label = 1 and score <= 0.5) as fn, count(*) filter (where label = 0 and score <= 0.5) as tn, count(*) filter (where label = 0 and score > 0.5) as fp from e group by 1)"""
 
 QUERIES = {
-    "a02_path_labels": (path_labels, b.SAMPLES + " select sample_id, label, case when sample_id % 4 = 0 then 'validation' else 'training' end as split from samples"),
+    "a02_path_labels": (
+        path_labels,
+        b.SAMPLES + " select sample_id, label, case when sample_id % 4 = 0 then 'validation' else 'training' end as split from samples",
+    ),
     "a05_j01_dataset": (dataset_roundtrip, SPLIT + " select sample_id, dataset, split, label from split_rows where dataset = 'ds1'"),
-    "a06_j02_stats": (stats_roundtrip, STATS + """ select dataset_name, total_samples, 0.8::double as train_ratio, 0.65::double as quality_threshold,
-      case when dataset_name in ('ds3', 'ds4') then 'video' else 'image' end as data_type, true as balanced, '256x256' as size, round(min_quality, 6) as min_quality from st"""),
-    "j02_quality_report": (quality_report, STATS + """ select s.dataset, s.split, count(*) as n, round(avg(composite_score), 6) as quality, round(max(contrast), 6) as contrast, any_value(total_samples) as total_samples
-      from split_rows s join st on st.dataset_name = s.dataset group by s.dataset, s.split"""),
-    "j03_predictions": (predictions_roundtrip, b.PREDICTIONS + " select model, tested_on, count(*) as n, count(*) filter (where (case when score > 1 - score then 1 else 0 end) = label) as right from predictions group by model, tested_on"),
-    "j04_evaluation_files": (evaluation_roundtrip, COUNTS + f""" select {KEYS}, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer,
-      round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer, form from c cross join (select unnest(['json', 'csv']) as form)"""),
-    "j05_comparison_files": (comparison_roundtrip, COUNTS + """, m as (select model, sum(tp) as tp, sum(fn) as fn, sum(tn) as tn, sum(fp) as fp from c group by model)
+    "a06_j02_stats": (
+        stats_roundtrip,
+        STATS + """ select dataset_name, total_samples, 0.8::double as train_ratio, 0.65::double as quality_threshold,
+      case when dataset_name in ('ds3', 'ds4') then 'video' else 'image' end as data_type, true as balanced, '256x256' as size, round(min_quality, 6) as min_quality from st""",
+    ),
+    "j02_quality_report": (
+        quality_report,
+        STATS + """ select s.dataset, s.split, count(*) as n, round(avg(composite_score), 6) as quality, round(max(contrast), 6) as contrast, any_value(total_samples) as total_samples
+      from split_rows s join st on st.dataset_name = s.dataset group by s.dataset, s.split""",
+    ),
+    "j03_predictions": (
+        predictions_roundtrip,
+        b.PREDICTIONS + " select model, tested_on, count(*) as n, count(*) filter (where (case when score > 1 - score then 1 else 0 end) = label) as right from predictions group by model, tested_on",
+    ),
+    "j04_evaluation_files": (
+        evaluation_roundtrip,
+        COUNTS + f""" select {KEYS}, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer,
+      round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer, form from c cross join (select unnest(['json', 'csv']) as form)""",
+    ),
+    "j05_comparison_files": (
+        comparison_roundtrip,
+        COUNTS + """, m as (select model, sum(tp) as tp, sum(fn) as fn, sum(tn) as tn, sum(fp) as fp from c group by model)
       select model, round((tp + tn)::double / (tp + fn + tn + fp), 6) as accuracy, round(tp::double / greatest(tp + fp, 1), 6) as precision, round(tp::double / greatest(tp + fn, 1), 6) as recall, form
-      from m cross join (select unnest(['json', 'csv']) as form)"""),
-    "a09_epoch_logs": (epoch_logs_roundtrip, b.EPOCHS + " select run_id::varchar as run_id, epoch::int as epoch, round(loss, 6) as loss, round(val_loss, 6) as val_loss from epochs"),
+      from m cross join (select unnest(['json', 'csv']) as form)""",
+    ),
+    "a09_epoch_logs": (
+        epoch_logs_roundtrip,
+        b.EPOCHS + " select run_id::varchar as run_id, epoch::int as epoch, round(loss, 6) as loss, round(val_loss, 6) as val_loss from epochs",
+    ),
     "i01_i02_grid_scores": (grid_scores, None),
     "i03_grid_search": (grid_search, None),
-    "x_hourly_rates": (hourly_rates, RATES + " select start, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer, round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer from c"),
+    "x_hourly_rates": (
+        hourly_rates,
+        RATES + " select start, tp, fn, tn, fp, round(fn::double / greatest(tp + fn, 1), 6) as apcer, round(fp::double / greatest(tn + fp, 1), 6) as bpcer, round((fn::double / greatest(tp + fn, 1) + fp::double / greatest(tn + fp, 1)) / 2, 6) as acer from c",
+    ),
 }

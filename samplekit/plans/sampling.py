@@ -46,32 +46,113 @@ def _quality(spark, d):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "c01_balance_by_quality": (lambda spark, d: sampling.balance_by_quality(_quality(spark, d)).select("sample_id", "label", F.round("quality", 6).alias("quality")), b.DOCS + ", r as (select *, row_number() over (partition by label order by quality desc, sample_id) as k from docs), l as (select min(n) as least from (select label, count(*) as n from docs group by label)) select sample_id, label, round(quality, 6) as quality from r cross join l where k <= least"),
-    "c02_sample_frames": (lambda spark, d: sampling.sample_frames(b.manifest(spark, d)), b.MANIFEST + """, f as (select *, greatest(15, floor(total_frames * 0.15::double))::bigint as a, least(total_frames - 15, floor(total_frames * 0.85::double))::bigint as z from manifest)
-      select video_id, total_frames, unnest(case when total_frames < 10 then []::bigint[] when z <= a then [(total_frames // 2)::bigint] else list_slice(range(a, z, greatest(1, (z - a) // 20)), 1, 20) end) as frame from f"""),
-    "c03_c05_balance_sources": (lambda spark, d: sampling.balance_sources(_samples(spark, d)).select("sample_id", "dataset", "label", "replica_no"), BALANCED + " select * from resampled"),
-    "c05_balance_targets_capped": (lambda spark, d: sampling.balance_targets(_samples(spark, d), cap=1000), b.SAMPLES + ", s as (select dataset, count(*) as k from samples group by dataset) select dataset, (select least(min(k), 1000) from s)::bigint as target from s"),
-    "c06_shuffle": (lambda spark, d: sampling.shuffle(_samples(spark, d).select("sample_id")), b.SAMPLES + f" select sample_id, row_number() over (order by {HASH}, sample_id) as shuffle_rank from samples"),
-    "c07_stratified_split": (lambda spark, d: sampling.stratified_split(_samples(spark, d).select("sample_id", "dataset", "label"), 0.8, by=["dataset"]), b.SAMPLES + _split("0.8", "floor", "train", "test") + " select sample_id, dataset, label, split from strat"),
-    "c08_stratified_validation": (lambda spark, d: sampling.stratified_split(_samples(spark, d).select("sample_id", "dataset", "label"), 0.15, by=["dataset"], rounding="ceil", names=("val", "train")), b.SAMPLES + _split("0.15", "ceil", "val", "train") + " select sample_id, dataset, label, split from strat"),
-    "c09_group_split": (lambda spark, d: sampling.group_split(_samples(spark, d).select("sample_id", "dataset", "label", "group_id"), by=["dataset"]), b.SAMPLES + GROUPED.format(t="samples") + " select * from grouped"),
-    "c09_pseudo_groups": (lambda spark, d: sampling.pseudo_groups(_samples(spark, d).select("sample_id", "dataset"), "sample_id", 20, ["dataset"]), b.SAMPLES + ", r as (select sample_id, dataset, row_number() over (partition by dataset order by sample_id) - 1 as k, count(*) over (partition by dataset) as n from samples) select sample_id, dataset, least(k // 20, greatest(n // 20 - 1, 0))::bigint as group_id from r"),
-    "c10_random_split": (lambda spark, d: sampling.random_split(_samples(spark, d).select("sample_id")), b.SAMPLES + f" select sample_id, case when row_number() over (order by {HASH}, sample_id) <= floor(count(*) over () * 0.15::double) then 'val' else 'train' end as split from samples"),
-    "c11_routed_split": (lambda spark, d: sampling.routed_split(_samples(spark, d).select("sample_id", "dataset", "label", "group_id"), ["ds3", "ds4"]), b.SAMPLES + ", vid as (select * from samples where dataset in ('ds3', 'ds4')), img as (select * from samples where dataset not in ('ds3', 'ds4'))" + GROUPED.format(t="vid") + _split("0.15", "ceil", "val", "train", table="img") + " select sample_id, dataset, label, group_id, split from grouped union all select sample_id, dataset, label, group_id, split from strat"),
-    "c12_leak_report": (lambda spark, d: sampling.leak_report(sampling.stratified_split(_samples(spark, d), 0.8, by=["dataset"]), by=["dataset"]), b.SAMPLES + _split("0.8", "floor", "train", "test") + " select dataset, group_id, count(distinct split) as splits from strat group by dataset, group_id having count(distinct split) > 1"),
-    "c13_batches": (lambda spark, d: sampling.with_batches(_samples(spark, d).select("sample_id"), 32), b.SAMPLES + f" select sample_id, ((row_number() over (order by {HASH}, sample_id) - 1) // 32)::bigint as batch_id from samples"),
-    "c14_preview": (lambda spark, d: sampling.preview(_samples(spark, d).select("sample_id", "dataset", "label"), 5), b.SAMPLES + " select sample_id, dataset, label from samples order by sample_id limit 5"),
-    "x_stratified_folds": (lambda spark, d: sampling.folds(_samples(spark, d).select("sample_id", "label"), 5), b.SAMPLES + f" select sample_id, label, ((row_number() over (partition by label order by {HASH}, sample_id) - 1) % 5)::bigint as fold from samples"),
-    "d01_union_halves": (lambda spark, d: combine.union_all([_samples(spark, d).where("label = 0"), _samples(spark, d).where("label = 1")]).groupBy("dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")), b.SAMPLES + " select dataset, label, count(*) as n, sum(sample_id)::bigint as ids from samples group by dataset, label"),
-    "d02_combine_all": (lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets({"all": None}, _samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")), BALANCED + " select 'all' as combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids from resampled group by dataset, label"),
-    "d03_leave_one_out": (lambda spark, d: combine.combine(_samples(spark, d), combine.leave_one_out(_samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"), F.max("replica_no").alias("most")), LOO + " select combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids, max(replica_no) as most from resampled group by combo, dataset, label"),
-    "d04_named_subsets": (lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets(SUBSETS, _samples(spark, d)), balance=False).groupBy("combo", "dataset").agg(F.count("*").alias("n")), b.SAMPLES + " select combo, dataset, count(*) as n from samples join (select 'high_quality' as combo, unnest(['ds0', 'ds1']) as dataset union all select 'video', unnest(['ds3', 'ds4', 'absent']) union all select distinct 'all', dataset from samples) m using (dataset) group by combo, dataset"),
-    "d05_combine_splits": (lambda spark, d: combine.combine_splits([sampling.stratified_split(_samples(spark, d).where(F.col("dataset") == x), 0.8, by=["dataset"]) for x in ("ds0", "ds1", "ds2", "ds3", "ds4")]).select("sample_id", "dataset", "split", "shuffle_rank"), b.SAMPLES + _split("0.8", "floor", "train", "test") + f" select sample_id, dataset, split, row_number() over (partition by split order by {HASH}, sample_id) as shuffle_rank from strat"),
-    "d06_membership": (lambda spark, d: combine.members(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).select("sample_id", "dataset"), b.SAMPLES + " select sample_id, dataset from samples where sample_id in (select doc_id from labels join documents using (doc_id))"),
-    "d07_difference": (lambda spark, d: combine.without(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).groupBy("dataset").agg(F.count("*").alias("n")), b.SAMPLES + " select dataset, count(*) as n from samples where sample_id not in (select doc_id from labels join documents using (doc_id)) group by dataset"),
-    "d08_distinct_counts": (lambda spark, d: combine.distinct_counts(_samples(spark, d), ["dataset", "label"]), b.SAMPLES + " select dataset, label, count(*) as n from samples group by dataset, label"),
-    "d09_zip_by_key": (lambda spark, d: combine.zip_by_key(_samples(spark, d).select("sample_id", "label"), _quality(spark, d).select("sample_id", F.round("quality", 6).alias("quality"))), b.SAMPLES + ", " + b.DOCS + " select s.sample_id, s.label, round(quality, 6) as quality from samples s join docs using (sample_id)"),
-    "d10_jobs": (lambda spark, d: combine.jobs(b.predictions(spark, d).select("model").distinct(), _samples(spark, d).select("dataset").distinct()), b.SAMPLES + " select model, dataset from (select unnest(['m0', 'm1', 'm2', 'm3']) as model) cross join (select distinct dataset from samples)"),
-    "d11_transfer_pairs": (lambda spark, d: combine.transfer_pairs(_samples(spark, d)), b.SAMPLES + ", n as (select distinct dataset from samples) select x.dataset as trained_on, y.dataset as tested_on from n x join n y on x.dataset <> y.dataset"),
-    "d12_prefixed_merge": (lambda spark, d: combine.with_prefixed(_samples(spark, d).select("sample_id", "sharpness", F.struct((F.col("sharpness") * 2).alias("sharpness"), "contrast").alias("final")), "final"), b.SAMPLES + " select sample_id, sharpness, sharpness * 2 as final_sharpness, contrast as final_contrast from samples"),
+    "c01_balance_by_quality": (
+        lambda spark, d: sampling.balance_by_quality(_quality(spark, d)).select("sample_id", "label", F.round("quality", 6).alias("quality")),
+        b.DOCS + ", r as (select *, row_number() over (partition by label order by quality desc, sample_id) as k from docs), l as (select min(n) as least from (select label, count(*) as n from docs group by label)) select sample_id, label, round(quality, 6) as quality from r cross join l where k <= least",
+    ),
+    "c02_sample_frames": (
+        lambda spark, d: sampling.sample_frames(b.manifest(spark, d)),
+        b.MANIFEST + """, f as (select *, greatest(15, floor(total_frames * 0.15::double))::bigint as a, least(total_frames - 15, floor(total_frames * 0.85::double))::bigint as z from manifest)
+      select video_id, total_frames, unnest(case when total_frames < 10 then []::bigint[] when z <= a then [(total_frames // 2)::bigint] else list_slice(range(a, z, greatest(1, (z - a) // 20)), 1, 20) end) as frame from f""",
+    ),
+    "c03_c05_balance_sources": (
+        lambda spark, d: sampling.balance_sources(_samples(spark, d)).select("sample_id", "dataset", "label", "replica_no"),
+        BALANCED + " select * from resampled",
+    ),
+    "c05_balance_targets_capped": (
+        lambda spark, d: sampling.balance_targets(_samples(spark, d), cap=1000),
+        b.SAMPLES + ", s as (select dataset, count(*) as k from samples group by dataset) select dataset, (select least(min(k), 1000) from s)::bigint as target from s",
+    ),
+    "c06_shuffle": (
+        lambda spark, d: sampling.shuffle(_samples(spark, d).select("sample_id")),
+        b.SAMPLES + f" select sample_id, row_number() over (order by {HASH}, sample_id) as shuffle_rank from samples",
+    ),
+    "c07_stratified_split": (
+        lambda spark, d: sampling.stratified_split(_samples(spark, d).select("sample_id", "dataset", "label"), 0.8, by=["dataset"]),
+        b.SAMPLES + _split("0.8", "floor", "train", "test") + " select sample_id, dataset, label, split from strat",
+    ),
+    "c08_stratified_validation": (
+        lambda spark, d: sampling.stratified_split(_samples(spark, d).select("sample_id", "dataset", "label"), 0.15, by=["dataset"], rounding="ceil", names=("val", "train")),
+        b.SAMPLES + _split("0.15", "ceil", "val", "train") + " select sample_id, dataset, label, split from strat",
+    ),
+    "c09_group_split": (
+        lambda spark, d: sampling.group_split(_samples(spark, d).select("sample_id", "dataset", "label", "group_id"), by=["dataset"]),
+        b.SAMPLES + GROUPED.format(t="samples") + " select * from grouped",
+    ),
+    "c09_pseudo_groups": (
+        lambda spark, d: sampling.pseudo_groups(_samples(spark, d).select("sample_id", "dataset"), "sample_id", 20, ["dataset"]),
+        b.SAMPLES + ", r as (select sample_id, dataset, row_number() over (partition by dataset order by sample_id) - 1 as k, count(*) over (partition by dataset) as n from samples) select sample_id, dataset, least(k // 20, greatest(n // 20 - 1, 0))::bigint as group_id from r",
+    ),
+    "c10_random_split": (
+        lambda spark, d: sampling.random_split(_samples(spark, d).select("sample_id")),
+        b.SAMPLES + f" select sample_id, case when row_number() over (order by {HASH}, sample_id) <= floor(count(*) over () * 0.15::double) then 'val' else 'train' end as split from samples",
+    ),
+    "c11_routed_split": (
+        lambda spark, d: sampling.routed_split(_samples(spark, d).select("sample_id", "dataset", "label", "group_id"), ["ds3", "ds4"]),
+        b.SAMPLES + ", vid as (select * from samples where dataset in ('ds3', 'ds4')), img as (select * from samples where dataset not in ('ds3', 'ds4'))" + GROUPED.format(t="vid") + _split("0.15", "ceil", "val", "train", table="img") + " select sample_id, dataset, label, group_id, split from grouped union all select sample_id, dataset, label, group_id, split from strat",
+    ),
+    "c12_leak_report": (
+        lambda spark, d: sampling.leak_report(sampling.stratified_split(_samples(spark, d), 0.8, by=["dataset"]), by=["dataset"]),
+        b.SAMPLES + _split("0.8", "floor", "train", "test") + " select dataset, group_id, count(distinct split) as splits from strat group by dataset, group_id having count(distinct split) > 1",
+    ),
+    "c13_batches": (
+        lambda spark, d: sampling.with_batches(_samples(spark, d).select("sample_id"), 32),
+        b.SAMPLES + f" select sample_id, ((row_number() over (order by {HASH}, sample_id) - 1) // 32)::bigint as batch_id from samples",
+    ),
+    "c14_preview": (
+        lambda spark, d: sampling.preview(_samples(spark, d).select("sample_id", "dataset", "label"), 5),
+        b.SAMPLES + " select sample_id, dataset, label from samples order by sample_id limit 5",
+    ),
+    "x_stratified_folds": (
+        lambda spark, d: sampling.folds(_samples(spark, d).select("sample_id", "label"), 5),
+        b.SAMPLES + f" select sample_id, label, ((row_number() over (partition by label order by {HASH}, sample_id) - 1) % 5)::bigint as fold from samples",
+    ),
+    "d01_union_halves": (
+        lambda spark, d: combine.union_all([_samples(spark, d).where("label = 0"), _samples(spark, d).where("label = 1")]).groupBy("dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")),
+        b.SAMPLES + " select dataset, label, count(*) as n, sum(sample_id)::bigint as ids from samples group by dataset, label",
+    ),
+    "d02_combine_all": (
+        lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets({"all": None}, _samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")),
+        BALANCED + " select 'all' as combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids from resampled group by dataset, label",
+    ),
+    "d03_leave_one_out": (
+        lambda spark, d: combine.combine(_samples(spark, d), combine.leave_one_out(_samples(spark, d))).groupBy("combo", "dataset", "label").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"), F.max("replica_no").alias("most")),
+        LOO + " select combo, dataset, label, count(*) as n, sum(sample_id)::bigint as ids, max(replica_no) as most from resampled group by combo, dataset, label",
+    ),
+    "d04_named_subsets": (
+        lambda spark, d: combine.combine(_samples(spark, d), combine.named_subsets(SUBSETS, _samples(spark, d)), balance=False).groupBy("combo", "dataset").agg(F.count("*").alias("n")),
+        b.SAMPLES + " select combo, dataset, count(*) as n from samples join (select 'high_quality' as combo, unnest(['ds0', 'ds1']) as dataset union all select 'video', unnest(['ds3', 'ds4', 'absent']) union all select distinct 'all', dataset from samples) m using (dataset) group by combo, dataset",
+    ),
+    "d05_combine_splits": (
+        lambda spark, d: combine.combine_splits([sampling.stratified_split(_samples(spark, d).where(F.col("dataset") == x), 0.8, by=["dataset"]) for x in ("ds0", "ds1", "ds2", "ds3", "ds4")]).select("sample_id", "dataset", "split", "shuffle_rank"),
+        b.SAMPLES + _split("0.8", "floor", "train", "test") + f" select sample_id, dataset, split, row_number() over (partition by split order by {HASH}, sample_id) as shuffle_rank from strat",
+    ),
+    "d06_membership": (
+        lambda spark, d: combine.members(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).select("sample_id", "dataset"),
+        b.SAMPLES + " select sample_id, dataset from samples where sample_id in (select doc_id from labels join documents using (doc_id))",
+    ),
+    "d07_difference": (
+        lambda spark, d: combine.without(_samples(spark, d), b.labelled_documents(spark, d).select("sample_id"), ["sample_id"]).groupBy("dataset").agg(F.count("*").alias("n")),
+        b.SAMPLES + " select dataset, count(*) as n from samples where sample_id not in (select doc_id from labels join documents using (doc_id)) group by dataset",
+    ),
+    "d08_distinct_counts": (
+        lambda spark, d: combine.distinct_counts(_samples(spark, d), ["dataset", "label"]),
+        b.SAMPLES + " select dataset, label, count(*) as n from samples group by dataset, label",
+    ),
+    "d09_zip_by_key": (
+        lambda spark, d: combine.zip_by_key(_samples(spark, d).select("sample_id", "label"), _quality(spark, d).select("sample_id", F.round("quality", 6).alias("quality"))),
+        b.SAMPLES + ", " + b.DOCS + " select s.sample_id, s.label, round(quality, 6) as quality from samples s join docs using (sample_id)",
+    ),
+    "d10_jobs": (
+        lambda spark, d: combine.jobs(b.predictions(spark, d).select("model").distinct(), _samples(spark, d).select("dataset").distinct()),
+        b.SAMPLES + " select model, dataset from (select unnest(['m0', 'm1', 'm2', 'm3']) as model) cross join (select distinct dataset from samples)",
+    ),
+    "d11_transfer_pairs": (
+        lambda spark, d: combine.transfer_pairs(_samples(spark, d)),
+        b.SAMPLES + ", n as (select distinct dataset from samples) select x.dataset as trained_on, y.dataset as tested_on from n x join n y on x.dataset <> y.dataset",
+    ),
+    "d12_prefixed_merge": (
+        lambda spark, d: combine.with_prefixed(_samples(spark, d).select("sample_id", "sharpness", F.struct((F.col("sharpness") * 2).alias("sharpness"), "contrast").alias("final")), "final"),
+        b.SAMPLES + " select sample_id, sharpness, sharpness * 2 as final_sharpness, contrast as final_contrast from samples",
+    ),
 }
