@@ -97,7 +97,7 @@ def count_statistics(docs: DataFrame, *keep: str, id_col: str = "doc_id", text_c
     own = id_and_bytes(docs, id_col, text_col, *keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=3 << 20):
             bodies = batch.column("body").to_pylist()
             split = [body.split() for body in bodies]
             sizes = np.fromiter(map(len, split), np.int64, len(split))

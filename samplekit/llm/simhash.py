@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id and fp, the fingerprint as a signed long. No words: fingerprint zero."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             fps = _fingerprints(batch.column("body").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -295,7 +295,7 @@ def signatures(docs: DataFrame, *keep: str, text_col: str = "text", width: int =
     own = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             bodies = batch.column("body").to_pylist()
             hashes, counts = _shingle_hashes(bodies, width)
             whole = [b" ".join(b.translate(LOWER).split()) for b in bodies]
@@ -312,7 +312,7 @@ def shingle_sets(texts: DataFrame, *, width: int) -> DataFrame:
     """node, sketch (16 bits of each minimum hash) and shingles (their distinct hashes, ascending), from node and body. A text without words has none."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             hashes, counts = _shingle_hashes(batch.column("body").to_pylist(), width)
             full = np.flatnonzero(counts)
             if not len(full):
