@@ -268,17 +268,17 @@ def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"),
     return scaled.withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", "start", *NAMES)
 
 
-def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", beyond: float = 1e-7) -> DataFrame:
-    """Per row of docs: doc_id, COUNTS, base_failed, kept, d2.
+def judge_quality(docs: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", beyond: float = 1e-7) -> DataFrame:
+    """Per row of docs: doc_id, the columns named in keep, COUNTS, base_failed, kept, d2.
 
     beyond: share of regular documents that the distance may reject. Null or empty texts have no words and
     fail the base; a null id stays null; repeated rows each give a row; an empty table gives none. Other
     columns aren't read.
     """
-    renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    stats = materialize(count_statistics(renamed, "lang", "source"))
+    renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *keep)
+    stats = materialize(count_statistics(renamed, "lang", "source", *keep))
     far = mcd_distances(stats)
-    return far.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & (F.col("d2") <= chi2_quantile(1 - beyond, len(NAMES)))).alias("kept"), "d2")
+    return far.select("doc_id", *keep, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & (F.col("d2") <= chi2_quantile(1 - beyond, len(NAMES)))).alias("kept"), "d2")
 
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
