@@ -20,8 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __row, by which rows that are alike in id, text, language and source are one and others are not."""
-    return docs.withColumn("__row", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "lang", "source"))))
+    """docs with __r1 and __r2, 128 bits of all columns: rows that are alike in all of them are one, others are not."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]
+    return docs.withColumns({"__r1": F.xxhash64(*columns), "__r2": F.xxhash64(F.lit(1), *columns)})
 
 
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -32,14 +33,14 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts have too few words and go; repeated rows, those without an id and ties stay or go together."""
     own = _keyed(docs)
-    kept = quality_rules.judge_quality(own, id_col="__row").where("kept").select(F.col("doc_id").alias("__row"))
-    return own.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = quality_rules.judge_quality(own, "__r1", "__r2").where("kept").select("__r1", "__r2")
+    return own.join(kept, ["__r1", "__r2"], "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines."""
+    """All documents, without boilerplate lines. Null texts stay null; every row stays, also one that is left empty, repeated rows and those without an id."""
     return _sized(line_dedup.remove_boilerplate(docs), docs)
 
 
@@ -54,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with their place in a sequence."""
+    """Pieces of all documents, with their place in a sequence. A null or empty text gives one piece, its end alone; every row gives its pieces, also one without an id."""
     return packing.op2_best_fit_packing(docs, tokenizer_path())
 
 
