@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from samplekit.functions.normal import f_tail
 
-#: Weights of the ranking; error rates count as one minus them.
+#: Weights of the ranking; error rates count as one minus them.
 RANKING = (("accuracy", 0.25, False), ("f1_score", 0.20, False), ("roc_auc", 0.20, False), ("acer", 0.20, True), ("eer", 0.15, True))
 
 
