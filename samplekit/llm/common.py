@@ -37,7 +37,7 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Dat
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one holds about limit bytes of text, however long its documents are."""
+    """Batches cut so that one holds about limit bytes of text, however long its documents are. After the last one Arrow gives back what the worker no longer needs."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         low = 0
@@ -46,6 +46,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int =
             high = max(low + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(low, high - low)
             low = high
+    pa.default_memory_pool().release_unused()
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
-KNOWN_WORDS = 400_000  # words whose ids a Python worker remembers
+KNOWN_WORDS = 150_000  # words whose ids a Python worker remembers
 EARLY = 2
 SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
 
@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(tokenizer)
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             ids, at = own_encoder.encode(batch.column("body"))
             docs_out, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
