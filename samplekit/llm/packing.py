@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
-KNOWN_WORDS = 150_000  # words whose ids a Python worker remembers
+KNOWN_WORDS = 250_000  # words whose ids a Python worker remembers
 EARLY = 2
 SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
 
