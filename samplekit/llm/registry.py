@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplekit.llm import conversation_repair, decontamination, license_scan, line_dedup, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash, spelling, suffix_dedup
+from samplekit.llm import conversation_repair, decontamination, license_scan, line_dedup, lm_scoring, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, spelling, suffix_dedup
 from samplekit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_classifier": lambda spark, d: quality_classifier.op9_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(table(spark, d, "documents")),
         "op11_spelling_variants": lambda spark, d: spelling.op11_spelling_variants(table(spark, d, "documents")),
+        "op12_secret_scan": lambda spark, d: secret_scan.op12_secret_scan(table(spark, d, "documents")),
         "op13_conversation_repair": lambda spark, d: conversation_repair.op13_conversation_repair(table(spark, d, "conversations")),
     }
 
