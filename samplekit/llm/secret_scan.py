@@ -155,7 +155,7 @@ def _scan(dictionary: bytes, share: float) -> Callable[[Iterator[pa.RecordBatch]
     return scan
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, dictionary: bytes | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.4, dictionary: bytes | None = None) -> DataFrame:
     """Per row of docs: doc_id, key (xxhash64 of the text), spans (array of kind, start, stop, novelty), in code points, ends exclusive, by start, then in the order of KINDS.
 
     share: compressed bytes that a byte of a candidate must add. dictionary: what primes the compressor; that of docs where none is given. Null and empty texts have no spans, a null
@@ -166,7 +166,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return id_and_bytes(docs, id_col, text_col).withColumn("key", F.xxhash64("body")).mapInArrow(_scan(words, share), FOUND)
 
 
-def mask_secrets(docs: DataFrame, *, text_col: str = "text", share: float = 0.6, dictionary: bytes | None = None) -> DataFrame:
+def mask_secrets(docs: DataFrame, *, text_col: str = "text", share: float = 0.4, dictionary: bytes | None = None) -> DataFrame:
     """docs with each run of overlapping spans of text_col replaced by its first kind in brackets, "[hex]". All columns and rows stay; a null text stays null."""
     words = identifiers(docs, text_col=text_col) if dictionary is None else dictionary
     held = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))

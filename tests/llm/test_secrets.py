@@ -81,7 +81,7 @@ def novel(text, dictionary, share):
 
 def expected(rows, dictionary):
     for i, text in rows:
-        own = sorted(base(text)), sorted(base(text) + novel(text, dictionary, 0.6))
+        own = sorted(base(text)), sorted(base(text) + novel(text, dictionary, 0.4))
         shown = [",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in spans) for spans in own]
         counts = [sum(k == n for _, k, _ in own[0]) for n in range(3)]
         yield (i, *counts, hashlib.sha256(shown[0].encode()).hexdigest(), shown[1])
