@@ -1,7 +1,7 @@
 """Exact threshold curves of binary detectors, for any number of groups and groups of any size.
 
-Scores are first counted by group and distinct value. Counts are then summed in two levels: within parts of a
-group's score range, and over the few part totals, so that no task has to sort a whole group.
+Scores are first counted by group and distinct value. Counts are then summed in two levels: within parts between
+quantiles of a group's distinct scores, and over the part totals, so that no task has to sort a whole group, whatever the scores are.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from samplekit.functions.parts import part_count, part_of, quantile_bounds
 
 
 def _same(by: list[str], other: str) -> list[Column]:
@@ -22,13 +22,25 @@ def counted_scores(df: DataFrame, by: list[str], score: str = "score", label: st
     return own.groupBy(*by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
 
 
-def cumulative_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """by, score, pos, neg, tps, fps (counts at this score or above), next_pos, next_neg (of the next lower score), all_pos, all_neg, rank (from 1), points."""
+def _constant() -> Column:
+    """Whether the largest score is within a slack of the least: no curve is drawn of such scores."""
+    low, high = F.col("__low"), F.col("__high")
+    return (high == low) | (F.abs(low) < float("inf")) & (high - low <= 1e-8 + 1e-5 * F.abs(low))
+
+
+def placed_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "label", parts: int | None = None) -> DataFrame:
+    """counted_scores with __part, the number of its group's quantiles below a score, and the group's totals."""
+    parts = parts or part_count(df.sparkSession)
     counts = counted_scores(df, by, score, label)
-    reach = counts.groupBy(*by).agg(F.min("score").alias("__low"), F.max("score").alias("__high"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.count("*").alias("points"))
-    reach = reach.select(*[F.col(c).alias(f"__r_{c}") for c in by], "__low", "__high", "all_pos", "all_neg", "points")
-    share = (F.col("score") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
-    rows = counts.join(reach, _same(by, "__r_") or F.lit(True)).withColumn("__part", F.coalesce(F.floor(share * (PARTS - 1)), F.lit(0)).cast("int"))
+    bounds = quantile_bounds(F.col("score"), parts)
+    reach = counts.groupBy(*by).agg(F.min("score").alias("__low"), F.max("score").alias("__high"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.count("*").alias("points"), bounds.alias("__bounds"))
+    reach = reach.select(*[F.col(c).alias(f"__r_{c}") for c in by], "__low", "__high", "all_pos", "all_neg", "points", "__bounds")
+    return counts.join(reach, _same(by, "__r_") or F.lit(True)).withColumn("__part", part_of(F.col("__bounds"), F.col("score"), parts)).drop("__bounds")
+
+
+def cumulative_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "label", parts: int | None = None) -> DataFrame:
+    """by, score, pos, neg, tps, fps (counts at this score or above), next_pos, next_neg (of the next lower score), all_pos, all_neg, rank (from 1), points, constant (all scores within 1e-8 + 1e-5 of the least)."""
+    rows = placed_counts(df, by, score, label, parts)
     sums = rows.groupBy(*by, "__part").agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"), F.count("*").alias("__n"), F.max_by(F.struct("pos", "neg"), "score").alias("__head"))
     above = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*by).orderBy(F.desc("__part"))
@@ -40,7 +52,7 @@ def cumulative_counts(df: DataFrame, by: list[str], score: str = "score", label:
     follower = F.coalesce("__lead", "__next")
     return joined.select(
         *by, "score", "pos", "neg", (F.col("__pos0") + F.col("__p")).alias("tps"), (F.col("__neg0") + F.col("__q")).alias("fps"),
-        follower["pos"].alias("next_pos"), follower["neg"].alias("next_neg"), "all_pos", "all_neg", (F.col("__n0") + F.col("__k")).alias("rank"), "points",
+        follower["pos"].alias("next_pos"), follower["neg"].alias("next_neg"), "all_pos", "all_neg", (F.col("__n0") + F.col("__k")).alias("rank"), "points", _constant().alias("constant"),
     )
 
 
@@ -65,11 +77,11 @@ def roc_curve(df: DataFrame, by: list[str], *, drop_intermediate: bool = True, s
 def _auc() -> Column:
     area = F.sum(F.col("neg") * (2 * F.col("tps") - F.col("pos")) / 2.0)
     both = F.max("all_pos").cast("double") * F.max("all_neg")
-    return F.when((both > 0) & (F.max("points") > 1), area / both)
+    return F.when((both > 0) & ~F.max("constant"), area / both)
 
 
 def roc_auc(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
-    """by, roc_auc: area by trapezoids, null where a class is absent or all scores are one."""
+    """by, roc_auc: area by trapezoids, null where a class is absent or scores are constant."""
     return cumulative_counts(df, by, score, label).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
@@ -83,17 +95,17 @@ def pr_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str =
 
 def _average_precision() -> Column:
     total = F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
-    return F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), total / F.max("all_pos"))
+    return F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0) & ~F.max("constant"), total / F.max("all_pos"))
 
 
 def average_precision(df: DataFrame, by: list[str], *, score: str = "score", label: str = "label") -> DataFrame:
-    """by, average_precision: precision weighted by the step in recall; null where a class is absent."""
+    """by, average_precision: precision weighted by the step in recall; null where a class is absent or scores are constant."""
     return cumulative_counts(df, by, score, label).groupBy(*by).agg(_average_precision().alias("average_precision"))
 
 
 def _least_gap(drop_intermediate: bool = True) -> Column:
     """Struct of eer and threshold at the point where the rates differ least; null where a class is absent or scores are constant."""
-    usable = (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & (F.col("points") > 1)
+    usable = (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & ~F.col("constant")
     if drop_intermediate:
         usable = usable & _corner()
     fpr, fnr = F.when(usable, F.col("fps") / F.col("all_neg")), F.when(usable, 1 - F.col("tps") / F.col("all_pos"))
@@ -122,7 +134,7 @@ def det_curve(df: DataFrame, by: list[str], *, score: str = "score", label: str
 
 
 def bpcer_at_apcer(df: DataFrame, by: list[str], targets: tuple[float, ...] = (0.1, 0.05, 0.01), *, iso: bool = False, score: str = "score", label: str = "label") -> DataFrame:
-    """by, bpcer_at_apcer: for each target (as text) the share of bonafide scores up to the attack score that this share of attacks lies below; above it, if iso. 0 where a class is absent."""
+    """by, bpcer_at_apcer: for each target (as text) the share of bonafide scores up to the attack score that this share of attacks lies below; above it, if iso. 0 where a class is absent or scores are constant."""
     points = cumulative_counts(df, by, score, label)
     return points.groupBy(*by).agg(_bpcer_at(targets, iso).alias("bpcer_at_apcer"))
 
@@ -134,7 +146,7 @@ def _bpcer_at(targets: tuple[float, ...], iso: bool) -> Column:
 
     def at(target: float) -> Column:
         place = F.floor(F.greatest(F.lit(0.0), F.least(F.col("all_pos") * F.lit(target), (F.col("all_pos") - 1).cast("double"))))
-        found = F.min(F.when((below > place) & (F.col("all_neg") > 0), F.struct("score", F.try_divide(rate, F.col("all_neg")).alias("value"))))
+        found = F.min(F.when((below > place) & (F.col("all_neg") > 0) & ~F.col("constant"), F.struct("score", F.try_divide(rate, F.col("all_neg")).alias("value"))))
         return F.coalesce(found["value"], F.lit(0.0))
 
     return F.create_map(*(x for t in targets for x in (F.lit(f"{t:g}"), at(t))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplekit.functions.hashing import with_hash_rank
+from samplekit.functions.parts import is_bound, part_count, part_of, quantile_bounds, shared_prefix, text_code
 
 
 def check_share(share: float, name: str = "share") -> None:
@@ -13,27 +14,24 @@ def check_share(share: float, name: str = "share") -> None:
         raise ValueError(f"{name} must lie in [0, 1]: {share}")
 
 
-def _bounds(value: Column, parts: int) -> Column:
-    return F.percentile_approx(value, [k / parts for k in range(1, parts)], 100 * parts)
-
-
-def _below(bounds: Column, value: Column) -> Column:
-    return F.size(F.filter(bounds, lambda x: x < value))
-
-
-def with_exact_rank(df: DataFrame, by: list[str], value: str, key: str, rank: str = "rank", parts: int = 64) -> DataFrame:
+def with_exact_rank(df: DataFrame, by: list[str], value: str, key: str, rank: str = "rank", parts: int | None = None) -> DataFrame:
     """df with its rank, from 1, by value (largest first) and key within `by`. Null values come last.
 
     Rows are counted by parts of each group first, between approximate quantiles of the value. A value that makes up several quantiles is a part
-    of its own, cut further by quantiles of the key where that is a number: neither an outlier nor many ties make one task sort a whole group.
+    of its own, cut further by quantiles of the key, of a text those of the bytes behind what all keys of the group begin with: neither an outlier nor many ties make one task sort a whole group.
     """
-    numeric = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
-    of_key = _bounds(F.col(key), parts) if numeric else F.array().cast("array<double>")
-    reach = df.groupBy(*by).agg(_bounds(F.col(value), parts).alias("__values"), of_key.alias("__keys")).select(*[F.col(c).alias(f"__r_{c}") for c in by], "__values", "__keys")
-    own = df.join(reach, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by] or F.lit(True))
-    tied = F.size(F.filter("__values", lambda x: x == F.col(value))) > 1
-    own = own.withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(2 * _below(F.col("__values"), F.col(value)) + tied.cast("int")))
-    own = own.withColumn("__sub", F.when(F.col(value).isNull() | tied, _below(F.col("__keys"), F.col(key))).otherwise(0))
+    parts = parts or part_count(df.sparkSession)
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in by] or F.lit(True)
+    renamed = lambda grouped, other, *columns: grouped.select(*[F.col(c).alias(f"{other}{c}") for c in by], *columns)
+    coded = df.withColumn("__code", F.col(key))
+    if df.schema[key].dataType.typeName() == "string":
+        ends = renamed(df.groupBy(*by).agg(shared_prefix(F.min(key), F.max(key)).alias("__shared")), "__s_", "__shared")
+        coded = df.join(ends, same("__s_")).select(*df.columns, text_code(F.col(key), F.col("__shared")).alias("__code"))
+    reach = coded.groupBy(*by).agg(quantile_bounds(F.col(value), parts).alias("__values"), quantile_bounds(F.col("__code"), parts).alias("__keys"))
+    own = coded.join(renamed(reach, "__r_", "__values", "__keys"), same("__r_")).withColumn("__below", part_of(F.col("__values"), F.col(value), parts))
+    tied = F.coalesce(is_bound(F.col("__values"), F.col(value), F.col("__below")), F.lit(False))
+    own = own.withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(2 * F.col("__below") + tied.cast("int")))
+    own = own.withColumn("__sub", F.when(F.col(value).isNull() | tied, part_of(F.col("__keys"), F.col("__code"), parts)).otherwise(0))
     sizes = own.groupBy(*by, "__part", "__sub").agg(F.count("*").alias("__rows"))
     above = Window.partitionBy(*by).orderBy(F.desc("__part"), "__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*[F.col(c).alias(f"__o_{c}") for c in by], F.col("__part").alias("__of"), F.col("__sub").alias("__of_sub"), F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__before"))

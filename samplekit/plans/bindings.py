@@ -23,6 +23,10 @@ PREDICTIONS = SAMPLES + """, predictions as (
   from samples s
   cross join (select 0 as i, 'm0' as model union all select 1, 'm1' union all select 2, 'm2' union all select 3, 'm3') m
   cross join (select 'ds0' as trained_on union all select 'ds1' union all select 'ds2' union all select 'ds3' union all select 'ds4') t)"""
+ODD_SCORES = SAMPLES + """, odd as (
+  select sample_id, m.model, label, case m.model when 'flat' then 0.5e0 when 'near' then 0.5e0 + (sample_id % 7) * 1e-9
+    when 'odds' then cast((sample_id * 7919) % 600 - 300 as double) / 50 + label * 0.7e0 else case when sample_id % 1009 = 0 then 1e12 else cast((sample_id * 7919) % 601 as double) / 601 end end as score
+  from samples cross join (select 'flat' as model union all select 'near' union all select 'odds' union all select 'outlier') m)"""
 QUALITY = SAMPLES + """, quality as (
   select *, 1 - abs(mean_brightness - 128) / 128 as brightness_score,
     0.35e0 * least(sharpness / 100, 1e0) + 0.25e0 * least(contrast / 50, 1e0) + 0.20e0 * (1 - abs(mean_brightness - 128) / 128)
@@ -59,6 +63,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("sample_id", F.concat(F.lit("m"), "i").alias("model"), "trained_on", F.col("dataset").alias("tested_on"), "label", ((raw + bonus).cast("double") / 999).alias("score"))
 
 
+def odd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of models that are constant, nearly so, log odds, or have outliers: sample_id, model, label, score."""
+    own = samples(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, ("flat", "near", "odds", "outlier")))))
+    i = F.col("sample_id")
+    odds = ((i * 7919) % 600 - 300).cast("double") / 50 + F.col("label") * 0.7
+    outlier = F.when(i % 1009 == 0, 1e12).otherwise(((i * 7919) % 601).cast("double") / 601)
+    score = F.when(F.col("model") == "flat", 0.5).when(F.col("model") == "near", 0.5 + (i % 7) * 1e-9).when(F.col("model") == "odds", odds).otherwise(outlier)
+    return own.select("sample_id", "model", "label", score.alias("score"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 gray images: sample_id, label, height, width, pixels."""
     pixel = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((e.cast("double") + 1) * 127.5).cast("double"))))

@@ -109,7 +109,31 @@ DET = CURVE + f"""
 select {KEYS}, point, round(fpr, 6) as fpr, round(fnr, 6) as fnr, round({_deviate("fpr")}, 6) as fpr_deviate, round({_deviate("fnr")}, 6) as fnr_deviate from points"""
 
 
+def _odd_scores(spark: SparkSession, d: str) -> DataFrame:
+    odd = b.odd_scores(spark, d)
+    rates = curves.bpcer_at_apcer(odd, ["model"]).select("model", *(F.col("bpcer_at_apcer")[t].alias(f"at_{n}") for t, n in (("0.1", "10"), ("0.01", "1"))))
+    return r6(curves.curve_metrics(odd, ["model"]).join(rates, "model"), "roc_auc", "average_precision", "eer", "eer_threshold", "at_10", "at_1")
+
+
+ODD_SCORES = b.ODD_SCORES + """
+, g as (select model, score, sum(label) as pos, sum(1 - label) as neg from odd group by model, score)
+, w as (select *, sum(pos) over (partition by model order by score desc) as tps, sum(neg) over (partition by model order by score desc) as fps,
+  lead(pos) over (partition by model order by score desc) as npos, lead(neg) over (partition by model order by score desc) as nneg, sum(pos) over (partition by model) as p, sum(neg) over (partition by model) as n,
+  row_number() over (partition by model order by score desc) as k, count(*) over (partition by model) as points,
+  max(score) over (partition by model) - min(score) over (partition by model) <= 1e-8 + 1e-5 * abs(min(score) over (partition by model)) as constant from g)
+, areas as (select model, sum(neg * (2 * tps - pos) / 2.0::double) / (max(p)::double * max(n)) as roc_auc, sum(pos * tps::double / (tps + fps)) / max(p) as average_precision from w where not constant group by model)
+, e as (select model, eer, eer_threshold from (select model, (fps::double / n + 1 - tps::double / p) / 2 as eer, score as eer_threshold, row_number() over (partition by model order by round(abs(fps::double / n - (1 - tps::double / p)), 12), score desc) as j
+  from w where not constant and (k = 1 or k = points or npos <> pos or nneg <> neg)) where j = 1)
+, a as (select model, score, row_number() over (partition by model order by score) - 1 as i, count(*) over (partition by model) as c from odd where label = 1)
+, t as (select model, max(score) filter (where i = floor(least(c * 0.1::double, c - 1))) as t10, max(score) filter (where i = floor(least(c * 0.01::double, c - 1))) as t1 from a group by model)
+, b as (select model, avg((score <= t10)::int) as at_10, avg((score <= t1)::int) as at_1 from odd join t using (model) where label = 0 group by model)
+select m.model, round(roc_auc, 6) as roc_auc, round(average_precision, 6) as average_precision, round(eer, 6) as eer, round(eer_threshold, 6) as eer_threshold,
+  case when constant then 0 else round(at_10, 6) end as at_10, case when constant then 0 else round(at_1, 6) end as at_1
+from (select distinct model, constant from w) m left join areas using (model) left join e using (model) left join b using (model)"""
+
+
 QUERIES = {
+    "f09_f11_f12_f18_odd_scores": (_odd_scores, ODD_SCORES),
     "f01_f02_f13_f15_confusion_rates": (
         confusion_slice,
         STANDARD + f" select {KEYS}, tp, fn, tn, fp, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(specificity, 6) as specificity, round(apcer, 6) as apcer, round(bpcer, 6) as bpcer, round((apcer + bpcer) / 2, 6) as acer from s",
