@@ -1,13 +1,16 @@
-"""The normal quantile as a column expression, and tail probabilities of the F distribution, a pandas UDF over small tables."""
+"""The normal quantile and tail probabilities of the F distribution, as column expressions."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+#: Coefficients of Stirling's series, and what stands for zero in a continued fraction.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+TINY = 1e-300
 
 #: Coefficients, constant first, of the rational approximations of algorithm AS 241 (PPND16): for probabilities near a
 #: half, further away, and in the far tails.
@@ -45,43 +48,43 @@ def normal_deviate(p: str | Column) -> Column:
     return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, middle).otherwise(outer))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta function, evaluated term by term."""
-    tiny, c = 1e-300, 1.0
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 500):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + top * d, 1 + top / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return value
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: the series of Stirling at x + 8, taken back by the product of the eight factors between."""
+    far = x + 8
+    product = reduce(lambda a, b: a * b, (x + k for k in range(8)))
+    inverse = 1 / (far * far)
+    series = reduce(lambda out, term: out * inverse + F.lit(term), reversed(STIRLING[:-1]), F.lit(STIRLING[-1])) / far
+    return (far - 0.5) * F.ln(far) - far + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(product)
 
 
-def beta_share(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function I_x(a, b)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the regularised incomplete beta function, for x < (a + 1) / (a + b + 2), by the method of Lentz; its terms fade within a few square roots of the larger parameter."""
+    guard = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
+    first = 1 / guard(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("value"))
 
+    def step(state: Column, j: Column) -> Column:
+        m = F.floor(j / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        top = F.when(j % 2 == 0, even).otherwise(odd)
+        d, c = 1 / guard(1 + top * state["d"]), guard(1 + top / state["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (state["value"] * c * d).alias("value"))
 
-def f_tail_value(f: float, df1: float, df2: float) -> float:
-    """P(F > f)."""
-    return beta_share(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+    terms = F.sequence(F.lit(2), F.lit(80) + F.least(F.lit(100_000), F.ceil(8 * F.sqrt(F.greatest(a, b)))).cast("int"))
+    return F.aggregate(terms, start, step)["value"]
 
 
-@F.pandas_udf(DoubleType())
-def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return pd.Series([f_tail_value(a, b, c) if a is not None and a == a and b > 0 and c > 0 else None for a, b, c in zip(f, df1, df2, strict=True)], dtype="float64")
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b); null where a or b isn't positive."""
+    near = x < (a + 1) / (a + b + 2)
+    low_a, low_b, low_x = F.when(near, a).otherwise(b), F.when(near, b).otherwise(a), F.when(near, x).otherwise(1 - x)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
+    part = front * _beta_fraction(low_a, low_b, low_x) / low_a
+    return F.when((a > 0) & (b > 0), F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(near, part).otherwise(1 - part))
 
 
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
-    """P(F > f) with df1 and df2 degrees of freedom; of t with df2, f is its square and df1 is 1."""
-    return _f_tail(f.cast("double"), df1.cast("double"), df2.cast("double"))
+    """P(F > f) with df1 and df2 degrees of freedom; of t with df2, f is its square and df1 is 1. Null for a null or NaN f and without degrees of freedom."""
+    f, df1, df2 = (c.cast("double") for c in (f, df1, df2))
+    return F.when(~F.isnan(f), beta_share(df2 / 2, df1 / 2, df2 / (df2 + df1 * f)))

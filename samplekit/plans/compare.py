@@ -44,6 +44,21 @@ RANKED = RESULTS + f", means as (select model, {MEANS} from results group by mod
 MOMENTS = RESULTS + ", mo as (select model, count(*) as n, avg(accuracy) as mean, var_pop(accuracy) as var from results group by model)"
 TEST_SUM = "select sum(n * mean) / sum(n) as grand, sum(n) as k, count(*) as g, sum(n * var) as w, sum(n * mean * mean) as sq from mo"
 
+
+def tail_sql(tests: str) -> str:
+    """Common table expressions that end in tails (id, p): P(F > f) of tests (id, f, df1, df2), by the continued fraction as a recursive query."""
+    return f""", tests as ({tests})
+, beta as (select id, df2::double / 2 as a, df1::double / 2 as b, df2::double / (df2 + df1 * f) as x from tests)
+, sides as (select *, x < (a + 1) / (a + b + 2) as near, case when x < (a + 1) / (a + b + 2) then a else b end as p, case when x < (a + 1) / (a + b + 2) then b else a end as q,
+  case when x < (a + 1) / (a + b + 2) then x else 1 - x end as z from beta)
+, lentz as (select id, 1::bigint as j, 1.0::double as c, 1 / (1 - (p + q) * z / (p + 1)) as d, 1 / (1 - (p + q) * z / (p + 1)) as v, p, q, z from sides
+  union all select id, j + 1, 1 + top / c, 1 / (1 + top * d), v * (1 + top / c) / (1 + top * d), p, q, z from (
+    select *, case when (j + 1) % 2 = 0 then m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)) else -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1)) end as top
+    from (select *, (j + 1) // 2 as m from lentz where j < 400)))
+, tails as (select s.id, case when near then part else 1 - part end as p from (
+  select s.*, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * l.v / s.p as part from sides s join lentz l on l.id = s.id and l.j = 400) s)"""
+
+
 def _time_stats(spark, d):  # noqa: ANN001, ANN202
     """Shares of two columns stand for the use of memory."""
     logs = b.epochs(spark, d).withColumns({"cpu_memory": F.col("val_accuracy") * 100, "gpu_memory": F.col("accuracy") * 100})
@@ -103,12 +118,21 @@ QUERIES = {
         lambda spark, d: r6(compare.anova(results(spark, d)).select("groups", "f", "df1", "df2"), "f"),
         MOMENTS + f" select g as groups, round(((sq - k * grand * grand) / (g - 1)) / (w / (k - g)), 6) as f, g - 1 as df1, (k - g)::bigint as df2 from ({TEST_SUM})",
     ),
-    "g11_anova": (lambda spark, d: compare.anova(results(spark, d)), None),
+    "g11_anova": (
+        lambda spark, d: r6(compare.anova(results(spark, d)), "f").withColumn("p", F.round("p", 9)),
+        "recursive " + MOMENTS + tail_sql(f"select 1 as id, ((sq - k * grand * grand) / (g - 1)) / (w / (k - g)) as f, g - 1 as df1, (k - g)::bigint as df2 from ({TEST_SUM})")
+        + f" select g as groups, round(f, 6) as f, df1, df2, round(p, 9) as p, p < 0.05 as significant from tests join tails using (id) cross join ({TEST_SUM})",
+    ),
     "g12_pairwise_t": (
         lambda spark, d: r6(compare.pairwise_ttest(results(spark, d)).select("a", "b", "t", "df", "mean_diff"), "t", "mean_diff"),
         MOMENTS + " select x.model as a, y.model as b, round((x.mean - y.mean) / sqrt((x.n * x.var + y.n * y.var) / (x.n + y.n - 2) * (1.0::double / x.n + 1.0::double / y.n)), 6) as t, x.n + y.n - 2 as df, round(x.mean - y.mean, 6) as mean_diff from mo x join mo y on x.model < y.model",
     ),
-    "g12_pairwise_ttest": (lambda spark, d: compare.pairwise_ttest(results(spark, d)), None),
+    "g12_pairwise_ttest": (
+        lambda spark, d: r6(compare.pairwise_ttest(results(spark, d)), "t", "mean_diff").withColumn("p", F.round("p", 9)),
+        "recursive " + MOMENTS + """, pairs as (select x.model || ' ' || y.model as id, x.model as a, y.model as b, x.n + y.n - 2 as df, x.mean - y.mean as mean_diff,
+      (x.mean - y.mean) / sqrt((x.n * x.var + y.n * y.var) / (x.n + y.n - 2) * (1.0::double / x.n + 1.0::double / y.n)) as t from mo x join mo y on x.model < y.model)"""
+        + tail_sql("select id, t * t as f, 1 as df1, df as df2 from pairs") + " select a, b, round(t, 6) as t, df, round(mean_diff, 6) as mean_diff, round(p, 9) as p, p < 0.05 as significant from pairs join tails using (id)",
+    ),
     "g13_cohens_d": (
         lambda spark, d: r6(compare.cohens_d(results(spark, d).where("model in ('m0', 'm3')")), "d"),
         MOMENTS + ", z as (select (x.mean - y.mean) / sqrt((x.var + y.var) / 2) as d from mo x, mo y where x.model = 'm0' and y.model = 'm3') select 'm0' as a, 'm3' as b, round(d, 6) as d, case when abs(d) < 0.5 then 'small' when abs(d) < 0.8 then 'medium' else 'large' end as size from z",

@@ -9,7 +9,7 @@ from samplekit.operators import metrics, mlgrid, runs, sampling
 from samplekit.plans import bindings as b
 from samplekit.plans.evaluation import BY, COUNTS, KEYS, r6
 from samplekit.plans.stats import SPLIT, STATS, dataset_stats, split_quality
-from samplekit.sources import scan, sinks
+from samplekit.sources import imagefiles, scan, sinks
 from samplekit.sources.shared import shared_folder
 from samplekit.streaming import running
 
@@ -80,6 +80,34 @@ def path_labels(spark: SparkSession, d: str) -> DataFrame:
     return scan.with_path_labels(paths).select("sample_id", "label", "split")
 
 
+def _image_files(spark: SparkSession, d: str) -> str:
+    """The images of the embeddings as files; every fiftieth has no pixels, and every fiftieth of the others says that it is larger than it is."""
+    path = shared_folder(spark)
+    imagefiles.register(spark)
+    i, whole = F.col("sample_id"), F.col("sample_id") % 50 != 0
+    value = F.unhex(F.array_join(F.transform("pixels", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    rows = b.images(spark, d).select(
+        F.concat(F.lit("v"), i).alias("name"), F.col("label").cast("int").alias("label"), F.when(i % 3 == 0, "validation").otherwise("training").alias("split"),
+        F.when(whole, F.when(i % 50 == 1, 9).otherwise(8)).otherwise(0).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.when(whole, value).otherwise(F.lit(b"")).alias("pixels"),
+    )
+    rows.write.format("labelled_images").mode("append").save(path)
+    return path
+
+
+def image_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Attack images of the training half: the filters decide what is listed."""
+    found = scan.readable_images(scan.scan_images(spark, _image_files(spark, d), "own")).where("label = 1 and split = 'training'")
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("pixels"), k, 1)), 16, 10).cast("long")
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("pixels")), byte), F.lit(0).cast("long"), lambda a, v: a + v)
+    return found.select(F.regexp_extract("path", "/v([0-9]+)[.]pgm$", 1).cast("long").alias("sample_id"), "label", "split", "dataset", "height", "width", "channels", total.alias("total"))
+
+
+def image_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """What couldn't be decoded, with the reason."""
+    found = scan.rejected_images(scan.scan_images(spark, _image_files(spark, d), "own"))
+    return found.select(F.regexp_extract("path", "/v([0-9]+)[.]pgm$", 1).cast("long").alias("sample_id"), "reason")
+
+
 def grid_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _split(spark, d)
     sources = sorted(r["dataset"] for r in rows.select("dataset").distinct().collect())
@@ -87,7 +115,8 @@ def grid_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    return runs.best_trial(mlgrid.search(b.samples(spark, d).drop("group_id"), mlgrid.estimators()))
+    """The whole trial table."""
+    return mlgrid.search(b.samples(spark, d).drop("group_id"))
 
 
 def hourly_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +129,15 @@ RATES = """e as (select date_trunc('day', ts) as start, case when event_type in
 , c as (select start::timestamp as start, count(*) filter (where label = 1 and score > 0.5) as tp, count(*) filter (where label = 1 and score <= 0.5) as fn, count(*) filter (where label = 0 and score <= 0.5) as tn, count(*) filter (where label = 0 and score > 0.5) as fp from e group by 1)"""
 
 QUERIES = {
+    "a01_image_scan": (
+        image_scan,
+        b.IMAGES.join(["with ", ""]) + """ select sample_id, label::int as label, 'training' as split, 'own' as dataset, 8 as height, 8 as width, 3 as channels, (3 * list_sum(pixels))::bigint as total
+      from images where label = 1 and sample_id % 3 <> 0 and sample_id % 50 > 1""",
+    ),
+    "a04_image_rejects": (
+        image_rejects,
+        "select vec_id as sample_id, case when vec_id % 50 = 0 then 'zero size' else 'cut off' end as reason from embeddings where vec_id % 50 < 2",
+    ),
     "a02_path_labels": (
         path_labels,
         b.SAMPLES + " select sample_id, label, case when sample_id % 4 = 0 then 'validation' else 'training' end as split from samples",

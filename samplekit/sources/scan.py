@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from samplekit.sources import imagefiles
+
 #: What is taken as an image or a video, in lower or in UPPER case.
-IMAGES = ("png", "jpg", "jpeg", "bmp", "pgm", "tiff", "tif")
+IMAGES = ("png", "jpg", "jpeg", "bmp", "pgm", "ppm", "tiff", "tif")
 VIDEOS = ("mp4", "avi", "mov", "mkv", "wmv", "flv", "webm")
 HALVES = r"/(attack|bonafide)_(training|validation)/"
 
@@ -39,18 +41,24 @@ def with_path_labels(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns({"label": F.when(kind == "attack", 1).when(kind == "bonafide", 0), "split": F.when(split != "", split)})
 
 
-def scan_images(spark: SparkSession, base: str, dataset: str) -> DataFrame:
-    """path, label, split, dataset, height, width, channels, pixels of the images under base; the image source decodes them.
+def scan_images(spark: SparkSession, base: str, dataset: str, part_bytes: int | None = None) -> DataFrame:
+    """path, label, split, dataset, height, width, channels, pixels, reason of the images under base; pixels are blue, green, red, of gray images three equal ones.
 
-    A file that can't be decoded has height -1 and null pixels: see rejected_images.
+    PNG, BMP and portable maps come from the "labelled_images" format, which lists only the directories that filters on label and split leave, in partitions of part_bytes; JPEG and TIFF
+    files are decoded by Spark's image source. A file that can't be decoded has null pixels and a reason: see rejected_images.
     """
+    imagefiles.register(spark)
+    reader = spark.read.format("labelled_images").option("path", base)
+    own = (reader.option("partBytes", part_bytes) if part_bytes else reader).load().withColumn("dataset", F.lit(dataset))
+    columns = ["path", "label", "split", "dataset", "height", "width", "channels", "pixels", "reason"]
     halves = [h for h in (f"{base}/{c}_{s}" for c in ("attack", "bonafide") for s in ("training", "validation")) if _exists(spark, h)]
     if not halves:
-        return spark.createDataFrame([], "path string, label int, split string, dataset string, height int, width int, channels int, pixels binary")
-    raw = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _glob(IMAGES)).load(halves)
+        return own.select(*columns)
+    raw = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _glob(tuple(e for e in IMAGES if e not in imagefiles.EXTENSIONS))).load(halves)
     read = F.col("image.height") > 0
-    rows = raw.select(F.col("image.origin").alias("path"), F.lit(dataset).alias("dataset"), F.when(read, F.col("image.height")).otherwise(-1).alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.when(read, F.col("image.data")).alias("pixels"))
-    return with_path_labels(rows).select("path", "label", "split", "dataset", "height", "width", "channels", "pixels")
+    of = lambda name: F.when(read, F.col(f"image.{name}"))
+    rows = raw.select(F.col("image.origin").alias("path"), F.lit(dataset).alias("dataset"), of("height").alias("height"), of("width").alias("width"), of("nChannels").alias("channels"), of("data").alias("pixels"), F.when(~F.coalesce(read, F.lit(False)), "no codec decodes it").alias("reason"))
+    return own.select(*columns).unionByName(with_path_labels(rows).select(*columns))
 
 
 def readable_images(df: DataFrame) -> DataFrame:
@@ -59,7 +67,7 @@ def readable_images(df: DataFrame) -> DataFrame:
 
 def rejected_images(df: DataFrame) -> DataFrame:
     """path, reason."""
-    return df.where("pixels is null").select("path", F.lit("cannot be decoded").alias("reason"))
+    return df.where("pixels is null").select("path", "reason")
 
 
 def scan_videos(spark: SparkSession, base: str) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from samplekit.functions import normal
 from samplekit.operators import compare, curves, metrics
 
 
@@ -108,6 +109,22 @@ def test_significance(spark):
     assert compare.anova(two).count() == 0 and compare.cohens_d(df).count() == 0
 
 
+def test_tail_probabilities(spark):
+    """Closed forms: two degrees above, two below, one and one; and the symmetry of the beta function."""
+    rows = [(f, d) for f in (0.01, 0.5, 1.0, 3.7, 40.0, 1e4) for d in (1, 2, 5, 30, 1000, 200000)]
+    df = spark.createDataFrame(rows, "f double, d int")
+    tail = normal.f_tail
+    for r in df.select("f", "d", tail(F.col("f"), F.lit(2), F.col("d")).alias("two"), tail(F.col("f"), F.col("d"), F.lit(2)).alias("below"), tail(F.col("f"), F.lit(1), F.lit(1)).alias("one"), tail(F.col("f"), F.col("d"), F.lit(7)).alias("a"), tail(1 / F.col("f"), F.lit(7), F.col("d")).alias("z")).collect():
+        assert r.two == pytest.approx((1 + 2 * r.f / r.d) ** (-r.d / 2), rel=1e-8, abs=1e-300)
+        assert r.below == pytest.approx(1 - (r.d * r.f / (2 + r.d * r.f)) ** (r.d / 2), rel=1e-7)
+        assert r.one == pytest.approx(1 - 2 / math.pi * math.atan(math.sqrt(r.f)), rel=1e-8)
+        assert r.a + r.z == pytest.approx(1, abs=1e-9)
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0), (1.0, 0.0), (0.0, 3.0)], "f double, d double").select(tail(F.col("f"), F.lit(2), F.col("d")).alias("p"))
+    assert [r.p for r in odd.collect()] == [None, None, None, 1.0]
+    gammas = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 7.5, 1e3, 1e6)], "x double").select("x", normal.log_gamma(F.col("x")).alias("y"))
+    assert all(r.y == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12) for r in gammas.collect())
+
+
 def test_ranking_skips_nan(spark):
     df = spark.createDataFrame([("a", "x", "x", float("nan"), 0.5), ("b", "x", "y", 0.2, 0.6)], "model string, trained_on string, tested_on string, eer double, accuracy double")
     best = {r.metric: (r.model, r.value) for r in compare.best_by(df, {"eer": "min", "accuracy": "max"}, ["model", "tested_on"]).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from samplekit.operators import mlgrid, runs, sampling
 from samplekit.sources.shared import shared_folder
 
@@ -44,5 +46,38 @@ def test_grid_of_models(spark):
     scores = mlgrid.score_matrix(fitted, rows)
     assert scores.count() == 2 * rows.where("split = 'test'").count()
     assert scores.where("(score > 0.5) <> (label = 1)").count() == 0
-    assert runs.best_trial(mlgrid.search(df, mlgrid.estimators())).count() == 1
     assert shared_folder(spark) != shared_folder(spark)
+
+
+def planted(spark, n=240):
+    """Labels that a product of two values tells, which a line can't follow and a tree of two levels can."""
+    rows = [(i, float(i % 7 - 3 or 1) * 10, float(i % 11 - 5 or 1) * 10, float(i % 5), float(i % 13)) for i in range(n)]
+    df = spark.createDataFrame(rows, "sample_id long, sharpness double, contrast double, mean_brightness double, blur_score double")
+    return df.selectExpr("*", "cast(sharpness * contrast > 0 as int) as label").repartition(3)
+
+
+def test_search_by_successive_halving(spark):
+    df = planted(spark)
+    space = {"logistic": {"regParam": ("log", 0.01, 1.0)}, "forest": {"numTrees": ("int", 3, 8), "maxDepth": ("choice", 4, 6)}, "broken": {"maxIter": ("int", -9, -5)}}
+    models = {**mlgrid.estimators(), "broken": mlgrid.estimators()["logistic"]}
+    found = mlgrid.search(df, space, trials=6, rungs=2, k=2, models=models)
+    rows = found.orderBy("number").collect()
+    assert [r.number for r in rows] == list(range(6))
+    assert {r.state for r in rows if r.estimator == "broken"} == {"FAIL"} and all(r.value == math.inf for r in rows if r.estimator == "broken")
+    last = [r for r in rows if r.state == "COMPLETE"]
+    assert len(last) == 2 and {r.rung for r in last} == {1} and {r.rows for r in last} == {240}
+    assert all(100 < r.rows < 140 for r in rows if r.rung == 0)
+    best = runs.best_trial(found).first()
+    assert rows[best.number].estimator == "forest" and best.value == min(r.value for r in last) < 0.6
+    assert set(rows[best.number].params) == {"numTrees", "maxDepth"}
+
+
+def test_trials_are_drawn_within_bounds():
+    trials = mlgrid.draw_trials(mlgrid.SPACE, 40, 7)
+    assert trials == mlgrid.draw_trials(mlgrid.SPACE, 40, 7) != mlgrid.draw_trials(mlgrid.SPACE, 40, 8)
+    for t in trials:
+        for name, (kind, *values) in mlgrid.SPACE[t.estimator].items():
+            x = t.params[name]
+            assert x in values if kind == "choice" else values[0] <= x <= values[1]
+    small = sum(t.params["regParam"] < 1e-3 for t in trials if t.estimator == "logistic")
+    assert 3 < small < 17
