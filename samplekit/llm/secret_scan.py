@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import id_and_bytes, slices
+from samplekit.llm.common import id_and_bytes, materialize, slices
 
 #: Kinds in the order in which they are listed, and their patterns; all of ASCII, so that bytes do.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -43,8 +43,13 @@ FOUND = "doc_id long, key long, spans array<struct<kind: string, start: bigint,
 def identifiers(docs: DataFrame, *, text_col: str = "text", most_bytes: int = DICTIONARY_BYTES, least_docs: int = 3) -> bytes:
     """The words and identifiers of most documents, ties in alphabetical order, as one text of most_bytes or fewer, the most frequent last: compressors reach what is near for less. Counts cover all documents; only what fits in the text comes to the driver."""
     runs = F.array_distinct(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"{IDENTIFIER}+"), F.lit(0)))
-    counts = docs.select(F.explode(runs).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least_docs) & (F.length("word") <= 32))
-    best = counts.orderBy(F.desc("n"), "word").limit(most_bytes // 5).collect()
+    counts = materialize(docs.select(F.explode(runs).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least_docs) & (F.length("word") <= 32)))
+    enough, found, least = most_bytes // 5, 0, 0
+    for row in counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect():  # one row for each power of two
+        found, least = found + row["count"], 2 ** row.level
+        if found >= enough:
+            break  # the most frequent are all at this level or above, so that a task hands on few others
+    best = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(enough).collect()
     out, size = [], 0
     for row in best:
         size += len(row.word) + 1
