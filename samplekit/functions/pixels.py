@@ -23,7 +23,14 @@ def filtered(stack: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 LAPLACIAN = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)
 SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
 SHARPEN = np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], float)
-EMBOSS = np.array([[-1, -1, 0], [-1, 1, 1], [0, 1, 1]], float)
+
+
+def sharpening(lightness: float) -> np.ndarray:
+    return np.array([[-1, -1, -1], [-1, 8 + lightness, -1], [-1, -1, -1]])
+
+
+def embossing(strength: float) -> np.ndarray:
+    return np.array([[-1 - strength, -strength, 0], [-strength, 1, strength], [0, strength, 1 + strength]])
 
 
 def grayscale(stack: np.ndarray) -> np.ndarray:
@@ -71,21 +78,103 @@ def frame_sharpen(stack: np.ndarray) -> np.ndarray:
     return saturated(0.7 * stack + 0.3 * saturated(filtered(stack, 0.6 * SHARPEN)))
 
 
-def resized(stack: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, by pixel centres."""
-    def places(new: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+def _taps(new: int, old: int, reach: int, weight) -> np.ndarray:  # noqa: ANN001
+    """Matrix of new rows by old columns: weights of the places around each new pixel's centre, a border's pixel standing for those beyond it."""
+    at = (np.arange(new) + 0.5) * old / new - 0.5
+    low = np.floor(at).astype(int)
+    out = np.zeros((new, old))
+    for k in range(1 - reach, reach + 1):
+        np.add.at(out, (np.arange(new), np.clip(low + k, 0, old - 1)), weight(at - low - k))
+    return out / out.sum(1, keepdims=True)
+
+
+#: Kernels of resampling by distance from a centre, with the places on either side that they reach.
+RESAMPLING = {"bilinear": (1, lambda t: 1 - np.abs(t)), "lanczos": (4, lambda t: np.sinc(t) * np.sinc(t / 4))}
+
+
+def resized(stack: np.ndarray, height: int, width: int, method: str = "lanczos") -> np.ndarray:
+    """Both axes as a product with a banded matrix. Lanczos looks at eight by eight places, also where it makes images smaller; its values can lie beyond those of the image."""
+    rows, columns = (_taps(new, old, *RESAMPLING[method]) for new, old in ((height, stack.shape[1]), (width, stack.shape[2])))
+    return np.einsum("yi,nij...,xj->nyx...", rows, stack.astype(np.float64), columns, optimize=True)
+
+
+def to_hsv(stack: np.ndarray) -> np.ndarray:
+    """Hue (0 to 6), saturation (0 to 1) and value of colours."""
+    high, low = stack.max(-1), stack.min(-1)
+    span = high - low
+    safe = np.where(span > 0, span, 1)
+    r, g, b = (stack[..., k] for k in range(3))
+    hue = np.where(high == r, (g - b) / safe % 6, np.where(high == g, (b - r) / safe + 2, (r - g) / safe + 4))
+    return np.stack([np.where(span > 0, hue, 0), np.where(high > 0, span / np.where(high > 0, high, 1), 0), high], -1)
+
+
+def from_hsv(hsv: np.ndarray) -> np.ndarray:
+    hue, saturation, value = (hsv[..., k] for k in range(3))
+    place = (np.array([5, 3, 1]) + hue[..., None]) % 6
+    return value[..., None] * (1 - saturation[..., None] * np.clip(np.minimum(place, 4 - place), 0, 1))
+
+
+def shifted_hsv(stack: np.ndarray, hue: np.ndarray, saturation: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hue in steps of 2 degrees, saturation and value in steps of a 255th, of each image."""
+    hsv = to_hsv(stack)
+    over = lambda v: v.reshape(-1, 1, 1)
+    parts = [(hsv[..., 0] + over(hue) / 30) % 6, np.clip(hsv[..., 1] + over(saturation) / 255, 0, 1), np.clip(hsv[..., 2] + over(value), 0, 255)]
+    return saturated(from_hsv(np.stack(parts, -1)))
+
+
+def line_kernel(size: int, angle: float) -> np.ndarray:
+    """A line through the middle of a square, whose weights sum to 1."""
+    out, middle = np.zeros((size, size)), size // 2
+    along = np.linspace(-middle, middle, 4 * size)
+    out[np.rint(middle + along * np.sin(angle)).astype(int), np.rint(middle + along * np.cos(angle)).astype(int)] = 1
+    return out / out.sum()
+
+
+def remapped(stack: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Images with the pixel that lies at (y, x) of each place, between pixels bilinear, beyond the border mirrored. y, x: images by height by width."""
+    n, h, w = stack.shape[:3]
+
+    def mirrored(at: np.ndarray, size: int) -> np.ndarray:
+        period = max(1, 2 * (size - 1))
+        at = np.abs(at) % period
+        return np.minimum(at, period - at) if size > 1 else np.zeros_like(at)
+
+    y, x = mirrored(y, h), mirrored(x, w)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+    image = np.arange(n)[:, None, None]
+    out = np.zeros(stack.shape, np.float64)
+    for dy, wy in ((0, 1 - fy), (1, fy)):
+        for dx, wx in ((0, 1 - fx), (1, fx)):
+            weight = wy * wx
+            out += weight.reshape(*weight.shape, *(1,) * (stack.ndim - 3)) * stack[image, np.minimum(y0 + dy, h - 1), np.minimum(x0 + dx, w - 1)]
+    return out
+
+
+def equalised(gray: np.ndarray, clip: float, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited histogram equalisation of images of whole numbers up to 255: each tile's histogram is cut at clip times its mean, what is cut off is spread evenly, and the maps of the four tiles around a pixel are mixed by its distance from their middles."""
+    n, h, w = gray.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    padded = np.pad(gray, ((0, 0), (0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric").astype(int)
+    parts = padded.reshape(n, tiles, th, tiles, tw).transpose(0, 1, 3, 2, 4).reshape(n * tiles * tiles, th * tw)
+    counts = np.zeros((len(parts), 256))
+    np.add.at(counts, (np.arange(len(parts))[:, None], parts), 1)
+    most = max(1.0, np.floor(clip * th * tw / 256))
+    over = np.maximum(counts - most, 0).sum(1, keepdims=True)
+    maps = (np.cumsum(np.minimum(counts, most) + over / 256, 1) * (255 / (th * tw))).reshape(n, tiles, tiles, 256)
+
+    def around(size: int, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(size) + 0.5) / tile - 0.5
         low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, old - 1), at - low
-
-    y0, y1, fy = places(height, stack.shape[1])
-    x0, x1, fx = places(width, stack.shape[2])
-    more = (1,) * (stack.ndim - 3)
-    fy, fx = fy.reshape(-1, 1, *more), fx.reshape(1, -1, *more)
-    upper, lower = stack[:, y0], stack[:, y1]
-    top = upper[:, :, x0] * (1 - fx) + upper[:, :, x1] * fx
-    bottom = lower[:, :, x0] * (1 - fx) + lower[:, :, x1] * fx
-    return top * (1 - fy) + bottom * fy
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = around(h, th), around(w, tw)
+    image, value = np.arange(n)[:, None, None], gray.astype(int)
+    out = np.zeros(gray.shape)
+    for ys, wy in ((y0, 1 - fy), (y1, fy)):
+        for xs, wx in ((x0, 1 - fx), (x1, fx)):
+            out += wy[:, None] * wx * maps[image, ys[:, None], xs, value]
+    return saturated(out)
 
 
 def median_filtered(stack: np.ndarray, size: int) -> np.ndarray:

@@ -105,8 +105,9 @@ def enhance_images(df: DataFrame, steps: tuple[str, ...] = ("gamma_scale", "unsh
     return map_images(df, change)
 
 
-def resize_images(df: DataFrame, height: int, width: int) -> DataFrame:
-    return map_images(df, lambda stack: px.resized(stack, height, width))
+def resize_images(df: DataFrame, height: int, width: int, method: str = "lanczos") -> DataFrame:
+    """Images of another size, whole numbers of 0 to 255. method: lanczos or bilinear."""
+    return map_images(df, lambda stack: px.saturated(px.resized(stack, height, width, method)))
 
 
 Range = tuple[float, float]
@@ -187,12 +188,47 @@ def _dropout(stack: np.ndarray, rngs: list[np.random.Generator], holes: int) ->
 
 
 #: Transforms whose first parameter decides on the shape or the kernel: images go together only where it is the same.
-ALIKE = ("rotate90", "flip", "blur", "gaussian_blur", "median_blur", "downscale", "coarse_dropout", "cutout", "channel_dropout")
+ALIKE = ("rotate90", "flip", "blur", "gaussian_blur", "median_blur", "motion_blur", "downscale", "coarse_dropout", "cutout", "channel_dropout", "clahe")
 WHOLE = ("rotate90", "flip", "channel_dropout")
 
 
+def _filtered_each(stack: np.ndarray, kernels: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([px.filtered(stack[k : k + 1], kernel) for k, kernel in enumerate(kernels)])
+
+
+def _sensor_noise(stack: np.ndarray, colour: np.ndarray, strength: np.ndarray, rngs: list[np.random.Generator]) -> np.ndarray:
+    """Noise of a sensor: hues vary by a share of the circle, values grow by counts whose mean follows the image's spread."""
+    hsv = px.to_hsv(stack)
+    for image, rng, c, s in zip(hsv, rngs, colour, strength, strict=True):
+        spread = image[..., 2].std()
+        image[..., 0] = (image[..., 0] + rng.normal(0, 6 * c * s, image.shape[:2])) % 6
+        image[..., 2] += rng.poisson(spread * s, image.shape[:2]) * (1 - image[..., 2] / 255)
+    return px.saturated(px.from_hsv(np.stack([hsv[..., 0], hsv[..., 1], np.clip(hsv[..., 2], 0, 255)], -1)))
+
+
+def _distorted(stack: np.ndarray, name: str, values: np.ndarray, rngs: list[np.random.Generator], steps: int = 5) -> np.ndarray:
+    """Grid: each of so many stripes is stretched by its own share; optical: places move along the radius; elastic: places move at random, smoothed."""
+    n, h, w = stack.shape[:3]
+    y, x = (np.repeat(a[None].astype(float), n, 0) for a in np.mgrid[:h, :w])
+    for k, (rng, (first, second, _)) in enumerate(zip(rngs, values, strict=True)):
+        if name == "grid_distortion":
+            for at, size, axis in ((y, h, 0), (x, w, 1)):
+                share = 1 + first * rng.uniform(-1, 1, steps)
+                knots = np.concatenate(([0], np.cumsum(share / share.sum()))) * (size - 1)
+                line = np.interp(np.arange(size), np.linspace(0, size - 1, steps + 1), knots)
+                at[k] = line[:, None] if axis == 0 else line[None, :]
+        elif name == "optical_distortion":
+            v, u = (y[k] - (h - 1) / 2) / max(h, w), (x[k] - (w - 1) / 2) / max(h, w)
+            stretch = 1 + first * (u * u + v * v)
+            y[k], x[k] = v * stretch * max(h, w) + (h - 1) / 2 * (1 + second), u * stretch * max(h, w) + (w - 1) / 2 * (1 + second)
+        else:
+            sigma = min(second, min(h, w) / 8)
+            y[k], x[k] = (at[k] + first * px.blurred(rng.uniform(-1, 1, (1, h, w)), sigma)[0] for at in (y, x))
+    return px.saturated(px.remapped(stack, y, x))
+
+
 def transformed(stack: np.ndarray, name: str, values: np.ndarray, rngs: list[np.random.Generator]) -> np.ndarray:
-    """The images after one step of a plan; values: parameters of each image. Transforms that need a codec or a distortion library leave them as they are."""
+    """The images after one step of a plan; values: parameters of each image. What can't be done, as it needs a codec or colours that an image hasn't, gives the very stack back."""
     channels = stack.ndim == 4
     first = values[:, 0]
     kind = first[0]
@@ -216,14 +252,27 @@ def transformed(stack: np.ndarray, name: str, values: np.ndarray, rngs: list[np.
         return px.saturated(px.blurred(stack, kind / 6))
     if name == "median_blur":
         return px.median_filtered(stack, int(kind))
+    if name == "motion_blur":
+        return px.saturated(_filtered_each(stack, [px.line_kernel(int(kind), rng.uniform(0, np.pi)) for rng in rngs]))
     if name in ("sharpen", "emboss"):
-        alpha = _over(first, stack)
-        return px.saturated((1 - alpha) * stack + alpha * px.filtered(stack, px.SHARPEN if name == "sharpen" else px.EMBOSS))
+        alpha, kernel = _over(first, stack), px.sharpening if name == "sharpen" else px.embossing
+        return px.saturated((1 - alpha) * stack + alpha * _filtered_each(stack, [kernel(v) for v in values[:, 1]]))
+    if name in ("grid_distortion", "optical_distortion", "elastic"):
+        return _distorted(stack, name, values, rngs)
+    if name == "clahe" and channels and stack.shape[3] == 3:
+        hsv = px.to_hsv(stack)
+        return px.saturated(px.from_hsv(np.concatenate([hsv[..., :2], px.equalised(px.saturated(hsv[..., 2]), kind)[..., None]], -1)))
+    if name == "clahe" and not channels:
+        return px.equalised(px.saturated(stack), kind)
+    if name == "hue_saturation_value" and channels and stack.shape[3] == 3:
+        return px.shifted_hsv(stack, *values.T)
+    if name == "iso_noise" and channels and stack.shape[3] == 3:
+        return _sensor_noise(stack, first, values[:, 1], rngs)
     if name in ("coarse_dropout", "cutout"):
         return _dropout(stack, rngs, int(kind))
     if name == "downscale":
         h, w = stack.shape[1:3]
-        return px.saturated(px.resized(px.resized(stack, max(1, int(h * kind)), max(1, int(w * kind))), h, w))
+        return px.saturated(px.resized(px.resized(stack, max(1, int(h * kind)), max(1, int(w * kind)), "bilinear"), h, w, "bilinear"))
     if name == "channel_shuffle" and channels:
         return np.stack([image[..., rng.permutation(stack.shape[3])] for image, rng in zip(stack, rngs, strict=True)])
     if name == "rgb_shift" and channels and stack.shape[3] == 3:
@@ -236,10 +285,11 @@ def transformed(stack: np.ndarray, name: str, values: np.ndarray, rngs: list[np.
 
 
 def _augmented(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch (__key, epoch, __steps) with the steps of each row applied in order, those of equal kind and size together."""
+    """The batch (__key, epoch, __steps) with the steps of each row applied in order, those of equal kind and size together; applied says which were."""
     images = {int(row): image for rows, stack in stacks(batch) for row, image in zip(rows, stack, strict=True)}
     keys, epochs, steps = (batch.column(c).to_pylist() for c in ("__key", "epoch", "__steps"))
     rngs = {row: np.random.default_rng(zlib.crc32(f"{keys[row]}|{epochs[row]}".encode())) for row in images}
+    applied: list[list[bool]] = [[] for _ in keys]
     for turn in range(max((len(s or ()) for s in steps), default=0)):
         together: defaultdict[tuple, list[int]] = defaultdict(list)
         for row, image in images.items():
@@ -249,17 +299,27 @@ def _augmented(batch: pa.RecordBatch) -> pa.RecordBatch:
                 together[step["transform"], image.shape, int(value) if step["transform"] in WHOLE else value].append(row)
         for (name, _, _), rows in together.items():
             values = np.array([[steps[row][turn][v] for v in VALUES] for row in rows], np.float64)
-            changed = transformed(np.stack([images[row] for row in rows]), name, values, [rngs[row] for row in rows])
+            own = np.stack([images[row] for row in rows])
+            changed = transformed(own, name, values, [rngs[row] for row in rows])
             images.update(zip(rows, changed, strict=True))
+            for row in rows:
+                applied[row].append(changed is not own)
     by_shape: defaultdict[tuple, list[int]] = defaultdict(list)
     for row, image in images.items():
         by_shape[image.shape].append(row)
-    return _with_images(batch, [(np.array(rows), np.stack([images[row] for row in rows])) for rows in by_shape.values()])
+    shown = [[{"transform": x["transform"], "applied": done} for x, done in zip(own or (), applied[row] or [False] * len(own or ()), strict=True)] for row, own in enumerate(steps)]
+    at = batch.schema.get_field_index("steps")
+    marked = batch.set_column(at, batch.schema.field(at), pa.array(shown, batch.schema.field(at).type))
+    return _with_images(marked, [(np.array(rows), np.stack([images[row] for row in rows])) for rows in by_shape.values()])
 
 
 def apply_augmentation(df: DataFrame, plan: DataFrame, epochs: int = 1, key: str = "sample_id") -> DataFrame:
-    """df for each epoch, the steps of the plan applied in order; a sample without a step in an epoch is unchanged there."""
+    """df for each epoch, the steps of the plan applied in order, and steps: each transform with whether it was applied. A sample without a step in an epoch is unchanged there, as is one that is no image.
+
+    Not applied are image_compression, which needs a codec, and what changes colours on a gray image. Value and brightness of colours stand for those of other colour spaces; directions,
+    noise and displacements are drawn for each sample and epoch.
+    """
     steps = plan.groupBy(F.col(key).alias("__of"), F.col("epoch").alias("__epoch")).agg(F.sort_array(F.collect_list(F.struct("step", "transform", *VALUES))).alias("__steps"))
     spread = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    rows = spread.join(steps, (F.col(key) == F.col("__of")) & (F.col("epoch") == F.col("__epoch")), "left").drop("__of", "__epoch").withColumn("__key", F.col(key).cast("string"))
+    rows = spread.join(steps, (F.col(key) == F.col("__of")) & (F.col("epoch") == F.col("__epoch")), "left").drop("__of", "__epoch").withColumns({"__key": F.col(key).cast("string"), "steps": F.lit(None).cast("array<struct<transform: string, applied: boolean>>")})
     return rows.mapInArrow(lambda batches: map(_augmented, batches), rows.schema).drop("__key", "__steps")

@@ -58,12 +58,17 @@ FRAME = b.IMAGES + f"""
 , sharper as (select sample_id, y, x, least(255, greatest(0, round_even(0.7::double * {_p(0, 0)} + 0.3::double * {_SHARP}, 0))) as v from images {_PIXELS})
 , enhanced as (select sample_id, list(v order by y, x) as pixels from sharper group by sample_id)"""
 AS_TEXT = " select sample_id, list_aggregate(list_transform(pixels, lambda v: v::int::varchar), 'string_agg', ',') as pixels from enhanced"
-_QUARTER = " + ".join(f"pixels[1 + 8 * (2 * y + {dy}) + 2 * x + {dx}]" for dy in (0, 1) for dx in (0, 1))
-RESIZED = b.IMAGES + f"""
-, cells as (
-  select sample_id, y, x, ({_QUARTER}) / 4 as v
-  from images cross join (select unnest(range(4))::int as y) cross join (select unnest(range(4))::int as x))
- select sample_id, list_aggregate(list(v::decimal(9, 2)::varchar order by y, x), 'string_agg', ',') as pixels from cells group by sample_id"""
+RESIZED = b.IMAGES + """
+, kernel as (select d, k, greatest(0, least(7, 2 * d + k - 3)) as s, 3.5::double - k as t from (select unnest(range(4))::int as d) cross join (select unnest(range(8))::int as k))
+, taps as (select d, s, sum(sin(pi() * t) * sin(pi() * t / 4) / (t * t)) / any_value(total) as w from kernel join (select d, sum(sin(pi() * t) * sin(pi() * t / 4) / (t * t)) as total from kernel group by d) using (d) group by d, s)
+, cells as (select sample_id, y.d as y, x.d as x, greatest(0, least(255, round_even(sum(y.w * x.w * pixels[y.s * 8 + x.s + 1]), 0))) as v from images cross join taps y cross join taps x group by 1, 2, 3)
+ select sample_id, list_aggregate(list(v::int::varchar order by y, x), 'string_agg', ',') as pixels from cells group by sample_id"""
+TURNED = b.IMAGES + """
+, cells as (select sample_id, y, x, case sample_id % 5 when 0 then pixels[x * 8 + 8 - y] when 1 then pixels[y * 8 + 8 - x] when 2 then pixels[x * 8 + y + 1]
+    when 3 then greatest(0, least(255, round_even(1.2::double * pixels[y * 8 + x + 1] + 28.05::double, 0))) else pixels[y * 8 + x + 1] end as v
+  from images cross join (select unnest(range(8))::int as y) cross join (select unnest(range(8))::int as x))
+ select sample_id, list_aggregate(list(v::int::varchar order by y, x), 'string_agg', ',') as pixels, any_value(['rotate90 true', 'flip true', 'transpose true', 'brightness_contrast true', 'image_compression false'][sample_id % 5 + 1]) as steps
+ from cells group by sample_id"""
 GATE = "composite_score >= 0.6::double and mean_brightness between 40 and 220 and blur_score > 80 and contrast > 15"
 TWO_STAGE = QUALITY + ENHANCED + _quality_sql("enhanced", "r") + f"""
  select q.sample_id, round(q.composite_score, 6) as composite_score, round(r.composite_score, 6) as final_composite, round(r.contrast, 4) as final_contrast
@@ -103,6 +108,14 @@ def _text(column: str, form: str = "int"):  # noqa: ANN202
     return F.array_join(F.transform(column, lambda x: x.cast(form).cast("string")), ",").alias("pixels")
 
 
+def _turned(spark, d):  # noqa: ANN001, ANN202
+    """One transform for each sample, by its number."""
+    kind = F.element_at(F.array(*(F.struct(F.lit(n).alias("transform"), F.lit(v).cast("double").alias("value"), F.lit(w).cast("double").alias("second")) for n, v, w in (("rotate90", 1, None), ("flip", 1, None), ("transpose", None, None), ("brightness_contrast", 0.11, 0.2), ("image_compression", 80, None)))), (F.col("sample_id") % 5 + 1).cast("int"))
+    plan = b.images(spark, d).select("sample_id", F.lit(0).alias("epoch"), F.lit(0).alias("step"), kind.alias("k")).select("sample_id", "epoch", "step", "k.*", F.lit(None).cast("double").alias("third"))
+    done = images.apply_augmentation(b.images(spark, d), plan)
+    return done.select("sample_id", _text("pixels"), F.array_join(F.transform("steps", lambda s: F.concat_ws(" ", s["transform"], s["applied"].cast("string"))), ",").alias("steps"))
+
+
 def _gray(spark, d):  # noqa: ANN001, ANN202
     """Each run of three pixels taken as one colour."""
     runs = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(*(F.get("pixels", i * 3 + k).alias(c) for k, c in enumerate("rgb"))))
@@ -145,7 +158,7 @@ QUERIES = {
         FRAME + AS_TEXT,
     ),
     "b12_resize": (
-        lambda spark, d: images.resize_images(b.images(spark, d), 4, 4).select("sample_id", _text("pixels", "decimal(9,2)")),
+        lambda spark, d: images.resize_images(b.images(spark, d), 4, 4).select("sample_id", _text("pixels")),
         RESIZED,
     ),
     "b13_b14_ranges": (
@@ -161,6 +174,7 @@ QUERIES = {
         b.IMAGES + " select sample_id, round(list_avg(pixels), 6) as mean from images",
     ),
     "b21_augmentation_plan": (_planned, PLANNED),
+    "b22_planned_transforms": (_turned, TURNED),
     "b22_apply_augmentation": (
         lambda spark, d: images.apply_augmentation(b.images(spark, d), images.augmentation_plan(b.images(spark, d), "heavy", 2), 2),
         None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import colorsys
+import math
 import struct
 import zlib
 
@@ -52,7 +54,7 @@ def test_enhancement_saturates():
     out = px.gamma_scaled(image)
     assert out.min() >= 0 and out.max() == 255 and out[0, 0] == 5
     assert px.unsharp(np.full((1, 9, 9), 77.0)).tolist() == np.full((1, 9, 9), 77.0).tolist()
-    assert px.resized(np.arange(16.0).reshape(1, 4, 4), 2, 2).tolist() == [[[2.5, 4.5], [10.5, 12.5]]]
+    assert px.resized(np.arange(16.0).reshape(1, 4, 4), 2, 2, "bilinear").tolist() == [[[2.5, 4.5], [10.5, 12.5]]]
 
 
 def _at(image, y, x):
@@ -84,7 +86,7 @@ def test_kernels_against_loops_over_pixels():
         y, x = 1.5 * 9 / 5 - 0.5, 2.5 * 11 / 7 - 0.5
         a, b = int(y), int(x)
         expected = sum(image[a + i][b + j] * (1 - abs(y - a - i)) * (1 - abs(x - b - j)) for i in (0, 1) for j in (0, 1))
-        assert px.resized(stack, 5, 7)[k][1][2] == pytest.approx(expected)
+        assert px.resized(stack, 5, 7, "bilinear")[k][1][2] == pytest.approx(expected)
 
 
 def test_two_stage_gate(spark):
@@ -113,14 +115,16 @@ def test_transforms_against_single_images():
             assert images.transformed(stack, "gamma", 100 + 100 * values, [])[k] == pytest.approx(whole((image / 255) ** (1 + values[k, 0]) * 255))
             assert images.transformed(stack, "multiplicative_noise", 1 + values, [])[k] == pytest.approx(whole(image * (1 + values[k, 0])))
     assert images.transformed(gray, "blur", same(3), [])[2] == pytest.approx(whole(_plain_filter(gray[2], np.full((3, 3), 1 / 9))))
-    mixed = 0.7 * gray[1] + 0.3 * _plain_filter(gray[1], px.EMBOSS)
-    assert images.transformed(gray, "emboss", same(0.3), [])[1] == pytest.approx(whole(mixed))
+    two = np.tile([0.3, 0.6, np.nan], (4, 1))
+    for name, kernel in (("emboss", [[-1.6, -0.6, 0], [-0.6, 1, 0.6], [0, 0.6, 1.6]]), ("sharpen", [[-1, -1, -1], [-1, 8.6, -1], [-1, -1, -1]])):
+        assert images.transformed(gray, name, two, [])[1] == pytest.approx(whole(0.7 * gray[1] + 0.3 * _plain_filter(gray[1], kernel)))
     shift = np.tile([5.0, -7.0, 20.0], (4, 1))
     assert images.transformed(colour, "rgb_shift", shift, [])[3] == pytest.approx(whole(colour[3] + shift[3]))
     assert (images.transformed(colour, "channel_dropout", same(1.5), [])[..., 1] == 128).all()
     rngs = [np.random.default_rng(k) for k in range(4)]
     assert sorted(images.transformed(colour, "channel_shuffle", same(np.nan), rngs)[0].ravel()) == sorted(colour[0].ravel())
-    assert images.transformed(gray, "clahe", same(2), []) is gray
+    for name in ("image_compression", "hue_saturation_value", "iso_noise", "rgb_shift", "channel_shuffle"):
+        assert images.transformed(gray, name, same(2), rngs) is gray
 
 
 def test_augmentation(spark):
@@ -183,3 +187,88 @@ def test_running_rates_of_a_stream(spark, tmp_path):
     query.stop()
     assert spark.table("rates").count() == 8
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, running_error_rates(rows).collect()))
+
+
+def _places(y, x, steps, image, whole):
+    """A value between pixels from its eight by eight places, by the definition of the kernel."""
+    out, total = 0.0, 0.0
+    for i in range(int(np.floor(y)) - 3, int(np.floor(y)) + 5):
+        for j in range(int(np.floor(x)) - 3, int(np.floor(x)) + 5):
+            w = math.prod(1.0 if t == 0 else 4 * math.sin(math.pi * t) * math.sin(math.pi * t / 4) / (math.pi * t) ** 2 for t in (y - i, x - j))
+            out += w * image[min(max(i, 0), image.shape[0] - 1)][min(max(j, 0), image.shape[1] - 1)]
+            total += w
+    return out / total
+
+
+def test_lanczos():
+    stack = np.random.default_rng(5).integers(0, 256, (2, 11, 9)).astype(float)
+    for h, w in ((5, 4), (11, 9), (17, 20), (1, 1)):
+        got = px.resized(stack, h, w)
+        for y in range(h):
+            for x in range(w):
+                assert got[1, y, x] == pytest.approx(_places((y + 0.5) * 11 / h - 0.5, (x + 0.5) * 9 / w - 0.5, 8, stack[1], None))
+    colour = np.stack([stack, stack + 1, stack * 0], -1)
+    assert px.resized(colour, 6, 7)[..., 1] == pytest.approx(px.resized(stack, 6, 7) + 1)
+
+
+def test_colours():
+    stack = np.random.default_rng(6).integers(0, 256, (3, 4, 5, 3)).astype(float)
+    stack[0, 0, 0], stack[0, 0, 1] = 7, 0
+    hsv = px.to_hsv(stack)
+    for pixel, own in zip(stack.reshape(-1, 3), hsv.reshape(-1, 3), strict=True):
+        h, s, v = colorsys.rgb_to_hsv(*(pixel / 255))
+        assert (own[0] / 6, own[1], own[2] / 255) == pytest.approx((h, s, v))
+    assert px.from_hsv(hsv) == pytest.approx(stack)
+    moved = px.shifted_hsv(stack, np.array([30.0, -30.0, 0.0]), np.array([0.0, 0.0, -51.0]), np.array([0.0, 10.0, 0.0]))
+    h, s, v = hsv[2, 1, 1]
+    assert moved[2, 1, 1] == pytest.approx(np.rint(np.array(colorsys.hsv_to_rgb(h / 6, max(0, s - 0.2), v / 255)) * 255))
+    h, s, v = hsv[0, 1, 1]
+    assert moved[0, 1, 1] == pytest.approx(np.rint(np.array(colorsys.hsv_to_rgb((h + 1) % 6 / 6, s, v / 255)) * 255))
+
+
+def test_motion_and_displacement():
+    assert px.line_kernel(5, 0).tolist() == [[0] * 5, [0] * 5, [0.2] * 5, [0] * 5, [0] * 5]
+    assert (px.line_kernel(5, np.pi / 2) == px.line_kernel(5, 0).T).all() and px.line_kernel(7, 1.1).sum() == pytest.approx(1)
+    stack = np.random.default_rng(7).integers(0, 256, (2, 6, 8)).astype(float)
+    y, x = (np.repeat(a[None].astype(float), 2, 0) for a in np.mgrid[:6, :8])
+    assert px.remapped(stack, y, x) == pytest.approx(stack)
+    assert px.remapped(stack, y + 1, x)[:, :-1] == pytest.approx(stack[:, 1:]) and px.remapped(stack, y + 1, x)[:, -1] == pytest.approx(stack[:, -2])
+    assert px.remapped(stack, y, x + 0.25)[1, 2, 3] == pytest.approx(0.75 * stack[1, 2, 3] + 0.25 * stack[1, 2, 4])
+    still = np.tile([0.0, 0.0, np.nan], (2, 1))
+    rngs = [np.random.default_rng(k) for k in range(2)]
+    for name in ("grid_distortion", "optical_distortion"):
+        assert images.transformed(stack, name, still, rngs) == pytest.approx(stack)
+        assert (images.transformed(stack, name, still + 0.3, rngs) != stack).any()
+    assert (images.transformed(stack, "elastic", np.tile([20.0, 6.0, 3.6], (2, 1)), rngs) != stack).any()
+
+
+def test_equalisation_by_tiles():
+    """Against loops over tiles, places and grey values."""
+    image = np.random.default_rng(8).integers(0, 256, (32, 48))
+    clip, th, tw = 2.0, 4, 6
+    maps = {}
+    for ty in range(8):
+        for tx in range(8):
+            counts = np.bincount(image[ty * th : ty * th + th, tx * tw : tx * tw + tw].ravel(), minlength=256).astype(float)
+            most = max(1, int(clip * th * tw / 256))
+            over = sum(max(c - most, 0) for c in counts)
+            maps[ty, tx] = np.cumsum([min(c, most) + over / 256 for c in counts]) * 255 / (th * tw)
+    got = px.equalised(image[None].astype(float), clip)[0]
+    for y in range(32):
+        for x in range(48):
+            v, u = (y + 0.5) / th - 0.5, (x + 0.5) / tw - 0.5
+            expected = 0.0
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    ty, tx = int(np.floor(v)) + dy, int(np.floor(u)) + dx
+                    weight = (1 - abs(v - ty)) * (1 - abs(u - tx))
+                    expected += weight * maps[min(max(ty, 0), 7), min(max(tx, 0), 7)][image[y, x]]
+            assert abs(got[y, x] - expected) <= 0.500001
+    assert px.equalised(np.full((1, 5, 5), 9.0), 4.0).shape == (1, 5, 5)
+
+
+def test_what_was_not_applied_is_marked(spark):
+    df = spark.createDataFrame([(i, 8, 8, np.arange(64.0).tolist()) for i in range(6)] + [(9, 8, 8, None)], "sample_id long, height int, width int, pixels array<double>")
+    plan = spark.createDataFrame([(i, 0, 0, n, 80.0, 0.5, 0.0) for i, n in enumerate(("image_compression", "clahe", "hue_saturation_value", "motion_blur"))] + [(9, 0, 0, "clahe", 2.0, None, None)], "sample_id long, epoch int, step int, transform string, value double, second double, third double").replace(80.0, 5.0)
+    got = {r.sample_id: {s.transform: s.applied for s in r.steps or ()} for r in images.apply_augmentation(df, plan).collect()}
+    assert got == {0: {"image_compression": False}, 1: {"clahe": True}, 2: {"hue_saturation_value": False}, 3: {"motion_blur": True}, 4: {}, 5: {}, 9: {"clahe": False}}
