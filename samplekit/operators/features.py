@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,36 @@ def standardised(pixels: str) -> Column:
     return F.get(F.transform(once, lambda s: F.transform(pixels, lambda x: F.coalesce(F.try_divide(x - s["mean"], s["deviation"]), F.lit(0.0)))), F.lit(0))
 
 
+def normalised(df: DataFrame, method: str = "per_image", pixels: str = "pixels") -> DataFrame:
+    """df with its pixels normalised: per_image (mean 0, deviation 1 of each image), global (the same of all pixels of all images), standardize (of each place over all images), min_max (each place over all images to [0, 1]).
+
+    Figures of places come from one vector aggregate and are joined back as one row. A place or an image that never varies is 0. Images whose size differs from that of most
+    places stay out of the figures: all must have one size.
+    """
+    if method == "per_image":
+        return df.withColumn(pixels, standardised(pixels))
+    if method == "global":
+        values = df.agg(F.sum(F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x)).alias("s"), F.sum(F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x * x)).alias("q"), F.sum(F.size(pixels)).alias("n"))
+        mean = F.col("s") / F.col("n")
+        figures = values.select(mean.alias("__mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("__dev"))
+        each = lambda x: F.coalesce(F.try_divide(x - F.col("__mean"), F.col("__dev")), F.lit(0.0))
+        return df.join(F.broadcast(figures)).withColumn(pixels, F.transform(pixels, each)).select(*df.columns)
+    if method not in ("standardize", "min_max"):
+        raise ValueError(f"method must be per_image, global, standardize or min_max: {method}")
+    vector = array_to_vector(F.col(pixels).cast("array<double>"))
+    of = lambda name: vector_to_array(F.col(f"m.{name}")).alias(name)
+    summary = df.where(F.col(pixels).isNotNull()).select(Summarizer.metrics("mean", "std", "min", "max", "count").summary(vector).alias("m"))
+    figures = F.broadcast(summary.select(of("mean"), of("std"), of("min"), of("max"), F.col("m.count").alias("count")).select(F.struct("*").alias("__f")))  # one row, as wide as an image
+    joined = df.join(figures)
+    at = lambda name, i: F.get(F.col(f"__f.{name}"), i)
+    if method == "min_max":
+        scaled_ = lambda x, i: F.try_divide(x - at("min", i), at("max", i) - at("min", i))
+    else:
+        whole = F.sqrt((F.col("__f.count") - 1) / F.col("__f.count"))
+        scaled_ = lambda x, i: F.try_divide(x - at("mean", i), at("std", i) * whole)
+    return joined.withColumn(pixels, F.transform(pixels, lambda x, i: F.coalesce(scaled_(x, i), F.lit(0.0)))).select(*df.columns)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """value: each row as JSON; NaN is null and left out, so that the JSON is standard."""
     clean = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema]

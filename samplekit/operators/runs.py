@@ -54,8 +54,8 @@ def generalisation_gap(logs: DataFrame, metrics: list[str], *, run: str = "run_i
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("train"), F.col(f"val_{m}").alias("val")) for m in metrics)))
     rows = logs.select(run, "epoch", pairs.alias("p")).select(run, "epoch", "p.*").withColumn("gap", F.col("val") - F.col("train"))
     sign = F.when(F.col("metric").contains("loss"), F.col("val")).otherwise(-F.col("val"))
-    turn = F.row_number().over(Window.partitionBy(run, "metric").orderBy(sign.asc_nulls_last(), "epoch"))
-    return rows.withColumn("best", turn == 1)
+    best = rows.groupBy(run, "metric").agg(F.min(F.struct(sign.isNull().alias("none"), sign.alias("sign"), "epoch"))["epoch"].alias("__best")).select(F.col(run).alias("__run"), F.col("metric").alias("__metric"), "__best")
+    return rows.join(best, F.col(run).eqNullSafe(F.col("__run")) & (F.col("metric") == F.col("__metric"))).select(*rows.columns, (F.col("epoch") == F.col("__best")).alias("best"))
 
 
 def time_stats(logs: DataFrame, *, run: str = "run_id", seconds: str = "seconds", memory: tuple[str, ...] = ("cpu_memory", "gpu_memory")) -> DataFrame:

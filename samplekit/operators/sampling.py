@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,21 @@ def sample_frames(manifest: DataFrame, most: int = 20) -> DataFrame:
     return manifest.withColumn("frame", F.explode(frames))
 
 
+def best_frames(frames: DataFrame, most: int = 20, apart: int = 10, *, by: str = "video_id", frame: str = "frame", quality: str = "quality") -> DataFrame:
+    """frames, with place from 1, of the best quality in each video, `most` at most, any two of them `apart` or more: the best one first, then always the best of those that are far enough from all taken; ties to the earlier frame.
+
+    What is taken rules out 2 apart - 1 frames at most, so the best most (2 apart - 1) frames of a video decide; only these come together in one row. Frames without a quality are never taken.
+    """
+    span = 2 * apart - 1
+    ranked = with_exact_rank(frames.where(F.col(quality).isNotNull() & F.col(frame).isNotNull()), [by], quality, frame, "__rank").where(F.col("__rank") <= most * span)
+    lists = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__rank", F.col(frame).cast("long").alias("frame")))).alias("__list"))
+    none = F.array().cast("array<bigint>")
+    taken = F.aggregate("__list", none, lambda own, x: F.when((F.size(own) < most) & ~F.exists(own, lambda y: F.abs(y - x["frame"]) < apart), F.concat(own, F.array(x["frame"]))).otherwise(own))
+    rows = lists.select(F.col(by).alias("__by"), F.posexplode(taken).alias("__place", "__frame"))
+    match = [F.col(by).eqNullSafe(F.col("__by")), F.col(frame) == F.col("__frame")]
+    return frames.join(rows, match).select(*frames.columns, (F.col("__place") + 1).alias("place"))
+
+
 def with_quota_ranks(df: DataFrame, by: list[str], label: str, key: str, seed: int) -> DataFrame:
     """df with its hash ranks within a class of a group and within the group."""
     return with_hash_rank(with_hash_rank(df, seed, key, [*by, label], "__in_class"), seed, key, by, "__in_all")
@@ -113,6 +129,77 @@ def balance_sources(df: DataFrame, *, source: str = "dataset", by: list[str] | N
     return resample_to(df, balance_targets(df, source=source, by=by, cap=cap), by=[source, *by], label=label, key=key, seed=seed)
 
 
+def apportion(sizes: DataFrame, total: int, *, source: str = "dataset", weight: str = "weight", least: str = "least", most: str = "most") -> DataFrame:
+    """source, target: whole shares of the total by weight, none below `least` or above `most`, that sum to the total exactly; where the bounds don't let them, to the nearest sum that they allow.
+
+    A share is weight times a level, cut to its bounds, and the level is the one at which all sum to the total: the sum grows in pieces between the levels at which a source leaves its
+    least or meets its most, so one ordered pass over these finds it. Fractions go to the largest remainders, ties to the smaller source. One row a source; weights are above 0.
+    """
+    own = sizes.select(F.col(source).alias("__s"), F.col(weight).cast("double").alias("w"), F.col(least).cast("double").alias("low"), F.greatest(least, most).cast("double").alias("high"))
+    levels = own.select(F.explode(F.array(F.struct((F.col("low") / F.col("w")).alias("level"), F.col("w").alias("slope"), (-F.col("low")).alias("fixed")), F.struct((F.col("high") / F.col("w")).alias("level"), (-F.col("w")).alias("slope"), F.col("high").alias("fixed")))).alias("e")).select("e.*")
+    steps = levels.groupBy("level").agg(F.sum("slope").alias("slope"), F.sum("fixed").alias("fixed"))
+    upto = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # two rows a source
+    bounds = own.agg(F.sum("low").alias("__low"), F.sum("high").alias("__high"))
+    pieces = steps.withColumns({"slope": F.round(F.sum("slope").over(upto), 9), "fixed": F.sum("fixed").over(upto), "next": F.lead("level").over(Window.orderBy("level"))}).join(bounds)
+    goal = F.least(F.col("__high"), F.greatest(F.col("__low"), F.lit(float(total))))
+    inside = (F.col("__low") + F.col("fixed") + F.col("level") * F.col("slope") <= goal + 1e-6) & (F.col("slope") > 0)
+    level = F.coalesce(F.max_by(F.least(F.col("next"), (goal - F.col("__low") - F.col("fixed")) / F.nullif(F.col("slope"), F.lit(0.0))), F.when(inside, F.col("level"))), F.max("level"))
+    exact = F.least(F.col("high"), F.greatest(F.col("low"), F.round(F.col("w") * F.col("__level"), 6)))
+    shares = own.join(pieces.agg(level.alias("__level"), F.max(goal).alias("__goal"))).select("__s", F.floor(exact).alias("whole"), (exact - F.floor(exact)).alias("rest"), (F.floor(exact) + 1 <= F.col("high")).alias("room"), "__goal")
+    turn = F.row_number().over(Window.orderBy(F.desc("room"), F.desc("rest"), "__s"))
+    missing = F.round(F.col("__goal") - F.sum("whole").over(Window.partitionBy()))
+    return shares.withColumns({"turn": turn, "missing": missing}).select(F.col("__s").alias(source), (F.col("whole") + F.when(F.col("turn") <= F.col("missing"), 1).otherwise(0)).cast("long").alias("target"))
+
+
+def weighted_targets(df: DataFrame, total: int, weights: str | dict[str, float] = "balanced", *, source: str = "dataset", quality: str = "quality", least: int = 0, upsample: float = 1.0) -> DataFrame:
+    """source, target of a mixture of `total` rows, for resample_to. weights: "balanced" (all alike), "quality_based" (by a source's mean quality), or numbers by source (others: 1).
+
+    No source gives more than upsample times its rows, nor fewer than `least` of them, if it has so many.
+    """
+    known = {"balanced", "quality_based"}
+    if isinstance(weights, str) and weights not in known:
+        raise ValueError(f"weights must be numbers or one of {sorted(known)}: {weights}")
+    mean = F.avg(quality) if weights == "quality_based" else F.lit(1.0)
+    sizes = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*").alias("n"), mean.alias("weight"))
+    if isinstance(weights, dict):
+        of = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else None
+        sizes = sizes.withColumn("weight", F.coalesce(F.try_element_at(of, F.col(source)), F.lit(1.0)) if of is not None else F.lit(1.0))
+    most = F.floor(F.col("n") * F.lit(upsample))
+    return apportion(sizes.where("weight > 0").withColumns({"most": most, "least": F.least(F.lit(least), most)}), total, source=source)
+
+
+def balance_by_time(df: DataFrame, label: str = "label", ts: str = "ts", key: str = "sample_id", by: list[str] | None = None) -> DataFrame:
+    """As many rows of each class as the smallest has, evenly spread over the class in the order of time, ties by key; all rows where a class is absent."""
+    by = by or []
+    limits = _totals(df, by, label).select(*by, label, F.col("n").alias("__n"), F.when(F.col("classes") > 1, F.col("least")).otherwise(F.col("n")).alias("__limit"))
+    ranked = with_exact_rank(df.withColumn("__early", -F.unix_micros(F.col(ts).cast("timestamp"))), [*by, label], "__early", key, "__rank").join(limits, [*by, label])
+    step = lambda rank: F.floor(rank * F.col("__limit") / F.col("__n"))
+    return ranked.where(step(F.col("__rank")) > step(F.col("__rank") - 1)).select(*df.columns)
+
+
+def with_sessions(df: DataFrame, gap: str = "30 minutes", *, by: str = "group_id", ts: str = "ts") -> DataFrame:
+    """df with session, from 1 within `by`, and sessions, how many there are: a session ends where nothing follows for longer than the gap. Rows without a time have no session (null).
+
+    Rows of one stretch of time as long as the gap are always of one session, so stretches are summed up first; only they, and not rows, are put in order.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    length = F.lit(int(pd.Timedelta(gap).total_seconds() * 1e6))
+    own = df.withColumn("__at", micros).withColumn("__stretch", F.floor(F.col("__at") / length))
+    stretches = own.where("__at is not null").groupBy(by, "__stretch").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    order = Window.partitionBy(by).orderBy("__stretch")
+    begins = F.col("__first") - F.lag("__last").over(order) > length
+    numbered = stretches.withColumn("__begins", F.coalesce(begins, F.lit(True)).cast("long")).withColumn("session", F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = numbered.withColumn("sessions", F.max("session").over(Window.partitionBy(by))).select(F.col(by).alias("__by"), F.col("__stretch").alias("__of"), "session", "sessions")
+    return own.join(numbered, [F.col(by).eqNullSafe(F.col("__by")), F.col("__stretch") == F.col("__of")], "left").select(*df.columns, "session", "sessions")
+
+
+def session_split(df: DataFrame, gap: str = "30 minutes", test_sessions: int = 1, *, by: str = "group_id", ts: str = "ts", names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """df with session and split: the last sessions of each of `by` are names[1], as far as one is left to train on. Rows without a time are names[0]."""
+    own = with_sessions(df, gap, by=by, ts=ts)
+    late = (F.col("session") > F.col("sessions") - test_sessions) & (F.col("session") > 1)
+    return own.select(*df.columns, "session", F.when(late, names[1]).otherwise(names[0]).alias("split"))
+
+
 def shuffle(df: DataFrame, *, key: str = "sample_id", seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """df with shuffle_rank, a permutation from 1."""
     return with_hash_rank(df, seed, key, by, "shuffle_rank")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplekit.operators.sampling import with_exact_rank
+
 SAMPLES = """samples as (
   select event_id as sample_id, user_id as group_id,
     case when user_id % 15 < 1 then 'ds0' when user_id % 15 < 3 then 'ds1' when user_id % 15 < 6 then 'ds2'
@@ -95,8 +97,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).selectExpr(
-        "user_id as run_id", "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as epoch", "value as val_loss",
+    """Events of a user as the epochs of a run, in the order of time; a run of any length is ranked in parts."""
+    ranked = with_exact_rank(events(spark, sf_dir).withColumn("early", -F.unix_micros(F.col("ts").cast("timestamp"))), ["user_id"], "early", "event_id")
+    return ranked.selectExpr(
+        "user_id as run_id", "rank - 1 as epoch", "value as val_loss",
         "cast((event_id * 37) % 256 as double) / 256 as val_accuracy", "cast((event_id * 91) % 256 as double) / 256 as accuracy", "value * 0.9D as loss", "cast(event_id % 13 as double) as seconds",
     )
 

@@ -126,6 +126,11 @@ def _gray(spark, d):  # noqa: ANN001, ANN202
 GRAY = b.IMAGES + """, runs as (select sample_id, pixels, unnest(range(21)) as place from images)
  select sample_id, place::int as place,
   floor(pixels[1 + 3 * place] * 0.299::double + pixels[2 + 3 * place] * 0.587::double + pixels[3 + 3 * place] * 0.114::double + 0.5::double)::bigint as gray from runs"""
+FIGURES = {
+    "global": "(v - avg(v) over ()) / nullif(stddev_pop(v) over (), 0)", "standardize": "(v - avg(v) over (partition by place)) / nullif(stddev_pop(v) over (partition by place), 0)",
+    "min_max": "(v - min(v) over (partition by place)) / nullif(max(v) over (partition by place) - min(v) over (partition by place), 0)",
+}
+NORMALISED = b.IMAGES + ", m as (select sample_id, unnest(range(64))::int as place, unnest(pixels) as v from images) select sample_id, place, round(coalesce({w}, 0), 6) as value from m"
 STANDARDISED = b.IMAGES + """, m as (select sample_id, pixels, list_avg(pixels) as mean, nullif(list_stddev_pop(pixels), 0) as dev from images)
  select sample_id, place::int as place, round(coalesce((pixels[1 + place] - mean) / dev, 0), 6) as value from (select *, unnest(range(64)) as place from m)"""
 
@@ -183,6 +188,7 @@ QUERIES = {
         lambda spark, d: b.images(spark, d).select("sample_id", F.col("pixels").cast("array<float>").alias("pixels")).select("sample_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 3).alias("total")),
         b.IMAGES + " select sample_id, round(list_sum(list_transform(pixels, lambda x: x::float::double)), 3) as total from images",
     ),
+    **{f"b13_normalise_{m}": ((lambda m: lambda spark, d: features.normalised(b.images(spark, d), m).select("sample_id", F.posexplode("pixels").alias("place", "value")).withColumn("value", F.round("value", 6)))(m), NORMALISED.format(w=w)) for m, w in FIGURES.items()},
     "x_standardise": (_standardised, STANDARDISED),
 }
 

@@ -37,6 +37,45 @@ GROUPED = ", gr as (select dataset, group_id, row_number() over (partition by da
 SUBSETS = {"all": None, "high_quality": ["ds0", "ds1"], "video": ["ds3", "ds4", "absent"]}
 
 
+def _frames(spark, d):  # noqa: ANN001, ANN202
+    return b.samples(spark, d).select(F.col("group_id").alias("video_id"), F.col("sample_id").alias("frame"), F.round("sharpness", 1).alias("quality"))
+
+
+BEST_FRAMES = "recursive " + b.SAMPLES + """, r as (select group_id as video_id, sample_id as frame, round(sharpness, 1) as quality, row_number() over (partition by group_id order by round(sharpness, 1) desc, sample_id) as k from samples)
+, g as (select distinct video_id, 0::bigint as k, []::bigint[] as taken from r
+  union all select g.video_id, g.k + 1, case when len(taken) < 5 and len(list_filter(taken, lambda x: abs(x - r.frame) < 200)) = 0 then list_append(taken, r.frame) else taken end from g join r on r.video_id = g.video_id and r.k = g.k + 1)
+, t as (select video_id, arg_max(taken, k) as taken from g group by video_id)
+select video_id, frame, quality, place::int as place from (select video_id, unnest(taken) as frame, generate_subscripts(taken, 1) as place from t) join r using (video_id, frame)"""
+WEIGHTS = {"ds0": 2.0, "ds3": 0.5}
+TOTAL = 1200
+TARGETS = b.SAMPLES + f""", s as (select dataset, count(*)::double as high, least(50, count(*))::double as low, case dataset when 'ds0' then 2.0::double when 'ds3' then 0.5::double else 1.0::double end as w from samples group by dataset)
+, p as (select distinct low / w as level from s union select distinct high / w from s), f as (select level, sum(least(high, greatest(low, w * level))) as total from p cross join s group by level)
+, goal as (select least(sum(high), greatest(sum(low), {TOTAL})) as goal from s), a as (select max(level) as l0, max(total) as t0 from f, goal where total <= goal + 1e-6)
+, z as (select min(level) as l1, min(total) as t1 from f, goal where total > goal + 1e-6)
+, level as (select case when t1 is null then l0 else l0 + (goal - t0) / (t1 - t0) * (l1 - l0) end as level, goal from a, z, goal)
+, x as (select dataset, round(least(high, greatest(low, w * level)), 6) as x, goal, high from s cross join level), y as (select *, row_number() over (order by floor(x) + 1 <= high desc, x - floor(x) desc, dataset) as turn, goal - sum(floor(x)) over () as missing from x)
+, targets as (select dataset, (floor(x) + case when turn <= round(missing) then 1 else 0 end)::bigint as target from y)"""
+BY_TIME = b.SAMPLES + """, c as (select dataset, label, count(*) as n from samples group by dataset, label), l as (select *, min(n) over (partition by dataset) as k from c)
+, r as (select s.sample_id, s.dataset, s.label, n, k, row_number() over (partition by s.dataset, s.label order by ts, sample_id) as j from samples s join l using (dataset, label))
+select sample_id, dataset, label from r where floor(j * k / n::double) > floor((j - 1) * k / n::double)"""
+SESSIONS = b.SAMPLES + """, o as (select *, case when coalesce(ts - lag(ts) over (partition by group_id order by ts, sample_id) > interval 3 day, true) then 1 else 0 end as begins from samples)
+, n as (select *, sum(begins) over (partition by group_id order by ts, sample_id) as session from o), m as (select *, max(session) over (partition by group_id) as sessions from n)"""
+
+
+def _session_leaks(spark, d):  # noqa: ANN001, ANN202
+    """Sessions that stand in more than one split: none; and the rows of each split."""
+    own = sampling.session_split(b.samples(spark, d), "3 days")
+    leaks = sampling.leak_report(own, "session", by=["group_id"]).agg(F.count("*").alias("leaks"))
+    return own.groupBy("split").agg(F.count("*").alias("n")).crossJoin(leaks)
+
+
+def _weighted_rows(spark, d):  # noqa: ANN001, ANN202
+    """Sizes of the sources after they were brought to their targets."""
+    rows = b.samples(spark, d)
+    targets = sampling.weighted_targets(rows, TOTAL, WEIGHTS, least=50)
+    return sampling.resample_to(rows, targets, by=["dataset"]).groupBy("dataset").agg(F.count("*").alias("n"))
+
+
 def _samples(spark, d):  # noqa: ANN001, ANN202
     return b.samples(spark, d)
 
@@ -46,6 +85,15 @@ def _quality(spark, d):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
+    "c02_best_frames": (lambda spark, d: sampling.best_frames(_frames(spark, d), 5, 200), BEST_FRAMES),
+    "c05_weighted_targets": (lambda spark, d: sampling.weighted_targets(b.samples(spark, d), TOTAL, WEIGHTS, least=50), TARGETS + " select * from targets"),
+    "c05_weighted_sources": (_weighted_rows, TARGETS + " select dataset, target as n from targets where target > 0"),
+    "c01_temporal_balance": (lambda spark, d: sampling.balance_by_time(b.samples(spark, d), by=["dataset"]).select("sample_id", "dataset", "label"), BY_TIME),
+    "c09_session_split": (
+        lambda spark, d: sampling.session_split(b.samples(spark, d), "3 days").select("sample_id", "session", "split"),
+        SESSIONS + " select sample_id, session::bigint as session, case when session = sessions and session > 1 then 'test' else 'train' end as split from m",
+    ),
+    "c12_session_leaks": (_session_leaks, SESSIONS + " select case when session = sessions and session > 1 then 'test' else 'train' end as split, count(*) as n, 0::bigint as leaks from m group by 1"),
     "c01_balance_by_quality": (
         lambda spark, d: sampling.balance_by_quality(_quality(spark, d)).select("sample_id", "label", F.round("quality", 6).alias("quality")),
         b.DOCS + ", r as (select *, row_number() over (partition by label order by quality desc, sample_id) as k from docs), l as (select min(n) as least from (select label, count(*) as n from docs group by label)) select sample_id, label, round(quality, 6) as quality from r cross join l where k <= least",
