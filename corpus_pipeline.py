@@ -13,18 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplekit.llm import decontamination, line_dedup, packing, quality_rules, simhash
-from samplekit.llm.common import materialize, table
+from samplekit.llm.common import keyed_rows, materialize, table
 from samplekit.llm.registry import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __r1 and __r2, 128 bits of all columns: rows that are alike in all of them are one, others are not."""
-    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]
-    return docs.withColumns({"__r1": F.xxhash64(*columns), "__r2": F.xxhash64(F.lit(1), *columns)})
-
-
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of `like`, n_chars as the text now has it."""
     if "n_chars" in like.columns:
@@ -34,14 +28,15 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Null and empty texts have too few words and go; repeated rows, those without an id and ties stay or go together."""
-    own = _keyed(docs)
-    kept = quality_rules.judge_quality(own, "__r1", "__r2").where("kept").select("__r1", "__r2")
-    return own.join(kept, ["__r1", "__r2"], "left_semi").select(*docs.columns)
+    own = keyed_rows(docs)
+    lean = own.select("r1", "r2", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")))
+    kept = quality_rules.judge_quality(lean, "r1", "r2").where("kept").select("r1", "r2")
+    return own.join(kept, ["r1", "r2"], "left_semi").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines. Null texts stay null; every row stays, also one that is left empty, repeated rows and those without an id."""
-    return _sized(line_dedup.remove_boilerplate(docs), docs)
+    return _sized(line_dedup.without_boilerplate(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

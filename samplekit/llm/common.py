@@ -36,6 +36,12 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Dat
     )
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row, the whole row of docs as a struct, so that no name of a helper's can clash with one of its columns, and r1, r2, 128 bits of all columns: rows alike in all of them are one, others are not."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *columns).alias("r2"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds about limit bytes of text, however long its documents are. After the last one Arrow gives back what the worker no longer needs."""
     for batch in batches:

@@ -352,8 +352,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     One pass over the documents for each pass of items. Null texts stay null; rows are told apart by nothing, so repeated ones and those without an id stay.
     """
-    marked = with_hits(docs, items, text_col=text_col, hits_col="__hits", cut=True, **how)  # type: ignore[arg-type]
-    return marked.where(~contaminated("__hits.n_hit", "__hits.n_words")).drop("__hits")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    marked = with_hits(held, items, text_col="text", hits_col="hits", cut=True, **how).where(~contaminated("hits.n_hit", "hits.n_words"))  # type: ignore[arg-type]
+    return marked.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

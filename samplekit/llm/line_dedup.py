@@ -48,43 +48,56 @@ def _is_long(line: Column, min_words: int) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(BLANK)), "[ \t\r]+")) >= min_words
 
 
-def _kept_by_plan(docs: DataFrame, common: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """docs with __kept, the lines that stay; the few lines that go are literals."""
-    split = F.split(F.col(text_col), "\n")
+def _kept_by_plan(rows: DataFrame, common: DataFrame, min_words: int) -> DataFrame:
+    """rows (text) with kept, the lines that stay; the few lines that go are literals."""
+    split = F.split("text", "\n")
     keys = common.collect()  # FEW rows at most
     first, second = ([r[k] for r in keys] for k in ("k1", "k2"))
     if not keys:
-        return docs.withColumn("__kept", split)
+        return rows.withColumn("kept", split)
     gone = lambda x: _key(x)["k1"].isin(first) & _key(x)["k2"].isin(second) & _is_long(x, min_words)
-    return docs.withColumn("__kept", F.filter(split, lambda x: ~gone(x)))
+    return rows.withColumn("kept", F.filter(split, lambda x: ~gone(x)))
 
 
-def _kept_by_join(docs: DataFrame, lines: DataFrame, common: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """docs with __kept; each document meets those of its own lines that go. Those without an id meet all of theirs, so they have a key of their text."""
-    row = F.struct(F.col("doc_id"), F.col("text_key"))
-    drop = lines.join(common, ["k1", "k2"]).groupBy(row.alias("__drop_row")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drop_keys"))
-    own = docs.withColumn("__row", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")))
-    with_keys = own.join(drop, F.col("__row") == F.col("__drop_row"), "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda x: ~_is_long(x, min_words) | ~F.array_contains(F.col("__drop_keys"), _key(x)))
-    return with_keys.withColumn("__kept", F.when(F.col("__drop_keys").isNull(), split).otherwise(kept)).drop("__row", "__drop_row", "__drop_keys")
+def _kept_by_join(rows: DataFrame, lines: DataFrame, common: DataFrame, min_words: int) -> DataFrame:
+    """rows (id, text) with kept; each document meets those of its own lines that go. Those without an id meet all of theirs, so they have a key of their text."""
+    drop = lines.join(common, ["k1", "k2"]).groupBy(F.struct("doc_id", "text_key").alias("of")).agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
+    with_keys = rows.join(drop, F.struct(F.col("id").alias("doc_id"), F.xxhash64("text").alias("text_key")) == F.col("of"), "left")
+    split = F.split("text", "\n")
+    kept = F.filter(split, lambda x: ~_is_long(x, min_words) | ~F.array_contains(F.col("keys"), _key(x)))
+    return with_keys.withColumn("kept", F.when(F.col("keys").isNull(), split).otherwise(kept))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, few: int = FEW) -> DataFrame:
-    """docs with text_col without lines that stand on min_sites sites or more, and line_stats (struct: lines, removed).
+def _cut_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, min_words: int, few: int) -> DataFrame:
+    """row (all columns of docs), text, and kept, the lines of the text that stay."""
+    lines = _lines(docs, id_col, text_col, site_col, min_words)
+    common = materialize(boilerplate_lines(lines, min_sites).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _kept_by_plan(rows, common, min_words) if common.count() <= few else _kept_by_join(rows, lines, common, min_words)
+
+
+def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, few: int = FEW) -> DataFrame:
+    """docs, its columns and no others, with text_col without boilerplate lines: see remove_boilerplate. No column of docs can have a name that clashes."""
+    cut = _cut_rows(docs, id_col, text_col, site_col, min_sites, min_words, few)
+    return cut.select(*(F.array_join("kept", "\n").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, few: int = FEW, stats_col: str = "line_stats") -> DataFrame:
+    """docs with text_col without lines that stand on min_sites sites or more, and stats_col (struct: lines, removed); an error if docs has a column of that name.
 
     A line is what stands between line feeds, compared without spaces, tabs and carriage returns at its ends; one of fewer
     than min_words words stays. A null text stays null (no lines); a null site is a site of its own. All rows stay, also
     those left empty and those without an id; rows that repeat an id lose what they have of the lines. Order and repeats of the lines that stay are
     kept. All columns of docs stay. few: lines up to which they are literals of the plan; the rows are the same beyond.
     """
-    lines = _lines(docs, id_col, text_col, site_col, min_words)
-    common = materialize(boilerplate_lines(lines, min_sites).distinct())
-    kept = _kept_by_plan(docs, common, text_col, min_words) if common.count() <= few else _kept_by_join(docs, lines, common, id_col, text_col, min_words)
-    split = F.split(F.col(text_col), "\n")
-    stats = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long").alias("removed"))
+    if stats_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {stats_col} already: name another in stats_col")
+    cut = _cut_rows(docs, id_col, text_col, site_col, min_sites, min_words, few)
+    split = F.split("text", "\n")
+    stats = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size(split) - F.size("kept"), F.lit(0)).cast("long").alias("removed"))
     none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))
-    return kept.withColumn("line_stats", F.when(F.col(text_col).isNull(), none).otherwise(stats)).withColumn(text_col, F.array_join("__kept", "\n")).drop("__kept")
+    columns = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return cut.select(*columns, F.when(F.col("text").isNull(), none).otherwise(stats).alias(stats_col))
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:

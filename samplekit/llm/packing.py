@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
 
-KNOWN_WORDS = 250_000  # words whose ids a Python worker remembers
+KNOWN_BYTES = 40 << 20  # of words and their ids that a Python worker remembers, about
+WORD_BYTES, PART_BYTES = 170, 230  # what a dictionary takes for a word or a part besides its letters; parts also for their list
 EARLY = 2
 SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
 
@@ -79,24 +80,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cuts = _cuts_letters(path)
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.parts: dict[bytes, list[int]] = {}
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.held = 0
+        self.sizes, self.ids, self.seen = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Only the words seen most stay, a third of what fits; parts are found again by them."""
+        words = list(self.number)
+        order = np.argsort(-self.seen, kind="stable")
+        room = np.cumsum(np.fromiter((WORD_BYTES + len(words[k]) for k in order), np.int64, len(order)) + 4 * self.sizes[order])
+        kept = np.sort(order[: int(np.searchsorted(room, KNOWN_BYTES // 3))])
+        self.ids = self.ids[gather(starts_of(self.sizes)[kept], self.sizes[kept])]
+        self.sizes, self.seen = self.sizes[kept], self.seen[kept] // 2
+        self.number = {words[k]: n for n, k in enumerate(kept.tolist())}
+        self.parts = {}
+        self.held = int(room[len(kept) - 1]) if len(kept) else 0
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of distinct words; those that are new are encoded."""
-        if len(self.number) > KNOWN_WORDS:
+        if self.held > KNOWN_BYTES:
             self._forget()
         number = self.number
         if new := [w for w in words if w not in number]:
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
             got = list(map(self._cut_ids if self.cuts else self._plain_ids, new))
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.sizes = np.concatenate([self.sizes, sizes])
+            self.sizes, self.seen = np.concatenate([self.sizes, sizes]), np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
+            self.held += sum(map(len, new)) + WORD_BYTES * len(new) + 4 * int(sizes.sum())
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
@@ -113,6 +124,7 @@ class WordEncoder:
             ids = self.parts.get(body)
             if ids is None:
                 ids = self.parts[body] = [t.id for t in self.tokenizer.model.tokenize(body.decode())]
+                self.held += PART_BYTES + len(body) + 40 * len(ids)
             return ids if len(body) == len(low) else [*ids, *self._part_ids(low[len(body) :])]
         if body != low and body and _is_letters(body):
             return [*self._part_ids(body), *self._part_ids(low[len(body) :])]
@@ -123,6 +135,7 @@ class WordEncoder:
         if ids is None:
             letters = _is_letters(part)
             ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_LEVEL))] if letters else self._plain_ids(part)
+            self.held += PART_BYTES + len(part) + 40 * len(ids)
         return ids
 
     def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +143,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(bodies.view(pa.string()))
         coded = split.flatten().dictionary_encode()
         words = self._numbers(coded.dictionary.view(pa.binary()).to_pylist())[coded.indices.to_numpy()]
+        self.seen += np.bincount(words, minlength=len(self.seen))
         lengths = self.sizes[words]
         ids = self.ids[gather(starts_of(self.sizes)[words], lengths)]
         return ids, starts_of(lengths)[starts_of(pc.list_value_length(split).to_numpy())]

@@ -179,14 +179,13 @@ def generalise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Of spans that overlap the earlier one counts, of those that begin together the longer. A null text stays null; all rows and columns of docs stay, those
     of an empty table none.
     """
-    own = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    renamed = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = find_personal_data(renamed, **how)  # type: ignore[arg-type]
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own_key"))
+    found = find_personal_data(own.select(F.col("id").alias("doc_id"), "text"), **how)  # type: ignore[arg-type]
     spans = [_ends(k) for k, _, _ in KINDS]
     spans.append(F.transform("terms", lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("end"), m["kind"].alias("kind"))))
-    listed = found.select(F.col("doc_id").alias("__of"), F.col("key").alias("__of_key"), F.array_sort(F.concat(*spans)).alias("__spans")).where(F.size("__spans") > 0)
-    rows = own.join(listed.dropDuplicates(["__of", "__of_key"]), F.col(id_col).cast("long").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left")
-    text = F.col(text_col)
+    listed = found.select("doc_id", "key", F.array_sort(F.concat(*spans)).alias("spans")).where(F.size("spans") > 0)
+    rows = own.join(listed.dropDuplicates(["doc_id", "key"]), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")), "left")
+    text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
@@ -194,9 +193,10 @@ def generalise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         further = F.struct((-span["end"]).alias("at"), F.concat(state["out"], between, F.lit("["), span["kind"], F.lit("]")).alias("out"))
         return F.when(span["start"] >= state["at"], further).otherwise(state)
 
-    done = F.aggregate("__spans", start, step)
+    done = F.aggregate("spans", start, step)
     clean = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    cleaned = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _listed(kind: Column, spans: str) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import LOWER, id_and_bytes, materialize, slices, starts_of
+from samplekit.llm.common import LOWER, id_and_bytes, keyed_rows, materialize, slices, starts_of
 
 SEED = 42
 SPARE = 1 << 22  # pairs that a shard compares at once
@@ -227,7 +227,6 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Per node of an edge: node and component, the smallest node that it is linked to, by large and small stars."""
-    spark = edges.sparkSession
     edges = materialize(edges)
     before = None
     for _ in range(most_rounds):
@@ -244,7 +243,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if edges.columns else spark.createDataFrame([], "node long, component long")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def hex_of(fp: str) -> Column:
@@ -254,15 +253,29 @@ def hex_of(fp: str) -> Column:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (the smallest doc_id reachable by links), n_same (rows of this fingerprint).
 
-    Texts without words have fingerprint zero and link like others. Null texts have no words. A row without an
-    id takes part in no smallest id; if a fingerprint has no other rows, its component is null. Repeated rows
-    each give a row; an empty table gives none. Other columns aren't read.
+    Texts without words have fingerprint zero and link like others. Null texts have no words. Fingerprints are what is linked, so that rows which
+    repeat an id with another text are linked by their text alone. A row without an id links like others but is no smallest id; a component
+    of such rows alone has none (null). Repeated rows each give a row; an empty table gives none. Other columns aren't read.
     """
     own = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same")))
-    found = components(near_edges(distinct.where("node is not null"), bits=bits))
-    named = distinct.join(found, "node", "left").select("fp", "n_same", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id", "n_same")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")))
+    found = components(near_edges(distinct.select(F.col("fp").alias("node"), "fp"), bits=bits))
+    placed = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n_same", F.coalesce("component", "fp").alias("component"))
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(placed.join(ids, "component").select("fp", "n_same", "component_id"))
+    return _beside_fingerprints(own, named).select("doc_id", "fp", "component_id", "n_same")
+
+
+HOT_ROWS = 1_000_000  # rows of one fingerprint from which it is broadcast: a table has few such
+
+
+def _beside_fingerprints(own: DataFrame, named: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """own with the columns of named by fp. Rows of fingerprints that many share, texts without words for one, stay where they are."""
+    hot = materialize(named.where(F.col("n_same") > hot_rows))
+    if hot.isEmpty():
+        return own.join(named, "fp")
+    rest = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named, "fp")
+    return own.join(F.broadcast(hot), "fp").unionByName(rest)
 
 
 ROWS_IN_BAND, BANDS = 6, 21  # a similarity of 0.8 meets in one band at least with a probability of 0.998
@@ -353,13 +366,61 @@ def _linked(node: np.ndarray, home: np.ndarray, sketches: np.ndarray, sets: list
 
 
 MOST_KEYS = 1_000_000  # keys, of 60 bytes each, up to which they are broadcast
+LEADERS, SALTS = 4, 32  # texts of a crowded group that its others are held against first; parts of those that follow one leader
+
+
+def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) from members (band, h, node) of crowded groups to one leader each, the one of the most similar sketch. Leaders are those of least hash, the same in all
+    groups that hold them. Sketches are sent for each pair of a member and a leader, shingles once for each member whose sketch is near."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), F.col("node").alias("lead"))).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = crowded.groupBy("band", "h").agg(*least).select("band", "h", F.explode(F.array(*(F.col(f"l{k}.lead") for k in range(LEADERS)))).alias("lead")).distinct()
+    leaders = materialize(leaders)
+    small = F.broadcast(leaders) if leaders.count() <= MOST_KEYS else leaders
+    pairs = crowded.join(small, ["band", "h"]).where("node <> lead").select("node", "lead").distinct()
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
+    own = materialize(leaders.select("lead").distinct().join(sets, F.col("lead") == F.col("node")).select("lead", F.col("sketch").alias("lead_sketch"), F.col("shingles").alias("lead_shingles"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")))
+    sketched = pairs.join(sets.select("node", "sketch"), "node").select("*", salt).join(own.select("lead", "salt", "lead_sketch"), ["lead", "salt"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sketch", "lead_sketch"))
+            share = (a == b).mean(axis=1) if batch.num_rows else np.zeros(0)
+            rows = pa.array(np.flatnonzero(share >= similarity - SLACK))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), batch.column("lead").take(rows), pa.array(share).take(rows)], names=["node", "lead", "share"])
 
-
-def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width: int, similarity: float, bits: int, crowd: int = 2048) -> DataFrame:
-    """Links (a, b) whose components are those of all candidates of that similarity. distinct: node, r1, r2 (a row of docs that has the text), fp, bands.
-
-    Candidates share a band, a fingerprint, or a link of fingerprints. Each such group is compared in a task, one of more than
-    `crowd` texts in blocks, by several. Only texts of candidates are read again.
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("node").to_numpy(), batch.column("lead").to_numpy()
+            same = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(batch.column("shingles").to_pylist(), batch.column("lead_shingles").to_pylist(), strict=True)]
+            rows = np.flatnonzero(same)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[rows]), pa.array(np.minimum(a, b)[rows])], names=["a", "b"])
+
+    best = sketched.mapInArrow(near, "node long, lead long, share double").groupBy("node").agg(F.max_by("lead", F.struct("share", "lead")).alias("lead"))
+    whole = best.join(sets.select("node", "shingles"), "node").select("*", salt).join(own.select("lead", "salt", "lead_shingles"), ["lead", "salt"])
+    return materialize(whole.select("node", "lead", "shingles", "lead_shingles").mapInArrow(confirm, "a long, b long"))
+
+
+def _left_over(crowded: DataFrame, links: DataFrame, crowd: int) -> DataFrame:
+    """shard, node, home, block of what is still to be compared in crowded groups that their leaders have not made one: the members outside of a group's largest component, in
+    blocks, with chunks of all its members. A group needs no more rows than it has members for each `crowd` of those outside."""
+    placed = crowded.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("band", "h", "component").agg(F.count("*").alias("own"))
+    main = sizes.groupBy("band", "h").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("most"), F.sum("own").alias("all"))
+    open_groups = materialize(main.where(F.col("most") < F.col("all")))
+    small = F.broadcast(open_groups) if open_groups.count() <= MOST_KEYS else open_groups
+    rows = placed.join(small, ["band", "h"]).withColumns({"home": F.col("component") != F.col("main"), "chunks": F.ceil(F.col("all") / crowd).cast("int"), "parts": F.ceil((F.col("all") - F.col("most")) / crowd).cast("int")})
+    chunk, part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    cell = lambda i, j, home: F.struct((i * F.col("chunks") + j).alias("block"), F.lit(home).alias("home"))
+    visits = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: ~F.col("home") | (i != part)), lambda i: cell(i, chunk, False))
+    lives = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: cell(part, j, True))).otherwise(F.array().cast("array<struct<block: int, home: boolean>>"))
+    return rows.select(F.struct("band", "h").alias("shard"), "node", F.explode(F.concat(visits, lives)).alias("b")).select("shard", "node", "b.home", "b.block")
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, *, width: int, similarity: float, bits: int, crowd: int = 2048) -> DataFrame:
+    """Links (a, b) whose components are those of all candidates of that similarity. distinct: node, r1, r2 (a row of docs that has the text), fp, bands. docs: r1, r2, text.
+
+    Candidates share a band, a fingerprint, or a link of fingerprints. A group of candidates is compared in a task; one of more than `crowd` texts is held against a few
+    leaders first, and only what they have not made one is compared in blocks, by several tasks. Only texts of candidates are read again.
     """
     of_fp = materialize(distinct.groupBy("fp").agg(F.min("node").alias("node")))
     edges = near_edges(of_fp, bits=bits).select(F.lit(-1).alias("band"), F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("node"))
@@ -368,10 +429,14 @@ def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width:
     members = materialize(groups.join(several, ["band", "h"]))
     wanted = materialize(members.select("node").distinct().join(distinct.select("node", "r1", "r2"), "node"))
     small = F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted
-    texts = docs.join(small, ["r1", "r2"]).select("node", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    texts = docs.join(small, ["r1", "r2"]).select("node", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     sets = materialize(shingle_sets(texts, width=width).dropDuplicates(["node"]))
-    blocks = F.ceil(F.col("n") / crowd).cast("int")
-    placed = _in_blocks(members.select(F.struct("band", "h").alias("shard"), "node", F.lit(True).alias("home"), blocks.alias("blocks")))
+    placed = members.where(F.col("n") <= crowd).select(F.struct("band", "h").alias("shard"), "node", F.lit(True).alias("home"), F.lit(0).alias("block"))
+    crowded = members.where(F.col("n") > crowd).select("band", "h", "node").join(sets.select("node"), "node", "left_semi")
+    led = None
+    if not crowded.isEmpty():
+        led = _to_leaders(crowded, sets, similarity)
+        placed = placed.union(_left_over(crowded, led, crowd))
     schema = "a long, b long"
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
@@ -380,28 +445,29 @@ def similar_links(distinct: DataFrame, docs: DataFrame, *, text_col: str, width:
         sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
         return pd.DataFrame(_linked(part["node"].to_numpy(), part["home"].to_numpy(), sketches, sets, similarity), columns=["a", "b"], dtype="int64")
 
-    return placed.join(sets, "node").groupBy("shard", "block").applyInPandas(link, schema).distinct()
+    found = placed.join(sets, "node").groupBy("shard", "block").applyInPandas(link, schema)
+    return (found if led is None else found.union(led)).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 3, crowd: int = 2048) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, one without an id only where none has one.
 
     Texts are linked if they have so large a share of their shingles of `width` words in common; copies are texts of the same words. Null, empty and
     blank texts are copies of each other. Rows are told apart by 128 bits of all columns of docs, so that rows without an id or with a
     repeated one are documents of their own; rows alike in all columns are one. Of ties one row stays. All columns of docs stay; an empty table stays empty.
     """
-    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]
-    keyed = docs.withColumns({"r1": F.xxhash64(*columns), "r2": F.xxhash64(F.lit(1), *columns)})
-    own = materialize(signatures(keyed.withColumn("own_id", F.col(id_col).cast("long")), "r1", "r2", "own_id", text_col=text_col, width=width))
+    keyed = keyed_rows(docs)
+    lean = keyed.select("r1", "r2", F.col(f"row.`{id_col}`").cast("long").alias("own_id"), F.col(f"row.`{text_col}`").alias("text"))
+    own = materialize(signatures(lean, "r1", "r2", "own_id", width=width))
     least = F.min(F.struct("r1", "r2")).alias("r")
     numbered = own.groupBy("k1", "k2").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     distinct = materialize(numbered.select("node", "k1", "k2", "r.r1", "r.r2", "fp", "bands"))
-    links = similar_links(distinct, keyed, text_col=text_col, width=width, similarity=similarity, bits=bits)
+    links = similar_links(distinct, lean, width=width, similarity=similarity, bits=bits, crowd=crowd)
     found = components(links)
     named = distinct.select("node", "k1", "k2").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "r1", "r2")
     kept = own.select("own_id", "r1", "r2", "k1", "k2").join(named, ["k1", "k2"]).groupBy("component").agg(F.min(order).alias("first")).select("first.r1", "first.r2")
-    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select(*docs.columns)
+    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row.*")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

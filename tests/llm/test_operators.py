@@ -870,3 +870,56 @@ def test_tiny_sources_are_held_against_all_rows_above(spark, lang):
     got = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not got[1000] and got[1001]
     assert len(got) == 302 and sum(got[i] for i in range(300)) >= 298
+
+
+def test_rows_that_repeat_an_id_are_linked_by_their_texts(spark):
+    from conftest import words
+
+    a, b = words(1, 300), words(2, 300)
+    changed = a.split()
+    changed[150] = "changed"
+    df = spark.createDataFrame([(7, a), (7, b), (3, " ".join(changed)), (8, b), (None, a), (None, words(3, 300))], "doc_id long, text string")
+    got = [(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    of = {t: simhash.fingerprints(spark.createDataFrame([(0, t)], "doc_id long, text string"), width=3).first().fp for t in (a, b, " ".join(changed))}
+    assert bin((of[a] ^ of[" ".join(changed)]) & (1 << 64) - 1).count("1") <= 3
+    assert {(i, c) for i, fp, c in got if fp == of[b]} == {(7, 7), (8, 7)}
+    assert {(i, c) for i, fp, c in got if fp == of[a]} == {(7, 3), (None, 3)}
+    assert [c for i, fp, c in got if i is None and fp != of[a]] == [None]
+    own = simhash.fingerprints(df, width=3)
+    named = own.groupBy("fp").agg(F.count("*").alias("n_same"))
+    assert sorted(map(str, simhash._beside_fingerprints(own, named, hot_rows=1).collect())) == sorted(map(str, own.join(named, "fp").collect()))
+
+
+def test_a_crowded_group_is_held_against_leaders(spark, monkeypatch):
+    """Near copies of a few texts that all meet in one group: few rows a member are sent, and the components are those of all pairs."""
+    import random
+
+    from conftest import words
+
+    r = random.Random(3)
+    bases = [words(k, 120).split() for k in range(3)]
+    rows = []
+    for i in range(900):
+        w = list(bases[0 if i % 30 else 1 + i // 30 % 2])
+        w[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, words(100 + i, 60)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = []
+    left_over = simhash._left_over
+
+    def counted(*args):
+        out = left_over(*args)
+        placed.append((out.count(), args[0].count(), args[0].select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(simhash, "_left_over", counted)
+    led = []
+    to_leaders = simhash._to_leaders
+    monkeypatch.setattr(simhash, "_to_leaders", lambda *args: led.append(to_leaders(*args)) or led[-1])
+    crowded = {tuple(x) for x in simhash.drop_near_duplicates(df, crowd=64).collect()}
+    plain = {tuple(x) for x in simhash.drop_near_duplicates(df, crowd=10**6).collect()}
+    assert crowded == plain and len(crowded) == 43
+    rows_left, members, nodes = placed[0]
+    assert nodes >= 800 and led[0].count() >= 0.9 * nodes
+    assert rows_left < 2 * members

@@ -57,3 +57,24 @@ def test_rows_without_or_with_a_repeated_id_are_documents(spark, tmp_path):
     assert kept.where("text = 'short'").count() == 0 and kept.where("doc_id = 7").count() == 3
     clean = {(r.doc_id, r.text.strip()) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
     assert clean == {(i, t.replace(item, "").strip()) for i, t, _ in rows if t != f"{words(23, 30)} {item}"}
+
+
+NAMES = "row r1 r2 own_id text_key id body node band bands h n fp k1 k2 sketch shingles component first line_stats kept keys of site line hits spans own_key key of_key __r1 __r2 __kept __hits __row __key __of __spans __drop_row words cell start cut bin d2 lead share salt seq".split()
+
+
+def test_no_column_of_the_caller_is_touched(spark, docs, tmp_path):
+    """Each stage gets a table with the names that it uses itself as further columns, and gives them back unchanged."""
+    from samplekit.llm import pii
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "some item text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"])
+    marked = base.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in NAMES)).cache()
+    for name, stage in [*corpus_pipeline.STAGES[:-1], ("pii", lambda spark, docs, _: pii.generalise(docs))]:
+        out = stage(spark, marked, str(tmp_path))
+        assert out.columns == marked.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in NAMES), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, base, str(tmp_path)).collect()}, name
+    assert corpus_pipeline.pack(spark, marked, str(tmp_path)).count() >= marked.count()
+    marked.unpersist()
