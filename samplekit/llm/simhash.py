@@ -370,7 +370,7 @@ LEADERS, SALTS = 4, 32  # texts of a crowded group that its others are held agai
 
 
 def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) from members (band, h, node) of crowded groups to one leader each, the one of the most similar sketch. Leaders are those of least hash, the same in all
+    """Links (a, b) from members (band, h, node) of crowded groups to one leader each, the one of the most similar sketch, and between leaders. Leaders are those of least hash, the same in all
     groups that hold them. Sketches are sent for each pair of a member and a leader, shingles once for each member whose sketch is near."""
     least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), F.col("node").alias("lead"))).alias(f"l{k}") for k in range(LEADERS)]
     leaders = crowded.groupBy("band", "h").agg(*least).select("band", "h", F.explode(F.array(*(F.col(f"l{k}.lead") for k in range(LEADERS)))).alias("lead")).distinct()
@@ -395,8 +395,10 @@ def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataF
             rows = np.flatnonzero(same)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[rows]), pa.array(np.minimum(a, b)[rows])], names=["a", "b"])
 
-    best = sketched.mapInArrow(near, "node long, lead long, share double").groupBy("node").agg(F.max_by("lead", F.struct("share", "lead")).alias("lead"))
-    whole = best.join(sets.select("node", "shingles"), "node").select("*", salt).join(own.select("lead", "salt", "lead_shingles"), ["lead", "salt"])
+    found = materialize(sketched.mapInArrow(near, "node long, lead long, share double"))
+    best = found.groupBy("node").agg(F.max_by("lead", F.struct("share", "lead")).alias("lead"))
+    among = found.select("node", "lead").join(own.where("salt = 0").select(F.col("lead").alias("node")), "node", "left_semi")  # leaders meet all others, or their followers would fall apart
+    whole = best.union(among).distinct().join(sets.select("node", "shingles"), "node").select("*", salt).join(own.select("lead", "salt", "lead_shingles"), ["lead", "salt"])
     return materialize(whole.select("node", "lead", "shingles", "lead_shingles").mapInArrow(confirm, "a long, b long"))
 
 
