@@ -221,7 +221,11 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def _completions(counts: np.ndarray, room: int, most: int, tries: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by lengths left, least waste first, large pieces before small ones; no more than `most`. tries: bound on the steps."""
+    """Undominated fillings of the room by lengths left, least waste first, large pieces before small ones; no more than `most`.
+
+    The enumeration is cut, so that some undominated fillings are never seen: beside pieces chosen already it tries the six largest lengths that fit once one filling is found, it ends at
+    `tries` steps, or at 4 most fillings of which the last wastes nothing; dominance is not looked for above 8 pieces.
+    """
     lengths = np.flatnonzero(counts[: room + 1]).tolist()
     found: list[tuple[int, tuple[int, ...]]] = []
     steps = 0
@@ -287,7 +291,7 @@ class Branch:
 def search(counts: np.ndarray, capacity: int, *, branches: int, nodes: int, below: int = 1 << 62) -> list[Filling] | None:
     """The best packing in fewer than `below` sequences that is found by committing up to `nodes` fillings.
 
-    The search takes up the latest branch left, and each EARLY-th time the earliest, so that early choices are
+    A node keeps `branches` fillings and drops all others. The search takes up the latest branch left, and each EARLY-th time the earliest, so that early choices are
     reconsidered too. It ends at the bound on all packings.
     """
     bound = least_sequences(counts, capacity)

@@ -153,12 +153,22 @@ SHAPE = "cell string, start int, cut long, logdet double, " + ", ".join([*(f"m_{
 KEYS = ["cell", "start"]
 
 
-def _fitted(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """One row per cell and start, of numbers whose count doesn't depend on the rows. weight: of each row in the products; cut: of the cell, where rows have it."""
+SUMS = ["n", *(f"s_{a}" for a in NAMES), *(f"s_{a}_{b}" for a, b in PAIRS)]
+
+
+def _sums(weight: Column | None = None) -> list[Column]:
+    """Aggregates that a shape is worked out of. weight: of each row in the products."""
     weight = F.lit(1.0) if weight is None else weight
-    cut = F.max("cut") if "cut" in rows.columns else F.lit(0)
-    sums = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), cut.cast("long").alias("cut"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b) * weight).alias(f"s_{a}_{b}") for a, b in PAIRS))
-    return sums.mapInPandas(lambda parts: (_shape(p) for p in parts), SHAPE)
+    return [F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b) * weight).alias(f"s_{a}_{b}") for a, b in PAIRS)]
+
+
+def _shapes(sums: DataFrame) -> DataFrame:
+    """One row per cell and start, of KEYS, cut and SUMS."""
+    return sums.select(*KEYS, F.col("cut").cast("long").alias("cut"), *SUMS).mapInPandas(lambda parts: (_shape(p) for p in parts), SHAPE)
+
+
+def _fitted(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    return _shapes(rows.groupBy(*KEYS).agg(*_sums(weight)).withColumn("cut", F.lit(0)))
 
 
 def _distance() -> Column:
@@ -185,12 +195,11 @@ class Cells:
         far = self.beside(rows, shape.drop("cut"), ["cell"]).select(*rows.columns, "start", _distance().alias("d2"))
         return far.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * FINE))
 
-    def cut(self, measured: DataFrame, share: float) -> DataFrame:
-        """Per cell and start: the first bin up to which that share of the rows lies. There are a few thousand bins at most."""
-        bins = measured.groupBy(*KEYS, "bin").agg(F.count("*").alias("rows"))
+    def cut(self, bins: DataFrame, share: float) -> DataFrame:
+        """Per cell and start: the first bin up to which that share of the rows lies. bins: KEYS, bin, n; there are a few thousand at most."""
         every = Window.partitionBy(*KEYS)
         upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counted = bins.withColumn("upto", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(every))
+        counted = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(every))
         return counted.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*KEYS).agg(F.min("bin").alias("cut"))
 
     def medians(self) -> DataFrame:
@@ -217,10 +226,10 @@ class Cells:
         return plain.unionByName(whole).unionByName(moved)
 
     def step(self, shape: DataFrame, share: float) -> DataFrame:
-        """Shapes of the nearest share of rows, with the cut that holds them."""
-        measured = self.measured(self.rows, shape)
-        near = self.beside(measured, self.cut(measured, share), KEYS).where(F.col("bin") <= F.col("cut"))
-        return materialize(_fitted(near))
+        """Shapes of the nearest share of rows, with the cut that holds them: rows are read once and summed up by bins of their distance, and both come from these sums."""
+        bins = materialize(self.measured(self.rows, shape).groupBy(*KEYS, "bin").agg(*_sums()))
+        near = self.beside(bins, self.cut(bins, share), KEYS).where(F.col("bin") <= F.col("cut"))
+        return materialize(_shapes(near.groupBy(*KEYS).agg(F.max("cut").alias("cut"), *(F.sum(c).alias(c) for c in SUMS))))
 
     def least_determinant(self, share: float, first: int, most: int) -> DataFrame:
         """One shape for each cell: `first` steps from every start, then those of the least determinant until no cut moves, or `most` steps."""
@@ -262,7 +271,7 @@ def mcd_distances(stats: DataFrame, *, by: tuple[str, str] = ("lang", "source"),
     own = rows.drop("fits")
     each = Cells(rows.select(F.explode("fits").alias("cell"), *NAMES), small)  # each row counts in every cell that it is part of
     shape = each.least_determinant(share, first, steps)
-    middle = each.cut(each.measured(each.rows, shape), 0.5)
+    middle = each.cut(each.measured(each.rows, shape).groupBy(*KEYS, "bin").agg(F.count("*").alias("n")), 0.5)
     scale = middle.select("cell", (F.pow(2.0, F.col("cut") / FINE) / chi2_quantile(0.5, len(NAMES))).alias("scale"))
     scaled = each.beside(each.measured(own, shape), scale, ["cell"])
     return scaled.withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("scale", "bin", "start", *NAMES)
