@@ -91,6 +91,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 )
+#: An identifier line for each license that has one.
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES) if name not in ("BSD", "proprietary"))
+TEMPLATES += tuple((f"{name}{kind}", f"SPDX-License-Identifier: {name}{end}") for name in ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0") for end, kind in (("-or-later", "-or-later"), ("-only", "")))
+#: Words that take a notice back when they stand right before it, and what right behind it makes it another license.
+DENIALS = frozenset("not never no isn aren wasn without unlike cannot".split())
+LATER = ("or later", "or any later", "or newer", "or at your option any later")
+EXCEPTION = re.compile(r"with (?:\S+ ){0,3}exceptions?\b")
+BEFORE, BEHIND = 4, 6  # words on either side of a block that are read for these
 #: What every template has at least one of, in lower case; a text without any has no candidate block.
 MARKS = (b"licen", b"rights reserved", b"permission is hereby", b"permission to use", b"redistribut", b"free software", b"public domain", b"unencumbered", b"creative commons", b"cc0", b"cc by")
 #: Words that tell licenses apart, as do all words with a digit. No block that has one more or one less is confirmed.
@@ -99,6 +107,7 @@ _MARK = re.compile(b"|".join(map(re.escape, MARKS)))
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _DIGIT = re.compile("[0-9]|-(?:sa|nc|nd|sharealike|noncommercial|noderivatives)")
 IN = 12  # one word in so many may differ
+REMEMBERED = 4000  # windows
 FOUND = "array<struct<license: string, start: long, stop: long, gain: int, missing: array<string>, added: array<string>>>"
 
 
@@ -146,6 +155,7 @@ class Templates:
         self.counts = [Counter(words) for words in self.words]
         self.slack = [len(words) // IN for words in self.words]
         self.reach = 2 * max(map(len, self.texts)) + 64  # bytes on each side of a mark that are looked at
+        self.seen: dict[tuple[bytes, int, int], list] = {}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = []
         self.marks: dict[bytes, list[tuple[int, int]]] = {mark: [] for mark in MARKS}  # of a mark: templates that have it, and as which of their words
@@ -160,9 +170,17 @@ class Templates:
         """Bytes by which the block gets smaller when template k is its dictionary."""
         return len(self.plain.compress(block)) - len(self.given[k].compress(block))
 
-    def around(self, body: bytes, mark: re.Match, free: int) -> list[tuple[int, int, int, int, Aligned]]:
-        """Confirmed blocks that hold the mark, none before `free`: reduction, template, start, stop, alignment."""
+    def around(self, body: bytes, mark: re.Match, free: int) -> list[tuple[int, int, int, int, Aligned, str]]:
+        """Confirmed blocks that hold the mark, none before `free`: reduction, template, start, stop, alignment, license. What a window gave is remembered, as texts of marks alone repeat theirs."""
         low = max(free, mark.start() - self.reach)
+        window = (body[low : mark.end() + self.reach], mark.start() - low, min(1, low - free))
+        if window not in self.seen:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            self.seen[window] = [(gain, k, a - low, z - low, got, name) for gain, k, a, z, got, name in self._around(body, mark, free, low)]
+        return [(gain, k, a + low, z + low, got, name) for gain, k, a, z, got, name in self.seen[window]]
+
+    def _around(self, body: bytes, mark: re.Match, free: int, low: int) -> list[tuple[int, int, int, int, Aligned, str]]:
         places = [m.span() for m in _WORD.finditer(body, low, mark.end() + self.reach) if low == free or m.start() > low]  # no half word
         words = [body[a:z].decode() for a, z in places]
         at = sum(z <= mark.start() for _, z in places)
@@ -178,9 +196,20 @@ class Templates:
         for gain, k, first, near in sorted(ranked, key=lambda x: (-x[0], x[1], x[2])):
             got = align(self.words[k], near)
             if len(got.missing) + len(got.added) <= self.slack[k] and not tells(got.missing + got.added) and got.start <= at - first < got.stop:
-                out.append((gain, k, places[first + got.start][0], places[first + got.stop - 1][1], got))
+                name = self.named(k, words[max(0, first + got.start - BEFORE) : first + got.start], words[first + got.stop : first + got.stop + BEHIND])
+                if name:
+                    out.append((gain, k, places[first + got.start][0], places[first + got.stop - 1][1], got, name))
         return out
 
+    def named(self, k: int, before: list[str], behind: list[str]) -> str:
+        """The license of template k between these words; nothing where they take it back."""
+        if DENIALS & set(before):
+            return ""
+        name, text = self.names[k], " ".join(behind)
+        if name.startswith(("GPL", "LGPL", "AGPL")) and text.startswith(LATER):
+            name += "-or-later"
+        return f"{name} with exception" if EXCEPTION.match(text) else name
+
 
 def licenses_of(own: Templates, body: bytes) -> list[dict]:
     """Blocks of a lower-case text, in order. Of the confirmed blocks around a mark the one of the largest reduction counts, of equal ones that of the most words, then of the earlier template."""
@@ -190,8 +219,8 @@ def licenses_of(own: Templates, body: bytes) -> list[dict]:
         if mark.start() < free:
             continue
         if confirmed := own.around(body, mark, free):
-            gain, k, start, free, got = min(confirmed, key=lambda x: (-x[0], -len(own.words[x[1]]), x[1]))
-            found.append({"license": own.names[k], "start": start, "stop": free, "gain": gain, "missing": got.missing, "added": got.added})
+            gain, _, start, free, got, name = min(confirmed, key=lambda x: (-x[0], -len(own.words[x[1]]), x[1]))
+            found.append({"license": name, "start": start, "stop": free, "gain": gain, "missing": got.missing, "added": got.added})
     return found
 
 
@@ -199,7 +228,8 @@ def find_licenses(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = T
     """Per row of docs: doc_id and found, array of license, start and stop (bytes of the block), gain (bytes saved), missing and added (words).
 
     A block lies around one of MARKS, where the mark's place in a template says; blocks don't overlap. Case, punctuation and
-    white space don't count. Up to one word in twelve may be missing or added, none of TELLING and none with a digit.
+    white space don't count. Up to one word in twelve may be missing or added, none of TELLING and none with a digit. A word of DENIALS among the four before a block takes it
+    back; "or later" behind one of the GNU licenses, and "with ... exception", are told in its name.
     Very long texts are looked at around marks only. Null or empty texts have none; a null id stays null; repeated rows each give a row;
     an empty table gives none. Other columns aren't read.
     """

@@ -267,6 +267,15 @@ GPL3 = "This program is free software: you can redistribute it and/or modify it
         (GPL3.replace("version 3", "version 4"), []),
         (GPL3.replace("you can redistribute", "anybody can redistribute"), ["GPL-3.0"]),
         ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("Not released under the MIT License.", []),
+        ("This file is NOT licensed under the MIT License.", []),
+        ("This part isn't any longer licensed under the MIT License.", []),
+        ("Note. Licensed under the MIT License.", ["MIT"]),
+        ("This work is licensed under the GNU General Public License, version 2 or later.", ["GPL-2.0-or-later"]),
+        ("Licensed under the Apache License, Version 2.0 with LLVM exceptions.", ["Apache-2.0 with exception"]),
+        ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]),
+        ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0"]),
         ("Licensed under CC BY-NC-SA 4.0.", []),
         ("Licensed under CC BY 3.0.", []),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", []),
@@ -281,6 +290,14 @@ def test_licenses_are_told_apart(text, expected):
     assert [f["license"] for f in _licenses(text)] == expected
 
 
+def test_a_text_of_marks_alone_is_quick():
+    import time
+
+    began = time.time()
+    assert _licenses("license " * 131_072) == [] and _licenses("all rights reserved. " * 2000)[-1]["license"] == "proprietary"
+    assert time.time() - began < 10
+
+
 def _edits(a, b):
     """Words of both that are in no longest common sequence."""
     best = {}
