@@ -355,7 +355,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
     bags = materialize(word_bags(docs, out, id_col=id_col, text_col=text_col))
     entries = bags.where("words is not null").select("chunk", "first", F.posexplode(F.arrays_zip("words", "n_train")).alias("at", "entry"))
     seen = entries.select("chunk", (F.col("first") + F.col("at")).alias("number"), F.col("entry.words").alias("word"), F.col("entry.n_train").alias("n_train"))
-    words = materialize(seen.repartition(parts, "word").groupBy("word").agg(F.sum("n_train").alias("c"), F.collect_list(F.struct("chunk", "number")).alias("places")))
+    words = materialize(seen.groupBy("word").agg(F.sum("n_train").alias("c")).repartition(parts, "word"))
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), *((f"of{k}", F.col("c") == k) for k in (1, 2, 3, 4))))).first()
     ends = bags.where("bag is not null and not held_out").count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
@@ -378,7 +378,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
             taken = np.choose(np.clip(c, 1, 3) - 1, discounts)
             whole = np.where(c > 0, np.log10(np.maximum(c - taken, 1e-9) / max(n, 1)), -np.inf)
             logs = np.logaddexp(pieces * LN10, whole * LN10) / LN10
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("places"), pa.array(logs)], names=["c", "places", "log"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], names=["word", "c", "log"])
 
     def add_up(key: tuple, bag: pa.Table, scored: pa.Table) -> pa.Table:
         at = scored.column("number").to_numpy()
@@ -394,12 +394,12 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
             sums.append(float((log[ids] * times).sum()) + end_log)
         return pa.table({**{k: bag.column(k) for k in ("doc_id", "held_out", "n_tokens")}, "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(bag), pa.int64()), "base_score": pa.array(base_sum, pa.float64()), "score": pa.array(sums, pa.float64())})
 
-    scored = words.mapInArrow(score, "c long, places array<struct<chunk: long, number: int>>, log double")
-    scored = scored.select("c", "log", F.explode("places").alias("p")).select("p.chunk", "p.number", "c", "log")
+    scored = materialize(words.mapInArrow(score, f"word {words.schema['word'].dataType.simpleString()}, c long, log double"))
+    scored = seen.join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", "log")  # a word has one row a chunk, of which each has hundreds of thousands: no word is hot
     texts = bags.where("bag is not null").select("chunk", "doc_id", "held_out", "n_tokens", "bag")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts, scored = texts.repartition(parts, "chunk"), scored.repartition(parts, "chunk")
-    return texts.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(add_up, schema)
+    texts, scored = texts.repartition(parts, "chunk"), scored.repartition(parts, "of")
+    return texts.groupBy("chunk").cogroup(scored.groupBy("of")).applyInArrow(add_up, schema)
 
 
 def op7_lm_scoring(docs: DataFrame, vocabulary: str) -> DataFrame:
