@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(path: str) -> str:
+    """Where a file that the driver sent with addFile lies on this machine; the path itself where it wasn't sent."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
+
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only what an operator reads, under its own names, so that further columns can't clash; a null text is empty."""
     return docs.select(

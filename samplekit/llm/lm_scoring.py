@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import LOWER, id_and_bytes, materialize, slices
+from samplekit.llm.common import LOWER, id_and_bytes, materialize, shipped, slices
 
 CHUNK_WORDS, CHUNK_TOKENS = 400_000, 12_000_000  # distinct words and tokens after which a task begins another chunk
 BLOCK = 20_000
@@ -318,7 +318,7 @@ def _summed(counts: DataFrame) -> dict[str, float]:
 def _pieces(vocabulary: str):  # noqa: ANN202
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    return sentencepiece.SentencePieceProcessor(model_file=shipped(vocabulary))
 
 
 def lattice_of(counts: dict[str, float], vocabulary: str) -> Lattice:
@@ -349,6 +349,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, held_out: Column | None
     read. held_out: documents that nothing is learnt from; by default those whose id as text has crc32 mod 7 = 2.
     vocabulary: path of a sentencepiece model whose pieces are used. rounds: of expectation and maximisation of their probabilities.
     """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     out = F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 7 == 2 if held_out is None else held_out
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
     parts = max(8, -(-total // PART_BYTES))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, slices, starts_of
+from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, shipped, slices, starts_of
 
 KNOWN_BYTES = 40 << 20  # of words and their ids that a Python worker remembers, about
 WORD_BYTES, PART_BYTES = 170, 230  # what a dictionary takes for a word or a part besides its letters; parts also for their list
@@ -166,8 +166,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     that never joins text across ASCII white space. Null texts are empty: end_id alone.
     """
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_encoder = encoder(tokenizer)
+        own_encoder = encoder(shipped(tokenizer))
         for batch in slices(batches, limit=4 << 20):
             ids, at = own_encoder.encode(batch.column("body"))
             docs_out, piece, start, length, crc, kept = [], [], [], [], [], []
