@@ -942,3 +942,25 @@ def test_a_crowded_group_is_held_against_leaders(spark, monkeypatch):
     assert nodes >= 800, nodes
     assert led[0].count() >= 0.9 * nodes, (led[0].count(), nodes)
     assert rows_left < 2 * members, (rows_left, members)
+
+
+def test_an_encoder_of_little_memory_gives_the_same_ids(monkeypatch):
+    """What is remembered is bounded by bytes; the words seen most stay."""
+    import pyarrow as pa
+    from conftest import words
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    texts = [f"{words(k, 40)} common {words(3, 5)}, Éclair! x{k}y" for k in range(120)]
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 60_000)
+    own = packing.WordEncoder(path)
+    forgot = []
+    forget = own._forget
+    monkeypatch.setattr(own, "_forget", lambda: forgot.append(own.held) or forget())
+    for low in range(0, len(texts), 10):
+        ids, at = own.encode(pa.array([t.encode() for t in texts[low : low + 10]], pa.binary()))
+        for k, text in enumerate(texts[low : low + 10]):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(forgot) >= 2 and max(forgot) < 400_000 and b"common" in own.number
+    assert len(own.number) == len(own.sizes) == len(own.seen) and own.sizes.sum() == len(own.ids)
