@@ -366,7 +366,7 @@ def _linked(node: np.ndarray, home: np.ndarray, sketches: np.ndarray, sets: list
 
 
 MOST_KEYS = 1_000_000  # keys, of 60 bytes each, up to which they are broadcast
-LEADERS, SALTS = 4, 32  # texts of a crowded group that its others are held against first; parts of those that follow one leader
+LEADERS, FOLLOWERS = 4, 20_000  # texts of a crowded group that its others are held against first; of those, how many one task holds against one
 
 
 def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -376,10 +376,12 @@ def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataF
     leaders = crowded.groupBy("band", "h").agg(*least).select("band", "h", F.explode(F.array(*(F.col(f"l{k}.lead") for k in range(LEADERS)))).alias("lead")).distinct()
     leaders = materialize(leaders)
     small = F.broadcast(leaders) if leaders.count() <= MOST_KEYS else leaders
-    pairs = crowded.join(small, ["band", "h"]).where("node <> lead").select("node", "lead").distinct()
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    own = materialize(leaders.select("lead").distinct().join(sets, F.col("lead") == F.col("node")).select("lead", F.col("sketch").alias("lead_sketch"), F.col("shingles").alias("lead_shingles"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")))
-    sketched = pairs.join(sets.select("node", "sketch"), "node").select("*", salt).join(own.select("lead", "salt", "lead_sketch"), ["lead", "salt"])
+    pairs = materialize(crowded.join(small, ["band", "h"]).where("node <> lead").select("node", "lead").distinct())
+    parts = materialize(pairs.groupBy("lead").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")))
+    small = F.broadcast(parts) if parts.count() <= MOST_KEYS else parts
+    own = parts.join(sets, F.col("lead") == F.col("node")).select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sketch").alias("lead_sketch"), F.col("shingles").alias("lead_shingles"))
+    dealt = lambda rows: rows.join(small, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    sketched = dealt(pairs).join(sets.select("node", "sketch"), "node").join(own.select("lead", "part", "lead_sketch"), ["lead", "part"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,8 +399,8 @@ def _to_leaders(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     found = materialize(sketched.mapInArrow(near, "node long, lead long, share double"))
     best = found.groupBy("node").agg(F.max_by("lead", F.struct("share", "lead")).alias("lead"))
-    among = found.select("node", "lead").join(own.where("salt = 0").select(F.col("lead").alias("node")), "node", "left_semi")  # leaders meet all others, or their followers would fall apart
-    whole = best.union(among).distinct().join(sets.select("node", "shingles"), "node").select("*", salt).join(own.select("lead", "salt", "lead_shingles"), ["lead", "salt"])
+    among = found.select("node", "lead").join(parts.select(F.col("lead").alias("node")), "node", "left_semi")  # leaders meet all others, or their followers would fall apart
+    whole = dealt(best.union(among).distinct()).join(sets.select("node", "shingles"), "node").join(own.select("lead", "part", "lead_shingles"), ["lead", "part"])
     return materialize(whole.select("node", "lead", "shingles", "lead_shingles").mapInArrow(confirm, "a long, b long"))
 
 
