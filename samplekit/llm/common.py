@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from samplekit.sources.shared import shared_folder
 
+TRIMMED = 4  # slices after which memory is given back
 #: A-Z to a-z; all other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -50,8 +52,19 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *columns).alias("r2"))
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one holds about limit bytes of text, however long its documents are. After the last one Arrow gives back what the worker no longer needs."""
+    """Batches cut so that one holds about limit bytes of text, however long its documents are. Every TRIMMED of them, and after the last one, the worker gives back what it no longer needs."""
+    done = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         low = 0
@@ -59,8 +72,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int =
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(low, high - low)
-            low = high
-    pa.default_memory_pool().release_unused()
+            low, done = high, done + 1
+            if done % TRIMMED == 0:
+                give_back()
+    give_back()
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, shipped, slices, starts_of
 
-KNOWN_BYTES = 40 << 20  # of words and their ids that a Python worker remembers, about
+KNOWN_BYTES = 120 << 20  # of words and their ids that a Python worker remembers, about
 WORD_BYTES, PART_BYTES = 170, 230  # what a dictionary takes for a word or a part besides its letters; parts also for their list
 EARLY = 2
 SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
@@ -86,11 +86,11 @@ class WordEncoder:
         self.sizes, self.ids, self.seen = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Only the words seen most stay, a third of what fits; parts are found again by them."""
+        """Only the words seen most stay, half of what fits; parts are found again by them."""
         words = list(self.number)
         order = np.argsort(-self.seen, kind="stable")
         room = np.cumsum(np.fromiter((WORD_BYTES + len(words[k]) for k in order), np.int64, len(order)) + 4 * self.sizes[order])
-        kept = np.sort(order[: int(np.searchsorted(room, KNOWN_BYTES // 3))])
+        kept = np.sort(order[: int(np.searchsorted(room, KNOWN_BYTES // 2))])
         self.ids = self.ids[gather(starts_of(self.sizes)[kept], self.sizes[kept])]
         self.sizes, self.seen = self.sizes[kept], self.seen[kept] // 2
         self.number = {words[k]: n for n, k in enumerate(kept.tolist())}
