@@ -102,18 +102,20 @@ def error_by_confidence(df: DataFrame, by: list[str], *, bins: int = 10, thresho
 
 def confidence_histograms(df: DataFrame, by: list[str], *, threshold: float = 0.5, score: str = "score", label: str = "label") -> DataFrame:
     """by, kind, bin, n, mean: confidence of correct and wrong rows in 30 bins, scores of false positives and negatives in 20, over each kind's own range."""
-    attack = F.col(score) > threshold
-    right = attack.cast("int") == F.col(label)
-    sure = F.greatest(F.col(score), 1 - F.col(score))
+    counts = df.groupBy(*by, F.col(score).alias("__score"), F.col(label).alias("__label")).agg(F.count("*").alias("__n"))  # rows of one score and label are placed at once
+    attack = F.col("__score") > threshold
+    right = attack.cast("int") == F.col("__label")
+    sure = F.greatest(F.col("__score"), 1 - F.col("__score"))
     kinds = F.array(
         F.struct(F.when(right, "correct").otherwise("error").alias("kind"), sure.alias("x"), F.lit(30).alias("bins")),
-        F.struct(F.when(~right & attack, "false_positive").when(~right, "false_negative").alias("kind"), F.col(score).alias("x"), F.lit(20).alias("bins")),
+        F.struct(F.when(~right & attack, "false_positive").when(~right, "false_negative").alias("kind"), F.col("__score").alias("x"), F.lit(20).alias("bins")),
     )
-    rows = df.select(*by, F.explode(kinds).alias("k")).select(*by, "k.*").where("kind is not null")
-    reach = rows.groupBy(*by, "kind").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"))
+    rows = counts.select(*by, "__n", F.explode(kinds).alias("k")).select(*by, "__n", "k.*").where("kind is not null")
+    mean = F.try_divide(F.sum(F.col("x") * F.col("__n")), F.sum(F.when(F.col("x").isNotNull(), F.col("__n"))))
+    reach = rows.groupBy(*by, "kind").agg(F.min("x").alias("low"), F.max("x").alias("high"), mean.alias("mean"))
     share = F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low"))
     placed = rows.join(reach, [*by, "kind"]).withColumn("bin", F.coalesce(F.least(F.floor(share * F.col("bins")), F.col("bins") - 1), F.lit(0)).cast("long"))
-    return placed.groupBy(*by, "kind", "bin").agg(F.count("*").alias("n"), F.first("mean").alias("mean"))
+    return placed.groupBy(*by, "kind", "bin").agg(F.sum("__n").alias("n"), F.first("mean").alias("mean"))
 
 
 def near_constant(df: DataFrame, by: list[str], *, score: str = "score", key: str = "sample_id") -> DataFrame:

@@ -129,3 +129,13 @@ def test_ranking_skips_nan(spark):
     df = spark.createDataFrame([("a", "x", "x", float("nan"), 0.5), ("b", "x", "y", 0.2, 0.6)], "model string, trained_on string, tested_on string, eer double, accuracy double")
     best = {r.metric: (r.model, r.value) for r in compare.best_by(df, {"eer": "min", "accuracy": "max"}, ["model", "tested_on"]).collect()}
     assert best == {"eer": ("b", 0.2), "accuracy": ("b", 0.6)}
+
+
+def test_confidence_histograms_count_scores_before_they_meet_their_ranges(spark):
+    rows = [("a", s, y) for s, y, n in ((0.9, 1, 300), (0.7, 1, 100), (0.8, 0, 2), (0.2, 1, 1), (None, 1, 5)) for _ in range(n)]
+    found = metrics.confidence_histograms(spark.createDataFrame(rows, "model string, score double, label int"), ["model"])
+    got = {(r.kind, r.bin): (r.n, round(r["mean"], 9)) for r in found.collect()}
+    assert got == {("correct", 0): (100, 0.85), ("correct", 29): (300, 0.85), ("error", 29): (8, 0.8), ("false_positive", 19): (2, 0.8), ("false_negative", 19): (1, 0.2)}
+    plan = [line.strip(" :+-") for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    below = [next(x for x in plan[i + 1 :] if not x.startswith(("Project", "Filter"))) for i, x in enumerate(plan) if x.startswith("Generate")]
+    assert below and all(x.startswith("Aggregate") for x in below)  # a join of the rows themselves may broadcast them all
