@@ -38,10 +38,18 @@ def with_features(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFra
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df)
 
 
-def train_grid(df: DataFrame, models: dict[str, Estimator], sources: list[str], *, source: str = "dataset") -> dict[tuple[str, str], Model]:
-    """A fitted model for each estimator and source. df has split: rows of "train" are fitted on. The loop is over jobs, each of them distributed."""
-    weighted = with_features(stats.with_class_weight(df.where("split = 'train'"), [source]))
-    return {(name, s): model.fit(weighted.where(F.col(source) == s)) for s in sources for name, model in models.items()}
+def train_grid(df: DataFrame, models: dict[str, Estimator], sources: list[str], *, source: str = "dataset", jobs: int = 4) -> dict[tuple[str, str], Model]:
+    """A fitted model for each estimator and source. df has split: rows of "train" are fitted on. Each fit is a distributed job that reads df several times, so df should be a
+    written table; `jobs` of them are under way at once."""
+    weighted = with_features(stats.with_class_weight(df.where("split = 'train'"), [source], small=True))
+
+    def fit(cell: tuple[str, str]) -> Model:
+        name, s = cell
+        return models[name].fit(weighted.where(F.col(source) == s))
+
+    cells = [(name, s) for s in sources for name in models]
+    with ThreadPoolExecutor(jobs) as pool:
+        return dict(zip(cells, pool.map(inheritable_thread_target(df.sparkSession)(fit), cells), strict=True))
 
 
 def score_matrix(fitted: dict[tuple[str, str], Model], df: DataFrame, *, source: str = "dataset") -> DataFrame:

@@ -18,10 +18,11 @@ def class_distribution(df: DataFrame, by: list[str] | None = None, label: str =
     return df.groupBy(*(by or []), label).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(by or []))))
 
 
-def with_class_weight(df: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
-    """df with its class's weight; the weights are a row per class and group."""
+def with_class_weight(df: DataFrame, by: list[str] | None = None, label: str = "label", *, small: bool = False) -> DataFrame:
+    """df with its class's weight; the weights are a row per class and group. small: whether those may be broadcast, so that df stays where it is."""
     on = [*(by or []), label]
-    return df.join(class_weights(df, by, label).select(*on, F.col("weight").alias("class_weight")), on)
+    weights = class_weights(df, by, label).select(*on, F.col("weight").alias("class_weight"))
+    return df.join(F.broadcast(weights) if small else weights, on)
 
 
 def _of(split: str, *more: Column) -> Column:

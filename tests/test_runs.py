@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import math
+import os
+
+import pytest
+from pyspark.ml.classification import LogisticRegression
 
 from samplekit.operators import mlgrid, runs, sampling
+from samplekit.plans import files
 from samplekit.sources.shared import shared_folder
 
+DATA = "/root/testdata/sf0.001"
+
 
 def logs(spark, losses):
     return spark.createDataFrame([("r", i, float(x)) for i, x in enumerate(losses)], "run_id string, epoch long, val_loss double")
@@ -81,3 +88,11 @@ def test_trials_are_drawn_within_bounds():
             assert x in values if kind == "choice" else values[0] <= x <= values[1]
     small = sum(t.params["regParam"] < 1e-3 for t in trials if t.estimator == "logistic")
     assert 3 < small < 17
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_grid_reads_the_split_that_was_written(spark, monkeypatch):
+    monkeypatch.setattr(mlgrid, "estimators", lambda: {"logistic": LogisticRegression(weightCol="class_weight", maxIter=2)})
+    scores = files.grid_scores(spark, DATA)
+    assert {r.trained_on for r in scores.select("trained_on").distinct().collect()} == {f"ds{k}" for k in range(5)}
+    assert scores.inputFiles() and not [f for f in scores.inputFiles() if "events.parquet" in f]  # each fit and score would rank all events again
