@@ -101,9 +101,9 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATS).json(path) if _exists(spark, path) else spark.createDataFrame([], STATS)
 
 
-def read_epoch_logs(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
-    """run_id, epoch, metrics of CSV logs with a header. The run is a partition run_id of the folder, or else the file's name."""
-    schema = "epoch int, " + ", ".join(f"`{m}` double" for m in metrics)
+def read_epoch_logs(spark: SparkSession, path: str, metrics: list[str], run_column: bool = False) -> DataFrame:
+    """run_id, epoch, metrics of CSV logs with a header. The run is a partition run_id of the folder, or else the file's name; run_column: a column run_id of files that hold many runs each."""
+    schema = "run_id string, " * run_column + "epoch int, " + ", ".join(f"`{m}` double" for m in metrics)
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     run = F.col("run_id").cast("string") if "run_id" in rows.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
     return rows.select(run.alias("run_id"), "epoch", *metrics)

@@ -33,6 +33,11 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
     rows.write.mode(mode).option("header", True).partitionBy("model", "tested_on").csv(path)
 
 
+def write_epoch_logs(df: DataFrame, path: str, metrics: list[str], mode: str = "overwrite") -> None:
+    """CSV with a header, of run_id, epoch and metrics. The run is a column, not a folder: there are as many files as tasks, however many runs there are."""
+    df.select(F.col("run_id").cast("string").alias("run_id"), "epoch", *metrics).write.mode(mode).option("header", True).csv(path)
+
+
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The same rows as JSON and CSV under path; maps and structs, which CSV can't hold, are JSON text there."""
     clean = without_nan(results)

@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 
 from samplekit.operators import mlgrid, runs, sampling
 from samplekit.plans import files
+from samplekit.sources import scan, sinks
 from samplekit.sources.shared import shared_folder
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +97,12 @@ def test_grid_reads_the_split_that_was_written(spark, monkeypatch):
     scores = files.grid_scores(spark, DATA)
     assert {r.trained_on for r in scores.select("trained_on").distinct().collect()} == {f"ds{k}" for k in range(5)}
     assert scores.inputFiles() and not [f for f in scores.inputFiles() if "events.parquet" in f]  # each fit and score would rank all events again
+
+
+def test_logs_of_many_runs_are_few_files(spark):
+    path = shared_folder(spark)
+    logs = spark.range(0, 2000, 1, 4).selectExpr("format_string('%03d', id div 4) as run_id", "id % 4 as epoch", "id / 8 as loss")
+    sinks.write_epoch_logs(logs, path, ["loss"])
+    found = scan.read_epoch_logs(spark, path, ["loss"], run_column=True)
+    assert len(found.inputFiles()) <= 4  # not one for each of the 500 runs
+    assert {tuple(r) for r in found.collect()} == {(f"{i // 4:03d}", i % 4, i / 8) for i in range(2000)}
