@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that a task has open at once, so that it needn't sort its rows by folder first; rows of further folders are sorted.
+OPEN_FILES = 64
+
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by dataset and split; rows of one partition come together first, in tasks of an even size, so that each has few files and a large one has several writers."""
     df.hint("rebalance", F.col("dataset"), F.col("split")).write.mode(mode).partitionBy("dataset", "split").parquet(path)
 
 
+@contextmanager
+def _unsorted(spark: SparkSession) -> Iterator[None]:
+    """Within it, writes by folder keep OPEN_FILES files open instead of sorting rows, unless the session says how many."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    if int(spark.conf.get(name, "0")) > 0:
+        yield
+        return
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN as null, at the top level: JSON has no NaN."""
     return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("double", "float")})
@@ -27,10 +47,11 @@ def write_quality_report(rows: DataFrame, stats: DataFrame, path: str, mode: str
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, by model and tested_on, of scores with the decision, its confidence and whether it is right."""
+    """CSV with a header, by model and tested_on, of scores with the decision, its confidence and whether it is right. A task writes its rows as they come: it holds files, not rows."""
     predicted = F.when(F.col("score") > 1 - F.col("score"), 1).otherwise(0)
     rows = df.select("model", "tested_on", F.col("label").alias("true_label"), predicted.alias("predicted_label"), (1 - F.col("score")).alias("bonafide_prob"), F.col("score").alias("attack_prob"), F.greatest("score", 1 - F.col("score")).alias("confidence"), (predicted == F.col("label")).alias("correct"))
-    rows.write.mode(mode).option("header", True).partitionBy("model", "tested_on").csv(path)
+    with _unsorted(df.sparkSession):
+        rows.write.mode(mode).option("header", True).partitionBy("model", "tested_on").csv(path)
 
 
 def write_epoch_logs(df: DataFrame, path: str, metrics: list[str], mode: str = "overwrite") -> None:

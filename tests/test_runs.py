@@ -106,3 +106,14 @@ def test_logs_of_many_runs_are_few_files(spark):
     found = scan.read_epoch_logs(spark, path, ["loss"], run_column=True)
     assert len(found.inputFiles()) <= 4  # not one for each of the 500 runs
     assert {tuple(r) for r in found.collect()} == {(f"{i // 4:03d}", i % 4, i / 8) for i in range(2000)}
+
+
+def test_predictions_are_written_as_they_come(spark):
+    path = shared_folder(spark)
+    df = spark.range(0, 400, 1, 2).selectExpr("concat('m', id % 4) as model", "concat('ds', id % 5) as tested_on", "cast(id % 2 as int) as label", "id / 400 as score")
+    sinks.write_predictions(df, path)
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = done.apply(done.size() - 1).physicalPlanDescription()
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan  # a task would hold all of its rows
+    assert spark.read.option("header", True).csv(path).groupBy("model", "tested_on").count().where("count = 20").count() == 20
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
