@@ -62,8 +62,29 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one holds about limit bytes of text, however long its documents are. Every TRIMMED of them, and after the last one, the worker gives back what it no longer needs."""
+#: What operators remember in a Python worker from one task to the next.
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """A cache of one operator in each Python worker."""
+    _remembered.append({})
+    return _remembered[-1]
+
+
+def keep_only(own: dict | None) -> None:
+    """Empties what other operators have remembered in this worker: workers outlive the stage that they began with."""
+    others = [c for c in _remembered if c and c is not own]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = 8 << 20, own: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that one holds about limit bytes of text, however long its documents are. Every TRIMMED of them, and after the last one, the worker gives back what it no longer needs;
+    what operators have remembered goes at the start, but for own."""
+    keep_only(own)
     done = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

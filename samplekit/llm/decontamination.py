@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from samplekit.llm.common import LOWER, id_and_bytes, materialize, slices, starts_of
+from samplekit.llm.common import LOWER, id_and_bytes, keep_only, materialize, remembered, slices, starts_of
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Lower case; every ASCII character that is no letter or digit becomes a space.
@@ -268,13 +268,14 @@ SPAN = StructType([StructField("start", LongType()), StructField("stop", LongTyp
 HITS = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(StringType())), StructField("longest", LongType()), StructField("spans", ArrayType(SPAN))])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest", pa.int64()), ("spans", _SPANS)])
-_matchers: dict[str, Matcher] = {}
+_matchers: dict[str, Matcher] = remembered()
 
 
 def matcher(key: str, shared) -> Matcher:  # noqa: ANN001
     """One for each Python worker, which several tasks share one after the other."""
     if key not in _matchers:
         _matchers.clear()
+        keep_only(_matchers)
         _matchers[key] = Matcher(*shared.value)
     return _matchers[key]
 
@@ -285,7 +286,7 @@ def _with_hits(docs: DataFrame, shared, text_col: str, hits_col: str, add: bool,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher(key, shared)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, own=_matchers):
             n_words, got = own(pc.fill_null(batch.column(text_col).cast(pa.binary()), b""))
             before = batch.column(hits_col).to_pylist() if add else [None] * batch.num_rows
             hits = []

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import LOWER, gather, id_and_bytes, materialize, shipped, slices, starts_of
+from samplekit.llm.common import LOWER, gather, id_and_bytes, keep_only, materialize, remembered, shipped, slices, starts_of
 
 KNOWN_BYTES = 120 << 20  # of words and their ids that a Python worker remembers, about
 WORD_BYTES, PART_BYTES = 170, 230  # what a dictionary takes for a word or a part besides its letters; parts also for their list
@@ -149,12 +149,13 @@ class WordEncoder:
         return ids, starts_of(lengths)[starts_of(pc.list_value_length(split).to_numpy())]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = remembered()
 
 
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, which several tasks share one after the other."""
     if path not in _encoders:
+        keep_only(_encoders)
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
@@ -170,7 +171,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(shipped(tokenizer))
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=4 << 20, own=_encoders):
             ids, at = own_encoder.encode(batch.column("body"))
             docs_out, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):

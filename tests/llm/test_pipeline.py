@@ -6,8 +6,12 @@ import os
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
+from samplekit.llm import packing
+from samplekit.llm.common import slices
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -79,3 +83,10 @@ def test_no_column_of_the_caller_is_touched(spark, docs, tmp_path):
             assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, base, str(tmp_path)).collect()}
     assert corpus_pipeline.pack(spark, marked, str(tmp_path)).count() >= marked.count()
     marked.unpersist()
+
+
+def test_workers_forget_what_other_stages_remembered():
+    packing.encoder(corpus_pipeline.tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([b"some words"])], names=["body"])
+    assert len(list(slices([batch], own=packing._encoders))) == 1 and packing._encoders
+    assert len(list(slices([batch]))) == 1 and not packing._encoders
