@@ -99,7 +99,7 @@ def _fold_losses(rows: DataFrame, trial: Trial, models: dict[str, Estimator], k:
     """Mean cross-entropy over folds, each held out once."""
     losses = []
     for fold in range(k):
-        train = with_features(stats.with_class_weight(rows.where(F.col("fold") != fold)))
+        train = with_features(stats.with_class_weight(rows.where(F.col("fold") != fold), small=True))
         model = models[trial.estimator].copy({models[trial.estimator].getParam(p): v for p, v in trial.params.items()}).fit(train)
         scored = model.transform(with_features(rows.where(F.col("fold") == fold))).select("label", vector_to_array("probability")[1].alias("score"))
         losses.append(metrics.cross_entropy(scored, []).first()["loss"])
