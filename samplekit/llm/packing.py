@@ -17,10 +17,10 @@ import os
 import random
 import unicodedata
 import zlib
+from array import array
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplekit.llm.common import LOWER, gather, id_and_bytes, keep_only, materialize, remembered, shipped, slices, starts_of
+from samplekit.llm.common import gather, id_and_bytes, keep_only, materialize, remembered, shipped, slices, starts_of
 
-KNOWN_BYTES = 120 << 20  # of words and their ids that a Python worker remembers, about
-WORD_BYTES, PART_BYTES = 170, 230  # what a dictionary takes for a word or a part besides its letters; parts also for their list
+KNOWN_BYTES = 120 << 20  # of parts of words and their ids that a Python worker remembers, about
+PART_BYTES = 170  # what a dictionary takes for a part besides its letters
 EARLY = 2
 SALTED_ROWS = 200_000  # pieces of one length, about, that are ranked together
 
 
-#: ASCII punctuation that is no part of a contraction.
-PUNCT = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+SPACE, LETTER, DIGIT, MARK, APOSTROPHE, OTHER = range(6)
+
+
+def _kinds() -> bytes:
+    """By byte: white space, letter, digit, punctuation, apostrophe, or anything else."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for kind, chars in ((MARK, range(33, 127)), (LETTER, range(65, 91)), (LETTER, range(97, 123)), (DIGIT, range(48, 58)), (APOSTROPHE, b"'"), (SPACE, b" \t\n\x0b\x0c\r")):
+        kinds[list(chars)] = kind
+    return kinds.tobytes()
+
+
+def _edges() -> bytes:
+    """By kinds of two bytes, 8 * first + second: whether no token spans them, whatever is around them. An apostrophe may begin a contraction; other characters may join punctuation or compose with a letter."""
+    edges = np.zeros((32, 8), bool)
+    edges[[SPACE, DIGIT], :] = edges[:, [SPACE, DIGIT]] = True
+    edges[LETTER, MARK] = edges[LETTER, APOSTROPHE] = edges[MARK, LETTER] = True
+    return edges.tobytes()
+
+
+KINDS, EDGES = _kinds(), _edges()
+NO_LETTERS = (0xC397, 0xC3B7, 0xC4B0)  # of U+00C0 to U+017F: two signs, and the one letter that is two characters in lower case
 
 
 def _byte_level() -> dict[int, str]:
@@ -69,9 +88,9 @@ def _cuts_letters(path: str) -> bool:
 class WordEncoder:
     """Token ids of whole texts, for a tokenizer that never joins text across ASCII white space.
 
-    Each distinct word goes through the tokenizer once; texts are then put together from the words' ids. Where the
-    tokenizer lower-cases and splits words at the edge of letters, as `cuts` says, punctuation after a word and words of
-    Latin letters alone are given to its model straight away.
+    Texts are cut at white space and, where the tokenizer lower-cases and splits words at the edge of letters, as `cuts`
+    says, at edges of letters, digits and punctuation that no token spans. Each distinct part goes through the tokenizer
+    once, Latin letters alone straight to its model; texts are then put together from the parts' ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,74 +98,91 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cuts = _cuts_letters(path)
         self.number: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
         self.held = 0
         self.sizes, self.ids, self.seen = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Only the words seen most stay, half of what fits; parts are found again by them."""
-        words = list(self.number)
+        """Only the parts seen most stay, half of what fits."""
+        parts = list(self.number)
         order = np.argsort(-self.seen, kind="stable")
-        room = np.cumsum(np.fromiter((WORD_BYTES + len(words[k]) for k in order), np.int64, len(order)) + 4 * self.sizes[order])
+        own = np.fromiter(map(len, parts), np.int64, len(parts)) + PART_BYTES + 4 * self.sizes
+        room = np.cumsum(own[order])
         kept = np.sort(order[: int(np.searchsorted(room, KNOWN_BYTES // 2))])
         self.ids = self.ids[gather(starts_of(self.sizes)[kept], self.sizes[kept])]
         self.sizes, self.seen = self.sizes[kept], self.seen[kept] // 2
-        self.number = {words[k]: n for n, k in enumerate(kept.tolist())}
-        self.parts = {}
+        self.number = {parts[k]: n for n, k in enumerate(kept.tolist())}
         self.held = int(room[len(kept) - 1]) if len(kept) else 0
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of distinct words; those that are new are encoded."""
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        """Numbers of distinct parts; those that are new are encoded."""
         if self.held > KNOWN_BYTES:
             self._forget()
         number = self.number
-        if new := [w for w in words if w not in number]:
+        if new := [p for p in parts if p not in number]:
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            got = list(map(self._cut_ids if self.cuts else self._plain_ids, new))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            sizes, ids = np.zeros(len(new), np.int64), array("I")
+            for k, part in enumerate(new):
+                before = len(ids)
+                ids.extend(self._part_ids(part))
+                sizes[k] = len(ids) - before
             self.sizes, self.seen = np.concatenate([self.sizes, sizes]), np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
-            self.held += sum(map(len, new)) + WORD_BYTES * len(new) + 4 * int(sizes.sum())
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-    def _plain_ids(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def _cut_ids(self, word: bytes) -> list[int]:
-        """Of a word whose run of letters, and the punctuation after it, are tokenized apart."""
-        if b"<|" in word:  # may be a special token
-            return self._plain_ids(word)
-        low = word.translate(LOWER)
-        body = low.rstrip(PUNCT)
-        if body.isalpha():  # of ASCII
-            ids = self.parts.get(body)
-            if ids is None:
-                ids = self.parts[body] = [t.id for t in self.tokenizer.model.tokenize(body.decode())]
-                self.held += PART_BYTES + len(body) + 40 * len(ids)
-            return ids if len(body) == len(low) else [*ids, *self._part_ids(low[len(body) :])]
-        if body != low and body and _is_letters(body):
-            return [*self._part_ids(body), *self._part_ids(low[len(body) :])]
-        return self._part_ids(low)
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
+            self.held += sum(map(len, new)) + PART_BYTES * len(new) + 4 * len(ids)
+        return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
 
     def _part_ids(self, part: bytes) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = _is_letters(part)
-            ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_LEVEL))] if letters else self._plain_ids(part)
-            self.held += PART_BYTES + len(part) + 40 * len(ids)
-        return ids
+        if self.cuts:
+            if part.isalpha():  # of ASCII
+                return [t.id for t in self.model.tokenize(part.decode().lower())]
+            if letters := _is_letters(part):
+                return [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        return self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def _parts(self, text: bytes, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, and which of them is each text's first; one more at the end. starts: where texts begin in `text`, and its end."""
+        body, kinds = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.translate(KINDS)), np.uint8)
+        edge = np.zeros(len(body) + 1, bool)
+        edge[starts] = True
+        if self.cuts:
+            lead = np.flatnonzero(body[:-1] - np.uint8(0xC3) < 3)  # begins U+00C0 to U+017F
+            pair = body[lead].astype(np.int64) << 8 | body[lead + 1]
+            lead = lead[(pair & 0xC0 == 0x80) & ~np.isin(pair, NO_LETTERS) & ~edge[lead + 1]]
+            kinds[lead] = kinds[lead + 1] = LETTER
+            apart = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(EDGES), bool)
+            upper = body - np.uint8(65) < 26
+            upper[:-1] &= kinds[1:] != OTHER  # as what follows may compose with a small letter only
+            if b"<|" in text:  # words with what may be a special token stay whole
+                word = np.cumsum(kinds == SPACE)
+                whole = np.isin(word, word[:-1][(body[:-1] == ord("<")) & (body[1:] == ord("|"))]) & (kinds != SPACE)
+                apart = apart & ~(whole[:-1] & whole[1:])
+                upper &= ~whole
+            body = body | upper.view(np.uint8) << 5
+        else:
+            apart = (kinds[:-1] == SPACE) | (kinds[1:] == SPACE)
+        edge[1:-1] |= apart
+        inside = kinds != SPACE
+        edge = edge[:-1] & inside
+        own = body[inside]
+        cuts = np.append(np.flatnonzero(edge[inside]), len(own)).astype(np.int32)
+        first = np.searchsorted(np.flatnonzero(edge), starts)
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(own)]), first
 
     def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text starts; one more at the end. bodies: binary, UTF-8."""
-        split = pc.ascii_split_whitespace(bodies.view(pa.string()))
-        coded = split.flatten().dictionary_encode()
-        words = self._numbers(coded.dictionary.view(pa.binary()).to_pylist())[coded.indices.to_numpy()]
-        self.seen += np.bincount(words, minlength=len(self.seen))
-        lengths = self.sizes[words]
-        ids = self.ids[gather(starts_of(self.sizes)[words], lengths)]
-        return ids, starts_of(lengths)[starts_of(pc.list_value_length(split).to_numpy())]
+        starts = starts_of(pc.binary_length(bodies).to_numpy())
+        text = b"".join(bodies.to_pylist())
+        if not text:
+            return np.zeros(0, np.uint32), starts
+        split, first = self._parts(text, starts)
+        coded = split.dictionary_encode()
+        parts = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        self.seen += np.bincount(parts, minlength=len(self.seen))
+        lengths = self.sizes[parts]
+        ids = self.ids[gather(starts_of(self.sizes)[parts], lengths)]
+        return ids, starts_of(lengths)[first]
 
 
 _encoders: dict[str, WordEncoder] = remembered()

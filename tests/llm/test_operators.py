@@ -205,6 +205,29 @@ def test_word_encoder_is_the_tokenizer():
         assert list(ids[at[k] : at[k + 1]]) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_word_encoder_leaves_letters_that_compose_with_a_mark():
+    """J with a caron is one character in lower case only, so the tokenizer keeps both; text after it is cut as ever."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(tokenizer_path()), packing.WordEncoder(tokenizer_path())
+    texts = ["J\u030c", "aH\u0331, T\u0308's", "\u01f0 W\u030a1", "", "\u0301x", "E\u0301t\u00c9!D\u00d7d", "<|ENDOFTEXT|>A", "a<|endoftext|>B", "\u0130\u00e9'S"]
+    ids, at = own.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_encoder_meets_a_part_once_whatever_stands_around_it():
+    import pyarrow as pa
+
+    own, met = packing.WordEncoder(tokenizer_path()), []
+    part_ids = own._part_ids
+    own._part_ids = lambda part: met.append(part) or part_ids(part)
+    text = " ".join(f"{a}{w}{z}" for a in ("", '"', "(") for w in ("house", "House", "HOUSE", "\u00e9t\u00e9", "x7") for z in ("", ",", ".", "!", "'s", "-house"))
+    for _ in range(2):
+        own.encode(pa.array([text.encode(), text.upper().encode()], pa.binary()))
+    assert Counter(met) == Counter(b.encode() for b in ("house", "\u00e9t\u00e9", "\u00c9t\u00c9", "x", "7", '"', "(", ",", ".", "!", "'s", "-")), met
+
+
 def test_line_dedup(docs, nothing):
     sites = defaultdict(set)
     data = [(r.doc_id, r.text, r.source or "") for r in docs.collect()]
